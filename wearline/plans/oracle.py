@@ -116,4 +116,52 @@ SELECT unit_number, time_in_cycles, RUL, CAST(coalesce(RUL <= 90, false) AS BIGI
 SELECT unit_number, time_in_cycles, RUL, CAST(coalesce(RUL <= 20, false) AS BIGINT) AS failure FROM R"""
     raw = feature_select(L_VALUES, L_DEGR, digits=4, cum_digits=2)
     q["raw_features"] = f"WITH {L}\nSELECT {raw}\nFROM L"
+    F = f"WITH {L}, F AS (SELECT {raw} FROM L)"
+    subsets = {"rolling_mean": ["_rolling_mean_3", "_rolling_mean_5"],
+               "rolling_std": ["_rolling_std_3", "_rolling_std_5"], "ema": ["_ema"],
+               "rate_of_change": ["_rate_of_change"], "cumulative_sum": ["_cumsum"],
+               "cycle_norm": ["cycle_norm"]}
+    names = feature_names(L_VALUES, L_DEGR)
+    for key, suf in subsets.items():
+        keep = [n for n in names if any(n.endswith(x) for x in suf)]
+        q[key] = f"{F}\nSELECT unit_number, time_in_cycles, {', '.join(keep)} FROM F"
+    ev = feature_select(["sensor_measurement_4"], [], include_degradation=False, digits=6)
+    q["ema_events"] = (f"WITH {E}, F AS (SELECT {ev} FROM E)\nSELECT unit_number, time_in_cycles, "
+                       "sensor_measurement_4_ema, sensor_measurement_4_rolling_mean_5, "
+                       "sensor_measurement_4_rolling_std_5 FROM F")
+    deg = feature_select(L_VALUES, L_DEGR, include_rolling=False, digits=4, cum_digits=2)
+    q["degradation_only"] = f"WITH {L}\nSELECT {deg}\nFROM L"
+    tr = feature_select(L_VALUES, L_DEGR, history=10, digits=4, cum_digits=2)
+    q["trailing_features"] = f"WITH {L}\nSELECT {tr}\nFROM L"
+    lr = feature_select(L_VALUES, L_DEGR, digits=4, cum_digits=2, passthrough=["RUL"])
+    q["latest_per_unit"] = f"""WITH {L}, R AS (SELECT *, CAST(max(time_in_cycles) OVER (PARTITION BY unit_number)
+   - time_in_cycles AS BIGINT) AS RUL FROM L), F AS (SELECT {lr} FROM R)
+SELECT unit_number, time_in_cycles, RUL, sensor_measurement_4_rolling_mean_3, sensor_measurement_7_ema,
+  sensor_measurement_11_cumsum
+FROM F QUALIFY row_number() OVER (PARTITION BY unit_number ORDER BY time_in_cycles DESC) = 1"""
+    q["timeline_points"] = f"""WITH {L}, P AS (SELECT unit_number, time_in_cycles, sensor_measurement_4,
+  row_number() OVER (PARTITION BY unit_number ORDER BY time_in_cycles) AS pos FROM L)
+SELECT unit_number, time_in_cycles, sensor_measurement_4 FROM P WHERE pos >= 5 AND (pos - 5) % 5 = 0"""
+    lf = feature_select(L_VALUES, L_DEGR, digits=4, cum_digits=2)
+    q["feature_select"] = f"WITH {L}\nSELECT {lf}\nFROM L"
+    q["fillna_zero"] = f"""WITH {L}
+SELECT unit_number, time_in_cycles, {', '.join(f'coalesce({c}, 0) AS {c}' for c in L_VALUES)} FROM L"""
+    q["horizon_report"] = f"""WITH {L}, R AS (SELECT *, CAST(max(time_in_cycles) OVER (PARTITION BY unit_number)
+   - time_in_cycles AS BIGINT) AS RUL FROM L),
+B AS (SELECT *, CAST(coalesce(RUL <= 90, false) AS BIGINT) AS failure FROM R)
+SELECT unit_number, time_in_cycles, RUL, failure,
+  {rnd("coalesce(CASE WHEN count(sensor_measurement_4) " + win("ROWS BETWEEN 2 PRECEDING AND CURRENT ROW") + " = 3 THEN avg(sensor_measurement_4) " + win("ROWS BETWEEN 2 PRECEDING AND CURRENT ROW") + " END, 0)", 4)} AS sensor_measurement_4_rolling_mean_3,
+  {rnd("coalesce(CASE WHEN count(sensor_measurement_7) " + win("ROWS BETWEEN 2 PRECEDING AND CURRENT ROW") + " = 3 THEN avg(sensor_measurement_7) " + win("ROWS BETWEEN 2 PRECEDING AND CURRENT ROW") + " END, 0)", 4)} AS sensor_measurement_7_rolling_mean_3
+FROM B QUALIFY row_number() OVER (PARTITION BY unit_number ORDER BY time_in_cycles DESC) = 1"""
     return q
+
+
+def feature_names(cols, degr, windows=(3, 5)):
+    out = []
+    for n in windows:
+        for c in cols:
+            out += [f"{c}_rolling_mean_{n}", f"{c}_rolling_std_{n}"]
+    out += [f"{c}_ema" for c in cols]
+    out.append("cycle_norm")
+    out += [f"{c}_rate_of_change" for c in degr] + [f"{c}_cumsum" for c in degr]
+    return out

@@ -68,3 +68,100 @@ def raw_features(spark, sf, **kw):
 @query("raw_features")
 def q_raw_features(spark, sf):
     return raw_features(spark, sf)
+
+
+# ---- step 2: the feature set -------------------------------------------------------
+
+def _feature_subset(spark, sf, suffixes):
+    f = raw_features(spark, sf)
+    keep = [c for c in f.columns if any(c.endswith(s) for s in suffixes)]
+    return f.select(UNIT, CYCLE, *keep)
+
+
+@query("rolling_mean")
+def q_rolling_mean(spark, sf):
+    return _feature_subset(spark, sf, ["_rolling_mean_3", "_rolling_mean_5"])
+
+
+@query("rolling_std")
+def q_rolling_std(spark, sf):
+    return _feature_subset(spark, sf, ["_rolling_std_3", "_rolling_std_5"])
+
+
+@query("ema")
+def q_ema(spark, sf):
+    return _feature_subset(spark, sf, ["_ema"])
+
+
+@query("rate_of_change")
+def q_rate_of_change(spark, sf):
+    return _feature_subset(spark, sf, ["_rate_of_change"])
+
+
+@query("cumulative_sum")
+def q_cumulative_sum(spark, sf):
+    return _feature_subset(spark, sf, ["_cumsum"])
+
+
+@query("cycle_norm")
+def q_cycle_norm(spark, sf):
+    return _feature_subset(spark, sf, ["cycle_norm"])
+
+
+@query("ema_events")
+def q_ema_events(spark, sf):
+    e = DT.user_telemetry(spark, sf)
+    f = FE.engineer_features(e, include_degradation=False)
+    return rounded(f.select(UNIT, CYCLE, "sensor_measurement_4_ema", "sensor_measurement_4_rolling_mean_5",
+                            "sensor_measurement_4_rolling_std_5"), 6)
+
+
+@query("degradation_only")
+def q_degradation_only(spark, sf):
+    """Degradation features without the rolling pass: nulls are not filled."""
+    f = FE.engineer_features(L(spark, sf), include_rolling=False)
+    return rounded(f, 4, _cumsum=2)
+
+
+@query("trailing_features")
+def q_trailing_features(spark, sf):
+    return rounded(FE.engineer_features(L(spark, sf), history=10), 4, _cumsum=2)
+
+
+@query("latest_per_unit")
+def q_latest_per_unit(spark, sf):
+    f = FE.engineer_features(LB.compute_rul(L(spark, sf)))
+    last = FE.latest_per_unit(f)
+    return rounded(last.select(UNIT, CYCLE, "RUL", "sensor_measurement_4_rolling_mean_3",
+                               "sensor_measurement_7_ema", "sensor_measurement_11_cumsum"), 4,
+                   _cumsum=2)
+
+
+@query("timeline_points")
+def q_timeline_points(spark, sf):
+    return FE.every_nth_cycle(L(spark, sf), start=5, step=5).select(UNIT, CYCLE, "sensor_measurement_4")
+
+
+@query("feature_select")
+def q_feature_select(spark, sf):
+    f = FE.engineer_features(LB.label_failure(LB.compute_rul(L(spark, sf)), 90))
+    sel = FE.select_features(f)
+    # keys are needed to compare rows; they are carried outside the feature list
+    return rounded(f.select(UNIT, CYCLE, *sel.columns), 4, _cumsum=2)
+
+
+@query("fillna_zero")
+def q_fillna_zero(spark, sf):
+    return FE.fill_zero(L(spark, sf))
+
+
+@query("horizon_report")
+def q_horizon_report(spark, sf):
+    """Flagship of step 1: units inside the failure horizon with their
+    current rolling level (RUL, label, rolling mean 3, latest row)."""
+    lab = LB.label_failure(LB.compute_rul(L(spark, sf)), 90)
+    f = FE.engineer_features(lab, window_sizes=(3,), include_degradation=False)
+    last = FE.latest_per_unit(f.select(UNIT, CYCLE, "RUL", "failure",
+                                       "sensor_measurement_4_rolling_mean_3",
+                                       "sensor_measurement_7_rolling_mean_3"))
+    return rounded(last, 4)
