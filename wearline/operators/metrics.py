@@ -229,7 +229,7 @@ def metric_rows(df: DataFrame, label: str = "failure", pred: str = "prediction",
     def rows(frame, average):
         return frame.select(F.inline(F.array(*[
             F.struct(F.lit(m).alias("metric"), F.lit(average).alias("average"), F.col(c).alias("value"))
-            for m, c in (("precision", "precision"), ("recall", "recall"), ("f1_score", "f1_score"))]))))
+            for m, c in (("precision", "precision"), ("recall", "recall"), ("f1_score", "f1_score"))])))
     out = rows(b, "binary").unionByName(rows(wgt, "weighted"))
     for avg in ("binary", "weighted"):
         out = out.unionByName(acc.select(F.lit("accuracy").alias("metric"), F.lit(avg).alias("average"), "value"))

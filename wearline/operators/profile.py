@@ -67,9 +67,8 @@ def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
                     for i, c in enumerate(cols)])
     base = row.select(F.inline(arr))
     q = (exact_quantiles(df, cols).groupBy("column")
-         .pivot("q", [0.25, 0.5, 0.75]).agg(F.first("value")))
-    q = q.select("column", F.col("0.25").alias("p25"), F.col("0.5").alias("p50"),
-                 F.col("0.75").alias("p75"))
+         .agg(*[F.max(F.when(F.col("q") == v, F.col("value"))).alias(n)
+                for v, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]))
     return base.join(q, "column", "left").select("column", "count", "mean", "std", "min",
                                                  "p25", "p50", "p75", "max")
 

@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,7 +64,10 @@ def ranked(df: DataFrame, keys: list[str] | None = None, order: list | None = No
     ship_package(spark)
     n = n_parts or shuffle_partitions(spark)
     sort_cols = [F.col(k) for k in keys] + [o if isinstance(o, Column) else F.col(o) for o in order]
+    # the range-partition id is stored as data: TaskContext ids shift when the
+    # output is later unioned with other frames
     base = (df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
+            .withColumn("_pid", F.spark_partition_id())
             .checkpoint(eager=True))
 
     # ---- pass 1: first/last run totals per partition -----------------------------
@@ -75,14 +77,15 @@ def ranked(df: DataFrame, keys: list[str] | None = None, order: list | None = No
         + [T.StructField(f.name, f.dataType, True) for f in key_fields]
         + [T.StructField("_cnt", T.LongType())]
         + [T.StructField(f"_s{i}", T.DoubleType()) for i in range(len(sums))])
-    need = keys + sums
+    need = ["_pid"] + keys + sums
 
     def edges(it):
-        pid = TaskContext.get().partitionId()
+        pid = None
         first = cur = None       # [key, cnt, sums] of the first and the current run
         for pdf in it:
             if pdf.empty:
                 continue
+            pid = int(pdf["_pid"].iat[0])
             run = _runs(pdf, keys)
             nrun = int(run[-1]) + 1
             vals = [pdf[s].astype("float64").fillna(0.0).to_numpy() for s in sums]
@@ -116,17 +119,18 @@ def ranked(df: DataFrame, keys: list[str] | None = None, order: list | None = No
         acc[key] = (prev[0] + r["_cnt"], [a + r[f"_s{i}"] for i, a in enumerate(prev[1])])
 
     # ---- pass 2: within-partition running totals + offsets ------------------------
-    out_schema = T.StructType(base.schema.fields + [T.StructField("_rn", T.LongType())]
+    out_schema = T.StructType([f for f in base.schema.fields if f.name != "_pid"]
+                              + [T.StructField("_rn", T.LongType())]
                               + [T.StructField(f"{s}_cum", T.DoubleType()) for s in sums])
 
     def scan(it):
-        pid = TaskContext.get().partitionId()
         carry_key, carry = None, None
         for pdf in it:
             if pdf.empty:
-                yield pdf.assign(_rn=pd.Series(dtype="int64"),
-                                 **{f"{s}_cum": pd.Series(dtype="float64") for s in sums})
+                yield pdf.drop(columns=["_pid"]).assign(
+                    _rn=pd.Series(dtype="int64"), **{f"{s}_cum": pd.Series(dtype="float64") for s in sums})
                 continue
+            pid = int(pdf["_pid"].iat[0])
             run = _runs(pdf, keys)
             nrun = run[-1] + 1
             starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
@@ -149,6 +153,6 @@ def ranked(df: DataFrame, keys: list[str] | None = None, order: list | None = No
             last_i = len(pdf) - 1
             carry_key = _key_tuple(pdf, keys, last_i)
             carry = (int(rn[last_i]), [float(res[f"{s}_cum"][last_i]) for s in sums])
-            yield pdf.assign(**res)
+            yield pdf.drop(columns=["_pid"]).assign(**res)
 
     return base.mapInPandas(scan, out_schema)

@@ -165,3 +165,191 @@ def q_horizon_report(spark, sf):
                                        "sensor_measurement_4_rolling_mean_3",
                                        "sensor_measurement_7_rolling_mean_3"))
     return rounded(last, 4)
+
+
+# ---- step 3: scaling, variance, profiles -------------------------------------------
+
+from wearline.operators import profile as PR  # noqa: E402
+from wearline.operators import scaling as SC  # noqa: E402
+
+
+def labelled(spark, sf, threshold=90):
+    return LB.label_failure(LB.compute_rul(L(spark, sf)), threshold)
+
+
+@query("scaler_fit")
+def q_scaler_fit(spark, sf):
+    return SC.fit_scaler(L(spark, sf)).select("column", "min", "max", "scale", "offset",
+                                             F.col("ordinal").cast("bigint").alias("ordinal"))
+
+
+@query("scale_features")
+def q_scale_features(spark, sf):
+    l = L(spark, sf)
+    return SC.apply_scaler(l, SC.fit_scaler(l))
+
+
+@query("variance_report")
+def q_variance_report(spark, sf):
+    l = labelled(spark, sf)
+    scaled = SC.apply_scaler(l, SC.fit_scaler(l))
+    rep = SC.variance_report(scaled)
+    return rounded(rep, 4)
+
+
+@query("drop_low_variance")
+def q_drop_low_variance(spark, sf):
+    l = labelled(spark, sf)
+    scaled = SC.apply_scaler(l, SC.fit_scaler(l))
+    return SC.drop_columns(scaled, SC.removed_columns(SC.variance_report(scaled)))
+
+
+@query("unit_life")
+def q_unit_life(spark, sf):
+    return LB.unit_life(L(spark, sf))
+
+
+@query("failure_rate")
+def q_failure_rate(spark, sf):
+    return PR.failure_rate(labelled(spark, sf))
+
+
+@query("class_distribution")
+def q_class_distribution(spark, sf):
+    return PR.value_counts(labelled(spark, sf), "failure")
+
+
+@query("describe_columns")
+def q_describe_columns(spark, sf):
+    l = L(spark, sf)
+    cols = [c for c in l.columns]
+    return rounded(PR.describe(l, cols), 4)
+
+
+@query("column_profile")
+def q_column_profile(spark, sf):
+    return PR.column_profile(LB.compute_rul(L(spark, sf)))
+
+
+@query("rul_histogram")
+def q_rul_histogram(spark, sf):
+    return rounded(PR.histogram(LB.compute_rul(L(spark, sf)), "RUL", 50), 6)
+
+
+@query("rul_density")
+def q_rul_density(spark, sf):
+    return rounded(PR.density(LB.compute_rul(L(spark, sf)), "RUL", 200), 10, x=4)
+
+
+@query("rul_test_offset")
+def q_rul_test_offset(spark, sf):
+    l = L(spark, sf)
+    t = LB.attach_final_rul(l, DT.final_rul(l))
+    return LB.label_failure(t, 90).select(UNIT, CYCLE, "RUL", "failure")
+
+
+@query("prepare_data")
+def q_prepare_data(spark, sf):
+    from wearline.plans.prepare import prepare_data
+    l = L(spark, sf)
+    train, test, _ = prepare_data(l, l, DT.final_rul(l), threshold=90)
+    return (train.withColumn("split", F.lit("train"))
+            .unionByName(test.withColumn("split", F.lit("test"))))
+
+
+# ---- step 4: evaluation ------------------------------------------------------------
+
+from wearline.operators import metrics as MT  # noqa: E402
+
+
+def scored(spark, sf):
+    """Labelled L with two deterministic scores: ``p_qty = quantity / 50``
+    (50 levels, many ties) and ``p_price`` = min-max scaled price."""
+    l = labelled(spark, sf)
+    l = SC.apply_scaler(l, SC.fit_scaler(l, ["sensor_measurement_7"]))
+    return l.select(UNIT, CYCLE, "RUL", "failure",
+                    (F.col("sensor_measurement_4") / 50.0).alias("p_qty"),
+                    F.col("sensor_measurement_7").alias("p_price"),
+                    ((F.col("sensor_measurement_4") / 50.0) >= 0.5).cast("bigint").alias("prediction"))
+
+
+@query("confusion_matrix")
+def q_confusion_matrix(spark, sf):
+    return MT.confusion_matrix(scored(spark, sf))
+
+
+@query("binary_metrics")
+def q_binary_metrics(spark, sf):
+    m = MT.binary_metrics(scored(spark, sf), score="p_qty")
+    return m.withColumn("roc_auc", F.round("roc_auc", 12))
+
+
+@query("classification_report")
+def q_classification_report(spark, sf):
+    return MT.classification_report(scored(spark, sf))
+
+
+@query("roc_curve")
+def q_roc_curve(spark, sf):
+    return MT.roc_curve(scored(spark, sf), score="p_price")
+
+
+@query("roc_curve_ties")
+def q_roc_curve_ties(spark, sf):
+    return MT.roc_curve(scored(spark, sf), score="p_qty")
+
+
+@query("roc_auc")
+def q_roc_auc(spark, sf):
+    s = scored(spark, sf)
+    a = MT.roc_auc(s, score="p_qty").withColumnRenamed("roc_auc", "auc_qty")
+    b = MT.roc_auc(s, score="p_price").first()[0]
+    return rounded(a.withColumn("auc_price", F.lit(b)), 12)
+
+
+@query("pr_curve")
+def q_pr_curve(spark, sf):
+    return MT.pr_curve(scored(spark, sf), score="p_qty")
+
+
+@query("pr_curve_price")
+def q_pr_curve_price(spark, sf):
+    return MT.pr_curve(scored(spark, sf), score="p_price")
+
+
+@query("optimal_threshold")
+def q_optimal_threshold(spark, sf):
+    return MT.optimal_threshold(scored(spark, sf), score="p_price", min_recall=0.60, min_threshold=0.4)
+
+
+@query("optimal_threshold_fallback")
+def q_optimal_threshold_fallback(spark, sf):
+    """No point meets threshold >= 0.99: the recall-only tier decides."""
+    return MT.optimal_threshold(scored(spark, sf), score="p_qty", min_recall=0.60, min_threshold=0.99)
+
+
+@query("cost_benefit")
+def q_cost_benefit(spark, sf):
+    return MT.cost_benefit(MT.confusion_counts(scored(spark, sf)))
+
+
+@query("prediction_summary")
+def q_prediction_summary(spark, sf):
+    return rounded(MT.prediction_summary(scored(spark, sf), prob="p_qty"), 12)
+
+
+@query("class_weights")
+def q_class_weights(spark, sf):
+    return MT.class_weights(labelled(spark, sf))
+
+
+@query("scale_pos_weight")
+def q_scale_pos_weight(spark, sf):
+    return MT.scale_pos_weight(labelled(spark, sf))
+
+
+@query("metric_delta")
+def q_metric_delta(spark, sf):
+    s = scored(spark, sf)
+    ours = MT.metric_rows(s, score="p_qty")
+    return rounded(MT.metric_delta(ours, MT.baseline_rows(spark)), 12)
