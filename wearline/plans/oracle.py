@@ -102,6 +102,7 @@ def feature_select(cols, degr, windows=(3, 5), history=None, include_rolling=Tru
 
 def build() -> dict[str, str]:
     q: dict[str, str] = dict(build_more())
+    q.update(build_policy())
     q["rul_compute"] = f"""WITH {L}
 SELECT unit_number, time_in_cycles,
   CAST(max(time_in_cycles) OVER (PARTITION BY unit_number) - time_in_cycles AS BIGINT) AS RUL
@@ -374,3 +375,116 @@ BL AS (SELECT * FROM (VALUES ('recall', 'weighted', 0.9520464263897374), ('preci
 SELECT O.metric, O.average, round(value, 12) AS value, round(CAST(baseline AS DOUBLE), 12) AS baseline,
   round(value - baseline, 12) AS delta FROM O LEFT JOIN BL ON O.metric = BL.metric AND O.average = BL.average"""
     return q
+
+
+# ---- step 5 SQL ----------------------------------------------------------------------
+
+def wear(r: str) -> str:
+    return (f"CASE WHEN {r} > 100 THEN 'healthy' WHEN {r} > 50 THEN 'moderate_wear' "
+            f"WHEN {r} > 20 THEN 'severe_wear' ELSE 'failed' END")
+
+
+def reward_sql(s: str, a: str, n: str) -> str:
+    return f"""CAST(CASE WHEN {n} = 'failed' THEN -100
+  WHEN {a} = 'immediate_maintenance' THEN CASE WHEN {s} IN ('severe_wear', 'failed') THEN 10 ELSE -20 END
+  WHEN {a} = 'schedule_maintenance' THEN CASE WHEN {s} = 'moderate_wear' THEN 0 WHEN {s} = 'severe_wear' THEN -10 ELSE -15 END
+  WHEN {a} = 'no_maintenance' THEN CASE WHEN {s} = 'healthy' THEN 5 WHEN {s} = 'moderate_wear' THEN -1 ELSE -50 END
+  ELSE -1 END AS DOUBLE)"""
+
+
+RISK = ("CASE WHEN {p} IS NULL THEN NULL WHEN {p} < 0.3 THEN 'LOW' WHEN {p} < 0.5 THEN 'MEDIUM' "
+        "WHEN {p} < 0.75 THEN 'HIGH' ELSE 'CRITICAL' END")
+
+STEPS = f"""ST AS (SELECT unit_number, time_in_cycles, RUL, {wear('RUL')} AS state,
+  lead({wear('RUL')}) OVER (PARTITION BY unit_number ORDER BY time_in_cycles) AS next_state,
+  'no_maintenance' AS action FROM R)"""
+
+ACTIONS = ["no_maintenance", "immediate_maintenance", "schedule_maintenance"]
+INTERVALS = {"immediate_maintenance": (20.0, 50.0), "schedule_maintenance": (10.0, 30.0)}
+BANDS = [("healthy", 100.0, None), ("moderate_wear", 50.0, 100.0), ("severe_wear", 20.0, 50.0),
+         ("failed", None, 20.0)]
+
+
+def transitions_cte() -> str:
+    parts = []
+    for a in ACTIONS:
+        lo_d, hi_d = INTERVALS.get(a, (-10.0, -1.0))
+        for ns, blo, bhi in BANDS:
+            lo = f"(r + {lo_d})" if blo is None else f"greatest(r + {lo_d}, {blo})"
+            hi = f"(r + {hi_d})" if bhi is None else f"least(r + {hi_d}, {bhi})"
+            parts.append(f"SELECT w, {wear('r')} AS state, '{a}' AS action, '{ns}' AS next_state, "
+                         f"greatest({hi} - {lo}, 0.0) / {hi_d - lo_d} AS p FROM RV")
+    return f"""RV AS (SELECT CAST(RUL AS DOUBLE) AS r, count(*) AS w FROM R WHERE RUL IS NOT NULL GROUP BY 1),
+EX AS ({' UNION ALL '.join(parts)}),
+TR AS (SELECT state, action, next_state, sum(w * p) / sum(w) AS probability,
+  {reward_sql('state', 'action', 'next_state')} AS reward FROM EX GROUP BY state, action, next_state)"""
+
+
+QV = f"""{transitions_cte()},
+QV(k, state, action, q) AS (
+  SELECT 0, state, action, CAST(0.0 AS DOUBLE) FROM (SELECT DISTINCT state, action FROM TR)
+  UNION ALL
+  SELECT any_value(KK.k) + 1, TR.state, TR.action, sum(TR.probability * (TR.reward + 0.9 * coalesce(M.mq, 0.0)))
+  FROM TR LEFT JOIN (SELECT state, max(q) AS mq FROM QV GROUP BY state) M ON TR.next_state = M.state
+  JOIN (SELECT max(k) AS k FROM QV) KK ON true
+  WHERE KK.k < 300 GROUP BY TR.state, TR.action),
+Q AS (SELECT state, action, q FROM QV WHERE k = 300),
+GP AS (SELECT state, action AS recommended_action, q AS value FROM Q
+  QUALIFY row_number() OVER (PARTITION BY state ORDER BY q DESC,
+    CASE action WHEN 'no_maintenance' THEN 1 WHEN 'immediate_maintenance' THEN 2 ELSE 3 END) = 1)"""
+
+TIMELINE = f"""TS AS (SELECT unit_number, time_in_cycles,
+  least(1.0, coalesce(CASE WHEN count(sensor_measurement_4) OVER w5 = 5 THEN avg(sensor_measurement_4) OVER w5 END, 0) / 50.0) AS probability,
+  max(time_in_cycles) OVER (PARTITION BY unit_number) AS total_cycles,
+  row_number() OVER (PARTITION BY unit_number ORDER BY time_in_cycles) AS pos
+  FROM L WINDOW w5 AS (PARTITION BY unit_number ORDER BY time_in_cycles ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+TP AS (SELECT unit_number, time_in_cycles, total_cycles, probability,
+  printf('%.1f', probability * 100) || '%' AS probability_text, {RISK.format(p='probability')} AS risk_level,
+  printf('%.1f', CAST(time_in_cycles AS DOUBLE) / total_cycles * 100) || '%' AS lifecycle_text
+  FROM TS WHERE pos >= 5 AND (pos - 5) % 5 = 0)"""
+
+
+def build_policy() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["threshold_decision"] = f"WITH {S_CTE}\nSELECT unit_number, time_in_cycles, p_price, CAST(p_price >= 0.5 AS BIGINT) AS decision FROM S"
+    q["risk_band"] = f"WITH {S_CTE}\nSELECT unit_number, time_in_cycles, p_price, {RISK.format(p='p_price')} AS risk_level FROM S"
+    q["risk_recommendation"] = f"""WITH {S_CTE},
+RT AS (SELECT * FROM (VALUES ('LOW', '#28a745', 'Continue normal operations.'),
+  ('MEDIUM', '#ffc107', 'Schedule maintenance inspection.'), ('HIGH', '#fd7e14', 'Schedule immediate maintenance.'),
+  ('CRITICAL', '#dc3545', 'URGENT: Emergency maintenance required!')) v(risk_level, color, recommendation)),
+SR AS (SELECT unit_number, time_in_cycles, CAST(p_price >= 0.5 AS BIGINT) AS prediction, {RISK.format(p='p_price')} AS risk_level FROM S)
+SELECT unit_number, time_in_cycles, prediction, SR.risk_level, color, recommendation FROM SR LEFT JOIN RT ON SR.risk_level = RT.risk_level"""
+    q["wear_state"] = f"WITH {L}, {R_CTE}\nSELECT unit_number, time_in_cycles, RUL, {wear('RUL')} AS state FROM R"
+    q["policy_reward"] = f"""WITH {L}, {R_CTE}, {STEPS}
+SELECT unit_number, time_in_cycles, RUL, state, next_state, action, {reward_sql('state', 'action', 'next_state')} AS reward FROM ST"""
+    q["wear_transitions"] = f"""WITH {L}, {R_CTE}, {STEPS}
+SELECT state, action, next_state, CAST(count(*) AS BIGINT) AS count,
+  round(avg({reward_sql('state', 'action', 'next_state')}), 9) AS mean_reward
+FROM ST WHERE next_state IS NOT NULL GROUP BY state, action, next_state"""
+    q["action_transitions"] = f"""WITH {L}, {R_CTE}, {transitions_cte()}
+SELECT state, action, next_state, round(probability, 12) AS probability, round(reward, 12) AS reward FROM TR"""
+    q["policy_values"] = f"WITH RECURSIVE {L}, {R_CTE}, {QV}\nSELECT state, action, round(q, 6) AS q FROM Q"
+    q["greedy_policy"] = f"WITH RECURSIVE {L}, {R_CTE}, {QV}\nSELECT state, recommended_action, round(value, 6) AS value FROM GP"
+    q["q_table_wide"] = f"""WITH RECURSIVE {L}, {R_CTE}, {QV}
+SELECT state, {', '.join(f"round(max(CASE WHEN action = '{a}' THEN q END), 6) AS {a}" for a in ACTIONS)} FROM Q GROUP BY state"""
+    q["maintenance_schedule"] = f"""WITH RECURSIVE {L}, {R_CTE}, {QV}
+SELECT unit_number, time_in_cycles, RUL, {wear('RUL')} AS state, GP.recommended_action FROM R LEFT JOIN GP ON {wear('RUL')} = GP.state"""
+    q["schedule_merge"] = f"""WITH RECURSIVE {S_CTE}, {QV},
+SC AS (SELECT unit_number, time_in_cycles, {wear('RUL')} AS state, GP.recommended_action FROM S LEFT JOIN GP ON {wear('RUL')} = GP.state)
+SELECT S.unit_number, S.time_in_cycles, RUL, failure, p_qty, prediction, SC.state, SC.recommended_action
+FROM S LEFT JOIN SC ON S.unit_number = SC.unit_number AND S.time_in_cycles = SC.time_in_cycles"""
+    q["block_average"] = f"""WITH {L}, {R_CTE}, {STEPS}
+SELECT unit_number, CAST(floor((time_in_cycles - 1) / 100) AS BIGINT) AS block,
+  round(avg({reward_sql('state', 'action', 'next_state')}), 9) AS average_reward, CAST(count(*) AS BIGINT) AS steps
+FROM ST WHERE next_state IS NOT NULL GROUP BY 1, 2"""
+    q["timeline_table"] = f"WITH {L}, {TIMELINE}\nSELECT * FROM TP"
+    q["timeline_summary"] = f"""WITH {L}, {TIMELINE}
+SELECT unit_number, arg_min(probability, time_in_cycles) AS initial_risk, arg_max(probability, time_in_cycles) AS final_risk,
+  max(probability) AS peak_risk, min(CASE WHEN probability > 0.5 THEN time_in_cycles END) AS first_cycle_above_half
+FROM TP GROUP BY unit_number"""
+    q["ground_truth_check"] = f"""WITH {L}, {TIMELINE},
+G AS (SELECT unit_number, time_in_cycles, CAST(total_cycles - time_in_cycles + (unit_number * 37) % 146 AS BIGINT) AS rem,
+  CAST(probability >= 0.5 AS BIGINT) AS prediction FROM TP)
+SELECT unit_number, time_in_cycles, rem AS cycles_remaining, CAST(rem < 90 AS BIGINT) AS actually_failing, prediction,
+  CAST(prediction = CAST(rem < 90 AS BIGINT) AS BIGINT) AS correct FROM G"""
+    return q

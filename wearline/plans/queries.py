@@ -353,3 +353,118 @@ def q_metric_delta(spark, sf):
     s = scored(spark, sf)
     ours = MT.metric_rows(s, score="p_qty")
     return rounded(MT.metric_delta(ours, MT.baseline_rows(spark)), 12)
+
+
+# ---- step 5: risk, policy, schedule, timeline ------------------------------------------
+
+from wearline.functions import expressions as X  # noqa: E402
+from wearline.operators import policy as PO  # noqa: E402
+from wearline.operators import risk as RK  # noqa: E402
+from wearline.plans import timeline as TL  # noqa: E402
+
+
+@query("threshold_decision")
+def q_threshold_decision(spark, sf):
+    s = scored(spark, sf)
+    return s.select(UNIT, CYCLE, "p_price", X.threshold_decision("p_price", 0.5).alias("decision"))
+
+
+@query("risk_band")
+def q_risk_band(spark, sf):
+    s = scored(spark, sf)
+    return s.select(UNIT, CYCLE, "p_price", X.risk_level("p_price").alias("risk_level"))
+
+
+@query("risk_recommendation")
+def q_risk_recommendation(spark, sf):
+    s = scored(spark, sf).select(UNIT, CYCLE, F.col("p_price").alias("probability"))
+    return RK.score_risk(s, "probability").select(UNIT, CYCLE, "prediction", "risk_level", "color",
+                                                  "recommendation")
+
+
+@query("wear_state")
+def q_wear_state(spark, sf):
+    r = LB.compute_rul(L(spark, sf))
+    return r.select(UNIT, CYCLE, "RUL", X.wear_state("RUL").alias("state"))
+
+
+@query("policy_reward")
+def q_policy_reward(spark, sf):
+    return PO.logged_steps(LB.compute_rul(L(spark, sf)))
+
+
+@query("wear_transitions")
+def q_wear_transitions(spark, sf):
+    return rounded(PO.wear_transitions(LB.compute_rul(L(spark, sf))), 9)
+
+
+def _transitions(spark, sf):
+    return PO.action_transitions(LB.compute_rul(L(spark, sf)))
+
+
+@query("action_transitions")
+def q_action_transitions(spark, sf):
+    return rounded(_transitions(spark, sf), 12)
+
+
+def _q(spark, sf):
+    return PO.policy_values(_transitions(spark, sf), gamma=0.9)
+
+
+@query("policy_values")
+def q_policy_values(spark, sf):
+    return rounded(_q(spark, sf), 6)
+
+
+@query("greedy_policy")
+def q_greedy_policy(spark, sf):
+    return rounded(PO.greedy_policy(_q(spark, sf)), 6)
+
+
+@query("q_table_wide")
+def q_q_table_wide(spark, sf):
+    return rounded(PO.q_table_wide(_q(spark, sf)), 6)
+
+
+@query("maintenance_schedule")
+def q_maintenance_schedule(spark, sf):
+    r = LB.compute_rul(L(spark, sf))
+    return PO.maintenance_schedule(r, PO.greedy_policy(_q(spark, sf)))
+
+
+@query("schedule_merge")
+def q_schedule_merge(spark, sf):
+    s = scored(spark, sf)
+    sched = PO.maintenance_schedule(s, PO.greedy_policy(_q(spark, sf)))
+    return PO.schedule_merge(s.select(UNIT, CYCLE, "RUL", "failure", "p_qty", "prediction"), sched)
+
+
+@query("block_average")
+def q_block_average(spark, sf):
+    st = PO.logged_steps(LB.compute_rul(L(spark, sf))).filter(F.col("next_state").isNotNull())
+    return rounded(PO.block_average(st, 100), 9)
+
+
+def timeline_scored(spark, sf):
+    """Trailing-10 features with a deterministic score:
+    ``probability = min(1, rolling_mean_5(quantity) / 50)``."""
+    f = FE.engineer_features(L(spark, sf), history=10, include_degradation=False)
+    return f.select(UNIT, CYCLE, F.least(F.lit(1.0), F.col("sensor_measurement_4_rolling_mean_5") / 50.0)
+                    .alias("probability"))
+
+
+@query("timeline_table")
+def q_timeline_table(spark, sf):
+    return TL.timeline_points(timeline_scored(spark, sf))
+
+
+@query("timeline_summary")
+def q_timeline_summary(spark, sf):
+    return TL.timeline_summary(TL.timeline_points(timeline_scored(spark, sf)))
+
+
+@query("ground_truth_check")
+def q_ground_truth_check(spark, sf):
+    l = L(spark, sf)
+    pts = TL.timeline_points(timeline_scored(spark, sf))
+    return TL.ground_truth_check(pts, DT.final_rul(l), 90)
