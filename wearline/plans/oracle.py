@@ -103,6 +103,7 @@ def feature_select(cols, degr, windows=(3, 5), history=None, include_rolling=Tru
 def build() -> dict[str, str]:
     q: dict[str, str] = dict(build_more())
     q.update(build_policy())
+    q.update(build_sampling())
     q["rul_compute"] = f"""WITH {L}
 SELECT unit_number, time_in_cycles,
   CAST(max(time_in_cycles) OVER (PARTITION BY unit_number) - time_in_cycles AS BIGINT) AS RUL
@@ -488,3 +489,64 @@ G AS (SELECT unit_number, time_in_cycles, CAST(total_cycles - time_in_cycles + (
 SELECT unit_number, time_in_cycles, rem AS cycles_remaining, CAST(rem < 90 AS BIGINT) AS actually_failing, prediction,
   CAST(prediction = CAST(rem < 90 AS BIGINT) AS BIGINT) AS correct FROM G"""
     return q
+
+
+# ---- step 6 SQL ----------------------------------------------------------------------
+
+def h(*parts: str) -> str:
+    inner = " || '|' || ".join(["'42'"] + [f"CAST({p} AS VARCHAR)" for p in parts])
+    return f"CAST(('0x' || substr(md5({inner}), 1, 8)) AS BIGINT)"
+
+
+VEC = "V AS (SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(embedding AS DOUBLE[]) AS features, CAST(label AS BIGINT) AS label FROM embeddings)"
+KNN_V = """NN AS (SELECT a.vec_id AS q_id, b.vec_id AS s_id, list_distance(a.features, b.features) AS distance,
+  row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.features, b.features), b.vec_id) AS rank
+  FROM {src} a JOIN {src} b ON a.vec_id <> b.vec_id QUALIFY rank <= 5)"""
+
+
+def build_sampling() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["distinct_units"] = f"WITH {L}\nSELECT DISTINCT unit_number FROM L"
+    units = f"""U AS (SELECT unit_number, row_number() OVER (ORDER BY {h('unit_number')}, unit_number) AS rn
+  FROM (SELECT DISTINCT unit_number FROM L)),
+NV AS (SELECT greatest(1, CAST(floor(count(*) * 0.2) AS BIGINT)) AS n FROM U),
+VU AS (SELECT unit_number FROM U, NV WHERE rn <= n)"""
+    q["unit_split_val"] = f"WITH {L}, {units}\nSELECT unit_number, time_in_cycles, sensor_measurement_4 FROM L WHERE unit_number IN (SELECT unit_number FROM VU)"
+    q["unit_split_train"] = f"WITH {L}, {units}\nSELECT unit_number, time_in_cycles, sensor_measurement_4 FROM L WHERE unit_number NOT IN (SELECT unit_number FROM VU)"
+    q["row_split"] = f"""WITH {L}, RS AS (SELECT unit_number, time_in_cycles,
+  row_number() OVER (ORDER BY {h('unit_number', 'time_in_cycles')}, unit_number, time_in_cycles) AS rn FROM L)
+SELECT unit_number, time_in_cycles, CASE WHEN rn <= ceil((SELECT count(*) FROM L) * 0.2) THEN 'test' ELSE 'train' END AS split FROM RS"""
+    q["undersample"] = f"""WITH {L}, {R_CTE}, {B_CTE}, NM AS (SELECT min(c) AS n FROM (SELECT count(*) AS c FROM B GROUP BY failure)),
+US AS (SELECT unit_number, time_in_cycles, failure, row_number() OVER (PARTITION BY failure
+  ORDER BY {h('unit_number', 'time_in_cycles')}, unit_number, time_in_cycles) AS rn FROM B)
+SELECT unit_number, time_in_cycles, failure FROM US, NM WHERE rn <= n"""
+    smote = f"""{VEC}, BV AS (SELECT vec_id, features, CAST(label = 3 AS BIGINT) AS minority FROM V),
+MI AS (SELECT vec_id, features, row_number() OVER (ORDER BY vec_id) AS b FROM BV WHERE minority = 1),
+CN AS (SELECT count(*) FILTER (WHERE minority = 1) AS n_min, count(*) FILTER (WHERE minority = 0) AS n_maj FROM BV),
+{KNN_V.format(src='MI')},
+SY AS (SELECT range AS syn_id, (({h("'b'", 'range')}) % n_min) + 1 AS b,
+  (({h("'n'", 'range')}) % least(5, n_min - 1)) + 1 AS r,
+  CAST({h("'g'", 'range')} AS DOUBLE) / 4294967296.0 AS gap FROM CN, range(n_maj - n_min)),
+SR AS (SELECT syn_id, MI.vec_id AS base_id, NN.s_id AS neighbor_id, gap,
+  list_transform(list_zip(MI.features, NB.features), lambda x: x[1] + gap * (x[2] - x[1])) AS features
+  FROM SY JOIN MI ON SY.b = MI.b JOIN NN ON NN.q_id = MI.vec_id AND NN.rank = SY.r JOIN MI NB ON NB.vec_id = NN.s_id)"""
+    q["smote_rows"] = f"""WITH {smote}
+SELECT syn_id, base_id, neighbor_id, round(gap, 9) AS gap, round(list_sum(features), 6) AS feature_sum,
+  round(features[1], 6) AS feature_1, CAST(1 AS BIGINT) AS minority FROM SR"""
+    q["smote_counts"] = f"""WITH {VEC}, BV AS (SELECT CAST(label = 3 AS BIGINT) AS minority FROM V),
+CN AS (SELECT count(*) FILTER (WHERE minority = 1) AS n_min, count(*) FILTER (WHERE minority = 0) AS n_maj FROM BV)
+SELECT CAST(0 AS BIGINT) AS minority, CAST(n_maj AS BIGINT) AS count FROM CN UNION ALL SELECT 1, CAST(n_maj AS BIGINT) FROM CN"""
+    q["rebalance_counts"] = f"""WITH {L}, {R_CTE}, {B_CTE}, C AS (SELECT failure, count(*) AS n FROM B GROUP BY failure),
+M AS (SELECT min(n) AS mn, max(n) AS mx, sum(n) AS tot, count(*) AS k FROM C)
+SELECT 'none' AS method, failure, CAST(n AS BIGINT) AS count, CAST(n AS DOUBLE) AS weight_sum FROM C
+UNION ALL SELECT 'undersample', failure, CAST(mn AS BIGINT), CAST(mn AS DOUBLE) FROM C, M
+UNION ALL SELECT 'smote', failure, CAST(mx AS BIGINT), CAST(mx AS DOUBLE) FROM C, M
+UNION ALL SELECT 'cost_sensitive', failure, CAST(n AS BIGINT), round(tot / (k * n) * n, 6) FROM C, M"""
+    q["knn_join"] = f"""WITH {VEC}, {KNN_V.format(src='V')}
+SELECT q_id AS vec_id, s_id AS neighbor_id, CAST(rank AS BIGINT) AS rank, round(distance, 6) AS distance FROM NN"""
+    q["knn_classify"] = f"""WITH {VEC}, {KNN_V.format(src='V')},
+VO AS (SELECT q_id, V.label AS lab, count(*) AS votes FROM NN JOIN V ON NN.s_id = V.vec_id GROUP BY 1, 2),
+BE AS (SELECT q_id, lab, votes, sum(votes) OVER (PARTITION BY q_id) AS n FROM VO
+  QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY votes DESC, lab ASC) = 1)
+SELECT q_id AS vec_id, lab AS predicted, CAST(votes AS BIGINT) AS votes, round(votes / n, 9) AS probability FROM BE"""
+    return q

@@ -468,3 +468,89 @@ def q_ground_truth_check(spark, sf):
     l = L(spark, sf)
     pts = TL.timeline_points(timeline_scored(spark, sf))
     return TL.ground_truth_check(pts, DT.final_rul(l), 90)
+
+
+# ---- step 6: splits, rebalancing, kNN -------------------------------------------------
+
+from wearline.operators import knn as KN  # noqa: E402
+from wearline.operators import sampling as SA  # noqa: E402
+
+
+@query("distinct_units")
+def q_distinct_units(spark, sf):
+    return SA.distinct_units(L(spark, sf))
+
+
+@query("unit_split_train")
+def q_unit_split_train(spark, sf):
+    tr, _ = SA.unit_split(L(spark, sf), 0.2, 42)
+    return tr.select(UNIT, CYCLE, "sensor_measurement_4")
+
+
+@query("unit_split_val")
+def q_unit_split_val(spark, sf):
+    _, va = SA.unit_split(L(spark, sf), 0.2, 42)
+    return va.select(UNIT, CYCLE, "sensor_measurement_4")
+
+
+@query("row_split")
+def q_row_split(spark, sf):
+    return SA.row_split(L(spark, sf).select(UNIT, CYCLE), [UNIT, CYCLE], 0.2, 42)
+
+
+@query("undersample")
+def q_undersample(spark, sf):
+    return SA.undersample(labelled(spark, sf).select(UNIT, CYCLE, "failure"), "failure", [UNIT, CYCLE], 42)
+
+
+def binary_vectors(spark, sf):
+    """V with a binary label: minority = label 3."""
+    v = DT.vectors(spark, sf)
+    return v.select("vec_id", "features", (F.col("label") == 3).cast("bigint").alias("minority"))
+
+
+@query("smote_rows")
+def q_smote_rows(spark, sf):
+    syn = SA.smote(binary_vectors(spark, sf), "minority", "vec_id", "features", k=5, seed=42)
+    return syn.select("syn_id", "base_id", "neighbor_id", F.round("gap", 9).alias("gap"),
+                      F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 6).alias("feature_sum"),
+                      F.round(F.element_at("features", 1), 6).alias("feature_1"), "minority")
+
+
+@query("smote_counts")
+def q_smote_counts(spark, sf):
+    b = binary_vectors(spark, sf)
+    syn = SA.smote(b, "minority", "vec_id", "features", k=5, seed=42)
+    return (b.select("minority").unionByName(syn.select("minority"))
+            .groupBy("minority").agg(F.count(F.lit(1)).cast("bigint").alias("count")))
+
+
+def l_vectors(spark, sf):
+    """Labelled, scaled L with its sensor values as a vector and a row id."""
+    from wearline.plans.prepare import prepare_data
+    tr, _, _ = prepare_data(L(spark, sf), threshold=90)
+    vec = F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in
+                    ("operational_setting_1", "operational_setting_2", "sensor_measurement_4",
+                     "sensor_measurement_7", "sensor_measurement_11")])
+    return tr.select(UNIT, CYCLE, (F.col(UNIT) * 100000 + F.col(CYCLE)).alias("row_id"),
+                     vec.alias("features"), "failure")
+
+
+@query("rebalance_counts")
+def q_rebalance_counts(spark, sf):
+    return rounded(SA.rebalance_counts(l_vectors(spark, sf), "failure", "row_id", "features", [UNIT, CYCLE]), 6)
+
+
+@query("knn_join")
+def q_knn_join(spark, sf):
+    v = DT.vectors(spark, sf)
+    nn = KN.knn_join(v, v, 5, exclude_self=True)
+    return nn.select(F.col("q_id").alias("vec_id"), F.col("s_id").alias("neighbor_id"), "rank",
+                     F.round("distance", 6).alias("distance"))
+
+
+@query("knn_classify")
+def q_knn_classify(spark, sf):
+    v = DT.vectors(spark, sf)
+    return KN.knn_classify(v, v, 5).select("vec_id", F.col("predicted").cast("bigint").alias("predicted"),
+                                           "votes", F.round("probability", 9).alias("probability"))
