@@ -104,6 +104,10 @@ def build() -> dict[str, str]:
     q: dict[str, str] = dict(build_more())
     q.update(build_policy())
     q.update(build_sampling())
+    q.update(build_sources())
+    q.update(build_ranking())
+    q["artifact_roundtrip"] = q["scaler_fit"]
+    q["policy_roundtrip"] = q["policy_values"]
     q["rul_compute"] = f"""WITH {L}
 SELECT unit_number, time_in_cycles,
   CAST(max(time_in_cycles) OVER (PARTITION BY unit_number) - time_in_cycles AS BIGINT) AS RUL
@@ -550,3 +554,103 @@ BE AS (SELECT q_id, lab, votes, sum(votes) OVER (PARTITION BY q_id) AS n FROM VO
   QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY votes DESC, lab ASC) = 1)
 SELECT q_id AS vec_id, lab AS predicted, CAST(votes AS BIGINT) AS votes, round(votes / n, 9) AS probability FROM BE"""
     return q
+
+
+# ---- step 7/8 SQL ----------------------------------------------------------------------
+
+L_OUT = ["unit_number", "time_in_cycles", "operational_setting_1", "operational_setting_2", "operational_setting_3",
+         "sensor_measurement_4", "sensor_measurement_7", "sensor_measurement_11", "sensor_measurement_22"]
+VALUE_COLS = ([f"operational_setting_{i}" for i in range(1, 4)] + [f"sensor_measurement_{i}" for i in range(1, 27)])
+
+
+def req_values() -> list[str]:
+    have = set(L_VALUES)
+    return [f"coalesce({c}, 0.0)" if c in have else "0.0" for c in VALUE_COLS]
+
+
+LAST5 = f"""L5 AS (SELECT unit_number, time_in_cycles, {', '.join(f'{v} AS v{i}' for i, v in enumerate(req_values()))},
+  row_number() OVER (PARTITION BY unit_number ORDER BY time_in_cycles DESC) AS rn,
+  least(5, count(*) OVER (PARTITION BY unit_number)) AS nu FROM L QUALIFY rn <= 5)"""
+REQ = f"""{LAST5},
+RQ AS (SELECT unit_number AS unit_id, list([{', '.join(f'v{i}' for i in range(29))}] ORDER BY time_in_cycles) AS ts
+  FROM L5 GROUP BY unit_number)"""
+
+
+def roc_ctes(score: str, p: str) -> str:
+    g = groups_cte(score).replace("G0 AS", f"{p}G0 AS").replace("FROM G0", f"FROM {p}G0") \
+        .replace("G AS (", f"{p}G AS (").replace("T AS (", f"{p}T AS (")
+    return f"""{g},
+{p}K AS (SELECT {p}G.*, lead(pos) OVER (ORDER BY rank) AS pos_n, lead(neg) OVER (ORDER BY rank) AS neg_n FROM {p}G),
+{p}R AS (SELECT CAST('Infinity' AS DOUBLE) AS threshold, 0.0 / N AS fpr, 0.0 / P AS tpr FROM {p}T
+  UNION ALL SELECT score, fps / N, tps / P FROM {p}K, {p}T
+  WHERE m <= 2 OR rank = 1 OR rank = m OR neg_n <> neg OR pos_n <> pos)"""
+
+
+def build_sources() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["read_telemetry_text"] = f"WITH {L}\nSELECT {', '.join(L_OUT)} FROM L"
+    q["read_csv_telemetry"] = q["read_telemetry_text"]
+    q["read_final_rul"] = f"""WITH {L}, U AS (SELECT DISTINCT unit_number FROM L)
+SELECT CAST(row_number() OVER (ORDER BY unit_number) AS BIGINT) AS unit_number, CAST((unit_number * 37) % 146 AS BIGINT) AS RUL FROM U"""
+    q["read_csv_without_unit"] = f"""WITH {L}
+SELECT CAST(1 AS BIGINT) AS unit_number, CAST(row_number() OVER (ORDER BY unit_number, time_in_cycles) AS BIGINT) AS time_in_cycles,
+  sensor_measurement_4, sensor_measurement_7 FROM L"""
+    q["request_explode"] = f"""WITH {L}, {LAST5}
+SELECT unit_number, CAST(nu - rn + 1 AS BIGINT) AS time_in_cycles, {', '.join(f'CAST(v{i} AS DOUBLE) AS {c}' for i, c in enumerate(VALUE_COLS))} FROM L5"""
+    bad_w = "len(list_filter(ts, lambda s: len(s) <> 29)) > 0"
+    bad_v = "len(list_filter(ts, lambda s: len(list_filter(s, lambda v: v IS NULL OR isnan(v) OR isinf(v))) > 0)) > 0"
+    q["request_validate"] = f"""WITH {L}, {REQ},
+VA AS (SELECT unit_id, ts, 'ok' AS variant FROM RQ
+  UNION ALL SELECT unit_id, ts[2:5], 'short' FROM RQ
+  UNION ALL SELECT unit_id, list_transform(ts, lambda s, i: CASE WHEN i = 1 THEN s[1:28] ELSE s END), 'narrow' FROM RQ
+  UNION ALL SELECT unit_id, list_transform(ts, lambda s, i: CASE WHEN i = 1 THEN list_concat([CAST('nan' AS DOUBLE)], s[2:29]) ELSE s END), 'nan' FROM RQ
+  UNION ALL SELECT 0, ts, 'unit0' FROM RQ),
+CH AS (SELECT unit_id, variant, CASE WHEN unit_id IS NULL OR unit_id < 1 THEN 'unit_id'
+  WHEN ts IS NULL OR len(ts) < 5 THEN 'too_few_steps' WHEN {bad_w} THEN 'step_width'
+  WHEN {bad_v} THEN 'non_finite' END AS reason FROM VA)
+SELECT CAST(unit_id AS BIGINT) AS unit_id, variant, CAST(reason IS NULL AS BIGINT) AS valid, reason FROM CH"""
+    vsum = "round(0.0 + " + " + ".join(f"v{i}" for i in range(29)) + ", 4)"
+    q["parse_manual_rows"] = f"""WITH {L}, {LAST5}
+SELECT unit_number AS unit_id, CAST(nu - rn AS BIGINT) AS step, 'ok' AS variant, CAST(1 AS BIGINT) AS valid,
+  CAST(29 AS BIGINT) AS n_values, {vsum} AS value_sum FROM L5
+UNION ALL SELECT unit_number, CAST(nu - rn AS BIGINT), 'junk', CAST(0 AS BIGINT), CAST(30 AS BIGINT), {vsum} FROM L5"""
+    q["latest_report"] = f"""WITH {S_CTE}, {COUNTS}
+SELECT {div('tp + tn', 'tp + fp + fn + tn')} AS accuracy, {div('tp', 'tp + fp')} AS precision,
+  {div('tp', 'tp + fn')} AS recall, {div('2 * tp', '2 * tp + fp + fn')} AS f1_score, 'second' AS model FROM C"""
+    q["write_read_predictions"] = f"WITH {S_CTE}\nSELECT unit_number, time_in_cycles, failure, p_qty, p_price, prediction FROM S"
+    q["unit_filter"] = f"""WITH {L}, LF AS (SELECT unit_number AS u, max(time_in_cycles) AS m FROM L GROUP BY 1),
+PICK AS (SELECT u FROM LF ORDER BY m DESC, u ASC LIMIT 1)
+SELECT * FROM L WHERE unit_number = (SELECT u FROM PICK)"""
+    q["preview_rows"] = f"WITH {L}\nSELECT * FROM L ORDER BY unit_number, time_in_cycles LIMIT 10"
+    q["curve_union"] = f"""WITH {S_CTE}, {roc_ctes('p_qty', 'XA')}, {roc_ctes('p_price', 'XB')}
+SELECT *, 'qty' AS model FROM XAR UNION ALL SELECT *, 'price' AS model FROM XBR"""
+    return q
+
+
+def metric_rows_sql(tag: str, pred: str, score: str) -> str:
+    cnt = COUNTS.replace("C AS (", f"{tag}C AS (").replace("prediction", pred)
+    g = groups_cte(score).replace("G0 AS", f"{tag}G0 AS").replace("FROM G0", f"FROM {tag}G0") \
+        .replace("G AS (", f"{tag}G AS (").replace("T AS (", f"{tag}T AS (")
+    p1, r1 = div('tp', 'tp + fp'), div('tp', 'tp + fn')
+    p0, r0 = div('tn', 'tn + fn'), div('tn', 'tn + fp')
+    f1, f0 = div('2 * tp', '2 * tp + fp + fn'), div('2 * tn', '2 * tn + fn + fp')
+    n = "(tp + fp + fn + tn)"
+    return f"""{cnt}, {g},
+{tag}O AS (SELECT 'precision' AS metric, 'binary' AS average, {p1} AS value FROM {tag}C
+  UNION ALL SELECT 'recall', 'binary', {r1} FROM {tag}C UNION ALL SELECT 'f1_score', 'binary', {f1} FROM {tag}C
+  UNION ALL SELECT 'precision', 'weighted', {div(f'{p0} * (tn + fp) + {p1} * (tp + fn)', n)} FROM {tag}C
+  UNION ALL SELECT 'recall', 'weighted', {div(f'{r0} * (tn + fp) + {r1} * (tp + fn)', n)} FROM {tag}C
+  UNION ALL SELECT 'f1_score', 'weighted', {div(f'{f0} * (tn + fp) + {f1} * (tp + fn)', n)} FROM {tag}C
+  UNION ALL SELECT 'accuracy', 'binary', {div('tp + tn', n)} FROM {tag}C
+  UNION ALL SELECT 'accuracy', 'weighted', {div('tp + tn', n)} FROM {tag}C
+  UNION ALL SELECT 'roc_auc', 'binary', (SELECT sum(pos * (N - fps + neg / 2)) / max(P * N) FROM {tag}G, {tag}T))"""
+
+
+def build_ranking() -> dict[str, str]:
+    s2 = S_CTE + ",\nS2 AS (SELECT *, CAST(p_price >= 0.5 AS BIGINT) AS prediction2 FROM S)"
+    a = metric_rows_sql("XA", "prediction", "p_qty")
+    b = metric_rows_sql("XB", "prediction2", "p_price").replace("FROM S)", "FROM S2)").replace("FROM S WHERE", "FROM S2 WHERE")
+    return {"model_ranking": f"""WITH {s2}, {a}, {b},
+ALLR AS (SELECT *, 'qty' AS model FROM XAO UNION ALL SELECT *, 'price' AS model FROM XBO)
+SELECT metric, average, round(value, 12) AS value, model,
+  CAST(row_number() OVER (PARTITION BY metric, average ORDER BY value DESC, model) AS BIGINT) AS rank FROM ALLR"""}

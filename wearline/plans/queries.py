@@ -554,3 +554,158 @@ def q_knn_classify(spark, sf):
     v = DT.vectors(spark, sf)
     return KN.knn_classify(v, v, 5).select("vec_id", F.col("predicted").cast("bigint").alias("predicted"),
                                            "votes", F.round("probability", 9).alias("probability"))
+
+
+# ---- step 7/8: sources, sinks, artifacts, requests --------------------------------------
+
+import time  # noqa: E402
+
+from wearline.session import shared_path  # noqa: E402
+from wearline.sources import artifacts as AR  # noqa: E402
+from wearline.sources import reports as RP  # noqa: E402
+from wearline.sources import requests as RQ  # noqa: E402
+from wearline.sources import telemetry as TX  # noqa: E402
+from wearline.schema import value_columns  # noqa: E402
+
+L_OUT = [UNIT, CYCLE, "operational_setting_1", "operational_setting_2", "operational_setting_3",
+         "sensor_measurement_4", "sensor_measurement_7", "sensor_measurement_11", "sensor_measurement_22"]
+
+
+@query("read_telemetry_text")
+def q_read_telemetry_text(spark, sf):
+    path = shared_path(spark, "telemetry-text")
+    TX.write_telemetry_text(L(spark, sf), path, n_sensors=21)
+    return TX.read_telemetry(spark, path, n_sensors=26).select(*L_OUT)
+
+
+@query("read_final_rul")
+def q_read_final_rul(spark, sf):
+    path = shared_path(spark, "rul-text")
+    (DT.final_rul(L(spark, sf)).orderBy(UNIT).coalesce(1)
+     .select(F.col("RUL").cast("string").alias("value")).write.text(path))
+    return TX.read_final_rul(spark, path)
+
+
+@query("read_csv_telemetry")
+def q_read_csv_telemetry(spark, sf):
+    path = shared_path(spark, "telemetry-csv")
+    L(spark, sf).write.option("header", True).csv(path)
+    return TX.read_csv_telemetry(spark, path).select(*L_OUT)
+
+
+@query("read_csv_without_unit")
+def q_read_csv_without_unit(spark, sf):
+    """An upload without unit/cycle columns: one unit, cycle = row order."""
+    path = shared_path(spark, "telemetry-csv-nounit")
+    (L(spark, sf).orderBy(UNIT, CYCLE).drop(UNIT, CYCLE).coalesce(1)
+     .write.option("header", True).csv(path))
+    return TX.read_csv_telemetry(spark, path).select(UNIT, CYCLE, "sensor_measurement_4", "sensor_measurement_7")
+
+
+def l_requests(spark, sf):
+    return DT.requests(L(spark, sf), steps=5)
+
+
+@query("request_explode")
+def q_request_explode(spark, sf):
+    return RQ.explode_requests(l_requests(spark, sf))
+
+
+def spoiled_requests(spark, sf):
+    r = l_requests(spark, sf)
+    ts = F.col("time_steps")
+    nan_first = F.transform(ts, lambda s, i: F.when(i == 0, F.concat(F.array(F.lit(float("nan"))), F.slice(s, 2, 28))).otherwise(s))
+    narrow = F.transform(ts, lambda s, i: F.when(i == 0, F.slice(s, 1, 28)).otherwise(s))
+    return (r.withColumn("variant", F.lit("ok"))
+            .unionByName(r.withColumn("time_steps", F.slice(ts, 2, 4)).withColumn("variant", F.lit("short")))
+            .unionByName(r.withColumn("time_steps", narrow).withColumn("variant", F.lit("narrow")))
+            .unionByName(r.withColumn("time_steps", nan_first).withColumn("variant", F.lit("nan")))
+            .unionByName(r.withColumn("unit_id", F.lit(0).cast("bigint")).withColumn("variant", F.lit("unit0"))))
+
+
+@query("request_validate")
+def q_request_validate(spark, sf):
+    return RQ.validate_requests(spoiled_requests(spark, sf)).select("unit_id", "variant", "valid", "reason")
+
+
+@query("parse_manual_rows")
+def q_parse_manual_rows(spark, sf):
+    ex = l_requests(spark, sf).select("unit_id", F.posexplode("time_steps").alias("step", "v"))
+    txt = ex.select("unit_id", "step", F.concat_ws(",", F.transform("v", lambda x: x.cast("string"))).alias("text"))
+    txt = (txt.withColumn("variant", F.lit("ok"))
+           .unionByName(txt.withColumn("text", F.concat("text", F.lit(",abc"))).withColumn("variant", F.lit("junk"))))
+    p = RQ.parse_manual_rows(txt)
+    return p.select("unit_id", F.col("step").cast("bigint").alias("step"), "variant", "valid",
+                    F.size("values").cast("bigint").alias("n_values"),
+                    F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))), 4).alias("value_sum"))
+
+
+@query("latest_report")
+def q_latest_report(spark, sf):
+    base = shared_path(spark, "reports")
+    m = MT.binary_metrics(scored(spark, sf)).select("accuracy", "precision", "recall", "f1_score")
+    RP.write_report(m.withColumn("model", F.lit("first")), f"{base}/results_a")
+    time.sleep(1.1)
+    RP.write_report(m.withColumn("model", F.lit("second")), f"{base}/results_b")
+    schema = "accuracy double, precision double, recall double, f1_score double, model string"
+    return RP.read_latest_report(spark, f"{base}/results_*", schema)
+
+
+@query("write_read_predictions")
+def q_write_read_predictions(spark, sf):
+    path = shared_path(spark, "predictions")
+    s = scored(spark, sf).select(UNIT, CYCLE, "failure", "p_qty", "p_price", "prediction")
+    RP.write_report(s, path)
+    return RP.read_report(spark, path, "unit_number bigint, time_in_cycles bigint, failure bigint, "
+                                       "p_qty double, p_price double, prediction bigint")
+
+
+@query("artifact_roundtrip")
+def q_artifact_roundtrip(spark, sf):
+    base = shared_path(spark, "artifacts")
+    l = L(spark, sf)
+    stats = SC.fit_scaler(l)
+    AR.save_artifacts(base, "L", "cost_sensitive", scaler=stats, removed=["operational_setting_3"], spark=spark)
+    back = AR.load_table(spark, base, "L", "cost_sensitive", "scaler")
+    assert AR.load_removed(spark, base, "L", "cost_sensitive") == ["operational_setting_3"]
+    assert AR.load_table(spark, base, "L", "missing", "scaler") is None
+    return back.select("column", "min", "max", "scale", "offset", F.col("ordinal").cast("bigint").alias("ordinal"))
+
+
+@query("policy_roundtrip")
+def q_policy_roundtrip(spark, sf):
+    path = shared_path(spark, "policy-json")
+    AR.save_policy(_q(spark, sf), path)
+    return rounded(AR.load_policy(spark, path), 6)
+
+
+@query("unit_filter")
+def q_unit_filter(spark, sf):
+    """P1 for the unit with the longest life (ties: smallest id)."""
+    life = LB.unit_life(L(spark, sf))
+    u = life.agg(F.max_by(UNIT, F.struct("max_cycle", -F.col(UNIT)))).first()[0]
+    return L(spark, sf).filter(F.col(UNIT) == u)
+
+
+@query("preview_rows")
+def q_preview_rows(spark, sf):
+    return L(spark, sf).orderBy(UNIT, CYCLE).limit(10)
+
+
+@query("curve_union")
+def q_curve_union(spark, sf):
+    s = scored(spark, sf)
+    return (MT.roc_curve(s, score="p_qty").withColumn("model", F.lit("qty"))
+            .unionByName(MT.roc_curve(s, score="p_price").withColumn("model", F.lit("price"))))
+
+
+@query("model_ranking")
+def q_model_ranking(spark, sf):
+    """K2: two scores as two models; rank per metric (value desc, model)."""
+    s = scored(spark, sf)
+    s2 = s.withColumn("prediction", (F.col("p_price") >= 0.5).cast("bigint"))
+    rows = (MT.metric_rows(s, score="p_qty").withColumn("model", F.lit("qty"))
+            .unionByName(MT.metric_rows(s2, score="p_price").withColumn("model", F.lit("price"))))
+    from pyspark.sql import Window
+    w = Window.partitionBy("metric", "average").orderBy(F.desc("value"), "model")
+    return rounded(rows.withColumn("rank", F.row_number().over(w).cast("bigint")), 12)
