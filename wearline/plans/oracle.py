@@ -81,8 +81,8 @@ def feature_select(cols, degr, windows=(3, 5), history=None, include_rolling=Tru
     if include_degradation:
         if history is None:
             mx = f"max(time_in_cycles) {win('ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING')}"
-            out.append(f"round(CASE WHEN {mx} > 0 THEN CAST(time_in_cycles AS DOUBLE) / {mx} "
-                       f"ELSE 0.0 END, {digits}) AS cycle_norm")
+            out.append(f"CASE WHEN {mx} > 0 THEN CAST(time_in_cycles AS DOUBLE) / {mx} "
+                       f"ELSE 0.0 END AS cycle_norm")
         else:
             out.append("CASE WHEN time_in_cycles > 0 THEN 1.0 ELSE 0.0 END AS cycle_norm")
         for c in degr:
@@ -108,6 +108,11 @@ def build() -> dict[str, str]:
     q.update(build_ranking())
     q["artifact_roundtrip"] = q["scaler_fit"]
     q["policy_roundtrip"] = q["policy_values"]
+    kept = [c for c in L_VALUES if c != "operational_setting_3"]
+    ef = feature_select(kept, L_DEGR, passthrough=["RUL", "failure"], digits=6, cum_digits=6)
+    q["engineer_features"] = (f"WITH {L}, {R_CTE}, {B_CTE}, {scaler_cte('B', L_VALUES)},\n"
+                              f"SB AS (SELECT {scaled_select(L_VALUES, L_ALL + ['RUL', 'failure'])} FROM B, SP)\n"
+                              f"SELECT {ef} FROM SB")
     q["rul_compute"] = f"""WITH {L}
 SELECT unit_number, time_in_cycles,
   CAST(max(time_in_cycles) OVER (PARTITION BY unit_number) - time_in_cycles AS BIGINT) AS RUL

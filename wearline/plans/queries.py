@@ -24,11 +24,16 @@ def query(name: str):
     return deco
 
 
+# computed bit-identically by Spark and the oracle: never rounded (a value
+# such as 333/640 = 0.5203125 sits on a decimal half)
+EXACT = {"cycle_norm"}
+
+
 def rounded(df: DataFrame, digits: int = 6, **per_col: int) -> DataFrame:
     """Round every double column (``per_col`` overrides by name / suffix)."""
     out = []
     for f in df.schema.fields:
-        if f.dataType.typeName() in ("double", "float"):
+        if f.dataType.typeName() in ("double", "float") and f.name not in EXACT:
             d = digits
             for k, v in per_col.items():
                 if f.name == k or f.name.endswith(k):
@@ -709,3 +714,157 @@ def q_model_ranking(spark, sf):
     from pyspark.sql import Window
     w = Window.partitionBy("metric", "average").orderBy(F.desc("value"), "model")
     return rounded(rows.withColumn("rank", F.row_number().over(w).cast("bigint")), 12)
+
+
+# ---- learning and jobs (rows-only checks: no SQL equivalent) -------------------------------
+
+from wearline.operators import models as MD  # noqa: E402
+from wearline.plans import score as SCO  # noqa: E402
+from wearline.plans import train as TR  # noqa: E402
+
+_MEMO: dict = {}
+
+
+def _memo(spark, sf, key, fn):
+    k = (spark.sparkContext.applicationId, sf, key)
+    if k not in _MEMO:
+        _MEMO[k] = fn()
+    return _MEMO[k]
+
+
+def splits(spark, sf):
+    def mk():
+        l = L(spark, sf)
+        return TR.prepare_splits(l, DT.final_rul(l))
+    return _memo(spark, sf, "splits", mk)
+
+
+def trained(spark, sf, method="cost_sensitive"):
+    def mk():
+        f_tr, f_va, f_te, scaler, removed = splits(spark, sf)
+        return TR.train_and_evaluate(f_tr, f_va, f_te, method)
+    return _memo(spark, sf, f"model-{method}", mk)
+
+
+@query("engineer_features")
+def q_engineer_features(spark, sf):
+    """Flagship W12 on prepared telemetry: scale -> drop low variance ->
+    all features in one Window node."""
+    from wearline.plans.prepare import prepare_data
+    tr, _, _ = prepare_data(L(spark, sf), threshold=90)
+    removed = SC.removed_columns(SC.variance_report(tr))
+    return rounded(FE.engineer_features(SC.drop_columns(tr, removed)), 6)
+
+
+@query("rf_score")
+def q_rf_score(spark, sf):
+    f_tr, f_va, f_te, _, _ = splits(spark, sf)
+    feats = FE.feature_columns(f_tr)
+    model = _memo(spark, sf, "rf-plain", lambda: MD.fit_forest(f_tr, feats))
+    return MD.predict(model, f_te).select(UNIT, CYCLE, "failure", "probability", "prediction")
+
+
+@query("rf_balanced_score")
+def q_rf_balanced_score(spark, sf):
+    model, thr, _, _ = trained(spark, sf)
+    _, _, f_te, _, _ = splits(spark, sf)
+    return MD.predict(model, f_te, thr).select(UNIT, CYCLE, "failure", "probability", "prediction")
+
+
+@query("gbt_score")
+def q_gbt_score(spark, sf):
+    f_tr, _, f_te, _, _ = splits(spark, sf)
+    feats = FE.feature_columns(f_tr)
+    model = _memo(spark, sf, "gbt", lambda: MD.fit_gbt(f_tr, feats, pos_weight=True))
+    return MD.predict(model, f_te).select(UNIT, CYCLE, "failure", "probability", "prediction")
+
+
+@query("feature_importance_topk")
+def q_feature_importance_topk(spark, sf):
+    model, _, _, feats = trained(spark, sf)
+    return MD.top_features(MD.feature_importances(model, feats), 20)
+
+
+@query("common_top_features")
+def q_common_top_features(spark, sf):
+    """Features in both top-20 lists (balanced forest, boosted trees)."""
+    model, _, _, feats = trained(spark, sf)
+    f_tr, _, _, _, _ = splits(spark, sf)
+    gbt = _memo(spark, sf, "gbt", lambda: MD.fit_gbt(f_tr, feats, pos_weight=True))
+    a = MD.top_features(MD.feature_importances(model, feats), 20).select("feature")
+    b = MD.top_features(MD.feature_importances(gbt, feats), 20).select("feature")
+    return a.intersect(b)
+
+
+@query("model_selection")
+def q_model_selection(spark, sf):
+    f_tr, _, _, _, _ = splits(spark, sf)
+    return MD.model_selection(f_tr, FE.feature_columns(f_tr), folds=3)
+
+
+@query("pca_2d")
+def q_pca_2d(spark, sf):
+    v = DT.vectors(spark, sf)
+    cols = [F.element_at("features", i + 1).alias(f"f{i}") for i in range(64)]
+    wide = v.select("vec_id", "label", *cols)
+    return MD.pca_2d(wide, [f"f{i}" for i in range(64)]).select("vec_id", "label", "pc1", "pc2")
+
+
+@query("model_comparison")
+def q_model_comparison(spark, sf):
+    f_tr, f_va, f_te, _, _ = splits(spark, sf)
+    out = None
+    for m in TR.METHODS:
+        _, _, res, _ = trained(spark, sf, m)
+        out = res if out is None else out.unionByName(res)
+    return out
+
+
+@query("train_report")
+def q_train_report(spark, sf):
+    """The cost-sensitive run, its artifacts written and the result
+    row appended as a CSV report."""
+    model, thr, res, feats = trained(spark, sf)
+    _, _, _, scaler, removed = splits(spark, sf)
+    base = shared_path(spark, "train-artifacts")
+    th = spark.createDataFrame([("random_forest", "L", "cost_sensitive", float(thr))],
+                               "model string, dataset string, method string, threshold double")
+    AR.save_artifacts(base, "L", "cost_sensitive", scaler=scaler, removed=removed, thresholds=th, model=model)
+    RP.write_report(res, f"{base}/reports/results_L_cost_sensitive")
+    return RP.read_report(spark, f"{base}/reports/results_L_cost_sensitive",
+                          "model string, dataset string, imbalance_method string, accuracy double, "
+                          "precision double, recall double, f1_score double, roc_auc double, threshold double")
+
+
+@query("score_fleet")
+def q_score_fleet(spark, sf):
+    """Load the saved artifacts and score the held-out units (full
+    history), with risk bands and the policy's maintenance action."""
+    model, thr, _, _ = trained(spark, sf)
+    _, _, _, scaler, removed = splits(spark, sf)
+    base = shared_path(spark, "fleet-artifacts")
+    AR.save_artifacts(base, "L", "cost_sensitive", scaler=scaler, removed=removed, model=model)
+    m2 = AR.load_model(base, "L", "cost_sensitive")
+    sc2 = AR.load_table(spark, base, "L", "cost_sensitive", "scaler")
+    rm2 = AR.load_removed(spark, base, "L", "cost_sensitive")
+    l = L(spark, sf)
+    _, test_tel = TR.split_units(l)
+    test = LB.attach_final_rul(test_tel, DT.final_rul(l))
+    pol = PO.greedy_policy(_q(spark, sf))
+    return SCO.score_fleet(test, m2, sc2, rm2, policy=pol, threshold=0.5)
+
+
+@query("score_requests")
+def q_score_requests(spark, sf):
+    """C4: a table of requests (last 5 rows of every unit, plus spoiled
+    copies) -> responses; spoiled ones land in quarantine."""
+    model, _, _, _ = trained(spark, sf)
+    _, _, _, scaler, removed = splits(spark, sf)
+    req = spoiled_requests(spark, sf)
+    resp, bad = SCO.score_requests(req.drop("variant"), model, scaler, removed)
+    return (resp.withColumn("status", F.lit("scored"))
+            .unionByName(bad.select("unit_id", F.lit(None).cast("double").alias("failure_probability"),
+                                    F.lit(None).cast("bigint").alias("failure_prediction"),
+                                    F.lit(None).cast("string").alias("risk_level"),
+                                    F.lit(None).cast("string").alias("recommendation"),
+                                    F.concat(F.lit("quarantine:"), F.col("reason")).alias("status"))))
