@@ -108,6 +108,14 @@ def build() -> dict[str, str]:
     q.update(build_ranking())
     q["artifact_roundtrip"] = q["scaler_fit"]
     q["policy_roundtrip"] = q["policy_values"]
+    sf_names = [n for n in feature_names(L_VALUES, L_DEGR) if n != "cycle_norm"]
+    raw = feature_select(L_VALUES, L_DEGR, digits=4, cum_digits=2)
+    q["stream_features"] = f"WITH {L}, F AS (SELECT {raw} FROM L)\nSELECT unit_number, time_in_cycles, {', '.join(sf_names)} FROM F"
+    q["stream_latest_risk"] = f"""WITH {L}, LR AS (SELECT unit_number, time_in_cycles, least(1.0, sensor_measurement_4 / 50.0) AS probability
+  FROM L WHERE unit_number >= 1 QUALIFY row_number() OVER (PARTITION BY unit_number ORDER BY time_in_cycles DESC) = 1)
+SELECT unit_number, time_in_cycles, probability, {RISK.format(p='probability')} AS risk_level,
+  CAST(2 * (SELECT count(DISTINCT unit_number) FROM L) + (SELECT count(*) FROM L WHERE unit_number < 1) AS BIGINT)
+  AS quarantined_rows FROM LR"""
     kept = [c for c in L_VALUES if c != "operational_setting_3"]
     ef = feature_select(kept, L_DEGR, passthrough=["RUL", "failure"], digits=6, cum_digits=6)
     q["engineer_features"] = (f"WITH {L}, {R_CTE}, {B_CTE}, {scaler_cte('B', L_VALUES)},\n"

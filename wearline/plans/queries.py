@@ -868,3 +868,71 @@ def q_score_requests(spark, sf):
                                     F.lit(None).cast("string").alias("risk_level"),
                                     F.lit(None).cast("string").alias("recommendation"),
                                     F.concat(F.lit("quarantine:"), F.col("reason")).alias("status"))))
+
+
+# ---- step 9: streaming -----------------------------------------------------------------
+
+from wearline.streaming import features as SF  # noqa: E402
+from wearline.streaming import risk as SR  # noqa: E402
+
+L_VALUES = ["operational_setting_1", "operational_setting_2", "operational_setting_3",
+            "sensor_measurement_4", "sensor_measurement_7", "sensor_measurement_11", "sensor_measurement_22"]
+
+
+def _stream_source(spark, sf, name, extra=None, bucket=200):
+    """Lay L out as a file source: one append per block of ``bucket``
+    cycles, in cycle order, so later cycles arrive in later files."""
+    l = L(spark, sf)
+    src = shared_path(spark, name)
+    n_blocks = int(l.agg(F.max(CYCLE)).first()[0] // bucket) + 1
+    for b in range(n_blocks):
+        part = l.filter((F.col(CYCLE) > b * bucket) & (F.col(CYCLE) <= (b + 1) * bucket))
+        part.coalesce(2).write.mode("append").parquet(src)
+    if extra is not None:
+        extra(l).coalesce(1).write.mode("append").parquet(src)
+    return src, l.schema
+
+
+@query("stream_features")
+def q_stream_features(spark, sf):
+    from wearline.session import ship_package
+    ship_package(spark)
+    src, schema = _stream_source(spark, sf, "stream-src")
+    out, ck = shared_path(spark, "stream-out"), shared_path(spark, "stream-ckpt")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(src)
+    feats = SF.stream_features(stream, L_VALUES)
+    # with processing-time timeouts pending, no-data micro-batches would keep
+    # an availableNow run alive; timeouts still fire on the next data batch
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    old = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        q = (feats.writeStream.format("parquet").option("checkpointLocation", ck).outputMode("append")
+             .trigger(availableNow=True).start(out))
+        q.awaitTermination()
+    finally:
+        spark.conf.set(key, old)
+    res = spark.read.parquet(out).filter(F.col("status") == "ok").drop("status")
+    return rounded(res, 4, _cumsum=2)
+
+
+def _det_score(df):
+    return df.withColumn("probability", F.least(F.lit(1.0), F.col("sensor_measurement_4") / 50.0))
+
+
+@query("stream_latest_risk")
+def q_stream_latest_risk(spark, sf):
+    def spoiled(l):
+        first = l.filter(F.col(CYCLE) == 1)
+        return (first.withColumn(UNIT, F.lit(0).cast("bigint"))
+                .unionByName(first.withColumn("sensor_measurement_4", F.lit(float("nan")))))
+    src, schema = _stream_source(spark, sf, "risk-src", extra=spoiled)
+    base, ck = shared_path(spark, "risk-tables"), shared_path(spark, "risk-ckpt")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(src)
+    cols = ["operational_setting_1", "operational_setting_2", "sensor_measurement_4",
+            "sensor_measurement_7", "sensor_measurement_11"]
+    q = (stream.writeStream.foreachBatch(SR.make_batch_fn(base, cols, _det_score))
+         .option("checkpointLocation", ck).trigger(availableNow=True).start())
+    q.awaitTermination()
+    n_bad = spark.read.parquet(f"{base}/quarantine").count()
+    return SR.latest_risk(spark, base).withColumn("quarantined_rows", F.lit(n_bad).cast("bigint"))
