@@ -55,6 +55,48 @@ def ema_fold(values: Column, span: int = EMA_SPAN) -> Column:
                        .otherwise(a * F.lit(decay) + x * F.lit(alpha)))
 
 
+EMA_BLOCK = 512   # rows per block of the blocked EMA: (3/2)^511 ~ 1e90 stays finite
+
+
+def with_blocked_ema(df: DataFrame, cols: list[str], w, keys: list[str], span: int = EMA_SPAN,
+                     block: int = EMA_BLOCK) -> DataFrame:
+    """Exact EMA (``adjust=False``) with O(1) window work per row.
+
+    Rows are cut into blocks of ``block`` positions per unit. Inside a block
+    ``E_in(t) = alpha * d^(t-A) * sum_{A<=i<=t} x_i d^-(i-A)`` is a running
+    sum (no cancellation: the scaled terms grow geometrically). The value
+    at the end of the previous block comes from an incremental
+    ``last(.., ignorenulls)`` frame, and
+    ``ema(t) = E_in(t) + d^(t-A+1) * ema(A-1)`` (+ the seed term
+    ``(1-alpha) d^t x_0`` in the first block). The chain between blocks
+    drops a term of relative size d^block (1e-90). Three Window operators
+    share the unit exchange; the per-row cost does not depend on the span.
+    Returns ``df`` with ``<col>_ema`` columns (null when the column is)."""
+    d, a = ema_weights(span)
+    pos = F.row_number().over(w) - 1
+    b = df.select("*", pos.alias("_pos"))
+    blk = F.floor(F.col("_pos") / block)
+    b = b.withColumn("_blk", blk).withColumn("_off", F.col("_pos") - F.col("_blk") * block)
+    wb = Window.partitionBy(*keys, "_blk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    q = [F.sum(F.col(c).cast("double") * F.pow(F.lit(d), -F.col("_off"))).over(wb).alias(f"_q_{c}")
+         for c in cols]
+    b = b.select("*", *q)
+    ein = {c: F.lit(a) * F.pow(F.lit(d), F.col("_off")) * F.col(f"_q_{c}") for c in cols}
+    end = ((F.col("_pos") + 1) % block) == 0
+    b = b.select("*", *[ein[c].alias(f"_e_{c}") for c in cols])
+    wp = Window.partitionBy(*keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    wf = Window.partitionBy(*keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    out = []
+    for c in cols:
+        prev = F.last(F.when(end, F.col(f"_e_{c}")), ignorenulls=True).over(wp)
+        carry = F.coalesce(F.pow(F.lit(d), F.col("_off") + 1) * prev, F.lit(0.0))
+        seed = F.when(F.col("_blk") == 0, F.lit(1.0 - a) * F.pow(F.lit(d), F.col("_pos"))
+                      * F.first(F.col(c).cast("double"), ignorenulls=True).over(wf))
+        out.append((F.col(f"_e_{c}") + carry + F.coalesce(seed, F.lit(0.0))).alias(f"{c}_ema"))
+    b = b.select("*", *out)
+    return b.drop("_pos", "_blk", "_off", *[f"_q_{c}" for c in cols], *[f"_e_{c}" for c in cols])
+
+
 def degradation_columns(df_columns) -> list[str]:
     return present(df_columns, [f"sensor_measurement_{i}" for i in DEGRADATION_SENSORS])
 
@@ -77,11 +119,17 @@ def feature_names(value_cols: list[str], degr_cols: list[str], window_sizes=WIND
 def engineer_features(df: DataFrame, window_sizes=WINDOW_SIZES, include_rolling: bool = True,
                       include_degradation: bool = True, history: int | None = None,
                       unit_col: str = UNIT, order_col: str = CYCLE, ema_span: int = EMA_SPAN,
-                      value_cols: list[str] | None = None) -> DataFrame:
-    """All features in one select over one window spec."""
+                      value_cols: list[str] | None = None, ema_method: str = "blocked") -> DataFrame:
+    """All features in one select over one window spec (the blocked
+    EMA adds two Window operators on the same unit exchange)."""
     cols = present(df.columns, value_cols or value_columns())
     degr = degradation_columns(df.columns)
     w = unit_window(df, unit_col, order_col)
+    blocked = include_rolling and history is None and ema_method == "blocked" and cols
+    src = df
+    if blocked:
+        from wearline.operators.labels import unit_keys
+        src = with_blocked_ema(df, cols, w, unit_keys(df, unit_col), ema_span)
     numeric = {f.name for f in df.schema.fields
                if f.dataType.typeName() in ("double", "float", "long", "integer", "short",
                                             "byte", "decimal")}
@@ -104,8 +152,8 @@ def engineer_features(df: DataFrame, window_sizes=WINDOW_SIZES, include_rolling:
         k = ema_lookback(ema_span) if history is None else history - 1
         ema_frame = w.rowsBetween(-k, 0)
         for c in cols:
-            out.append(F.coalesce(ema_fold(F.collect_list(c).over(ema_frame), ema_span),
-                                  F.lit(0.0)).alias(f"{c}_ema"))
+            e = F.col(f"{c}_ema") if blocked else ema_fold(F.collect_list(c).over(ema_frame), ema_span)
+            out.append(F.coalesce(e, F.lit(0.0)).alias(f"{c}_ema"))
     else:
         out += [F.col(c) for c in df.columns]
 
@@ -130,7 +178,7 @@ def engineer_features(df: DataFrame, window_sizes=WINDOW_SIZES, include_rolling:
             if not include_rolling:
                 s = F.when(F.col(c).isNotNull(), s)   # pandas cumsum keeps NaN in place
             out.append(s.cast("double").alias(f"{c}_cumsum"))
-    return df.select(*out)
+    return src.select(*out)
 
 
 def select_features(df: DataFrame, exclude=None) -> DataFrame:
