@@ -30,26 +30,37 @@ def _long(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], qs=(0.25, 0.5, 0.75)) -> DataFrame:
-    """Linear-interpolated quantiles (pandas / ``quantile_cont``) computed
-    exactly without collecting a column into one task: values are ranked
-    with the range-partitioned scan, then the two order statistics around
-    each position are picked by an equi-join on the rank."""
+    """Linear-interpolated quantiles (pandas / ``quantile_cont``), exact,
+    without collecting a column into one task: equal values are grouped
+    first (partial aggregation), the distinct values are ranked with the
+    range-partitioned scan carrying cumulative counts, and the two order
+    statistics around each position are the smallest values whose
+    cumulative count reaches it (one conditional-min aggregate)."""
     long = _long(df, cols).filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    r = ranked(long, ["column"], ["value"])
-    n = r.groupBy("column").agg(F.max("_rn").alias("n"))
-    qarr = F.array(*[F.lit(float(q)) for q in qs])
-    need = (n.select("column", "n", F.explode(qarr).alias("q"))
-            .withColumn("pos", (F.col("n") - 1) * F.col("q"))
-            .withColumn("lo", F.floor("pos").cast("bigint") + 1)
-            .withColumn("hi", F.ceil("pos").cast("bigint") + 1)
-            .withColumn("frac", F.col("pos") - F.floor("pos")))
-    vals = r.select("column", F.col("_rn"), "value")
-    lo = vals.withColumnRenamed("_rn", "lo").withColumnRenamed("value", "v_lo")
-    hi = vals.withColumnRenamed("_rn", "hi").withColumnRenamed("value", "v_hi")
-    # need has (#columns x #quantiles) rows: a bounded broadcast side
-    j = (F.broadcast(need).join(lo, ["column", "lo"]).join(hi, ["column", "hi"]))
-    return j.select("column", "q", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac"))
-                    .alias("value"))
+    g = long.groupBy("column", "value").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    r = ranked(g, ["column"], ["value"], ["w"])
+    n = {row["column"]: int(row["n"]) for row in
+         g.groupBy("column").agg(F.sum("w").alias("n")).collect()}
+    items = []
+    aggs = []
+    for c in cols:
+        if not n.get(c):
+            continue
+        for q in qs:
+            pos = (n[c] - 1) * q
+            lo, hi = int(pos // 1) + 1, int(-(-pos // 1)) + 1
+            i = len(items)
+            items.append((c, float(q), pos - (lo - 1)))
+            for tag, k in (("lo", lo), ("hi", hi)):
+                aggs.append(F.min(F.when((F.col("column") == c) & (F.col("w_cum") >= k), F.col("value")))
+                            .alias(f"_{tag}{i}"))
+    if not items:
+        return df.sparkSession.createDataFrame([], "column string, q double, value double")
+    row = r.agg(*aggs)
+    arr = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(q).alias("q"),
+                             (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.lit(fr)).alias("value"))
+                    for i, (c, q, fr) in enumerate(items)])
+    return row.select(F.inline(arr))
 
 
 def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

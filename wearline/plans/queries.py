@@ -882,7 +882,8 @@ L_VALUES = ["operational_setting_1", "operational_setting_2", "operational_setti
 def _stream_source(spark, sf, name, extra=None, bucket=200):
     """Lay L out as a file source: one append per block of ``bucket``
     cycles, in cycle order, so later cycles arrive in later files."""
-    l = L(spark, sf)
+    from pyspark import StorageLevel
+    l = L(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
     src = shared_path(spark, name)
     n_blocks = int(l.agg(F.max(CYCLE)).first()[0] // bucket) + 1
     for b in range(n_blocks):
@@ -890,7 +891,9 @@ def _stream_source(spark, sf, name, extra=None, bucket=200):
         part.coalesce(2).write.mode("append").parquet(src)
     if extra is not None:
         extra(l).coalesce(1).write.mode("append").parquet(src)
-    return src, l.schema
+    schema = l.schema
+    l.unpersist()
+    return src, schema
 
 
 @query("stream_features")

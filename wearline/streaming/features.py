@@ -88,15 +88,14 @@ def make_state_fn(value_cols, degr, windows=WINDOW_SIZES, span=EMA_SPAN, timeout
             for c in value_cols:
                 x = fresh[c].astype("float64").to_numpy()
                 prev = st["ema"].get(c)
-                e = np.empty(len(x))
-                a = prev
-                for i, xi in enumerate(x):   # the recurrence itself (first value seeds it)
-                    if np.isnan(xi):
-                        e[i] = np.nan if a is None else a
-                        continue
-                    a = xi if a is None else a * decay + xi * alpha
-                    e[i] = a
-                st["ema"][c] = a
+                if np.isnan(x).all():
+                    e = np.full(len(x), np.nan if prev is None else prev)
+                else:
+                    # the recurrence continues from the stored value (vectorised)
+                    seq = x if prev is None else np.r_[prev, x]
+                    e = pd.Series(seq).ewm(alpha=alpha, adjust=False).mean().to_numpy()
+                    e = e if prev is None else e[1:]
+                    st["ema"][c] = float(e[-1])
                 res[f"{c}_ema"] = np.nan_to_num(e, nan=0.0)
             for c in degr:
                 x = np.nan_to_num(fresh[c].astype("float64").to_numpy(), nan=0.0)
