@@ -61,3 +61,32 @@ def test_blocked_ema_carries_across_blocks(spark):
         .sort_values(["unit_number", "time_in_cycles"]).reset_index(drop=True)
     exp = pdf.groupby("unit_number")["x"].transform(lambda s: s.ewm(span=5, adjust=False).mean())
     assert np.allclose(got["x_ema"].to_numpy(), exp.to_numpy(), rtol=1e-12, atol=1e-12)
+
+
+def test_chunked_equals_single_task(spark):
+    """A hot unit (half of all rows) cut into chunks gives the same features."""
+    rng = np.random.default_rng(9)
+    rows = [(0, t, float(rng.normal()), float(rng.normal() * 50)) for t in range(1, 1201)]
+    rows += [(u, t, float(rng.normal()), float(rng.normal() * 50)) for u in range(1, 6) for t in range(1, 121)]
+    pdf = pd.DataFrame(rows, columns=["unit_number", "time_in_cycles", "sensor_measurement_4", "sensor_measurement_7"])
+    df = spark.createDataFrame(pdf)
+    for hist in (None, 10):
+        a = engineer_features(df, history=hist).toPandas().sort_values(["unit_number", "time_in_cycles"])
+        b = engineer_features(df, history=hist, skew="on", chunk_rows=150).toPandas() \
+            .sort_values(["unit_number", "time_in_cycles"])
+        assert list(a.columns) == list(b.columns)
+        for c in a.columns:
+            assert np.allclose(a[c].to_numpy(float), b[c].to_numpy(float), rtol=1e-12, atol=1e-12), (hist, c)
+
+
+def test_skew_paths_of_labels_and_adapter(spark):
+    from tests.conftest import SF001
+    from wearline.operators.labels import compute_rul
+    from wearline.sources.driver_tables import supplier_telemetry
+    a = supplier_telemetry(spark, SF001).toPandas().sort_values(["unit_number", "time_in_cycles"]).reset_index(drop=True)
+    b = supplier_telemetry(spark, SF001, skew=True).toPandas().sort_values(["unit_number", "time_in_cycles"]).reset_index(drop=True)
+    assert a.equals(b)
+    df = supplier_telemetry(spark, SF001)
+    x = compute_rul(df).select("unit_number", "time_in_cycles", "RUL").toPandas().sort_values(["unit_number", "time_in_cycles"]).reset_index(drop=True)
+    y = compute_rul(df, skew=True).select("unit_number", "time_in_cycles", "RUL").toPandas().sort_values(["unit_number", "time_in_cycles"]).reset_index(drop=True)
+    assert x.equals(y)

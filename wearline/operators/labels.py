@@ -24,8 +24,16 @@ def whole_unit(df: DataFrame, unit_col: str = UNIT, order_col: str = CYCLE):
         Window.unboundedPreceding, Window.unboundedFollowing)
 
 
-def compute_rul(df: DataFrame, unit_col: str = UNIT, cycle_col: str = CYCLE) -> DataFrame:
-    """``RUL = max(cycle) over unit - cycle``."""
+def compute_rul(df: DataFrame, unit_col: str = UNIT, cycle_col: str = CYCLE, skew: bool = False) -> DataFrame:
+    """``RUL = max(cycle) over unit - cycle``. By default a window on
+    the unit exchange (shared with the features); with ``skew`` the
+    maximum is a partial aggregate joined back, so a hot unit is split by
+    AQE's skew-join handling instead of landing in one task."""
+    if skew:
+        keys = unit_keys(df, unit_col)
+        mx = df.groupBy(*keys).agg(F.max(cycle_col).alias("_max"))
+        return (df.join(mx, keys, "left").withColumn(RUL, (F.col("_max") - F.col(cycle_col)).cast("bigint"))
+                .drop("_max"))
     mx = F.max(cycle_col).over(whole_unit(df, unit_col, cycle_col))
     return df.withColumn(RUL, (mx - F.col(cycle_col)).cast("bigint"))
 

@@ -24,18 +24,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def supplier_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixture L."""
+def supplier_telemetry(spark: SparkSession, sf_dir: str, skew: bool = False) -> DataFrame:
+    """Fixture L. With ``skew`` the cycle number comes from the
+    range-partitioned scan, so a supplier with a third of all rows is
+    numbered by many tasks."""
     li = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").cast("bigint").alias(UNIT),
         "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey",
         "l_extendedprice", "l_tax", "l_quantity", "l_discount",
     )
-    w = Window.partitionBy(UNIT).orderBy(
-        "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+    if skew:
+        from wearline.operators.scan import ranked
+        li = ranked(li, [UNIT], order)
+        cycle = F.col("_rn").cast("bigint")
+    else:
+        cycle = F.row_number().over(Window.partitionBy(UNIT).orderBy(*order)).cast("bigint")
     return li.select(
         UNIT,
-        F.row_number().over(w).cast("bigint").alias(CYCLE),
+        cycle.alias(CYCLE),
         F.col("l_linenumber").cast("double").alias("operational_setting_1"),
         F.col("l_tax").cast("double").alias("operational_setting_2"),
         F.lit(100.0).alias("operational_setting_3"),
