@@ -84,8 +84,10 @@ def with_blocked_ema(df: DataFrame, cols: list[str], w, keys: list[str], span: i
     ein = {c: F.lit(a) * F.pow(F.lit(d), F.col("_off")) * F.col(f"_q_{c}") for c in cols}
     end = ((F.col("_pos") + 1) % block) == 0
     b = b.select("*", *[ein[c].alias(f"_e_{c}") for c in cols])
-    wp = Window.partitionBy(*keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
-    wf = Window.partitionBy(*keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    # ordered like ``w`` (position is monotone in it): the feature window
+    # that follows reuses this sort
+    wp = w.rowsBetween(Window.unboundedPreceding, -1)
+    wf = w.rowsBetween(Window.unboundedPreceding, 0)
     out = []
     for c in cols:
         prev = F.last(F.when(end, F.col(f"_e_{c}")), ignorenulls=True).over(wp)

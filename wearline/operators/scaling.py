@@ -74,3 +74,35 @@ def removed_columns(report: DataFrame) -> list[str]:
 def drop_columns(df: DataFrame, cols: list[str]) -> DataFrame:
     """Drop the listed columns that are present."""
     return df.drop(*present(df.columns, cols))
+
+
+def fit_scaler_and_variance(df: DataFrame, columns: list[str] | None = None,
+                            threshold: float = VARIANCE_THRESHOLD, protected: list[str] | None = None):
+    """A2 + A4 in one aggregate pass, for the common case where both are
+    fitted on the same rows: min/max of the value columns and the sample
+    variance of every numeric column; a scaled column's variance is
+    ``var * scale^2``. Returns (scaler params, removed columns)."""
+    prot = set(ID_TARGET_COLUMNS if protected is None else protected)
+    cols = present(df.columns, columns or value_columns())
+    nums = [f.name for f in df.schema.fields if f.dataType.typeName() in NUMERIC]
+    aggs = []
+    for i, c in enumerate(cols):
+        x = F.col(c).cast("double")
+        aggs += [F.min(x).alias(f"_mn{i}"), F.max(x).alias(f"_mx{i}")]
+    aggs += [F.var_samp(F.col(c).cast("double")).alias(f"_v{j}") for j, c in enumerate(nums)]
+    r = df.agg(*aggs).first()
+    params, removed = {}, []
+    for i, c in enumerate(cols):
+        mn, mx = r[f"_mn{i}"], r[f"_mx{i}"]
+        if mn is None:
+            params[c] = (None, None)
+            continue
+        scale = 1.0 if mx - mn == 0 else 1.0 / (mx - mn)
+        params[c] = (scale, 0.0 - mn * scale)
+    for j, c in enumerate(nums):
+        v = r[f"_v{j}"]
+        if c in params and v is not None:
+            v = None if params[c][0] is None else v * params[c][0] ** 2
+        if v is not None and v < threshold and c not in prot:
+            removed.append(c)
+    return params, removed

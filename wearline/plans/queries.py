@@ -29,6 +29,13 @@ def query(name: str):
 EXACT = {"cycle_norm"}
 
 
+def round_half_away(x, d: int):
+    """Round the binary value half away from zero (the oracle's rule, and
+    C's ``round``); plain arithmetic, so it stays in generated code."""
+    p = F.lit(float(10 ** d))
+    return F.signum(x) * F.floor(F.abs(x) * p + F.lit(0.5)) / p
+
+
 def rounded(df: DataFrame, digits: int = 6, **per_col: int) -> DataFrame:
     """Round every double column (``per_col`` overrides by name / suffix)."""
     out = []
@@ -38,7 +45,7 @@ def rounded(df: DataFrame, digits: int = 6, **per_col: int) -> DataFrame:
             for k, v in per_col.items():
                 if f.name == k or f.name.endswith(k):
                     d = v
-            out.append(F.round(F.col(f.name).cast("double"), d).alias(f.name))
+            out.append(round_half_away(F.col(f.name).cast("double"), d).alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)
@@ -286,7 +293,7 @@ def q_confusion_matrix(spark, sf):
 @query("binary_metrics")
 def q_binary_metrics(spark, sf):
     m = MT.binary_metrics(scored(spark, sf), score="p_qty")
-    return m.withColumn("roc_auc", F.round("roc_auc", 12))
+    return m.withColumn("roc_auc", round_half_away(F.col("roc_auc"), 12))
 
 
 @query("classification_report")
@@ -517,9 +524,9 @@ def binary_vectors(spark, sf):
 @query("smote_rows")
 def q_smote_rows(spark, sf):
     syn = SA.smote(binary_vectors(spark, sf), "minority", "vec_id", "features", k=5, seed=42)
-    return syn.select("syn_id", "base_id", "neighbor_id", F.round("gap", 9).alias("gap"),
-                      F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 6).alias("feature_sum"),
-                      F.round(F.element_at("features", 1), 6).alias("feature_1"), "minority")
+    return syn.select("syn_id", "base_id", "neighbor_id", round_half_away(F.col("gap"), 9).alias("gap"),
+                      round_half_away(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 6).alias("feature_sum"),
+                      round_half_away(F.element_at("features", 1), 6).alias("feature_1"), "minority")
 
 
 @query("smote_counts")
@@ -551,14 +558,14 @@ def q_knn_join(spark, sf):
     v = DT.vectors(spark, sf)
     nn = KN.knn_join(v, v, 5, exclude_self=True)
     return nn.select(F.col("q_id").alias("vec_id"), F.col("s_id").alias("neighbor_id"), "rank",
-                     F.round("distance", 6).alias("distance"))
+                     round_half_away(F.col("distance"), 6).alias("distance"))
 
 
 @query("knn_classify")
 def q_knn_classify(spark, sf):
     v = DT.vectors(spark, sf)
     return KN.knn_classify(v, v, 5).select("vec_id", F.col("predicted").cast("bigint").alias("predicted"),
-                                           "votes", F.round("probability", 9).alias("probability"))
+                                           "votes", round_half_away(F.col("probability"), 9).alias("probability"))
 
 
 # ---- step 7/8: sources, sinks, artifacts, requests --------------------------------------
@@ -642,7 +649,7 @@ def q_parse_manual_rows(spark, sf):
     p = RQ.parse_manual_rows(txt)
     return p.select("unit_id", F.col("step").cast("bigint").alias("step"), "variant", "valid",
                     F.size("values").cast("bigint").alias("n_values"),
-                    F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))), 4).alias("value_sum"))
+                    round_half_away(F.aggregate("values", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))), 4).alias("value_sum"))
 
 
 @query("latest_report")
@@ -750,9 +757,9 @@ def trained(spark, sf, method="cost_sensitive"):
 def q_engineer_features(spark, sf):
     """Flagship W12 on prepared telemetry: scale -> drop low variance ->
     all features in one Window node."""
-    from wearline.plans.prepare import prepare_data
-    tr, _, _ = prepare_data(L(spark, sf), threshold=90)
-    removed = SC.removed_columns(SC.variance_report(tr))
+    lab = labelled(spark, sf)
+    params, removed = SC.fit_scaler_and_variance(lab)
+    tr = SC.apply_scaler(lab, params)
     return rounded(FE.engineer_features(SC.drop_columns(tr, removed)), 6)
 
 
