@@ -11,7 +11,7 @@ from tests.conftest import SF001
 NAMES = ["rul_compute", "failure_label", "rolling_std", "ema", "horizon_report", "scale_features",
          "variance_report", "describe_columns", "roc_curve", "pr_curve", "optimal_threshold",
          "confusion_matrix", "policy_values", "maintenance_schedule", "undersample", "knn_join",
-         "smote_rows", "request_validate", "timeline_table"]
+         "smote_rows", "request_validate", "timeline_table", "stream_features", "action_distribution"]
 
 
 @pytest.fixture(scope="module")

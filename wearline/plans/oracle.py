@@ -106,6 +106,7 @@ def build() -> dict[str, str]:
     q.update(build_sampling())
     q.update(build_sources())
     q.update(build_ranking())
+    q.update(build_extra())
     q["artifact_roundtrip"] = q["scaler_fit"]
     q["policy_roundtrip"] = q["policy_values"]
     sf_names = [n for n in feature_names(L_VALUES, L_DEGR) if n != "cycle_norm"]
@@ -667,3 +668,18 @@ def build_ranking() -> dict[str, str]:
 ALLR AS (SELECT *, 'qty' AS model FROM XAO UNION ALL SELECT *, 'price' AS model FROM XBO)
 SELECT metric, average, round(value, 12) AS value, model,
   CAST(row_number() OVER (PARTITION BY metric, average ORDER BY value DESC, model) AS BIGINT) AS rank FROM ALLR"""}
+
+
+def build_extra() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["action_distribution"] = f"""WITH RECURSIVE {L}, {R_CTE}, {QV},
+SCH AS (SELECT GP.recommended_action FROM R LEFT JOIN GP ON {wear('RUL')} = GP.state),
+C AS (SELECT recommended_action, CAST(count(*) AS BIGINT) AS count FROM SCH GROUP BY 1)
+SELECT recommended_action, count, count / sum(count) OVER () AS share FROM C"""
+    cnt_a = COUNTS.replace("C AS (", "CA AS (")
+    cnt_b = COUNTS.replace("C AS (", "CB AS (").replace("prediction", "prediction2").replace("FROM S)", "FROM S2)")
+    q["best_recall"] = f"""WITH {S_CTE},
+S2 AS (SELECT *, CAST(p_price >= 0.5 AS BIGINT) AS prediction2 FROM S), {cnt_a}, {cnt_b},
+RR AS (SELECT {div('tp', 'tp + fn')} AS value, 'qty' AS model FROM CA UNION ALL SELECT {div('tp', 'tp + fn')}, 'price' FROM CB)
+SELECT max(value) AS best_recall, arg_max(model, value) AS model FROM RR"""
+    return q

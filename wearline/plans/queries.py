@@ -946,3 +946,23 @@ def q_stream_latest_risk(spark, sf):
     q.awaitTermination()
     n_bad = spark.read.parquet(f"{base}/quarantine").count()
     return SR.latest_risk(spark, base).withColumn("quarantined_rows", F.lit(n_bad).cast("bigint"))
+
+
+@query("action_distribution")
+def q_action_distribution(spark, sf):
+    """A6 over the schedule: count and share per recommended action."""
+    r = LB.compute_rul(L(spark, sf))
+    sched = PO.maintenance_schedule(r, PO.greedy_policy(_q(spark, sf)))
+    return PR.value_counts(sched, "recommended_action")
+
+
+@query("best_recall")
+def q_best_recall(spark, sf):
+    """The best positive-class recall over the result rows of two models."""
+    s = scored(spark, sf)
+    s2 = s.withColumn("prediction", (F.col("p_price") >= 0.5).cast("bigint"))
+    rows = (MT.metric_rows(s, score=None).withColumn("model", F.lit("qty"))
+            .unionByName(MT.metric_rows(s2, score=None).withColumn("model", F.lit("price"))))
+    rec = rows.filter((F.col("metric") == "recall") & (F.col("average") == "binary"))
+    return rec.agg(F.max("value").alias("best_recall"),
+                   F.max_by("model", F.struct(F.col("value"), F.col("model"))).alias("model"))
