@@ -237,7 +237,7 @@ def chunked_features(df: DataFrame, window_sizes=WINDOW_SIZES, include_rolling:
     feats = engineer_features(both.select(*body_cols, "_chunk", *extra), window_sizes, include_rolling,
                               include_degradation, history, unit_col, "_rn", ema_span,
                               value_cols=present(df.columns, value_cols or value_columns()),
-                              _keys=keys + ["_chunk"])
+                              skew="off", _keys=keys + ["_chunk"])
     feats = feats.filter(~F.col("_halo"))
     if include_degradation:
         if history is None:

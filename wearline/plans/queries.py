@@ -909,7 +909,7 @@ def q_stream_features(spark, sf):
     ship_package(spark)
     src, schema = _stream_source(spark, sf, "stream-src")
     out, ck = shared_path(spark, "stream-out"), shared_path(spark, "stream-ckpt")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(src)
     feats = SF.stream_features(stream, L_VALUES)
     # with processing-time timeouts pending, no-data micro-batches would keep
     # an availableNow run alive; timeouts still fire on the next data batch
