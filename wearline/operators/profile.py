@@ -18,9 +18,11 @@ def failure_rate(df: DataFrame, label: str = "failure") -> DataFrame:
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
-    """Counts and share of total (the window runs on the reduced frame)."""
+    """Counts and share of total. The total is a one-row aggregate
+    read first, so no window spans the (possibly large) count table."""
+    total = df.agg(F.count(F.lit(1))).first()[0]
     c = df.groupBy(col).agg(F.count(F.lit(1)).cast("bigint").alias("count"))
-    return c.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy()))
+    return c.withColumn("share", F.col("count") / F.lit(float(total)) if total else F.lit(None).cast("double"))
 
 
 def _long(df: DataFrame, cols: list[str]) -> DataFrame:
