@@ -10,12 +10,12 @@ as a small broadcast table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wearline.functions.expressions import wear_state
 from wearline.operators.labels import unit_window
-from wearline.schema import CYCLE, RUL, UNIT, WEAR_STATES
+from wearline.schema import CYCLE, RUL, UNIT
 
 # FIXED VALUES: rewards of the reference scheduler
 FAILURE_COST = -100
@@ -181,6 +181,3 @@ def policy_from_mdp(spark: SparkSession, mdp: list[tuple], gamma: float = 0.9,
     return spark.createDataFrame([(s, a, float(v)) for (s, a), v in sorted(q.items())],
                                  "state string, action string, q double")
 
-
-def all_states_window() -> Window:
-    return Window.partitionBy()

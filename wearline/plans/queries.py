@@ -577,7 +577,7 @@ from wearline.sources import artifacts as AR  # noqa: E402
 from wearline.sources import reports as RP  # noqa: E402
 from wearline.sources import requests as RQ  # noqa: E402
 from wearline.sources import telemetry as TX  # noqa: E402
-from wearline.schema import value_columns  # noqa: E402
+
 
 L_OUT = [UNIT, CYCLE, "operational_setting_1", "operational_setting_2", "operational_setting_3",
          "sensor_measurement_4", "sensor_measurement_7", "sensor_measurement_11", "sensor_measurement_22"]
