@@ -75,3 +75,18 @@ def test_stream_late_rows_quarantined_and_state_carried(spark):
     for c in ["sensor_measurement_4_rolling_mean_5", "sensor_measurement_4_rolling_std_3", "sensor_measurement_4_ema",
               "sensor_measurement_4_rate_of_change", "sensor_measurement_4_cumsum"]:
         assert np.allclose(ok[c].to_numpy(), batch[c].to_numpy(), atol=1e-9), c
+
+
+def test_nan_to_null_at_ingest_and_tuned_threshold(spark):
+    from wearline.plans.score import resolve_threshold
+    from wearline.sources import artifacts as AR
+    from wearline.sources.telemetry import read_telemetry
+    p = shared_path(spark, "nan-text")
+    spark.createDataFrame([("1 1 0.5 NaN 100 1.0  ",), ("1 2 0.5 0.1",)], "value string").coalesce(1).write.text(p)
+    t = read_telemetry(spark, p).orderBy("time_in_cycles").toPandas()
+    assert t["operational_setting_2"].isna().iloc[0] and t["sensor_measurement_1"].isna().iloc[1]
+    base = shared_path(spark, "thr")
+    th = spark.createDataFrame([("random_forest", "L", "m", 0.42)], "model string, dataset string, method string, threshold double")
+    AR.save_artifacts(base, "L", "m", thresholds=th, spark=spark)
+    assert resolve_threshold("tuned", (base, "L", "m")) == 0.42
+    assert resolve_threshold("tuned", (base, "L", "missing")) == 0.5

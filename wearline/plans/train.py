@@ -44,10 +44,22 @@ def rebalance(train: DataFrame, features: list[str], method: str, seed: int = 42
 
 
 def prepare_splits(telemetry: DataFrame, final_rul: DataFrame, threshold: float = 90,
-                   val_size: float = 0.2, seed: int = 42):
-    """prepare -> unit split -> variance filter (fitted on train) -> features."""
+                   val_size: float = 0.2, seed: int = 42, fit_on: str = "all"):
+    """prepare -> unit split -> variance filter (fitted on train) -> features.
+
+    ``fit_on="all"`` fits the scaler on every training unit before the
+    validation split (the reference's order, Q7); ``"train_only"`` fits it
+    on the units left after the split."""
     train_tel, test_tel = split_units(telemetry)
-    train, test, scaler = prepare_data(train_tel, test_tel, final_rul, threshold)
+    if fit_on == "train_only":
+        val_units = SA.validation_units(train_tel, val_size, seed)
+        fit_rows = train_tel.join(val_units, UNIT, "left_anti")
+        _, _, stats = prepare_data(fit_rows, None, None, threshold)
+        params = SC.scaler_params(stats)
+        train, test, _ = prepare_data(train_tel, test_tel, final_rul, threshold, scaler=params)
+        scaler = stats
+    else:
+        train, test, scaler = prepare_data(train_tel, test_tel, final_rul, threshold)
     tr, va = SA.unit_split(train, val_size, seed)
     report = SC.variance_report(tr)
     removed = SC.removed_columns(report)

@@ -9,6 +9,12 @@ from wearline.operators.scan import ranked
 from wearline.schema import CYCLE, N_SENSORS, UNIT, telemetry_columns
 
 
+def nan_to_null(c):
+    """Q19: NaN becomes null at ingest (Spark's max/avg would propagate NaN
+    where pandas skips it)."""
+    return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
+
+
 def read_telemetry(spark: SparkSession, path: str, n_sensors: int = N_SENSORS,
                    dataset: str | None = None) -> DataFrame:
     """Whitespace-separated, headerless lines; leading/trailing blanks
@@ -19,7 +25,7 @@ def read_telemetry(spark: SparkSession, path: str, n_sensors: int = N_SENSORS,
     for i, n in enumerate(names):
         v = F.try_element_at(parts, F.lit(i + 1))
         v = F.when(v == "", None).otherwise(v)
-        cols.append(v.cast("bigint" if n in (UNIT, CYCLE) else "double").alias(n))
+        cols.append((v.cast("bigint") if n in (UNIT, CYCLE) else nan_to_null(v.cast("double"))).alias(n))
     df = spark.read.text(path).filter(F.trim("value") != "").select(*cols)
     return df.withColumn("dataset", F.lit(dataset)) if dataset else df
 
@@ -50,7 +56,8 @@ def read_csv_telemetry(spark: SparkSession, path: str, n_sensors: int = N_SENSOR
     cols = []
     for n in names:
         t = "bigint" if n in (UNIT, CYCLE) else "double"
-        cols.append((F.col(n) if n in raw.columns else F.lit(None)).cast(t).alias(n))
+        c = (F.col(n) if n in raw.columns else F.lit(None)).cast(t)
+        cols.append((c if t == "bigint" else nan_to_null(c)).alias(n))
     return raw.select(*cols)
 
 
