@@ -1,6 +1,7 @@
 """Feature engine: pandas parity and the one-exchange plan."""
 
 import numpy as np
+from pyspark.sql import functions as F
 import pandas as pd
 
 from wearline.operators.features import engineer_features
@@ -90,3 +91,24 @@ def test_skew_paths_of_labels_and_adapter(spark):
     x = compute_rul(df).select("unit_number", "time_in_cycles", "RUL").toPandas().sort_values(["unit_number", "time_in_cycles"]).reset_index(drop=True)
     y = compute_rul(df, skew=True).select("unit_number", "time_in_cycles", "RUL").toPandas().sort_values(["unit_number", "time_in_cycles"]).reset_index(drop=True)
     assert x.equals(y)
+
+
+def test_skew_paths_of_positions_steps_and_timeline(spark):
+    from tests.conftest import SF001
+    from wearline.operators import labels as LB
+    from wearline.operators import policy as PO
+    from wearline.operators.features import every_nth_cycle
+    from wearline.plans import timeline as TL
+    from wearline.sources.driver_tables import final_rul, supplier_telemetry
+    l = supplier_telemetry(spark, SF001)
+
+    def same(a, b, keys=("unit_number", "time_in_cycles")):
+        x = a.toPandas().sort_values(list(keys)).reset_index(drop=True)
+        y = b.toPandas()[list(x.columns)].sort_values(list(keys)).reset_index(drop=True)
+        assert x.equals(y)
+    same(every_nth_cycle(l, 5, 7), every_nth_cycle(l, 5, 7, skew=True))
+    r = LB.compute_rul(l)
+    same(PO.logged_steps(r), PO.logged_steps(r, skew=True))
+    same(LB.attach_final_rul(l, final_rul(l)), LB.attach_final_rul(l, final_rul(l), skew=True))
+    sc = l.select("unit_number", "time_in_cycles", (F.col("sensor_measurement_4") / 50).alias("probability"))
+    same(TL.timeline_points(sc), TL.timeline_points(sc, skew=True))

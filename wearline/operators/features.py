@@ -131,9 +131,8 @@ def engineer_features(df: DataFrame, window_sizes=WINDOW_SIZES, include_rolling:
     ``chunked_features``) or "auto" (chunked when the largest unit has
     more than ``max_unit_rows`` rows; one partial aggregate decides)."""
     if skew == "auto":
-        from wearline.operators.labels import unit_keys as _uk
-        biggest = df.groupBy(*_uk(df, unit_col)).count().agg(F.max("count")).first()[0] or 0
-        skew = "on" if biggest > max_unit_rows else "off"
+        from wearline.operators.labels import resolve_skew
+        skew = "on" if resolve_skew(df, "auto", unit_col, max_unit_rows) else "off"
     if skew == "on" and _keys is None:
         return chunked_features(df, window_sizes, include_rolling, include_degradation, history,
                                 unit_col, order_col, ema_span, value_cols, chunk_rows)
@@ -283,10 +282,10 @@ def latest_per_unit(df: DataFrame, unit_col: str = UNIT, order_col: str = CYCLE)
 
 
 def every_nth_cycle(df: DataFrame, start: int = 5, step: int = 5,
-                    unit_col: str = UNIT, order_col: str = CYCLE) -> DataFrame:
+                    unit_col: str = UNIT, order_col: str = CYCLE, skew=False) -> DataFrame:
     """Rows whose position p (1-based, by cycle) satisfies
     ``p >= start and (p - start) % step == 0``."""
-    pos = F.row_number().over(unit_window(df, unit_col, order_col))
-    return (df.withColumn("_pos", pos)
+    from wearline.operators.labels import with_positions
+    return (with_positions(df, skew, unit_col, order_col)
             .filter((F.col("_pos") >= start) & (((F.col("_pos") - start) % step) == 0))
             .drop("_pos"))

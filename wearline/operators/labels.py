@@ -24,12 +24,12 @@ def whole_unit(df: DataFrame, unit_col: str = UNIT, order_col: str = CYCLE):
         Window.unboundedPreceding, Window.unboundedFollowing)
 
 
-def compute_rul(df: DataFrame, unit_col: str = UNIT, cycle_col: str = CYCLE, skew: bool = False) -> DataFrame:
+def compute_rul(df: DataFrame, unit_col: str = UNIT, cycle_col: str = CYCLE, skew=False) -> DataFrame:
     """``RUL = max(cycle) over unit - cycle``. By default a window on
     the unit exchange (shared with the features); with ``skew`` the
     maximum is a partial aggregate joined back, so a hot unit is split by
     AQE's skew-join handling instead of landing in one task."""
-    if skew:
+    if resolve_skew(df, skew, unit_col):
         keys = unit_keys(df, unit_col)
         mx = df.groupBy(*keys).agg(F.max(cycle_col).alias("_max"))
         return (df.join(mx, keys, "left").withColumn(RUL, (F.col("_max") - F.col(cycle_col)).cast("bigint"))
@@ -53,7 +53,7 @@ def unit_life(df: DataFrame, unit_col: str = UNIT, cycle_col: str = CYCLE) -> Da
 
 
 def attach_final_rul(test: DataFrame, final: DataFrame, unit_col: str = UNIT,
-                     cycle_col: str = CYCLE) -> DataFrame:
+                     cycle_col: str = CYCLE, skew=False) -> DataFrame:
     """``RUL = final_rul + (max_cycle - cycle)`` for a test set whose
     last cycle is not the failure. ``final`` has one row per unit
     (``unit_number``, ``RUL``). Units without a final RUL keep a null RUL;
@@ -62,13 +62,47 @@ def attach_final_rul(test: DataFrame, final: DataFrame, unit_col: str = UNIT,
     when its measured size allows, and a sort-merge join otherwise."""
     keys = unit_keys(test, unit_col)
     fin = final.select(*keys, F.col(RUL).cast("bigint").alias("_final_rul"))
-    mx = F.max(cycle_col).over(whole_unit(test, unit_col, cycle_col))
     t = test.drop(RUL) if RUL in test.columns else test
+    t = with_unit_max(t, cycle_col, "_mx", skew, unit_col, cycle_col)
     return (t.join(fin, keys, "left")
-            .withColumn(RUL, (F.col("_final_rul") + mx - F.col(cycle_col)).cast("bigint"))
-            .drop("_final_rul"))
+            .withColumn(RUL, (F.col("_final_rul") + F.col("_mx") - F.col(cycle_col)).cast("bigint"))
+            .drop("_final_rul", "_mx"))
 
 
 def unmatched_units(test: DataFrame, final: DataFrame, unit_col: str = UNIT) -> DataFrame:
     keys = unit_keys(test, unit_col)
     return test.select(*keys).distinct().join(final.select(*keys), keys, "left_anti")
+
+
+# ---- skew-safe per-unit helpers ------------------------------------------------------
+MAX_UNIT_ROWS = 2_000_000
+
+
+def resolve_skew(df: DataFrame, skew, unit_col: str = UNIT, max_unit_rows: int = MAX_UNIT_ROWS) -> bool:
+    """``skew`` as a bool: "auto" looks at the largest unit (one partial
+    aggregate over the unit column only)."""
+    if skew == "auto":
+        biggest = df.groupBy(*unit_keys(df, unit_col)).count().agg(F.max("count")).first()[0] or 0
+        return biggest > max_unit_rows
+    return bool(skew) and skew != "off"
+
+
+def with_positions(df: DataFrame, skew=False, unit_col: str = UNIT, order_col: str = CYCLE,
+                   name: str = "_pos") -> DataFrame:
+    """1-based position of each row in its unit. With ``skew`` it comes
+    from the range-partitioned scan (a hot unit spans many tasks)."""
+    if resolve_skew(df, skew, unit_col):
+        from wearline.operators.scan import ranked
+        return ranked(df, unit_keys(df, unit_col), [order_col]).withColumnRenamed("_rn", name)
+    return df.withColumn(name, F.row_number().over(unit_window(df, unit_col, order_col)).cast("bigint"))
+
+
+def with_unit_max(df: DataFrame, col: str, name: str, skew=False, unit_col: str = UNIT,
+                  order_col: str = CYCLE) -> DataFrame:
+    """Per-unit maximum of ``col`` on every row: a window, or with ``skew``
+    a partial aggregate joined back (AQE splits a skewed join side)."""
+    keys = unit_keys(df, unit_col)
+    if resolve_skew(df, skew, unit_col):
+        mx = df.groupBy(*keys).agg(F.max(col).alias(name))
+        return df.join(mx, keys, "left")
+    return df.withColumn(name, F.max(col).over(whole_unit(df, unit_col, order_col)))

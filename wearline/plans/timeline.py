@@ -3,21 +3,21 @@ all units at once instead of a per-unit loop."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wearline.functions.expressions import percent, risk_level, threshold_decision
 from wearline.operators import features as FE
-from wearline.operators.labels import unit_keys
 from wearline.schema import CYCLE, UNIT
 
 
-def timeline_points(scored: DataFrame, start: int = 5, step: int = 5, prob: str = "probability") -> DataFrame:
+def timeline_points(scored: DataFrame, start: int = 5, step: int = 5, prob: str = "probability",
+                    skew=False) -> DataFrame:
     """Every ``step``-th cycle from ``start``: probability, band, and the
     dashboard's text columns (percentages, lifecycle share)."""
-    total = F.max(CYCLE).over(Window.partitionBy(*unit_keys(scored)).rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing))
-    pts = FE.every_nth_cycle(scored.withColumn("total_cycles", total), start, step)
+    from wearline.operators.labels import resolve_skew, with_unit_max
+    sk = resolve_skew(scored, skew)
+    pts = FE.every_nth_cycle(with_unit_max(scored, CYCLE, "total_cycles", sk), start, step, skew=sk)
     return pts.select(UNIT, CYCLE, "total_cycles", F.col(prob).alias("probability"),
                       percent(prob).alias("probability_text"), risk_level(prob).alias("risk_level"),
                       percent(F.col(CYCLE) / F.col("total_cycles")).alias("lifecycle_text"))
