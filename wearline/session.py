@@ -9,6 +9,17 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def _driver_memory(cap_gb: int = 16) -> str:
+    """About 60% of physical memory, at most ``cap_gb`` (local mode: the
+    driver JVM is the whole cluster)."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+        gb = max(1, min(cap_gb, int(total * 0.6 / 2**30)))
+    except (ValueError, OSError, AttributeError):
+        gb = 4
+    return f"{gb}g"
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "wearline") -> SparkSession:
     """Local/test session. On a cluster, build the session with the cluster's
@@ -23,7 +34,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("WEARLINE_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("WEARLINE_DRIVER_MEMORY", _driver_memory()))
     )
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
