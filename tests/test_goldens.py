@@ -54,3 +54,16 @@ def test_auc_ties_and_empty_class(spark):
     assert MT.roc_auc(df).first()[0] == pytest.approx(0.625)
     one = spark.createDataFrame([(1, 0.9), (1, 0.5)], "failure int, probability double")
     assert MT.roc_auc(one).first()[0] is None
+
+
+def test_histogram_matches_numpy(spark):
+    import numpy as np
+    import pandas as pd
+    from wearline.operators.profile import histogram
+    rng = np.random.default_rng(7)
+    x = np.r_[rng.integers(0, 700, 5000), [0, 699, 699]].astype(float)
+    df = spark.createDataFrame(pd.DataFrame({"RUL": x}))
+    got = histogram(df, "RUL", 50).orderBy("bin").toPandas()
+    counts, edges = np.histogram(x, bins=50)
+    assert got["count"].tolist() == counts.tolist()
+    assert np.allclose(got["lo"].to_numpy(), edges[:-1]) and np.allclose(got["hi"].to_numpy(), edges[1:])
