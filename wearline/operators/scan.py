@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wearline.session import ensure_checkpoint_dir, ship_package, shuffle_partitions
+from wearline.session import ensure_checkpoint_dir, ship_package
 
 
 def _key_tuple(pdf: pd.DataFrame, keys: list[str], i: int):
@@ -62,11 +62,12 @@ def ranked(df: DataFrame, keys: list[str] | None = None, order: list | None = No
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     ship_package(spark)
-    n = n_parts or shuffle_partitions(spark)
     sort_cols = [F.col(k) for k in keys] + [o if isinstance(o, Column) else F.col(o) for o in order]
-    # the range-partition id is stored as data: TaskContext ids shift when the
-    # output is later unioned with other frames
-    base = (df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
+    # without an explicit count AQE may merge adjacent ranges (order is kept);
+    # the range-partition id is stored as data after that: TaskContext ids
+    # shift when the output is later unioned with other frames
+    rp = df.repartitionByRange(n_parts, *sort_cols) if n_parts else df.repartitionByRange(*sort_cols)
+    base = (rp.sortWithinPartitions(*sort_cols)
             .withColumn("_pid", F.spark_partition_id())
             .checkpoint(eager=True))
 
