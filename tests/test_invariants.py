@@ -90,3 +90,17 @@ def test_nan_to_null_at_ingest_and_tuned_threshold(spark):
     AR.save_artifacts(base, "L", "m", thresholds=th, spark=spark)
     assert resolve_threshold("tuned", (base, "L", "m")) == 0.42
     assert resolve_threshold("tuned", (base, "L", "missing")) == 0.5
+
+
+def test_scaler_fit_on_train_only(spark):
+    from wearline.operators import sampling as SA2
+    from wearline.plans import train as TR
+    l = DT.supplier_telemetry(spark, SF001)
+    f_tr, f_va, f_te, stats, removed = TR.prepare_splits(l, DT.final_rul(l), fit_on="train_only")
+    train_tel, _ = TR.split_units(l)
+    fit_rows = train_tel.join(SA2.validation_units(train_tel, 0.2, 42), "unit_number", "left_anti")
+    mx = fit_rows.agg(F.max("sensor_measurement_7")).first()[0]
+    got = {r["column"]: r["max"] for r in stats.collect()}
+    assert got["sensor_measurement_7"] == mx
+    for d in (f_tr, f_va, f_te):
+        d.unpersist()
