@@ -125,6 +125,8 @@ def make_state_fn(value_cols, degr, windows=WINDOW_SIZES, span=EMA_SPAN, timeout
 
 def stream_features(stream: DataFrame, value_cols: list[str], windows=WINDOW_SIZES,
                     timeout_ms: int = 3600_000) -> DataFrame:
+    from wearline.session import ship_package
+    ship_package(stream.sparkSession)     # the state function runs in Python workers
     degr = degradation_columns(stream.columns)
     fn, schema = make_state_fn(value_cols, degr, windows, timeout_ms=timeout_ms)
     state_schema = T.StructType([T.StructField("json", T.StringType())])
