@@ -672,6 +672,11 @@ SELECT metric, average, round(value, 12) AS value, model,
 
 def build_extra() -> dict[str, str]:
     q: dict[str, str] = {}
+    ef = feature_select(["sensor_measurement_4"], ["sensor_measurement_4"], passthrough=["RUL", "failure"],
+                        digits=6, cum_digits=6)
+    q["engineer_features_events"] = f"""WITH {E}, ER AS (SELECT *, CAST(max(time_in_cycles) OVER (PARTITION BY unit_number)
+   - time_in_cycles AS BIGINT) AS RUL FROM E), EB AS (SELECT *, CAST(coalesce(RUL <= 20, false) AS BIGINT) AS failure FROM ER)
+SELECT {ef} FROM EB"""
     q["action_distribution"] = f"""WITH RECURSIVE {L}, {R_CTE}, {QV},
 SCH AS (SELECT GP.recommended_action FROM R LEFT JOIN GP ON {wear('RUL')} = GP.state),
 C AS (SELECT recommended_action, CAST(count(*) AS BIGINT) AS count FROM SCH GROUP BY 1)

@@ -966,3 +966,10 @@ def q_best_recall(spark, sf):
     rec = rows.filter((F.col("metric") == "recall") & (F.col("average") == "binary"))
     return rec.agg(F.max("value").alias("best_recall"),
                    F.max_by("model", F.struct(F.col("value"), F.col("model"))).alias("model"))
+
+
+@query("engineer_features_events")
+def q_engineer_features_events(spark, sf):
+    """W12 on fixture E (user telemetry, label threshold 20)."""
+    e = LB.label_failure(LB.compute_rul(DT.user_telemetry(spark, sf)), 20)
+    return rounded(FE.engineer_features(e), 6)
