@@ -17,8 +17,6 @@ from __future__ import annotations
 
 import base64
 import functools
-from collections.abc import Iterator
-
 import duckdb
 import numpy as np
 import pyarrow as pa
@@ -28,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wearline.llm.common import append_columns
+from wearline.llm.common import append_columns, row_slices
 
 #: Words encoded by one recursive query, words kept for later batches of the
 #: worker, and tokens decoded by one query: bounds on a task's memory.
@@ -158,20 +156,11 @@ def _list_rows(col: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return col.values.slice(off[0], off[-1] - off[0]), off - off[0]
 
 
-def _pieces(off: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about ``most`` values, one row at least."""
-    row, rows = 0, len(off) - 1
-    while row < rows:
-        end = max(row + 1, int(np.searchsorted(off, off[row] + most, "right")) - 1)
-        yield row, min(end, rows)
-        row = end
-
-
 def _encode_rows(voc: _Vocabulary, pretokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Flat ids and row offsets of a column of pretoken lists."""
     words, off = _list_rows(pretokens)
     flat, counts = [], np.zeros(len(off) - 1, np.int64)
-    for a, b in _pieces(off, TOKENS_AT_ONCE):
+    for a, b in row_slices(off, TOKENS_AT_ONCE):
         part = words.slice(off[a], off[b] - off[a]).cast(pa.large_string()).dictionary_encode()
         ids, start, end = voc.encode(part.dictionary)
         code = part.indices.to_numpy(zero_copy_only=False)
@@ -187,7 +176,7 @@ def _encode_rows(voc: _Vocabulary, pretokens: pa.Array) -> tuple[np.ndarray, np.
 
 def _decode_rows(voc: _Vocabulary, ids: np.ndarray, off: np.ndarray) -> list[bytes]:
     out: list[bytes] = []
-    for a, b in _pieces(off, TOKENS_AT_ONCE):
+    for a, b in row_slices(off, TOKENS_AT_ONCE):
         out += voc.decode(ids[off[a]:off[b]], off[a:b + 1] - off[a])
     return out
 

@@ -144,6 +144,16 @@ def split_words(buf: np.ndarray, off: np.ndarray, is_sep: np.ndarray = _SPACE):
     return starts, ends, np.searchsorted(starts, off)
 
 
+def row_slices(off: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold about ``most`` values, one row at least: what
+    is worked on at once, so that memory follows the longest row at most."""
+    row, rows = 0, len(off) - 1
+    while row < rows:
+        end = min(rows, max(row + 1, int(np.searchsorted(off, off[row] + most, "right")) - 1))
+        yield row, end
+        row = end
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 

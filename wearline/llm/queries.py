@@ -21,5 +21,23 @@ def op1_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_byte_level_bpe": op1_byte_level_bpe}
-ORACLES: dict[str, str] = {}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wearline.llm.warc import read_warc, write_warc
+    index = write_warc(read_table(spark, sf_dir, "pages"), revisit_bytes=0)
+    return read_warc(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+     d AS (SELECT page_id, strlen(body) AS n, sha1(body) AS h, max(page_id) OVER (PARTITION BY body) AS last FROM p)
+SELECT page_id, n AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (((('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT) >> (15 - 5 * (i % 4))::BIGINT) & 31)::INT + 1, 1)
+         for i in range(32)], '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM d
+"""
+
+QUERIES = {"op1_byte_level_bpe": op1_byte_level_bpe, "op9_warc": op9_warc}
+ORACLES: dict[str, str] = {"op9_warc": _OP9_SQL}
