@@ -21,6 +21,17 @@ def op1_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wearline.llm import secrets as S
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = S.scan(docs, S.train(docs))
+    count = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(S.span_text("secrets", S.KINDS[:3]).cast("binary"), 256).alias("base_sha256"),
+        S.span_text("secrets").alias("spans"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wearline.llm.warc import read_warc, write_warc
     index = write_warc(read_table(spark, sf_dir, "pages"), revisit_bytes=0)
@@ -39,5 +50,6 @@ SELECT page_id, n AS payload_bytes,
 FROM d
 """
 
-QUERIES = {"op1_byte_level_bpe": op1_byte_level_bpe, "op9_warc": op9_warc}
+QUERIES = {"op1_byte_level_bpe": op1_byte_level_bpe, "op4_secret_scan": op4_secret_scan,
+           "op9_warc": op9_warc}
 ORACLES: dict[str, str] = {"op9_warc": _OP9_SQL}
