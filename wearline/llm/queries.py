@@ -32,6 +32,33 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         S.span_text("secrets").alias("spans"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wearline.llm.decontaminate import scan
+    got = scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
+    return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+_OP5_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+     b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+     wins AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[s:s + 12], ' ') AS win
+              FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 13 + 1, 1) + 1)) AS s FROM b WHERE len(w) > 0)),
+     sizes AS (SELECT DISTINCT n FROM wins),
+     spots AS (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS win
+            FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, sizes WHERE len(w) >= n)),
+     hits AS (SELECT doc_id, spots.n, s, item_id FROM spots JOIN wins USING (n, win)),
+     pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hits) GROUP BY doc_id),
+     its AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM hits GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+       coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wearline.llm.warc import read_warc, write_warc
     index = write_warc(read_table(spark, sf_dir, "pages"), revisit_bytes=0)
@@ -51,5 +78,6 @@ FROM d
 """
 
 QUERIES = {"op1_byte_level_bpe": op1_byte_level_bpe, "op4_secret_scan": op4_secret_scan,
+           "op5_benchmark_decontamination": op5_benchmark_decontamination,
            "op9_warc": op9_warc}
-ORACLES: dict[str, str] = {"op9_warc": _OP9_SQL}
+ORACLES: dict[str, str] = {"op5_benchmark_decontamination": _OP5_SQL, "op9_warc": _OP9_SQL}
