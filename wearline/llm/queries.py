@@ -21,8 +21,13 @@ def op1_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wearline.llm.neardup import similar_vectors
+    return similar_vectors(read_table(spark, sf_dir, "embeddings"), min_cosine=0.9)
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from wearline.llm import secrets as S
+    from wearline.llm import secret_scan as S
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = S.scan(docs, S.train(docs))
     count = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long")
@@ -59,6 +64,11 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wearline.llm.jaccard import similar_classes
+    return similar_classes(read_table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wearline.llm.warc import read_warc, write_warc
     index = write_warc(read_table(spark, sf_dir, "pages"), revisit_bytes=0)
@@ -77,7 +87,8 @@ SELECT page_id, n AS payload_bytes,
 FROM d
 """
 
-QUERIES = {"op1_byte_level_bpe": op1_byte_level_bpe, "op4_secret_scan": op4_secret_scan,
+QUERIES = {"op1_byte_level_bpe": op1_byte_level_bpe, "op2_embedding_near_dedup": op2_embedding_near_dedup,
+           "op4_secret_scan": op4_secret_scan,
            "op5_benchmark_decontamination": op5_benchmark_decontamination,
-           "op9_warc": op9_warc}
+           "op8_ngram_jaccard_join": op8_ngram_jaccard_join, "op9_warc": op9_warc}
 ORACLES: dict[str, str] = {"op5_benchmark_decontamination": _OP5_SQL, "op9_warc": _OP9_SQL}
