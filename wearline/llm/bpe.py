@@ -30,7 +30,7 @@ from wearline.llm.common import append_columns, row_slices
 
 #: Words encoded by one recursive query, words kept for later batches of the
 #: worker, and tokens decoded by one query: bounds on a task's memory.
-WORDS_AT_ONCE, WORDS_KEPT, TOKENS_AT_ONCE = 100_000, 1_500_000, 2_000_000
+WORDS_AT_ONCE, WORDS_KEPT, TOKENS_AT_ONCE = 50_000, 800_000, 1_000_000
 
 _ENCODE = """
 WITH RECURSIVE step(k, t, alive) AS (
@@ -72,7 +72,7 @@ class _Vocabulary:
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         merges = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items()
                   for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         a, b, r = (np.array(c, np.int32) for c in zip(*merges)) if merges else [np.zeros(0, np.int32)] * 3
         given = pa.table({"a": a, "b": b, "r": r})
         self.db.register("given", given)

@@ -26,10 +26,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def append_columns(df: DataFrame, fields: list[T.StructField],
-                   fn: Callable[[pa.RecordBatch], list], drop: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` with the columns ``fields`` computed per Arrow batch by ``fn``
-    (one array per field). Columns of ``df`` with the same name, in any case,
+def append_columns(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.RecordBatch], list],
+                   drop: tuple[str, ...] = (), rows_at_once: int = 500) -> DataFrame:
+    """``df`` with the columns ``fields`` computed by ``fn`` (one array per
+    field) for ``rows_at_once`` rows of an Arrow batch at a time. Columns of ``df`` with the same name, in any case,
     are replaced; those in ``drop`` are not returned."""
     ship_package(df.sparkSession)
     gone = {f.name.lower() for f in fields} | {d.lower() for d in drop}
@@ -39,9 +39,7 @@ def append_columns(df: DataFrame, fields: list[T.StructField],
     names, keep_names = schema.names, [f.name for f in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows == 0:
-                continue
+        for b in (b.slice(i, rows_at_once) for b in batches for i in range(0, b.num_rows, rows_at_once)):
             new = [a if isinstance(a, (pa.Array, pa.ChunkedArray)) and a.type == t else
                    (a.cast(t) if isinstance(a, (pa.Array, pa.ChunkedArray)) else pa.array(a, t))
                    for a, t in zip(fn(b), types)]
