@@ -64,6 +64,13 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wearline.llm import toxicity as X
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = X.train(docs, read_table(spark, sf_dir, "labels"))
+    return X.score(docs, model).select("doc_id", X.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wearline.llm.jaccard import similar_classes
     return similar_classes(read_table(spark, sf_dir, "documents"), n=4, percent=85)
@@ -75,6 +82,22 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents: the column ``lang`` is the declaration, ``source`` the host."""
+    from wearline.llm import language as L
+    docs = read_table(spark, sf_dir, "documents")
+    return L.identify(docs, ["doc_id"], F.col("text"), F.col("lang"), F.col("source"), L.host_suffix(F.col("source")))
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages: declaration of the markup, host and suffix of the address."""
+    from wearline.llm import language as L
+    body = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"<[^>]*>", " ")
+    host = L.url_host(F.col("url"))
+    return L.identify(read_table(spark, sf_dir, "pages"), ["page_id"], body, L.markup_language(F.col("html")), host,
+                      L.host_suffix(host))
+
+
 _OP9_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
      d AS (SELECT page_id, strlen(body) AS n, sha1(body) AS h, max(page_id) OVER (PARTITION BY body) AS last FROM p)
@@ -90,5 +113,6 @@ FROM d
 QUERIES = {"op1_byte_level_bpe": op1_byte_level_bpe, "op2_embedding_near_dedup": op2_embedding_near_dedup,
            "op4_secret_scan": op4_secret_scan,
            "op5_benchmark_decontamination": op5_benchmark_decontamination,
+           "op6_toxicity": op6_toxicity, "op10_language_id": op10_language_id, "language_id_pages": language_id_pages,
            "op8_ngram_jaccard_join": op8_ngram_jaccard_join, "op9_warc": op9_warc}
 ORACLES: dict[str, str] = {"op5_benchmark_decontamination": _OP5_SQL, "op9_warc": _OP9_SQL}
