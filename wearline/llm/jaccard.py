@@ -221,3 +221,13 @@ def _several_sets(member: DataFrame) -> DataFrame:
     """Links between the sets of rows that share an id."""
     return (member.filter(F.col("rep").isNotNull()).groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
             .filter("a < b").select("a", "b"))
+
+
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the row (or rows) of least id of every class; rows with a
+    null id stay."""
+    same = similar_classes(docs, n, percent, id_col, text_col)
+    gone = C.materialise(same.filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("gone")).distinct(),
+                         "near-copies")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(gone, docs[id_col] == F.col("gone"), "left_anti")

@@ -1,6 +1,6 @@
 """Toxicity by positive-unlabelled learning (operator 6).
 
-A linear model over hashed words is fitted with numpy from confirmed toxic
+A linear model over hashed words and word beginnings is fitted with numpy from confirmed toxic
 texts and unlabelled text, by the non-negative risk estimator: the share of
 positives among the unlabelled text (the class prior) corrects the estimate of
 the negative risk, and where that estimate turns negative the step goes back.
@@ -28,7 +28,8 @@ from pyspark.sql import types as T
 
 from wearline.llm import common as C
 
-FEATURE_BITS = 21
+#: Hash bits, and the lengths in bytes of the word beginnings.
+FEATURE_BITS, BEGINNINGS = 22, (4, 5, 6)
 BYTES_AT_ONCE = 2 << 20
 _SEP = np.ones(256, bool)
 _SEP[0x30:0x3A] = _SEP[0x41:0x5B] = _SEP[0x61:0x7B] = _SEP[0x80:] = False
@@ -45,14 +46,18 @@ def held_out(id_col: str, folds: int = 5) -> Column:
 
 
 def _features(col: pa.Array) -> Iterator[np.ndarray]:
-    """Distinct hashed words of every row (lower-cased A-Z)."""
+    """Distinct hashed words and word beginnings of every row (lower-cased A-Z)."""
     buf, off = C.text_buffer(col)
     for a, z in C.row_slices(off, BYTES_AT_ONCE):
         part = C.lower_ascii(buf[off[a]:off[z]])
         starts, ends, firsts = C.split_words(part, off[a:z + 1] - off[a], _SEP)
-        words = (C.word_hashes(part, starts, ends, seed=3) >> C.U64(64 - FEATURE_BITS)).astype(np.int32)
+        kinds = [ends] + [np.minimum(starts + n, ends) for n in BEGINNINGS]
+        found = np.stack([C.word_hashes(part, starts, e, seed=3) for e in kinds], axis=1)
+        # A beginning and a word of the same letters are different features.
+        found[:, 1:] = C.mix64(found[:, 1:])
+        found = (found >> C.U64(64 - FEATURE_BITS)).astype(np.int32)
         for i in range(z - a):
-            yield np.unique(words[firsts[i]:firsts[i + 1]])
+            yield np.unique(found[firsts[i]:firsts[i + 1]])
 
 
 def _sampled(df: DataFrame, total: int, bound: int) -> DataFrame:
@@ -74,20 +79,25 @@ def _collect(df: DataFrame) -> list[np.ndarray]:
 
 
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 150, rate: float = 0.05,
-        decay: float = 1e-4, min_rows: int = 5) -> Model:
-    """Weights by Adam on the non-negative risk with logistic loss. Features of
-    fewer than ``min_rows`` sampled texts keep weight 0."""
+        decay: float = 1e-3, least_z: float = 4.0, min_rows: int = 5) -> Model:
+    """Weights by Adam on the non-negative risk with logistic loss. Only
+    features of at least ``min_rows`` confirmed texts whose share there exceeds
+    that in the unlabelled ones by ``least_z`` standard errors get a weight."""
     weights = np.zeros(1 << FEATURE_BITS, np.float32)
     if not positive or not unlabelled:
         return Model(weights, float(np.log(max(prior, 1e-12) / max(1 - prior, 1e-12))))
     flat = np.concatenate(positive + unlabelled)
-    used = np.flatnonzero(np.bincount(flat, minlength=len(weights)) >= min_rows)
+    cut = sum(len(x) for x in positive)
+    c_p, c_u = (np.bincount(x, minlength=len(weights)) for x in (flat[:cut], flat[cut:]))
+    n_p, n_u = len(positive), len(unlabelled)
+    share = (c_p + c_u) / (n_p + n_u)
+    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n_p + 1 / n_u))
+    used = np.flatnonzero((c_p >= min_rows) & ((c_p / n_p - c_u / n_u) >= least_z * error))
     place = np.full(len(weights), -1, np.int64)
     place[used] = np.arange(len(used))
     row = np.repeat(np.arange(len(positive) + len(unlabelled)), [len(x) for x in positive + unlabelled])
     col = place[flat]
     row, col = row[col >= 0], col[col >= 0]
-    n_p, n_u = len(positive), len(unlabelled)
     n = n_p + n_u
     theta = np.zeros(len(used) + 1)
     theta[-1] = np.log(prior / (1 - prior))
