@@ -26,6 +26,29 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, text) with a number of its own for every row: the id where ids
+    are unique and not null, else numbers stored with a copy of the rows."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    odd = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("id").isNull() | (F.col("n") > 1))
+    if odd.isEmpty():
+        return rows.select(F.col("id").alias("row"), "id", "text")
+    return materialise(rows.select(F.monotonically_increasing_id().alias("row"), "id", "text"), "numbered")
+
+
+#: Side tables are broadcast up to this size, measured as stored.
+BROADCAST_BYTES = 32 << 20
+
+
+def small_side(stored: DataFrame) -> DataFrame:
+    """A stored table, marked for broadcast if its files are small enough."""
+    jvm = stored.sparkSession._jvm
+    conf = stored.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    size = sum(jvm.org.apache.hadoop.fs.Path(f).getFileSystem(conf).getFileStatus(jvm.org.apache.hadoop.fs.Path(f)).getLen()
+               for f in stored.inputFiles())
+    return F.broadcast(stored) if size <= BROADCAST_BYTES else stored
+
+
 def append_columns(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.RecordBatch], list],
                    drop: tuple[str, ...] = (), rows_at_once: int = 500) -> DataFrame:
     """``df`` with the columns ``fields`` computed by ``fn`` (one array per
@@ -175,28 +198,21 @@ def ngram_hashes(words: np.ndarray, firsts: np.ndarray, n: int) -> tuple[np.ndar
     return h, ok
 
 
-def leftmost_minimizers(h: np.ndarray, firsts: np.ndarray, w: int) -> np.ndarray:
-    """Positions that hold the leftmost smallest value of some window of
-    ``w`` positions within a row (``firsts``: row starts and the total). Two
-    equal windows choose the same place in them, wherever they stand."""
-    n = len(h)
-    if n == 0:
+def window_minimizers(h: np.ndarray, w: int) -> np.ndarray:
+    """For every start of ``w`` positions, the place of their leftmost least
+    value by the hash's upper bits. Equal windows choose the same place in
+    them, wherever they stand."""
+    n = len(h) - w + 1
+    if n <= 0:
         return np.zeros(0, np.int64)
-    val, pos = h.copy(), np.arange(n, dtype=np.int64)
+    bits = U64(max(16, int(len(h)).bit_length()))
+    val = (h >> bits << bits) | np.arange(len(h), dtype=U64)
     have = 1
     while have < w:
         step = min(have, w - have)
-        right = val[step:]
-        take = right < val[:n - step]
-        nv, np_ = val.copy(), pos.copy()
-        nv[:n - step][take] = right[take]
-        np_[:n - step][take] = pos[step:][take]
-        val, pos = nv, np_
+        val = np.minimum(val[:len(val) - step], val[step:])
         have += step
-    start_ok = np.arange(n) + w <= np.repeat(firsts[1:], np.diff(firsts))
-    chosen = np.zeros(n, bool)
-    chosen[pos[start_ok]] = True
-    return np.flatnonzero(chosen)
+    return (val & ((U64(1) << bits) - U64(1))).astype(np.int64)
 
 
 def signed(h: np.ndarray) -> np.ndarray:

@@ -26,6 +26,11 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors(read_table(spark, sf_dir, "embeddings"), min_cosine=0.9)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wearline.llm.substrings import drop_repeats
+    return drop_repeats(read_table(spark, sf_dir, "documents"), window=35).drop("kept")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wearline.llm import secret_scan as S
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -111,7 +116,7 @@ FROM d
 """
 
 QUERIES = {"op1_byte_level_bpe": op1_byte_level_bpe, "op2_embedding_near_dedup": op2_embedding_near_dedup,
-           "op4_secret_scan": op4_secret_scan,
+           "op3_substring_dedup": op3_substring_dedup, "op4_secret_scan": op4_secret_scan,
            "op5_benchmark_decontamination": op5_benchmark_decontamination,
            "op6_toxicity": op6_toxicity, "op10_language_id": op10_language_id, "language_id_pages": language_id_pages,
            "op8_ngram_jaccard_join": op8_ngram_jaccard_join, "op9_warc": op9_warc}
