@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -36,6 +36,17 @@ def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return materialise(rows.select(F.monotonically_increasing_id().alias("row"), "id", "text"), "numbered")
 
 
+def merge_spans(spans: DataFrame) -> DataFrame:
+    """(row, spans): the union of the spans [a, z) of every row, as sorted
+    disjoint ones that do not touch."""
+    w = Window.partitionBy("row").orderBy("a", "z")
+    seen = F.max("z").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    run = F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return (spans.select("row", "a", "z", F.when(F.col("a") <= seen, 0).otherwise(1).alias("new")).select("row", "a", "z", run.alias("u"))
+            .groupBy("row", "u").agg(F.min("a").alias("a"), F.max("z").alias("z"))
+            .groupBy("row").agg(F.sort_array(F.collect_list(F.struct("a", "z"))).alias("spans")))
+
+
 #: Side tables are broadcast up to this size, measured as stored.
 BROADCAST_BYTES = 32 << 20
 

@@ -76,6 +76,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.score(docs, model).select("doc_id", X.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wearline.llm.suffix import drop_repeats
+    return drop_repeats(read_table(spark, sf_dir, "documents"), length=100).drop("kept")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wearline.llm.jaccard import similar_classes
     return similar_classes(read_table(spark, sf_dir, "documents"), n=4, percent=85)
@@ -119,5 +124,5 @@ QUERIES = {"op1_byte_level_bpe": op1_byte_level_bpe, "op2_embedding_near_dedup":
            "op3_substring_dedup": op3_substring_dedup, "op4_secret_scan": op4_secret_scan,
            "op5_benchmark_decontamination": op5_benchmark_decontamination,
            "op6_toxicity": op6_toxicity, "op10_language_id": op10_language_id, "language_id_pages": language_id_pages,
-           "op8_ngram_jaccard_join": op8_ngram_jaccard_join, "op9_warc": op9_warc}
+           "op7_suffix_array_dedup": op7_suffix_array_dedup, "op8_ngram_jaccard_join": op8_ngram_jaccard_join, "op9_warc": op9_warc}
 ORACLES: dict[str, str] = {"op5_benchmark_decontamination": _OP5_SQL, "op9_warc": _OP9_SQL}

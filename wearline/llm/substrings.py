@@ -116,7 +116,7 @@ def _beyond(units: list, words: int, window: int, k: int) -> np.ndarray:
 
 
 def _verified(rows: DataFrame, paths: DataFrame, window: int, k: int) -> DataFrame:
-    """(row, starts): the repeated ones of the windows that leave their path."""
+    """(row, pos): the repeated ones of the windows that leave their path."""
 
     def run(b: pa.RecordBatch) -> Iterator[list]:
         ids, units = b.column(0).to_numpy(), b.column(2)
@@ -134,26 +134,17 @@ def _verified(rows: DataFrame, paths: DataFrame, window: int, k: int) -> DataFra
     cuts = C.map_batches(rows.join(C.small_side(paths), "row").select("row", "text", "units"), _CUT, run)
     cuts = C.materialise(cuts, "windows")
     twice = cuts.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
-    return cuts.join(twice, ["h1", "h2"], "left_semi").groupBy("row").agg(F.sort_array(F.collect_list("pos")).alias("starts"))
+    return cuts.join(twice, ["h1", "h2"], "left_semi").select("row", "pos")
 
 
 def repeated_spans(rows: DataFrame, window: int, k: int) -> DataFrame:
     """Stored (row, spans): the repeated words of every row that has any, as
     sorted disjoint spans (first, end) of word numbers."""
     paths = C.materialise(_paths(_edges(rows, window, k)), "paths")
-    found = paths.join(_verified(rows, paths, window, k), "row", "left")
-    inside = F.transform(F.filter("units", lambda u: u["z"] + k - u["a"] >= window),
-                         lambda u: F.struct(u["a"].alias("a"), (u["z"] + k).alias("z")))
-    cut = F.transform(F.coalesce("starts", F.array().cast("array<bigint>")),
-                      lambda s: F.struct(s.alias("a"), (s + window).alias("z")))
-    every = F.sort_array(F.concat(inside, cut))
-    empty = F.array().cast("array<struct<a:bigint,z:bigint>>")
-    merged = F.aggregate(every, empty, lambda acc, s: F.when(
-        (F.size(acc) > 0) & (F.element_at(acc, -1)["z"] >= s["a"]),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1),
-                 F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["z"], s["z"]).alias("z")))))
-        .otherwise(F.concat(acc, F.array(s))))
-    return C.materialise(found.select("row", merged.alias("spans")).filter(F.size("spans") > 0), "spans")
+    cut = _verified(rows, paths, window, k)
+    inside = paths.select("row", F.explode("units").alias("u")).select("row", "u.a", (F.col("u.z") + k).alias("z"))
+    spans = inside.filter(F.col("z") - F.col("a") >= window).union(cut.select("row", F.col("pos").alias("a"), F.col("pos") + window))
+    return C.materialise(C.merge_spans(spans), "spans")
 
 
 def drop_repeats(docs: DataFrame, window: int = 35, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
