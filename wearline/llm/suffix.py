@@ -132,9 +132,10 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     sorted again, by the ranks ``h`` places on, with h doubled each time."""
     n = len(text)
     keys = _words(text, ">")
-    sa = np.argsort(keys, kind="stable")
-    k = keys[sa]
-    start = np.concatenate([[True], k[1:] != k[:-1]])
+    # From the end on, so that of equal keys the shorter suffix comes first.
+    sa = n - 1 - np.argsort(keys[::-1], kind="stable")
+    k, left = keys[sa], np.minimum(n - sa, 8)
+    start = np.concatenate([[True], (k[1:] != k[:-1]) | (left[1:] != left[:-1])])
     rank = np.zeros(n + 1, np.int64)  # 0 stands for the empty suffix
     h = 8
     while True:
