@@ -96,7 +96,7 @@ _TEXT_COUNTS = T.StructType([T.StructField("declared", T.StringType()), T.Struct
                              T.StructField("n", T.LongType())])
 
 
-def train_text(rows: DataFrame, min_rows: int = 20, max_languages: int = 60) -> TextModel:
+def train_text(rows: DataFrame, min_rows: int = 5, max_languages: int = 60) -> TextModel:
     """Trigram models from (text, declared) over all rows."""
     known = [r[0] for r in rows.filter(F.col("declared").isNotNull()).groupBy("declared").count()
              .filter(F.col("count") >= min_rows).orderBy(F.desc("count"), "declared").limit(max_languages).collect()]

@@ -153,8 +153,8 @@ _SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("star
 _SPAN_ARROW = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
 
-def scan(df: DataFrame, ratio: np.ndarray, text_col: str = "text") -> DataFrame:
-    """``df`` with ``secrets``: array of (kind, start, end), by start and then
+def scan(df: DataFrame, ratio: np.ndarray, text_col: str = "text", out: str = "secrets") -> DataFrame:
+    """``df`` with ``secrets`` (or the name ``out``): array of (kind, start, end), by start and then
     kind in the order of ``KINDS``."""
 
     def run(b: pa.RecordBatch) -> list:
@@ -165,18 +165,18 @@ def scan(df: DataFrame, ratio: np.ndarray, text_col: str = "text") -> DataFrame:
                 rows[r + row].append({"kind": KINDS[kind], "start": start, "end": end})
         return [pa.array(rows, pa.list_(_SPAN_ARROW))]
 
-    return append_columns(df, [T.StructField("secrets", T.ArrayType(_SPAN))], run)
+    return append_columns(df, [T.StructField(out, T.ArrayType(_SPAN))], run)
 
 
 def redact(df: DataFrame, ratio: np.ndarray, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``df`` with every secret span of the text replaced by ``mark``
     (overlapping spans by one); null texts stay null."""
     names = [f.name for f in df.schema.fields]
-    held = scan(df, ratio, text_col)
+    held = scan(df, ratio, text_col, out="__secrets")
 
     def run(b: pa.RecordBatch) -> list:
         texts, out = b.column(text_col), b.column(text_col).to_pylist()
-        for i, spans in enumerate(b.column("secrets").to_pylist()):
+        for i, spans in enumerate(b.column("__secrets").to_pylist()):
             if spans:
                 text, parts, done = texts[i].as_py(), [], 0
                 for x in spans:
@@ -186,7 +186,7 @@ def redact(df: DataFrame, ratio: np.ndarray, text_col: str = "text", mark: str =
                 out[i] = "".join(parts) + text[done:]
         return [pa.array(out, pa.string())]
 
-    return append_columns(held, [T.StructField(text_col, T.StringType())], run, drop=("secrets",)).select(*names)
+    return append_columns(held, [T.StructField(text_col, T.StringType())], run, drop=("__secrets",)).select(*names)
 
 
 def span_text(spans: str, kinds: tuple[str, ...] = KINDS):
