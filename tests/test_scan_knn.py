@@ -21,6 +21,19 @@ def test_ranked_hot_key_many_partitions(spark):
     assert np.allclose(r["v_cum"].to_numpy(), exp.groupby("k")["v"].cumsum().to_numpy())
 
 
+def test_ranked_null_and_nan_keys_over_partitions(spark):
+    rows = [(None if i % 3 else float("nan") if i % 2 else 1.5, i, 2**60 + i, float(i % 7)) for i in range(900)]
+    df = spark.createDataFrame(rows, "k double, o bigint, big bigint, v double")
+    r = ranked(df, ["k"], ["o"], ["v"], n_parts=7).toPandas()
+    pdf = pd.DataFrame(rows, columns=["k", "o", "big", "v"])
+    pdf["g"] = ["null" if a is None else str(a) for a, *_ in rows]
+    pdf["rn"] = pdf.groupby("g").cumcount() + 1
+    pdf["cum"] = pdf.groupby("g")["v"].cumsum()
+    r, pdf = r.sort_values("o"), pdf.sort_values("o")
+    assert (r["_rn"].to_numpy() == pdf["rn"].to_numpy()).all() and np.allclose(r["v_cum"], pdf["cum"])
+    assert r["big"].tolist() == pdf["big"].tolist()
+
+
 def test_ranked_global_descending(spark):
     df = spark.range(2000).select(((F.col("id") * 7919) % 2000).alias("o"))
     r = ranked(df, [], [F.desc("o")], n_parts=7).toPandas()

@@ -1,15 +1,15 @@
-"""Per-unit time-series features (W2–W8, W12) in one Window node.
+"""Per-unit time-series features.
 
-All window expressions share one partition/order spec and are written in
-a single ``select``: Spark plans one exchange (hash by unit), one sort and
-one Window operator for the whole feature set.
+Bounded windows share one partition/order spec and are written in a single
+``select`` (one exchange, one sort, one Window operator); running values come
+from the prefix scan.
 
 Semantics (pandas parity):
 * rolling mean / sample std need a full window (``min_periods = window``),
   otherwise null, and nulls become 0 afterwards;
-* EMA ``span=5, adjust=False`` (alpha = 1/3, seeded with the first value),
-  computed as a fold over a bounded look-back frame: the weight of values
-  beyond the frame is below 1e-17;
+* EMA ``span=5, adjust=False`` (alpha = 1/3, seeded with the first value); over
+  a gap the earlier average decays with every row, and a row without a value
+  keeps the average;
 * rate of change = first difference (first row 0) and cumulative sum for
   the degradation sensors; ``cycle_norm = cycle / max(cycle)`` per unit;
 * with ``include_rolling`` every null is filled with 0 *before* the
@@ -22,8 +22,6 @@ use the N-row frame, ``cycle_norm`` is 1, rolling windows wider than N are 0.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,66 +35,19 @@ def ema_weights(span: int = EMA_SPAN) -> tuple[float, float]:
     return (span - 1.0) / (span + 1.0), 2.0 / (span + 1.0)
 
 
-def ema_lookback(span: int = EMA_SPAN) -> int:
-    """Rows before the current one that an EMA fold needs so that the
-    weight of everything older is below 1e-17."""
-    decay, _ = ema_weights(span)
-    if decay <= 0:
-        return 0
-    return int(math.ceil(math.log(1e-17) / math.log(decay)))
+def ema_fold(rows: Column, span: int = EMA_SPAN) -> Column:
+    """Fold an ordered array of ``struct(v)``, nulls included: a value ``g``
+    rows after the last one weighs ``alpha`` against ``decay**g``."""
+    decay, alpha = ema_weights(span)
+    start = F.struct(F.lit(None).cast("double").alias("v"), F.lit(1.0).alias("w"))
 
+    def step(a, x):
+        old, v = a["w"] * F.lit(decay), x["v"].cast("double")
+        mean = F.when(a["v"].isNull(), v).otherwise((old * a["v"] + F.lit(alpha) * v) / (old + F.lit(alpha)))
+        return F.when(v.isNull(), F.struct(a["v"].alias("v"), F.when(a["v"].isNull(), a["w"]).otherwise(old).alias("w"))) \
+            .otherwise(F.struct(mean.alias("v"), F.lit(1.0).alias("w")))
 
-def ema_fold(values: Column, span: int = EMA_SPAN) -> Column:
-    """Fold an ordered array: ``a = x0; a = a*decay + x*alpha``. The array
-    is referenced once so Spark collects it once."""
-    decay, alpha = ema_weights(span)
-    return F.aggregate(values, F.lit(None).cast("double"),
-                       lambda a, x: F.when(a.isNull(), x)
-                       .otherwise(a * F.lit(decay) + x * F.lit(alpha)))
-
-
-EMA_BLOCK = 512   # rows per block of the blocked EMA: (3/2)^511 ~ 1e90 stays finite
-
-
-def with_blocked_ema(df: DataFrame, cols: list[str], w, keys: list[str], span: int = EMA_SPAN,
-                     block: int = EMA_BLOCK) -> DataFrame:
-    """Exact EMA (``adjust=False``) with O(1) window work per row.
-
-    Rows are cut into blocks of ``block`` positions per unit. Inside a block
-    ``E_in(t) = alpha * d^(t-A) * sum_{A<=i<=t} x_i d^-(i-A)`` is a running
-    sum (no cancellation: the scaled terms grow geometrically). The value
-    at the end of the previous block comes from an incremental
-    ``last(.., ignorenulls)`` frame, and
-    ``ema(t) = E_in(t) + d^(t-A+1) * ema(A-1)`` (+ the seed term
-    ``(1-alpha) d^t x_0`` in the first block). The chain between blocks
-    drops a term of relative size d^block (1e-90). Three Window operators
-    share the unit exchange; the per-row cost does not depend on the span.
-    Returns ``df`` with ``<col>_ema`` columns (null when the column is)."""
-    d, a = ema_weights(span)
-    pos = F.row_number().over(w) - 1
-    b = df.select("*", pos.alias("_pos"))
-    blk = F.floor(F.col("_pos") / block)
-    b = b.withColumn("_blk", blk).withColumn("_off", F.col("_pos") - F.col("_blk") * block)
-    wb = Window.partitionBy(*keys, "_blk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    q = [F.sum(F.col(c).cast("double") * F.pow(F.lit(d), -F.col("_off"))).over(wb).alias(f"_q_{c}")
-         for c in cols]
-    b = b.select("*", *q)
-    ein = {c: F.lit(a) * F.pow(F.lit(d), F.col("_off")) * F.col(f"_q_{c}") for c in cols}
-    end = ((F.col("_pos") + 1) % block) == 0
-    b = b.select("*", *[ein[c].alias(f"_e_{c}") for c in cols])
-    # ordered like ``w`` (position is monotone in it): the feature window
-    # that follows reuses this sort
-    wp = w.rowsBetween(Window.unboundedPreceding, -1)
-    wf = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = []
-    for c in cols:
-        prev = F.last(F.when(end, F.col(f"_e_{c}")), ignorenulls=True).over(wp)
-        carry = F.coalesce(F.pow(F.lit(d), F.col("_off") + 1) * prev, F.lit(0.0))
-        seed = F.when(F.col("_blk") == 0, F.lit(1.0 - a) * F.pow(F.lit(d), F.col("_pos"))
-                      * F.first(F.col(c).cast("double"), ignorenulls=True).over(wf))
-        out.append((F.col(f"_e_{c}") + carry + F.coalesce(seed, F.lit(0.0))).alias(f"{c}_ema"))
-    b = b.select("*", *out)
-    return b.drop("_pos", "_blk", "_off", *[f"_q_{c}" for c in cols], *[f"_e_{c}" for c in cols])
+    return F.aggregate(rows, start, step, lambda a: a["v"])
 
 
 def degradation_columns(df_columns) -> list[str]:
@@ -120,140 +71,90 @@ def feature_names(value_cols: list[str], degr_cols: list[str], window_sizes=WIND
 
 def engineer_features(df: DataFrame, window_sizes=WINDOW_SIZES, include_rolling: bool = True,
                       include_degradation: bool = True, history: int | None = None,
-                      unit_col: str = UNIT, order_col: str = CYCLE, ema_span: int = EMA_SPAN,
-                      value_cols: list[str] | None = None, ema_method: str = "blocked",
-                      skew: str = "auto", max_unit_rows: int = 2_000_000, chunk_rows: int = 1_000_000,
-                      _keys: list[str] | None = None) -> DataFrame:
-    """All features in one select over one window spec (the blocked
-    EMA adds two Window operators on the same unit exchange).
-
-    ``skew``: "off" (one unit per task), "on" (chunked, see
-    ``chunked_features``) or "auto" (chunked when the largest unit has
-    more than ``max_unit_rows`` rows; one partial aggregate decides)."""
-    if skew == "auto":
-        from wearline.operators.labels import resolve_skew
-        skew = "on" if resolve_skew(df, "auto", unit_col, max_unit_rows) else "off"
-    if skew == "on" and _keys is None:
-        return chunked_features(df, window_sizes, include_rolling, include_degradation, history,
-                                unit_col, order_col, ema_span, value_cols, chunk_rows)
+                      unit_col: str = UNIT, order_col: str = CYCLE, ema_span: float = EMA_SPAN,
+                      value_cols: list[str] | None = None, chunk_rows: int = 1_000_000) -> DataFrame:
+    """All features, by one plan for units of any size.
+
+    1. Positions, cumulative sums and averages come from the range-partitioned
+       scan (``scan.ranked``): exact for any span and over gaps, and a hot unit
+       is spread over many tasks.
+    2. Every unit is cut into chunks of ``chunk_rows`` positions; the rows just
+       before a chunk are copied into it, as many as the widest window looks
+       back. Windows of bounded length run per (unit, chunk) in one Window
+       operator, and the copies are dropped.
+    3. ``cycle_norm`` divides by the unit's maximum, a partial aggregate that is
+       joined back (AQE splits a skewed side)."""
+    from wearline.operators.labels import unit_keys
+    from wearline.operators.scan import ranked
+    keys = unit_keys(df, unit_col)
     cols = present(df.columns, value_cols or value_columns())
     degr = degradation_columns(df.columns)
-    w = (Window.partitionBy(*_keys).orderBy(order_col) if _keys is not None
-         else unit_window(df, unit_col, order_col))
-    blocked = include_rolling and history is None and ema_method == "blocked" and cols
-    src = df
-    if blocked:
-        from wearline.operators.labels import unit_keys
-        src = with_blocked_ema(df, cols, w, _keys or unit_keys(df, unit_col), ema_span)
+    fill, all_rows = include_rolling, history is None
+    back = max([1, *([n - 1 for n in window_sizes] if include_rolling else []), *([] if all_rows else [history - 1])])
+    if chunk_rows <= back:
+        raise ValueError("chunk_rows must exceed the look-back")
     numeric = {f.name for f in df.schema.fields
-               if f.dataType.typeName() in ("double", "float", "long", "integer", "short",
-                                            "byte", "decimal")}
+               if f.dataType.typeName() in ("double", "float", "long", "integer", "short", "byte", "decimal")}
+
+    def base(c):
+        return F.coalesce(F.col(c), F.lit(0.0)) if fill else F.col(c)
+
+    sums = [f"_cs_{c}" for c in degr] if include_degradation and all_rows else []
+    emas = cols if include_rolling and all_rows else []
+    pre = df.select("*", *[F.col(c).cast("double").alias(f"_cs_{c}") for c in degr if sums])
+    r = ranked(pre, keys, [order_col], sums, emas=emas, span=ema_span)
+    chunk = F.floor((F.col("_rn") - 1) / chunk_rows).cast("bigint")
+    late = (F.col("_rn") - 1) % chunk_rows >= chunk_rows - back
+    r = r.select("*", F.posexplode(F.when(late, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))).alias("_copy", "_chunk"))
+    w = Window.partitionBy(*keys, "_chunk").orderBy("_rn")
 
     out: list[Column] = []
     if include_rolling:
-        # the reference fills nulls of every numeric column once rolling is done
+        # the reference fills nulls of every numeric column but not the keys,
+        # which stay as they are
         for c in df.columns:
             out.append(F.coalesce(F.col(c), F.lit(0).cast(df.schema[c].dataType)).alias(c)
-                       if c in numeric else F.col(c))
+                       if c in numeric and c not in (*keys, order_col) else F.col(c))
         for n in window_sizes:
             frame = w.rowsBetween(-(n - 1), 0)
-            fits = history is None or n <= history
+            fits = all_rows or n <= history
             for c in cols:
                 full = F.count(c).over(frame) == n
                 mean = F.when(full, F.avg(c).over(frame)) if fits else F.lit(None)
                 std = F.when(full, F.stddev_samp(c).over(frame)) if fits else F.lit(None)
                 out.append(F.coalesce(mean.cast("double"), F.lit(0.0)).alias(f"{c}_rolling_mean_{n}"))
                 out.append(F.coalesce(std.cast("double"), F.lit(0.0)).alias(f"{c}_rolling_std_{n}"))
-        k = ema_lookback(ema_span) if history is None else history - 1
-        ema_frame = w.rowsBetween(-k, 0)
         for c in cols:
-            e = F.col(f"{c}_ema") if blocked else ema_fold(F.collect_list(c).over(ema_frame), ema_span)
+            e = (F.col(f"{c}_ema") if all_rows else
+                 ema_fold(F.collect_list(F.struct(F.col(c).alias("v"))).over(w.rowsBetween(-(history - 1), 0)), ema_span))
             out.append(F.coalesce(e, F.lit(0.0)).alias(f"{c}_ema"))
     else:
         out += [F.col(c) for c in df.columns]
 
     if include_degradation:
-        def base(c):
-            return F.coalesce(F.col(c), F.lit(0.0)) if include_rolling else F.col(c)
         cyc = F.col(order_col)
-        if history is None:
-            mx = F.max(order_col).over(w.rowsBetween(Window.unboundedPreceding,
-                                                     Window.unboundedFollowing))
-            out.append(F.when(mx > 0, cyc / mx).otherwise(F.lit(0.0)).cast("double").alias("cycle_norm"))
-        else:
+        if not all_rows:
             out.append(F.when(cyc > 0, F.lit(1.0)).otherwise(F.lit(0.0)).alias("cycle_norm"))
+        else:
+            out.append(F.lit(None).cast("double").alias("cycle_norm"))
         for c in degr:
             diff = base(c) - F.lag(base(c), 1).over(w)
-            if history is not None and history < 2:
+            if not all_rows and history < 2:
                 diff = F.lit(None)
             out.append(F.coalesce(diff.cast("double"), F.lit(0.0)).alias(f"{c}_rate_of_change"))
-        cum_frame = w.rowsBetween(Window.unboundedPreceding if history is None else -(history - 1), 0)
         for c in degr:
-            s = F.sum(base(c)).over(cum_frame)
-            if not include_rolling:
+            s = F.col(f"_cs_{c}_cum") if all_rows else F.sum(base(c)).over(w.rowsBetween(-(history - 1), 0))
+            if not fill:
                 s = F.when(F.col(c).isNotNull(), s)   # pandas cumsum keeps NaN in place
             out.append(s.cast("double").alias(f"{c}_cumsum"))
-    return src.select(*out)
-
-
-def chunked_features(df: DataFrame, window_sizes=WINDOW_SIZES, include_rolling: bool = True,
-                     include_degradation: bool = True, history: int | None = None,
-                     unit_col: str = UNIT, order_col: str = CYCLE, ema_span: int = EMA_SPAN,
-                     value_cols: list[str] | None = None, chunk_rows: int = 1_000_000) -> DataFrame:
-    """The feature set for units of any size (a hot unit is split over
-    many tasks), equal to ``engineer_features``:
-
-    1. exact positions and cumulative sums per unit from the
-       range-partitioned scan (``scan.ranked``);
-    2. every unit is cut into chunks of ``chunk_rows`` positions; the last
-       H rows of a chunk are copied into the next chunk as a halo, with
-       H = max(window - 1, EMA look-back) (the EMA restarted H = 97 rows
-       back differs by < (2/3)^97 ~ 1e-17 of the value spread);
-    3. the bounded kernels (rolling, lag, EMA) run per (unit, chunk); the
-       halo rows are dropped; ``cycle_norm`` divides by the unit's maximum
-       (a partial aggregate joined back; AQE splits a skewed join side)."""
-    from wearline.operators.labels import unit_keys
-    from wearline.operators.scan import ranked
-    keys = unit_keys(df, unit_col)
-    degr = degradation_columns(df.columns)
-    fill = include_rolling
-    h = max(max(window_sizes) - 1, ema_lookback(ema_span) if history is None else history - 1, 1)
-    if chunk_rows <= h:
-        raise ValueError("chunk_rows must exceed the halo")
-    sums = []
-    pre = df
-    if include_degradation and history is None:
-        for c in degr:
-            pre = pre.withColumn(f"_cs_{c}", F.coalesce(F.col(c), F.lit(0.0)) if fill else F.col(c))
-            sums.append(f"_cs_{c}")
-    r = ranked(pre, keys, [order_col], sums)
-    r = r.withColumn("_chunk", F.floor((F.col("_rn") - 1) / chunk_rows).cast("bigint"))
-    halo = (r.filter(((F.col("_rn") - 1) % chunk_rows) >= chunk_rows - h)
-            .withColumn("_chunk", F.col("_chunk") + 1).withColumn("_halo", F.lit(True)))
-    both = r.withColumn("_halo", F.lit(False)).unionByName(halo)
-    body_cols = [c for c in df.columns]
-    extra = ["_rn", "_halo"] + [f"{s}_cum" for s in sums]
-    feats = engineer_features(both.select(*body_cols, "_chunk", *extra), window_sizes, include_rolling,
-                              include_degradation, history, unit_col, "_rn", ema_span,
-                              value_cols=present(df.columns, value_cols or value_columns()),
-                              skew="off", _keys=keys + ["_chunk"])
-    feats = feats.filter(~F.col("_halo"))
-    if include_degradation:
-        if history is None:
-            mx = df.groupBy(*keys).agg(F.max(order_col).alias("_max"))
-            feats = feats.join(mx, keys, "left").withColumn(
-                "cycle_norm", F.when(F.col("_max") > 0, F.col(order_col) / F.col("_max"))
-                .otherwise(F.lit(0.0)).cast("double"))
-            for c in degr:
-                cs = F.col(f"_cs_{c}_cum")
-                if not fill:
-                    cs = F.when(F.col(c).isNotNull(), cs)
-                feats = feats.withColumn(f"{c}_cumsum", cs)
-        else:
-            feats = feats.withColumn("cycle_norm", F.when(F.col(order_col) > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-    names = [c for c in feats.columns if c not in set(extra) | {"_chunk", "_max"}
-             and not c.startswith("_cs_")]
-    return feats.select(*names)
+    feats = r.select(*out, "_copy").filter(F.col("_copy") == 0).drop("_copy")
+    if include_degradation and all_rows:
+        top = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.max(order_col).alias("_max"))
+        same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+        names = feats.columns
+        feats = (feats.join(top, same, "left").withColumn("cycle_norm", F.when(F.col("_max") > 0, F.col(order_col) / F.col("_max"))
+                                                          .otherwise(F.lit(0.0)).cast("double")).select(*names))
+    return feats
 
 
 def select_features(df: DataFrame, exclude=None) -> DataFrame:
@@ -273,11 +174,11 @@ def fill_zero(df: DataFrame) -> DataFrame:
 
 
 def latest_per_unit(df: DataFrame, unit_col: str = UNIT, order_col: str = CYCLE) -> DataFrame:
-    """Last row per unit as an aggregate (``max_by`` of the whole row):
-    partial aggregation map-side, no sort."""
+    """The last row per unit: rows at the unit's last cycle, a partial
+    aggregate that is joined back. Ties on the cycle keep an arbitrary row."""
     keys = (["dataset"] if "dataset" in df.columns else []) + [unit_col]
+    row = F.max_by(F.struct(*[c for c in df.columns if c not in keys]), F.col(order_col)).alias("_last")
     rest = [c for c in df.columns if c not in keys]
-    row = F.max_by(F.struct(*rest), F.col(order_col)).alias("_last")
     return df.groupBy(*keys).agg(row).select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
 
 

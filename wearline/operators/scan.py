@@ -1,31 +1,32 @@
 """Segmented prefix scan without a single-task window.
 
-``ranked(df, keys, order, sums)`` adds, for every row, its 1-based position
-``_rn`` within its key group (ordered by ``order``) and running totals
-``<s>_cum`` of the ``sums`` columns — the result of
-``row_number()/sum() OVER (PARTITION BY keys ORDER BY order)`` — but a hot
-key group (or no key at all: a global order) is spread over many tasks:
-
-1. ``repartitionByRange(keys, order)`` + ``sortWithinPartitions``; the
-   result is checkpointed to the cluster's checkpoint folder so partition
-   contents and ids stay fixed between the two passes and across executor
-   loss;
-2. pass 1 emits, per partition, the totals of its first and last key run
-   (at most 2 rows per partition) — only these runs can continue across a
-   partition boundary;
-3. the driver turns these ``<= 2 x partitions`` rows into per-(partition,
-   key) offsets;
-4. pass 2 adds within-partition running totals (numpy, Arrow batches,
-   carried across batches) to the offsets.
-
-Rows tied on ``(keys, order)`` fall into one partition; their relative
-order is arbitrary, so callers add tie-breakers where order matters.
+``ranked(df, keys, order, sums, emas)`` adds, for every row, its 1-based
+position ``_rn`` within its key group (ordered by ``order``), running totals
+``<s>_cum`` of the ``sums`` columns and exponential averages ``<c>_ema`` of the
+``emas`` columns, but a hot key group (or no key at all: a global order) is
+spread over many tasks:
+
+1. ``repartitionByRange(keys, order)`` + ``sortWithinPartitions``; the result
+   is checkpointed to the cluster's checkpoint folder so partition contents and
+   ids stay fixed between the two passes and across executor loss;
+2. pass 1 emits, per partition, a summary of its first and last key run (at
+   most 2 rows per partition): only these can continue across a boundary;
+3. the driver joins these summaries into the state with which the first run
+   of each partition begins;
+4. pass 2 adds the running values (numpy, Arrow batches).
+
+Keys are compared null-safe. Rows tied on ``(keys, order)`` fall into one
+partition; their relative order is arbitrary, so callers add tie-breakers
+where order matters.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,32 +34,166 @@ from pyspark.sql import types as T
 from wearline.session import ensure_checkpoint_dir, ship_package
 
 
-def _key_tuple(pdf: pd.DataFrame, keys: list[str], i: int):
-    return tuple(pdf[k].iat[i] for k in keys)
-
-
-def _runs(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
-    """Run id per row: consecutive rows with equal keys share an id."""
-    if not keys:
-        return np.zeros(len(pdf), dtype=np.int64)
-    change = np.zeros(len(pdf), dtype=bool)
+def run_starts(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """First rows of the runs of equal keys (nulls equal nulls, NaN NaN)."""
+    n = batch.num_rows
+    change = np.zeros(n, bool)
     change[0] = True
     for k in keys:
-        v = pdf[k].to_numpy()
-        nulls = pd.isna(v)
-        diff = np.empty(len(v), dtype=bool)
-        diff[0] = True
-        diff[1:] = (v[1:] != v[:-1]) & ~(nulls[1:] & nulls[:-1])
-        diff[1:] |= nulls[1:] ^ nulls[:-1]
-        change |= diff
-    return np.cumsum(change) - 1
+        col = batch.column(k)
+        a, b = col.slice(1), col.slice(0, n - 1)
+        same = pc.if_else(pc.or_(a.is_null(), b.is_null()), pc.and_(a.is_null(), b.is_null()), pc.equal(a, b))
+        if pa.types.is_floating(col.type):
+            same = pc.or_(same, pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False))
+        change[1:] |= ~same.to_numpy(zero_copy_only=False).astype(bool)
+    return np.flatnonzero(change)
+
+
+def row_key(batch: pa.RecordBatch, keys: list[str], i: int) -> tuple:
+    """A comparable key: NaN, which differs from itself, as text."""
+    out = [batch.column(k)[i].as_py() for k in keys]
+    return tuple("NaN" if isinstance(v, float) and v != v else v for v in out)
+
+
+# --- exponential averages over gaps ------------------------------------------------
+#
+# A series' summary is (rows, lead, first, factor, value, tail): rows in all,
+# rows before the first value, that value, the factor by which a change of the
+# average there reaches the end, the average at the end, and rows after the
+# last value. ``lead`` is None without any value.
+
+EMPTY = (0, None, 0.0, 0.0, 0.0, 0)
+
+
+def _keep(gap, decay: float, alpha: float):
+    """Weight that the earlier average keeps at a value ``gap`` rows later."""
+    old = decay ** np.asarray(gap, float)
+    return old / (old + alpha)
+
+
+def joined(s: tuple, t: tuple, decay: float, alpha: float) -> tuple:
+    """Summary of two parts of one series, one after the other."""
+    if t[1] is None:
+        return (s[0] + t[0], *s[1:5], s[5] + t[0]) if s[1] is not None else (s[0] + t[0], None, 0.0, 0.0, 0.0, 0)
+    if s[1] is None:
+        return (s[0] + t[0], s[0] + t[1], *t[2:])
+    p = float(_keep(s[5] + t[1] + 1, decay, alpha))
+    at = p * s[4] + (1 - p) * t[2]
+    return (s[0] + t[0], s[1], s[2], s[3] * p * t[3], t[3] * (at - t[2]) + t[4], t[5])
+
+
+def segmented_ema(x: np.ndarray, starts: np.ndarray, before: tuple, decay: float, alpha: float):
+    """Averages of ``x`` (NaN: no value) restarted at ``starts``; the first
+    segment continues a series with the summary ``before``. Returns them and
+    the summaries, without ``before``, of the first and the last segment."""
+    n = len(x)
+    ends = np.append(starts[1:], n)
+    seg = np.repeat(np.arange(len(starts)), ends - starts)
+    at = np.flatnonzero(~np.isnan(x))
+    own = seg[at]
+    first = np.ones(len(at), bool)
+    first[1:] = own[1:] != own[:-1]
+    gap = np.ones(len(at))
+    gap[1:] = np.diff(at)
+    a = np.where(first, 0.0, _keep(gap, decay, alpha))
+    weight = a.copy()
+    v = np.where(first, 1.0, 1.0 - a) * x[at]
+    if len(at) and own[0] == 0 and before[1] is not None:
+        p = float(_keep(before[5] + at[0] + 1, decay, alpha))
+        v[0] = p * before[4] + (1 - p) * x[at[0]]
+    step = 1
+    while step < len(a) and a.any():
+        v[step:] += a[step:] * v[:-step].copy()
+        a[step:] *= a[:-step].copy()
+        a[a < 1e-300] = 0.0
+        step *= 2
+    last = np.maximum.accumulate(np.where(np.isnan(x), -1, np.arange(n)))
+    filled = np.full(n, np.nan)
+    held = (last >= 0) & (last >= starts[seg])
+    place = np.zeros(n, np.int64)
+    place[at] = np.arange(len(at))
+    filled[held] = v[place[last[held]]]
+    if before[1] is not None:
+        filled[(seg == 0) & ~held] = before[4]
+
+    def summary(s: int, value_shift: float) -> tuple:
+        mine = np.flatnonzero(own == s)
+        rows = int(ends[s] - starts[s])
+        if not len(mine):
+            return (rows, None, 0.0, 0.0, 0.0, 0)
+        factor = float(np.prod(weight[mine[1:]]))
+        x1 = float(x[at[mine[0]]])
+        return (rows, int(at[mine[0]] - starts[s]), x1, factor, float(v[mine[-1]]) - factor * value_shift,
+                int(ends[s] - 1 - at[mine[-1]]))
+
+    shift = float(v[0] - x[at[0]]) if len(at) and own[0] == 0 else 0.0
+    return filled, summary(0, shift), summary(len(starts) - 1, shift if len(starts) == 1 else 0.0)
+
+
+def _floats(batch: pa.RecordBatch, c: str) -> np.ndarray:
+    return pc.cast(batch.column(c), pa.float64(), safe=False).to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+
+
+class _Carry:
+    """State of the current run at the start of a batch."""
+
+    def __init__(self, sums: int, emas: int):
+        self.count, self.sums, self.emas = 0, [0.0] * sums, [EMPTY] * emas
+
+
+def _scan_batch(b: pa.RecordBatch, starts: np.ndarray, carry: _Carry, sums: list[str], emas: list[str], decay: float,
+                alpha: float):
+    """Running values of a batch whose first run continues ``carry``, and the
+    states of its first and last run at their ends in this batch."""
+    n = b.num_rows
+    size = np.diff(np.append(starts, n))
+    rn = np.arange(n) - np.repeat(starts, size) + 1
+    rn[:size[0]] += carry.count
+    first, last = _Carry(0, 0), _Carry(0, 0)
+    first.count = carry.count + int(size[0])
+    last.count = first.count if len(starts) == 1 else int(size[-1])
+    totals = []
+    for j, s in enumerate(sums):
+        v = np.nan_to_num(_floats(b, s), nan=0.0)
+        tot = _segment_cumsum(v, starts, size)
+        tot[:size[0]] += carry.sums[j]
+        totals.append(tot)
+        first.sums.append(float(tot[size[0] - 1]))
+        last.sums.append(float(tot[-1]))
+    averages = []
+    for j, c in enumerate(emas):
+        e, s0, s1 = segmented_ema(_floats(b, c), starts, carry.emas[j], decay, alpha)
+        averages.append(e)
+        whole = joined(carry.emas[j], s0, decay, alpha)
+        first.emas.append(whole)
+        last.emas.append(whole if len(starts) == 1 else s1)
+    return rn, totals, averages, first, last
+
+
+def _segment_cumsum(v: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Running sums within segments; no total of other segments enters (and
+    leaves) a sum. Many segments take their steps at once."""
+    out = v.copy()
+    if len(starts) < 64:
+        for a, n in zip(starts.tolist(), size.tolist()):
+            np.cumsum(out[a:a + n], out=out[a:a + n])
+        return out
+    by = np.argsort(-size, kind="stable")
+    s, n = starts[by], size[by]
+    for off in range(1, int(n[0])):
+        live = s[:np.searchsorted(-n, -off, "left")]
+        out[live + off] += out[live + off - 1]
+    return out
 
 
 def ranked(df: DataFrame, keys: list[str] | None = None, order: list | None = None,
-           sums: list[str] | None = None, n_parts: int | None = None) -> DataFrame:
+           sums: list[str] | None = None, n_parts: int | None = None, emas: list[str] | None = None,
+           span: float = 5) -> DataFrame:
     keys = list(keys or [])
     order = list(order or [])
     sums = list(sums or [])
+    emas = list(emas or [])
+    decay, alpha = (span - 1.0) / (span + 1.0), 2.0 / (span + 1.0)
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     ship_package(spark)
@@ -71,89 +206,83 @@ def ranked(df: DataFrame, keys: list[str] | None = None, order: list | None = No
             .withColumn("_pid", F.spark_partition_id())
             .checkpoint(eager=True))
 
-    # ---- pass 1: first/last run totals per partition -----------------------------
-    key_fields = [base.schema[k] for k in keys]
-    p1_schema = T.StructType(
+    # ---- pass 1: first/last run summaries per partition ---------------------------
+    parts = ("rows", "lead", "first", "factor", "value", "tail")
+    p1 = T.StructType(
         [T.StructField("_pid", T.IntegerType()), T.StructField("_edge", T.IntegerType())]
-        + [T.StructField(f.name, f.dataType, True) for f in key_fields]
+        + [T.StructField(f"_k{i}", df.schema[k].dataType, True) for i, k in enumerate(keys)]
         + [T.StructField("_cnt", T.LongType())]
-        + [T.StructField(f"_s{i}", T.DoubleType()) for i in range(len(sums))])
-    need = ["_pid"] + keys + sums
-
-    def edges(it):
-        pid = None
-        first = cur = None       # [key, cnt, sums] of the first and the current run
-        for pdf in it:
-            if pdf.empty:
+        + [T.StructField(f"_s{i}", T.DoubleType()) for i in range(len(sums))]
+        + [T.StructField(f"_e{i}_{x}", T.DoubleType()) for i in range(len(emas)) for x in parts])
+    need = ["_pid", *dict.fromkeys(keys + sums + emas)]
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = cur = key = None
+        for b in batches:
+            if b.num_rows == 0:
                 continue
-            pid = int(pdf["_pid"].iat[0])
-            run = _runs(pdf, keys)
-            nrun = int(run[-1]) + 1
-            vals = [pdf[s].astype("float64").fillna(0.0).to_numpy() for s in sums]
-            cnt = np.bincount(run, minlength=nrun)
-            tots = [np.bincount(run, weights=v, minlength=nrun) for v in vals]
-            k0 = _key_tuple(pdf, keys, 0)
-            if cur is not None and cur[0] == k0:
-                cur[1] += int(cnt[0])
-                cur[2] = [a + float(t[0]) for a, t in zip(cur[2], tots)]
+            starts = run_starts(b, keys)
+            goes_on = key is not None and row_key(b, keys, 0) == key
+            carry = cur[1] if goes_on else _Carry(len(sums), len(emas))
+            *_, a, z = _scan_batch(b, starts, carry, sums, emas, decay, alpha)
+            if goes_on:
+                cur[1] = a
             else:
-                cur = [k0, int(cnt[0]), [float(t[0]) for t in tots]]
-                if first is None:
-                    first = cur
-            if nrun > 1:
-                cur = [_key_tuple(pdf, keys, len(pdf) - 1), int(cnt[-1]),
-                       [float(t[-1]) for t in tots]]
-        rows = []
-        if first is not None:
-            rows.append([pid, 0, *first[0], first[1], *first[2]])
-            if cur is not first:
-                rows.append([pid, 1, *cur[0], cur[1], *cur[2]])
-        yield pd.DataFrame(rows, columns=p1_schema.names)
-
-    edge_rows = base.select(*need).mapInPandas(edges, p1_schema).collect()
-    acc: dict = {}
-    offsets: dict = {}
-    for r in sorted(edge_rows, key=lambda r: (r["_pid"], r["_edge"])):
-        key = tuple(r[k] for k in keys)
-        prev = acc.get(key, (0, [0.0] * len(sums)))
-        offsets[(r["_pid"], key)] = prev
-        acc[key] = (prev[0] + r["_cnt"], [a + r[f"_s{i}"] for i, a in enumerate(prev[1])])
-
-    # ---- pass 2: within-partition running totals + offsets ------------------------
-    out_schema = T.StructType([f for f in base.schema.fields if f.name != "_pid"]
-                              + [T.StructField("_rn", T.LongType())]
-                              + [T.StructField(f"{s}_cum", T.DoubleType()) for s in sums])
-
-    def scan(it):
-        carry_key, carry = None, None
-        for pdf in it:
-            if pdf.empty:
-                yield pdf.drop(columns=["_pid"]).assign(
-                    _rn=pd.Series(dtype="int64"), **{f"{s}_cum": pd.Series(dtype="float64") for s in sums})
+                cur = [b.slice(0, 1), a]
+                first = first or cur
+            if len(starts) > 1:
+                cur = [b.slice(b.num_rows - 1, 1), z]
+            key = row_key(b, keys, b.num_rows - 1)
+        rows = [] if first is None else [(0, first)] + ([(1, cur)] if cur is not first else [])
+        if not rows:
+            return
+        cols = [pa.concat_arrays([r.column("_pid") for _, (r, _) in rows]), pa.array([e for e, _ in rows], pa.int32())]
+        cols += [pa.concat_arrays([r.column(k) for _, (r, _) in rows]) for k in keys]
+        cols += [pa.array([c.count for _, (_, c) in rows], pa.int64())]
+        cols += [pa.array([c.sums[i] for _, (_, c) in rows], pa.float64()) for i in range(len(sums))]
+        for i in range(len(emas)):
+            for j in range(len(parts)):
+                vals = [c.emas[i][j] for _, (_, c) in rows]
+                cols.append(pa.array([None if v is None else float(v) for v in vals], pa.float64()))
+        yield pa.RecordBatch.from_arrays(cols, names=p1.names)
+
+    found = base.select(*need).mapInArrow(edges, p1).collect()
+    begin: dict[int, tuple] = {}
+    key = state = None
+    for r in sorted(found, key=lambda r: (r["_pid"], r["_edge"])):
+        k = tuple("NaN" if isinstance(v, float) and v != v else v for v in (r[f"_k{i}"] for i in range(len(keys))))
+        own = (r["_cnt"], [r[f"_s{i}"] for i in range(len(sums))],
+               [tuple(int(v) if x in ("rows", "lead", "tail") and v is not None else v
+                      for x, v in ((x, r[f"_e{i}_{x}"]) for x in parts)) for i in range(len(emas))])
+        if r["_edge"] == 0 and key is not None and k == key:
+            begin[r["_pid"]] = state
+            own = (own[0] + state[0], [a + b for a, b in zip(own[1], state[1])],
+                   [joined(a, b, decay, alpha) for a, b in zip(state[2], own[2])])
+        key, state = k, own
+
+    # ---- pass 2: running values -----------------------------------------------------
+    out_fields = [f for f in base.schema.fields if f.name != "_pid"]
+    names = [f.name for f in out_fields]
+    out_schema = T.StructType(out_fields + [T.StructField("_rn", T.LongType())]
+                              + [T.StructField(f"{s}_cum", T.DoubleType()) for s in sums]
+                              + [T.StructField(f"{c}_ema", T.DoubleType()) for c in emas])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = cur = None
+        for b in batches:
+            if b.num_rows == 0:
                 continue
-            pid = int(pdf["_pid"].iat[0])
-            run = _runs(pdf, keys)
-            nrun = run[-1] + 1
-            starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
-            base_cnt = np.zeros(nrun, dtype=np.int64)
-            base_sum = np.zeros((len(sums), nrun))
-            for r, i in enumerate(starts):
-                key = _key_tuple(pdf, keys, i)
-                if r == 0 and carry_key is not None and key == carry_key:
-                    c0, s0 = carry
-                else:
-                    c0, s0 = offsets.get((pid, key), (0, [0.0] * len(sums)))
-                base_cnt[r] = c0
-                base_sum[:, r] = s0
-            local = pd.Series(np.ones(len(pdf), dtype=np.int64)).groupby(run).cumsum().to_numpy()
-            rn = base_cnt[run] + local
-            res = {"_rn": rn}
-            for j, s in enumerate(sums):
-                v = pd.Series(pdf[s].astype("float64").fillna(0.0).to_numpy())
-                res[f"{s}_cum"] = base_sum[j][run] + v.groupby(run).cumsum().to_numpy()
-            last_i = len(pdf) - 1
-            carry_key = _key_tuple(pdf, keys, last_i)
-            carry = (int(rn[last_i]), [float(res[f"{s}_cum"][last_i]) for s in sums])
-            yield pdf.drop(columns=["_pid"]).assign(**res)
-
-    return base.mapInPandas(scan, out_schema)
+            carry = _Carry(len(sums), len(emas))
+            if key is None:
+                known = begin.get(b.column("_pid")[0].as_py())
+                if known is not None:
+                    carry.count, carry.sums, carry.emas = known
+            elif row_key(b, keys, 0) == key:
+                carry = cur
+            rn, totals, averages, _, cur = _scan_batch(b, run_starts(b, keys), carry, sums, emas, decay, alpha)
+            key = row_key(b, keys, b.num_rows - 1)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(x) for x in names] + [pa.array(rn, pa.int64())] + [pa.array(t) for t in totals]
+                + [pa.array(e, from_pandas=True) for e in averages], names=out_schema.names)
+
+    return base.mapInArrow(scan, out_schema)
