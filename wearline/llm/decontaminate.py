@@ -4,7 +4,7 @@ A prefix-filtered set join at containment 1: every item window is a sequence
 of ``window`` words (a shorter item is one window). Words are ordered by their
 count over all documents; a window can occur only where its first word in that
 order, the rarest, occurs, so that one word is its necessary prefix. Document
-words join these prefixes; the prefix word's place in the window fixes where
+words (each text split and stored once) join these prefixes by hash; the prefix word's place in the window fixes where
 the window would start (position bound) and whether it fits (length bound),
 and comparing the words there verifies exact containment.
 
@@ -21,8 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words after lower-casing, and the same before it.
-_WORD, _WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+from wearline.llm.common import materialise, small_side
+
+#: Words, after lower-casing.
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Texts of these characters only: lower() changes A-Z alone there.
 _OTHER = r"[^\x00-\x7Fß-öø-ÿ‐-‧]"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,43 +50,50 @@ def item_windows(bench: DataFrame, window: int, item_col: str = "item_id", text_
             .select("item_id", F.explode(F.transform(starts, lambda i: F.slice(w, i, window))).alias("win")).distinct())
 
 
-def _prefixes(docs: DataFrame, wins: DataFrame, text_col: str, small: bool) -> DataFrame:
-    """(token, o, len, win): the rarest word of every window that can occur,
-    and its place there. Equal counts are ordered by the word."""
+def stored_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Stored (id, key, n, w): the words of every text, split once."""
+    split = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"), words_of(F.col(text_col)).alias("w"))
+    return materialise(split.select("id", "key", F.size("w").cast("long").alias("n"), "w"), "words")
+
+
+def _prefixes(words: DataFrame, wins: DataFrame, small: bool) -> DataFrame:
+    """Stored (h, o, len, win): the rarest word of every window that can occur,
+    as a hash, and its place there. Equal counts are ordered by the hash."""
     distinct = wins.select("win").distinct()
-    vocabulary = distinct.select(F.explode("win").alias("token")).distinct()
-    counts = (docs.select(F.explode(words_of(F.col(text_col))).alias("token"))
-              .join(F.broadcast(vocabulary) if small else vocabulary, "token", "left_semi")
-              .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
-    at = distinct.select("win", F.posexplode("win").alias("o", "token")).join(counts, "token", "left")
-    best = at.groupBy("win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "o")).alias("b"))
-    return best.filter("b.n > 0").select("b.token", "b.o", F.size("win").alias("len"), "win")
-
-
-def find_windows(docs: DataFrame, bench: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text",
-                 item_col: str = "item_id", bench_text_col: str = "text") -> DataFrame:
-    """Occurrences (id, key, start, len, item_id) of item windows in ``docs``;
-    ``start`` counts words from 0 and ``key`` is the text's hash."""
-    wins = item_windows(bench, window, item_col, bench_text_col)
+    at = distinct.select("win", F.posexplode("win").alias("o", "token")).select("win", "o", F.xxhash64("token").alias("h"))
+    vocabulary = at.select("h").distinct()
+    counts = (words.select(F.explode("w").alias("token")).select(F.xxhash64("token").alias("h"))
+              .join(F.broadcast(vocabulary) if small else vocabulary, "h", "left_semi")
+              .groupBy("h").agg(F.count(F.lit(1)).alias("n")))
+    best = at.join(counts, "h", "left").groupBy("win").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "o")).alias("b"))
+    return materialise(best.filter("b.n > 0").select("b.h", "b.o", F.size("win").alias("len"), "win"), "prefixes")
+
+
+def find_windows(words: DataFrame, bench: DataFrame, window: int = 13, item_col: str = "item_id",
+                 bench_text_col: str = "text") -> DataFrame:
+    """Stored occurrences (id, key, start, len, item_id) of item windows in the
+    texts of ``stored_words``; ``start`` counts words from 0."""
+    wins = materialise(item_windows(bench, window, item_col, bench_text_col), "item-windows")
     size = wins.agg(F.coalesce(F.sum(F.octet_length(F.concat_ws(" ", "win")) + 16 * F.size("win")), F.lit(0))).first()[0]
     small = size <= BROADCAST_BYTES
-    pre = _prefixes(docs, wins, text_col, small)
-    words = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"), words_of(F.col(text_col)).alias("w"))
+    pre = _prefixes(words, wins, small)
     # w stands for the whole text in the broadcast plan, where only verified
     # rows are copied; a shuffle instead carries the words around the token.
-    at = words.select("id", "key", "w", F.size("w").alias("n"), F.posexplode("w").alias("p", "token"))
+    at = words.select("id", "key", "w", "n", F.posexplode("w").alias("p", "token")).withColumn("h", F.xxhash64("token"))
     base = F.lit(0)
     if not small:
         base = F.greatest(F.col("p") - (window - 1), F.lit(0))
-        at = at.select("id", "key", F.slice("w", base + 1, 2 * window - 1).alias("w"), "n", base.alias("base"), "p", "token")
+        at = at.select("id", "key", F.slice("w", base + 1, 2 * window - 1).alias("w"), "n", base.alias("base"), "p", "h")
         base = F.col("base")
     start = at["p"] - F.col("pre.o")
     fits = (start >= 0) & (start + F.col("pre.len") <= at["n"])
     same = F.slice(at["w"], F.greatest(start - base + 1, F.lit(1)), F.col("pre.len")) == F.col("pre.win")
     pre = pre.alias("pre")
-    found = (at.join(F.broadcast(pre) if small else pre, (at["token"] == F.col("pre.token")) & fits & same)
+    found = (at.join(F.broadcast(pre) if small else pre, (at["h"] == F.col("pre.h")) & fits & same)
              .select("id", "key", start.alias("start"), F.col("pre.len").alias("len"), F.col("pre.win").alias("win")))
-    return found.join(F.broadcast(wins) if small else wins, "win").select("id", "key", "start", "len", "item_id")
+    found = found.join(F.broadcast(wins) if small else wins, "win").select("id", "key", "start", "len", "item_id")
+    return materialise(found, "window-hits")
 
 
 def hit_counts(found: DataFrame) -> DataFrame:
@@ -99,10 +108,6 @@ def hit_counts(found: DataFrame) -> DataFrame:
     return pos.join(items, pos.id.eqNullSafe(items.i_id) & (pos.key == items.i_key)).select("id", "key", "n_hit", "items")
 
 
-def _word_count(text_col: str) -> Column:
-    return F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(_WORD_ANY_CASE)).cast("long")
-
-
 def is_contaminated(n_hit, n_words, share: int = 20) -> Column:
     return (F.col(n_hit) > 0) & (share * F.col(n_hit) >= F.col(n_words))
 
@@ -110,20 +115,21 @@ def is_contaminated(n_hit, n_words, share: int = 20) -> Column:
 def scan(docs: DataFrame, bench: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text",
          item_col: str = "item_id", bench_text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, n_words, n_hit, items, contaminated."""
-    hits = hit_counts(find_windows(docs, bench, window, id_col, text_col, item_col, bench_text_col))
-    rows = docs.select(F.col(id_col), text_key(text_col).alias("__key"), _word_count(text_col).alias("n_words"))
-    out = rows.join(hits, rows[id_col].eqNullSafe(hits.id) & (rows["__key"] == hits.key), "left").select(
-        rows[id_col], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"))
-    return out.withColumn("contaminated", is_contaminated("n_hit", "n_words"))
+    words = stored_words(docs, id_col, text_col)
+    hits = hit_counts(find_windows(words, bench, window, item_col, bench_text_col)).withColumnsRenamed({"id": "h_id", "key": "h_key"})
+    out = words.select("id", "key", "n").join(hits, F.col("id").eqNullSafe(F.col("h_id")) & (F.col("key") == F.col("h_key")), "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+                      F.coalesce("items", F.array().cast("array<string>")).alias("items")).withColumn(
+                          "contaminated", is_contaminated("n_hit", "n_words"))
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, window: int = 13, id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
     """``docs`` without its contaminated rows, all columns kept."""
-    hits = hit_counts(find_windows(docs, bench, window, id_col, text_col))
-    same = (lambda a: F.col(f"d.{id_col}").eqNullSafe(F.col(f"{a}.id")) & (F.xxhash64(F.col(f"d.{text_col}")) == F.col(f"{a}.key")))
-    touched = (docs.alias("d").join(hits.alias("h"), same("h"))
-               .select("h.id", "h.key", "h.n_hit", _word_count(f"d.{text_col}").alias("n_words"))
-               .filter(is_contaminated("n_hit", "n_words")).select("id", "key").distinct())
-    return docs.alias("d").join(touched.alias("t"), same("t"), "left_anti")
+    words = stored_words(docs, id_col, text_col)
+    hits = hit_counts(find_windows(words, bench, window)).withColumnsRenamed({"id": "h_id", "key": "h_key"})
+    gone = (words.select("id", "key", "n").join(hits, F.col("id").eqNullSafe(F.col("h_id")) & (F.col("key") == F.col("h_key")))
+            .filter(is_contaminated("n_hit", "n")).select("h_id", "h_key").distinct())
+    gone = small_side(materialise(gone, "contaminated")).alias("g")
+    same = F.col(f"d.{id_col}").eqNullSafe(F.col("g.h_id")) & (F.xxhash64(F.col(f"d.{text_col}")) == F.col("g.h_key"))
+    return docs.alias("d").join(gone, same, "left_anti")
