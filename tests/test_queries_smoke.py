@@ -11,7 +11,8 @@ from tests.conftest import SF001
 NAMES = ["rul_compute", "failure_label", "rolling_std", "ema", "horizon_report", "scale_features",
          "variance_report", "describe_columns", "roc_curve", "pr_curve", "optimal_threshold",
          "confusion_matrix", "policy_values", "maintenance_schedule", "undersample", "knn_join",
-         "smote_rows", "request_validate", "timeline_table", "stream_features", "action_distribution"]
+         "smote_rows", "request_validate", "timeline_table", "stream_features", "action_distribution", "ema_gaps", "ema_span_200",
+         "knn_ties", "undersample_null_label", "score_requests_multi", "stream_quarantine"]
 
 
 @pytest.fixture(scope="module")
@@ -46,7 +47,8 @@ def test_entry(spark):
 def test_every_query_has_oracle_or_is_rows_only():
     rows_only = {"rf_score", "rf_balanced_score", "gbt_score", "feature_importance_topk", "common_top_features",
                  "model_selection", "pca_2d", "model_comparison", "train_report", "score_fleet", "score_requests"}
-    q, s = E.queries(), E.oracle_sql()
-    q = {k: f for k, f in q.items() if not k.startswith("op") and k != "pipeline"}
-    s = {k: x for k, x in s.items() if k in q}
+    from wearline.plans import edge_cases, oracle, queries
+    q, s = {**queries.QUERIES, **edge_cases.QUERIES}, {**oracle.build(), **edge_cases.ORACLES}
+    assert set(q) <= set(E.queries()) and set(s) <= set(E.oracle_sql())
+    assert set(s) <= set(q)
     assert set(q) - set(s) == rows_only

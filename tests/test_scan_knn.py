@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -54,3 +55,19 @@ def test_knn_exact_with_copies_and_hot_cells(spark):
         exp = ids[np.lexsort((ids, D[i]))][:4]
         got = out[out.q_id == i].sort_values("rank").s_id.to_numpy()
         assert (got == exp).all(), i
+
+
+@pytest.mark.parametrize("shift", [0, 17])
+def test_knn_ties_of_many_copies(spark, shift):
+    """Forty equal vectors and others at equal distances: ties go by id, for
+    any order of the rows and with the default block size."""
+    X = np.zeros((60, 3))
+    X[40:50, 0], X[50:, 1] = 2.0, 2.0
+    ids = (np.arange(60) * 7 + shift) % 60
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": ids, "features": list(X)}))
+    out = knn_join(df, df, 5, exclude_self=True).toPandas()
+    assert len(out) == 300
+    for n, i in enumerate(ids):
+        D = np.sqrt(((X - X[n]) ** 2).sum(1))
+        D[n] = np.inf
+        assert out[out.q_id == i].sort_values("rank").s_id.tolist() == ids[np.lexsort((ids, D))][:5].tolist()

@@ -18,15 +18,15 @@ from wearline.schema import UNIT
 
 
 def distinct_units(df: DataFrame, unit_col: str = UNIT) -> DataFrame:
-    """P14."""
-    return df.select(unit_col).distinct()
+    """Sorted."""
+    return df.select(unit_col).distinct().orderBy(unit_col)
 
 
 def validation_units(df: DataFrame, val_size: float = 0.2, seed: int = 42,
                      unit_col: str = UNIT) -> DataFrame:
     """``max(1, int(n_units * val_size))`` whole units, chosen by the
     smallest seeded hashes (ties by unit)."""
-    units = distinct_units(df, unit_col).withColumn("_h", seeded_hash(seed, unit_col))
+    units = df.select(unit_col).distinct().withColumn("_h", seeded_hash(seed, unit_col))
     n_units = units.count()
     n_val = max(1, int(n_units * val_size))
     r = ranked(units, [], ["_h", unit_col])
@@ -50,6 +50,12 @@ def row_split(df: DataFrame, keys: list[str], test_size: float = 0.2, seed: int
             .drop("_h", "_rn"))
 
 
+def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``df`` with a number of its own for every row, by the order of ``keys``:
+    an id for rows whose key has several columns."""
+    return ranked(df, [], keys).withColumnRenamed("_rn", name)
+
+
 def class_counts(df: DataFrame, label: str) -> dict:
     return {r[0]: r[1] for r in df.groupBy(label).count().collect()}
 
@@ -82,6 +88,8 @@ def smote(df: DataFrame, label: str, id_col: str, vec_col: str, k: int = 5, seed
     n_maj = max(v for c, v in counts.items() if c != minority)
     n_syn = n_maj - n_min
     kk = min(k, n_min - 1)
+    if kk < 1:
+        raise ValueError(f"SMOTE needs two rows of class {minority} at least; there is {n_min}")
     mino = df.filter(F.col(label) == minority).select(F.col(id_col).cast("bigint").alias(id_col), vec_col)
     idx = ranked(mino.select(id_col), [], [id_col]).select(F.col(id_col).alias("base_id"), F.col("_rn").alias("_b"))
     nn = knn_join(mino, mino, kk, id_col, vec_col, exclude_self=True)

@@ -503,8 +503,8 @@ SELECT unit_number, arg_min(probability, time_in_cycles) AS initial_risk, arg_ma
 FROM TP GROUP BY unit_number"""
     q["ground_truth_check"] = f"""WITH {L}, {TIMELINE},
 G AS (SELECT unit_number, time_in_cycles, CAST(total_cycles - time_in_cycles + (unit_number * 37) % 146 AS BIGINT) AS rem,
-  CAST(probability >= 0.5 AS BIGINT) AS prediction FROM TP)
-SELECT unit_number, time_in_cycles, rem AS cycles_remaining, CAST(rem < 90 AS BIGINT) AS actually_failing, prediction,
+  CAST(total_cycles + (unit_number * 37) % 146 AS BIGINT) AS failure_cycle, CAST(probability >= 0.5 AS BIGINT) AS prediction FROM TP)
+SELECT unit_number, time_in_cycles, failure_cycle, rem AS cycles_remaining, CAST(rem < 90 AS BIGINT) AS actually_failing, prediction,
   CAST(prediction = CAST(rem < 90 AS BIGINT) AS BIGINT) AS correct FROM G"""
     return q
 

@@ -544,8 +544,7 @@ def l_vectors(spark, sf):
     vec = F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in
                     ("operational_setting_1", "operational_setting_2", "sensor_measurement_4",
                      "sensor_measurement_7", "sensor_measurement_11")])
-    return tr.select(UNIT, CYCLE, (F.col(UNIT) * 100000 + F.col(CYCLE)).alias("row_id"),
-                     vec.alias("features"), "failure")
+    return SA.numbered(tr.select(UNIT, CYCLE, vec.alias("features"), "failure"), [UNIT, CYCLE], "row_id")
 
 
 @query("rebalance_counts")
@@ -944,7 +943,7 @@ def q_stream_latest_risk(spark, sf):
     q = (stream.writeStream.foreachBatch(SR.make_batch_fn(base, cols, _det_score))
          .option("checkpointLocation", ck).trigger(availableNow=True).start())
     q.awaitTermination()
-    n_bad = spark.read.parquet(f"{base}/quarantine").count()
+    n_bad = SR.quarantined(spark, base).count()
     return SR.latest_risk(spark, base).withColumn("quarantined_rows", F.lit(n_bad).cast("bigint"))
 
 

@@ -41,6 +41,7 @@ def ground_truth_check(points: DataFrame, final_rul: DataFrame, failure_threshol
     failing = rem < failure_threshold if strict else rem <= failure_threshold
     pred = threshold_decision("probability", 0.5)
     return (points.join(fin, UNIT, "left")
-            .select(UNIT, CYCLE, rem.cast("bigint").alias("cycles_remaining"),
+            .select(UNIT, CYCLE, (F.col("total_cycles") + F.col("final_rul")).cast("bigint").alias("failure_cycle"),
+                    rem.cast("bigint").alias("cycles_remaining"),
                     failing.cast("bigint").alias("actually_failing"), pred.alias("prediction"),
                     (pred == failing.cast("bigint")).cast("bigint").alias("correct")))

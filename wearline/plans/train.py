@@ -32,8 +32,8 @@ def rebalance(train: DataFrame, features: list[str], method: str, seed: int = 42
     if method == "undersample":
         return SA.undersample(train, FAILURE, [UNIT, CYCLE], seed), False
     if method == "smote":
-        vec = train.select((F.col(UNIT) * 1000000 + F.col(CYCLE)).alias("_id"),
-                           F.array(*[F.col(c).cast("double") for c in features]).alias("_v"), FAILURE)
+        vec = SA.numbered(train.select(UNIT, CYCLE, F.array(*[F.col(c).cast("double") for c in features]).alias("_v"), FAILURE),
+                          [UNIT, CYCLE], "_id").drop(UNIT, CYCLE)
         syn = SA.smote(vec, FAILURE, "_id", "_v", k=5, seed=seed)
         extra = syn.select(*[F.element_at("_v", i + 1).alias(c) for i, c in enumerate(features)],
                            F.col(FAILURE).cast("bigint").alias(FAILURE))

@@ -50,13 +50,16 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``. Only when it is unset (local runs, tests) a
-    folder of our own is set."""
+    ``spark.checkpoint.dir``. Only when it is unset in a local run (tests) a
+    folder of our own is set; on a cluster that is an error, since a folder of
+    one machine is not seen by the others."""
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None)
         if not d:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             d = tempfile.mkdtemp(prefix="wearline-ckpt-")
         sc.setCheckpointDir(d)
         d = sc.getCheckpointDir()
@@ -70,10 +73,6 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/wearline-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 _SHIPPED: set = set()
 
 

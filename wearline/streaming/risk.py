@@ -5,7 +5,8 @@ per unit.
 quarantine (unit < 1, non-finite values); valid rows are scored and the
 batch's latest row per unit is merged with the previous version of the
 latest-risk table (``max_by`` on the cycle), written as a new version on
-shared storage — an idempotent upsert keyed by the batch id."""
+shared storage. Both tables are keyed by the batch id, so a replayed batch
+changes nothing."""
 
 from __future__ import annotations
 
@@ -17,21 +18,23 @@ from wearline.schema import CYCLE, UNIT
 
 
 def bad_row(cols) -> F.Column:
+    """Rows that cannot be scored; never null, so that every row is either
+    scored or quarantined. A missing value is bad like a non-finite one."""
     c = F.col(UNIT).isNull() | (F.col(UNIT) < 1) | F.col(CYCLE).isNull()
     for x in cols:
-        c = c | F.isnan(x) | (F.abs(F.col(x)) == F.lit(float("inf")))
-    return c
+        c = c | F.col(x).isNull() | F.isnan(x) | (F.abs(F.col(x)) == F.lit(float("inf")))
+    return F.coalesce(c, F.lit(True))
 
 
 def make_batch_fn(base: str, value_cols: list[str], score_fn):
     def run(batch: DataFrame, epoch: int):
         spark = batch.sparkSession
         flagged = batch.withColumn("_bad", bad_row(value_cols))
-        flagged.filter("_bad").drop("_bad").write.mode("append").parquet(f"{base}/quarantine")
+        flagged.filter("_bad").drop("_bad").write.mode("overwrite").parquet(f"{base}/quarantine/v={epoch:012d}")
         scored = score_fn(flagged.filter(~F.col("_bad")).drop("_bad"))
         latest = scored.groupBy(UNIT).agg(F.max_by(F.struct(CYCLE, "probability"), F.col(CYCLE)).alias("_l"))
         cur = latest.select(UNIT, F.col(f"_l.{CYCLE}").alias(CYCLE), F.col("_l.probability").alias("probability"))
-        prev = _latest_version(spark, base)
+        prev = _latest_version(spark, base, before=epoch)
         if prev is not None:
             cur = (spark.read.parquet(prev).select(UNIT, CYCLE, "probability").unionByName(cur)
                    .groupBy(UNIT).agg(F.max_by(F.struct(CYCLE, "probability"), F.col(CYCLE)).alias("_l"))
@@ -40,13 +43,28 @@ def make_batch_fn(base: str, value_cols: list[str], score_fn):
     return run
 
 
-def _latest_version(spark: SparkSession, base: str):
-    try:
-        df = spark.read.parquet(f"{base}/latest")
-    except Exception:  # noqa: BLE001 - no version yet
-        return None
-    v = df.agg(F.max("v")).first()[0]
-    return None if v is None else f"{base}/latest/v={int(v):012d}"
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Epochs with a complete table below ``path``; none if it is not there.
+    Any other failure to list it is raised."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return []
+    found = [f.getPath() for f in fs.listStatus(where) if f.getPath().getName().startswith("v=")]
+    return sorted(int(p.getName()[2:]) for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def _latest_version(spark: SparkSession, base: str, before: int | None = None):
+    """The newest version, or the newest of earlier epochs: a replayed epoch
+    starts from what it started from at first."""
+    v = [x for x in _versions(spark, f"{base}/latest") if before is None or x < before]
+    return f"{base}/latest/v={v[-1]:012d}" if v else None
+
+
+def quarantined(spark: SparkSession, base: str) -> DataFrame:
+    """Bad rows of all epochs, with their epoch ``v``."""
+    return spark.read.parquet(f"{base}/quarantine")
 
 
 def latest_risk(spark: SparkSession, base: str) -> DataFrame:
