@@ -104,3 +104,29 @@ def test_scaler_fit_on_train_only(spark):
     assert got["sensor_measurement_7"] == mx
     for d in (f_tr, f_va, f_te):
         d.unpersist()
+
+
+def test_stream_state_gives_pandas_averages_over_gaps():
+    """The state function, fed a series with gaps in one, two or many parts."""
+    from wearline.streaming.features import make_state_fn
+
+    class State:
+        exists, hasTimedOut, value = False, False, None
+
+        @property
+        def get(self):
+            return self.value
+
+        def update(self, v):
+            self.exists, self.value = True, v
+
+    x = np.array([np.nan, 1, 2, np.nan, 4, 5, np.nan, np.nan, 9, np.nan])
+    want = pd.Series(x).ewm(span=5, adjust=False).mean().fillna(0).to_numpy()
+    for cuts in ([10], [4, 10], list(range(1, 11))):
+        fn, _ = make_state_fn(["sensor_measurement_4"], [])
+        state, out, a = State(), [], 0
+        for z in cuts:
+            pdf = pd.DataFrame({"unit_number": 1, "time_in_cycles": np.arange(a, z) + 1, "sensor_measurement_4": x[a:z]})
+            out += [d["sensor_measurement_4_ema"].to_numpy() for d in fn((1,), iter([pdf]), state)]
+            a = z
+        assert np.allclose(np.concatenate(out), want, rtol=1e-12)

@@ -7,8 +7,10 @@ rolling mean/std (full-window rule), EMA, rate of change and cumulative
 sum — equal to the batch features of W2–W6. ``cycle_norm`` needs the
 unit's last cycle and is 1.0 on arrival, so it is not emitted. A cycle at
 or below the last seen cycle is late: it is emitted with
-``status = 'late'`` and does not touch the state. Idle units expire by a
-processing-time timeout."""
+``status = 'late'`` and does not touch the state. Averages over gaps are those
+of the batch features, however the rows are cut into batches. State is kept
+for good, unless ``timeout_ms`` is given: then idle units expire with a row
+``status = 'expired'``, and start anew."""
 
 from __future__ import annotations
 
@@ -21,6 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from wearline.operators.features import degradation_columns, ema_weights
+from wearline.operators.scan import EMPTY, joined, segmented_ema
 from wearline.schema import CYCLE, EMA_SPAN, UNIT, WINDOW_SIZES
 
 
@@ -52,27 +55,27 @@ def _window_stats(v: np.ndarray, n: int):
     return m, s
 
 
-def make_state_fn(value_cols, degr, windows=WINDOW_SIZES, span=EMA_SPAN, timeout_ms: int = 3600_000):
+def make_state_fn(value_cols, degr, windows=WINDOW_SIZES, span=EMA_SPAN, timeout_ms: int | None = None):
     decay, alpha = ema_weights(span)
     keep = max(windows) - 1
     schema = output_schema(value_cols, degr, windows)
 
     def fn(key, pdfs, state):
         if state.hasTimedOut:
+            gone = {f.name: [np.nan] for f in schema.fields}
+            gone[UNIT], gone[CYCLE], gone["status"] = [key[0]], [json.loads(state.get[0])["cycle"]], ["expired"]
             state.remove()
+            yield pd.DataFrame(gone)
             return
         st = json.loads(state.get[0]) if state.exists else {"tail": [], "ema": {}, "cum": {}, "last": {}, "cycle": None}
         pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(CYCLE, kind="stable")
         out_rows = []
         last_cycle = st["cycle"]
         cyc = pdf[CYCLE].to_numpy()
-        late = np.zeros(len(pdf), dtype=bool)
-        run_max = last_cycle if last_cycle is not None else -np.inf
-        for i, c in enumerate(cyc):     # a cycle must exceed every earlier one
-            if c <= run_max:
-                late[i] = True
-            else:
-                run_max = c
+        # sorted, so a cycle exceeds every earlier one if it exceeds the one before
+        late = np.r_[False, cyc[1:] == cyc[:-1]][:len(cyc)]
+        if last_cycle is not None:
+            late |= cyc <= last_cycle
         fresh = pdf[~late].reset_index(drop=True)
         if len(fresh):
             tail = pd.DataFrame(st["tail"], columns=value_cols, dtype="float64")
@@ -87,15 +90,9 @@ def make_state_fn(value_cols, degr, windows=WINDOW_SIZES, span=EMA_SPAN, timeout
                     res[f"{c}_rolling_std_{n}"] = s[off:]
             for c in value_cols:
                 x = fresh[c].astype("float64").to_numpy()
-                prev = st["ema"].get(c)
-                if np.isnan(x).all():
-                    e = np.full(len(x), np.nan if prev is None else prev)
-                else:
-                    # the recurrence continues from the stored value (vectorised)
-                    seq = x if prev is None else np.r_[prev, x]
-                    e = pd.Series(seq).ewm(alpha=alpha, adjust=False).mean().to_numpy()
-                    e = e if prev is None else e[1:]
-                    st["ema"][c] = float(e[-1])
+                before = tuple(st["ema"].get(c, EMPTY))
+                e, own, _ = segmented_ema(x, np.array([0]), before, decay, alpha)
+                st["ema"][c] = joined(before, own, decay, alpha)
                 res[f"{c}_ema"] = np.nan_to_num(e, nan=0.0)
             for c in degr:
                 x = np.nan_to_num(fresh[c].astype("float64").to_numpy(), nan=0.0)
@@ -117,18 +114,20 @@ def make_state_fn(value_cols, degr, windows=WINDOW_SIZES, span=EMA_SPAN, timeout
             lr["status"] = "late"
             out_rows.append(pd.DataFrame(lr))
         state.update((json.dumps(st),))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms is not None:
+            state.setTimeoutDuration(timeout_ms)
         for r in out_rows:
             yield r[[f.name for f in schema.fields]]
     return fn, schema
 
 
 def stream_features(stream: DataFrame, value_cols: list[str], windows=WINDOW_SIZES,
-                    timeout_ms: int = 3600_000) -> DataFrame:
+                    timeout_ms: int | None = None, span: float = EMA_SPAN) -> DataFrame:
     from wearline.session import ship_package
     ship_package(stream.sparkSession)     # the state function runs in Python workers
     degr = degradation_columns(stream.columns)
-    fn, schema = make_state_fn(value_cols, degr, windows, timeout_ms=timeout_ms)
+    fn, schema = make_state_fn(value_cols, degr, windows, span, timeout_ms)
     state_schema = T.StructType([T.StructField("json", T.StringType())])
     return stream.groupBy(UNIT).applyInPandasWithState(
-        fn, schema, state_schema, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        fn, schema, state_schema, "append",
+        GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
