@@ -130,3 +130,29 @@ def test_stream_state_gives_pandas_averages_over_gaps():
             out += [d["sensor_measurement_4_ema"].to_numpy() for d in fn((1,), iter([pdf]), state)]
             a = z
         assert np.allclose(np.concatenate(out), want, rtol=1e-12)
+
+
+def test_keys_and_final_rul_are_checked(spark):
+    import pytest
+    from wearline.operators import labels as LB
+    rows = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (2, 1)], "unit_number bigint, time_in_cycles bigint")
+    with pytest.raises(ValueError, match="share a key"):
+        LB.require_unique_keys(rows)
+    fine = rows.distinct()
+    assert LB.require_unique_keys(fine) is fine
+    final = spark.createDataFrame([(1, 10)], "unit_number bigint, RUL bigint")
+    with pytest.raises(ValueError, match="final RUL"):
+        LB.attach_final_rul(fine, final)
+    got = {(r.unit_number, r.time_in_cycles): r.RUL for r in LB.attach_final_rul(fine, final, on_missing="null").collect()}
+    assert got == {(1, 1): 11, (1, 2): 10, (2, 1): None}
+
+
+def test_parts_of_a_folder_are_numbered_through(spark):
+    from wearline.sources.telemetry import read_csv_telemetry, read_final_rul
+    p, q = shared_path(spark, "parts"), shared_path(spark, "ruls")
+    rows = spark.range(40).selectExpr("id", "id * 1.5 AS sensor_measurement_4").repartitionByRange(4, "id").sortWithinPartitions("id")
+    rows.drop("id").write.option("header", True).csv(p)
+    rows.selectExpr("CAST(id AS STRING)").write.text(q)
+    got = read_csv_telemetry(spark, p).select("unit_number", "time_in_cycles", "sensor_measurement_4").collect()
+    assert sorted(map(tuple, got)) == [(1, i + 1, i * 1.5) for i in range(40)]
+    assert sorted(map(tuple, read_final_rul(spark, q).collect())) == [(i + 1, i) for i in range(40)]

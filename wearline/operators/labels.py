@@ -53,14 +53,19 @@ def unit_life(df: DataFrame, unit_col: str = UNIT, cycle_col: str = CYCLE) -> Da
 
 
 def attach_final_rul(test: DataFrame, final: DataFrame, unit_col: str = UNIT,
-                     cycle_col: str = CYCLE, skew=False) -> DataFrame:
+                     cycle_col: str = CYCLE, skew=False, on_missing: str = "error") -> DataFrame:
     """``RUL = final_rul + (max_cycle - cycle)`` for a test set whose
     last cycle is not the failure. ``final`` has one row per unit
-    (``unit_number``, ``RUL``). Units without a final RUL keep a null RUL;
-    ``unmatched_units`` lists them. The join is a plain equi-join: the
+    (``unit_number``, ``RUL``). Units without a final RUL are an error, or
+    with ``on_missing="null"`` keep a null RUL; ``unmatched_units`` lists them.
+    The join is a plain equi-join: the
     per-unit side is small, so AQE turns it into a broadcast at run time
     when its measured size allows, and a sort-merge join otherwise."""
     keys = unit_keys(test, unit_col)
+    if on_missing == "error":
+        lost = [tuple(r) for r in unmatched_units(test, final, unit_col).limit(5).collect()]
+        if lost:
+            raise ValueError(f"units without a final RUL, among them {lost}")
     fin = final.select(*keys, F.col(RUL).cast("bigint").alias("_final_rul"))
     t = test.drop(RUL) if RUL in test.columns else test
     t = with_unit_max(t, cycle_col, "_mx", skew, unit_col, cycle_col)
@@ -69,6 +74,21 @@ def attach_final_rul(test: DataFrame, final: DataFrame, unit_col: str = UNIT,
             .drop("_final_rul", "_mx"))
 
 
+def duplicate_keys(df: DataFrame, unit_col: str = UNIT, cycle_col: str = CYCLE) -> DataFrame:
+    """(unit, cycle, n) of the keys that several rows share: an order by cycle
+    does not tell these rows apart."""
+    return (df.groupBy(*unit_keys(df, unit_col), cycle_col).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+            .filter(F.col("n") > 1))
+
+
+def require_unique_keys(df: DataFrame, unit_col: str = UNIT, cycle_col: str = CYCLE) -> DataFrame:
+    """``df``; an error if rows share a (unit, cycle) key."""
+    found = [tuple(r) for r in duplicate_keys(df, unit_col, cycle_col).limit(5).collect()]
+    if found:
+        raise ValueError(f"rows share a key (unit, cycle), among them {found}")
+    return df
+
+
 def unmatched_units(test: DataFrame, final: DataFrame, unit_col: str = UNIT) -> DataFrame:
     keys = unit_keys(test, unit_col)
     return test.select(*keys).distinct().join(final.select(*keys), keys, "left_anti")

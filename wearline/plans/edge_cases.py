@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wearline.operators import features as FE
 from wearline.operators import knn as KN
+from wearline.operators import labels as LB
 from wearline.operators import sampling as SA
 from wearline.plans import score as SCO
 from wearline.plans.oracle import KNN_V, L, VEC, h
@@ -157,3 +158,21 @@ def stream_quarantine(spark, sf):
     return (every.join(bad, UNIT, "left").join(SR.latest_risk(spark, base), UNIT, "left")
             .select(UNIT, "n_rows", F.coalesce("n_quarantined", F.lit(0)).cast("bigint").alias("n_quarantined"),
                     F.coalesce(CYCLE, F.lit(-1)).cast("bigint").alias(CYCLE), F.coalesce("probability", F.lit(-1.0)).alias("probability")))
+
+
+# ---- keys ----------------------------------------------------------------------------
+
+@query("duplicate_keys", f"""WITH {L}, D AS (SELECT unit_number, time_in_cycles FROM L
+  UNION ALL SELECT unit_number, time_in_cycles FROM L WHERE (unit_number + time_in_cycles) % 13 = 0)
+SELECT unit_number, time_in_cycles, count(*)::BIGINT AS n FROM D GROUP BY ALL HAVING count(*) > 1""")
+def duplicate_keys(spark, sf):
+    """Every 13th key twice."""
+    rows = DT.supplier_telemetry(spark, sf).select(UNIT, CYCLE)
+    return LB.duplicate_keys(rows.unionByName(rows.filter((F.col(UNIT) + F.col(CYCLE)) % 13 == 0)))
+
+
+@query("unmatched_units", f"WITH {L} SELECT DISTINCT unit_number FROM L WHERE unit_number % 5 = 2")
+def unmatched_units(spark, sf):
+    """Every fifth unit lacks its final RUL."""
+    rows = DT.supplier_telemetry(spark, sf)
+    return LB.unmatched_units(rows, DT.final_rul(rows).filter(F.col(UNIT) % 5 != 2))

@@ -592,7 +592,7 @@ def q_read_telemetry_text(spark, sf):
 @query("read_final_rul")
 def q_read_final_rul(spark, sf):
     path = shared_path(spark, "rul-text")
-    (DT.final_rul(L(spark, sf)).orderBy(UNIT).coalesce(1)
+    (DT.final_rul(L(spark, sf)).orderBy(UNIT)
      .select(F.col("RUL").cast("string").alias("value")).write.text(path))
     return TX.read_final_rul(spark, path)
 
@@ -606,9 +606,10 @@ def q_read_csv_telemetry(spark, sf):
 
 @query("read_csv_without_unit")
 def q_read_csv_without_unit(spark, sf):
-    """An upload without unit/cycle columns: one unit, cycle = row order."""
+    """An upload without unit/cycle columns, in several part files: one unit,
+    cycle = row order over all of them."""
     path = shared_path(spark, "telemetry-csv-nounit")
-    (L(spark, sf).orderBy(UNIT, CYCLE).drop(UNIT, CYCLE).coalesce(1)
+    (L(spark, sf).repartitionByRange(5, UNIT, CYCLE).sortWithinPartitions(UNIT, CYCLE).drop(UNIT, CYCLE)
      .write.option("header", True).csv(path))
     return TX.read_csv_telemetry(spark, path).select(UNIT, CYCLE, "sensor_measurement_4", "sensor_measurement_7")
 

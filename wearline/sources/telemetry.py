@@ -31,14 +31,17 @@ def read_telemetry(spark: SparkSession, path: str, n_sensors: int = N_SENSORS,
 
 
 def _line_numbers(df: DataFrame) -> DataFrame:
-    """1-based line number per file, in file order (partitions of one file
-    are read in byte order; ids rise with them), via the exact scan."""
-    d = df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_mid", F.monotonically_increasing_id())
-    return ranked(d, ["_file"], ["_mid"]).withColumnRenamed("_rn", "_line").drop("_mid")
+    """1-based line numbers over all files in path order: the parts of one
+    folder are one text. Within a file blocks are in order of their offset and
+    lines in the order they are read."""
+    d = df.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"),
+                        "_mid": F.monotonically_increasing_id()})
+    return ranked(d, [], ["_file", "_block", "_mid"]).withColumnRenamed("_rn", "_line").drop("_mid", "_file", "_block")
 
 
 def read_final_rul(spark: SparkSession, path: str) -> DataFrame:
-    """S3: one RUL per line; the unit is the line number."""
+    """S3: one RUL per line; the unit is the line number, counted over all
+    part files in path order."""
     lines = spark.read.text(path).filter(F.trim("value") != "")
     r = _line_numbers(lines)
     return r.select(F.col("_line").cast("bigint").alias(UNIT),
@@ -47,7 +50,7 @@ def read_final_rul(spark: SparkSession, path: str) -> DataFrame:
 
 def read_csv_telemetry(spark: SparkSession, path: str, n_sensors: int = N_SENSORS) -> DataFrame:
     """Header CSV; columns by name, absent ones null; without
-    ``unit_number`` the file is unit 1 with cycle = row position."""
+    ``unit_number`` all files together are unit 1 with cycle = row position."""
     raw = spark.read.option("header", True).csv(path)
     names = telemetry_columns(n_sensors)
     have = set(raw.columns)
