@@ -624,7 +624,7 @@ def q_request_explode(spark, sf):
 
 
 def spoiled_requests(spark, sf):
-    r = l_requests(spark, sf)
+    r = l_requests(spark, sf).withColumn("origin", F.col("unit_id"))
     ts = F.col("time_steps")
     nan_first = F.transform(ts, lambda s, i: F.when(i == 0, F.concat(F.array(F.lit(float("nan"))), F.slice(s, 2, 28))).otherwise(s))
     narrow = F.transform(ts, lambda s, i: F.when(i == 0, F.slice(s, 1, 28)).otherwise(s))
@@ -833,12 +833,8 @@ def q_train_report(spark, sf):
     row appended as a CSV report."""
     model, thr, res, feats = trained(spark, sf)
     _, _, _, scaler, removed = splits(spark, sf)
-    base = shared_path(spark, "train-artifacts")
-    th = spark.createDataFrame([("random_forest", "L", "cost_sensitive", float(thr))],
-                               "model string, dataset string, method string, threshold double")
-    AR.save_artifacts(base, "L", "cost_sensitive", scaler=scaler, removed=removed, thresholds=th, model=model)
-    RP.write_report(res, f"{base}/reports/results_L_cost_sensitive")
-    return RP.read_report(spark, f"{base}/reports/results_L_cost_sensitive",
+    path = TR.write_run(shared_path(spark, "train-artifacts"), model, thr, res, feats, scaler, removed)
+    return RP.read_report(spark, path,
                           "model string, dataset string, imbalance_method string, accuracy double, "
                           "precision double, recall double, f1_score double, roc_auc double, threshold double")
 
@@ -867,10 +863,10 @@ def q_score_requests(spark, sf):
     copies) -> responses; spoiled ones land in quarantine."""
     model, _, _, _ = trained(spark, sf)
     _, _, _, scaler, removed = splits(spark, sf)
-    req = spoiled_requests(spark, sf)
-    resp, bad = SCO.score_requests(req.drop("variant"), model, scaler, removed)
+    req = spoiled_requests(spark, sf).withColumn("request_id", F.concat_ws("-", "origin", "variant"))
+    resp, bad = SCO.score_requests(req.drop("variant", "origin"), model, scaler, removed)
     return (resp.withColumn("status", F.lit("scored"))
-            .unionByName(bad.select("unit_id", F.lit(None).cast("double").alias("failure_probability"),
+            .unionByName(bad.select("request_id", "unit_id", F.lit(None).cast("double").alias("failure_probability"),
                                     F.lit(None).cast("bigint").alias("failure_prediction"),
                                     F.lit(None).cast("string").alias("risk_level"),
                                     F.lit(None).cast("string").alias("recommendation"),

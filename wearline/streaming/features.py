@@ -78,13 +78,13 @@ def make_state_fn(value_cols, degr, windows=WINDOW_SIZES, span=EMA_SPAN, timeout
             late |= cyc <= last_cycle
         fresh = pdf[~late].reset_index(drop=True)
         if len(fresh):
-            tail = pd.DataFrame(st["tail"], columns=value_cols, dtype="float64")
-            vals = pd.concat([tail, fresh[value_cols].astype("float64")], ignore_index=True)
+            tail = np.array(st["tail"], dtype=float).reshape(-1, len(value_cols))
+            vals = np.vstack([tail, fresh[value_cols].to_numpy(dtype=float, na_value=np.nan)])
             off = len(tail)
             res = {UNIT: fresh[UNIT].to_numpy(), CYCLE: fresh[CYCLE].to_numpy()}
             for n in windows:
-                for c in value_cols:
-                    m, s = _window_stats(vals[c].to_numpy(), n)
+                for i, c in enumerate(value_cols):
+                    m, s = _window_stats(vals[:, i], n)
                     # rows of the tail belong to earlier windows only
                     res[f"{c}_rolling_mean_{n}"] = m[off:]
                     res[f"{c}_rolling_std_{n}"] = s[off:]
@@ -105,7 +105,7 @@ def make_state_fn(value_cols, degr, windows=WINDOW_SIZES, span=EMA_SPAN, timeout
                 st["cum"][c] = float(cs[-1])
             res["status"] = "ok"
             out_rows.append(pd.DataFrame(res))
-            st["tail"] = vals.tail(keep).astype(object).where(vals.tail(keep).notna(), None).values.tolist()
+            st["tail"] = [[None if v != v else float(v) for v in row] for row in vals[-keep:]]
             st["cycle"] = int(fresh[CYCLE].max())
         if late.any():
             lp = pdf[late]
