@@ -120,9 +120,59 @@ SELECT page_id, n AS payload_bytes,
 FROM d
 """
 
+_OP2_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+  links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b
+            WHERE a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) >= 0.9 * sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))),
+  reach AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.b FROM reach r JOIN links l ON r.y = l.a),
+  n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(any_value(n), 0)::BIGINT AS n_links, min(y) AS component_id, vec_id = min(y) AS kept
+FROM reach JOIN v ON x = vec_id LEFT JOIN n USING (vec_id) GROUP BY vec_id
+"""
+
+_OP3_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+  wins AS (SELECT doc_id, s, md5(array_to_string(w[s:s + 34], ' ')) AS h
+           FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS s FROM d WHERE len(w) >= 35)),
+  rep AS (SELECT doc_id, s FROM wins WHERE h IN (SELECT h FROM wins GROUP BY h HAVING count(*) > 1)),
+  gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS p FROM rep),
+  words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+  kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS k, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+_OP8_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+  sh AS (SELECT DISTINCT doc_id, array_to_string(w[s:s + 3], ' ') AS g
+         FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS s FROM d WHERE len(w) > 0)),
+  n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+  both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+  links AS (SELECT a, b FROM both_ JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * o >= 85 * (x.n + y.n - o)),
+  reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, l.b FROM reach r JOIN links l ON r.y = l.a)
+SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(y) AS component_id
+FROM d JOIN reach ON x = d.doc_id LEFT JOIN n USING (doc_id) GROUP BY d.doc_id
+"""
+
+_OP7_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+  wins AS (SELECT doc_id, s, md5(substr(x, 2 * s + 1, 200)) AS h FROM (SELECT doc_id, x, unnest(range(0, n - 99)) AS s FROM d WHERE n >= 100)),
+  late AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS r FROM wins) WHERE r > 1),
+  bytes AS (SELECT doc_id, p, substr(x, 2 * p + 1, 2) AS b FROM (SELECT doc_id, x, unnest(range(0, n)) AS p FROM d)),
+  marked AS (SELECT b.doc_id, b.p, b.b, max(l.s) OVER (PARTITION BY b.doc_id ORDER BY b.p ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+             FROM bytes b LEFT JOIN late l ON l.doc_id = b.doc_id AND l.s = b.p),
+  runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS begins FROM marked),
+  sums AS (SELECT doc_id, sum(gone::INT) AS g, sum(begins::INT) AS k, string_agg(b, '' ORDER BY p) FILTER (WHERE NOT gone) AS hx FROM runs GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(g, 0)::BIGINT AS n_removed, coalesce(k, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(hx, ''))) AS kept_sha256 FROM d LEFT JOIN sums USING (doc_id)
+"""
+
 QUERIES = {"op1_byte_level_bpe": op1_byte_level_bpe, "op2_embedding_near_dedup": op2_embedding_near_dedup,
            "op3_substring_dedup": op3_substring_dedup, "op4_secret_scan": op4_secret_scan,
            "op5_benchmark_decontamination": op5_benchmark_decontamination,
            "op6_toxicity": op6_toxicity, "op10_language_id": op10_language_id, "language_id_pages": language_id_pages,
            "op7_suffix_array_dedup": op7_suffix_array_dedup, "op8_ngram_jaccard_join": op8_ngram_jaccard_join, "op9_warc": op9_warc}
-ORACLES: dict[str, str] = {"op5_benchmark_decontamination": _OP5_SQL, "op9_warc": _OP9_SQL}
+ORACLES: dict[str, str] = {"op2_embedding_near_dedup": _OP2_SQL, "op3_substring_dedup": _OP3_SQL,
+                           "op7_suffix_array_dedup": _OP7_SQL, "op8_ngram_jaccard_join": _OP8_SQL,
+                           "op5_benchmark_decontamination": _OP5_SQL, "op9_warc": _OP9_SQL}
