@@ -156,3 +156,12 @@ def test_parts_of_a_folder_are_numbered_through(spark):
     got = read_csv_telemetry(spark, p).select("unit_number", "time_in_cycles", "sensor_measurement_4").collect()
     assert sorted(map(tuple, got)) == [(1, i + 1, i * 1.5) for i in range(40)]
     assert sorted(map(tuple, read_final_rul(spark, q).collect())) == [(i + 1, i) for i in range(40)]
+
+
+def test_shared_tables_can_be_removed(spark, monkeypatch):
+    from wearline import session
+    monkeypatch.setattr(session, "_MADE", [])
+    path = shared_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    shared_path(spark, "never-written")
+    assert session.remove_shared(spark) == 1 and session.remove_shared(spark) == 0

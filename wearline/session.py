@@ -70,7 +70,25 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path below the shared checkpoint folder, for tables
     written to cut lineage or to hand data between jobs."""
     base = ensure_checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/wearline-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/wearline-{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.append(path)
+    return path
+
+
+#: Paths given out by ``shared_path`` in this process.
+_MADE: list[str] = []
+
+
+def remove_shared(spark: SparkSession) -> int:
+    """Delete the tables that this process has put below the shared folder;
+    results that still read them must be stored before. Returns how many there
+    were."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
 
 
 _SHIPPED: set = set()
