@@ -25,14 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wearline.llm import common as C
 from wearline.llm.components import components
 
-BYTES_AT_ONCE = 2 << 20
+BYTES_AT_ONCE = 500_000
 #: Cells of the hashed counts, bins of the suffix filter, and the measured
 #: size up to which the ids of candidates are broadcast.
 SKETCH_CELLS, BINS, BROADCAST_IDS = 1 << 17, 16, 4_000_000
@@ -128,10 +128,13 @@ def _need(n1: Column, n2: Column, percent: int) -> Column:
     return F.ceil(percent * (n1 + n2) / F.lit(100 + percent) - F.lit(1e-9))
 
 
-def _may_link(n1, p1, n2, p2, percent: int) -> Column:
-    """Length filter, and positional filter at a shared n-gram."""
-    fits = 100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)
-    return fits & (F.least(p1, p2) + 1 + F.least(n1 - p1, n2 - p2) - 1 >= _need(n1, n2, percent))
+def _may_link(x: str, y: str, percent: int) -> Column:
+    """Length filter, and positional filter at a shared n-gram. Of what stands
+    before it only the ``s`` n-grams that any other set shares can be common."""
+    of = lambda t, c: F.col(f"{t}.{c}")
+    n1, n2 = of(x, "n"), of(y, "n")
+    most = F.least(of(x, "s"), of(y, "s")) + F.least(n1 - of(x, "p"), n2 - of(y, "p"))
+    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (most >= _need(n1, n2, percent))
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -174,38 +177,48 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     stats = _statistics(docs, n)
     classes = _classes(docs, _sketch(stats), n, percent)
     grams = classes.select("rep", "n", F.posexplode("prefix").alias("p", "g"))
-    shared = (grams.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("rep", "n", "p")).alias("c"))
-              .filter("k > 1").select("g", "c"))
-    postings = C.materialise(grams.join(shared, "g"), "postings")
-    ordered = (F.least("rep", "x.rep").alias("a"), F.greatest("rep", "x.rep").alias("b"))
-    filters = _may_link(F.col("n"), F.col("p"), F.col("x.n"), F.col("x.p"), percent)
-
-    first = postings.withColumn("x", F.col("c")).filter((F.col("rep") != F.col("x.rep")) & filters).select(*ordered).distinct()
-    done = C.materialise(first, "candidates")
-    links = _verified(docs, classes, done, n, percent)
+    shared = grams.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g")
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("p")) - 1
+    postings = C.materialise(grams.join(shared, "g").withColumn("s", place), "postings")
 
     def classed(links: DataFrame) -> DataFrame:
-        """Postings of n-grams that several classes hold, with the classes."""
+        """Stored postings of n-grams that several classes hold, with the class k."""
         found = components(links).withColumnRenamed("node", "rep")
-        own = postings.select("g", "rep", "n", "p").join(found, "rep", "left").withColumn("k", F.coalesce("component", "rep"))
+        own = postings.join(found, "rep", "left").withColumn("k", F.coalesce("component", "rep")).drop("component")
         mixed = own.groupBy("g").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo < hi").select("g")
-        return C.materialise(own.select("g", "rep", "n", "p", "k").join(mixed, "g"), "mixed")
-
-    def fresh(pairs: DataFrame) -> DataFrame:
-        return C.materialise(pairs.distinct().join(done, ["a", "b"], "left_anti"), "candidates")
-
-    mixed = classed(links)
-    any_one = mixed.groupBy("g").agg(F.min(F.struct(F.xxhash64("g", "rep").alias("h"), "rep", "n", "p", "k")).alias("x"))
-    second = fresh(mixed.join(any_one, "g").filter((F.col("k") != F.col("x.k")) & filters).select(*ordered))
-    if not second.isEmpty():
-        links = links.union(_verified(docs, classes, second, n, percent))
-        done = done.union(second)
-        mixed = classed(links)
-    x = mixed.select("g", F.struct("rep", "n", "p", "k").alias("x"))
-    last = fresh(mixed.join(x, "g").filter((F.col("k") != F.col("x.k")) & (F.col("rep") < F.col("x.rep")) & filters)
-                 .select(*ordered))
-    if not last.isEmpty():
-        links = links.union(_verified(docs, classes, last, n, percent))
+        return C.materialise(own.join(mixed, "g"), "mixed")
+
+    def partners(mixed: DataFrame, order: Column) -> DataFrame:
+        """For every set one of another class: of the first sets of its n-grams
+        by ``order`` the one that it shares most with."""
+        first = mixed.groupBy("g").agg(F.min(F.struct(order.alias("o"), "rep", "n", "p", "s", "k")).alias("y")).select("g", "y.*")
+        met = (mixed.alias("x").join(first.alias("y"), "g").filter((F.col("x.k") != F.col("y.k")) & _may_link("x", "y", percent))
+               .groupBy(F.col("x.rep").alias("x"), F.col("y.rep").alias("y")).agg(F.count(F.lit(1)).alias("c")))
+        best = met.groupBy("x").agg(F.max(F.struct(F.col("c"), -F.col("y"))).alias("m")).select("x", (-F.col("m.col2")).alias("y"))
+        return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    def remaining(mixed: DataFrame) -> DataFrame:
+        """All pairs of different classes that can still be links: what they
+        share up to the last shared n-gram of the prefixes, and what may follow."""
+        x, y = mixed.alias("x"), mixed.alias("y")
+        met = (x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.k") != F.col("y.k")) & (F.col("x.rep") < F.col("y.rep"))
+                      & _may_link("x", "y", percent))
+               .groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("n1"), F.col("y.n").alias("n2"))
+               .agg(F.count(F.lit(1)).alias("c"), F.max("x.p").alias("p1"), F.max("y.p").alias("p2")))
+        most = F.col("c") + F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2")) - 1
+        return met.filter(most >= _need(F.col("n1"), F.col("n2"), percent)).select("a", "b")
+
+    links, done = None, None
+    mixed = postings.withColumn("k", F.col("rep"))
+    for step in (F.lit(0), F.xxhash64("g", "rep"), F.xxhash64("rep"), None):
+        pairs = (partners(mixed, step) if step is not None else remaining(mixed)).distinct()
+        pairs = C.materialise(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "candidates")
+        if links is not None and pairs.isEmpty():
+            continue
+        found = _verified(docs, classes, pairs, n, percent)
+        links, done = (found, pairs) if links is None else (links.union(found), done.union(pairs))
+        if step is not None:
+            mixed = classed(links)
 
     # Nodes are least ids of equal sets; documents follow their set, and rows of one id their id.
     own = stats.filter(F.col("cell").isNull())
