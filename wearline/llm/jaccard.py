@@ -129,12 +129,14 @@ def _need(n1: Column, n2: Column, percent: int) -> Column:
 
 
 def _may_link(x: str, y: str, percent: int) -> Column:
-    """Length filter, and positional filter at a shared n-gram. Of what stands
-    before it only the ``s`` n-grams that any other set shares can be common."""
+    """Length filter, the prefixes that two sets of these sizes need, and
+    positional filter at a shared n-gram: of what stands before it only the
+    ``s`` n-grams that any other set shares can be common."""
     of = lambda t, c: F.col(f"{t}.{c}")
-    n1, n2 = of(x, "n"), of(y, "n")
-    most = F.least(of(x, "s"), of(y, "s")) + F.least(n1 - of(x, "p"), n2 - of(y, "p"))
-    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (most >= _need(n1, n2, percent))
+    n1, n2, p1, p2 = of(x, "n"), of(y, "n"), of(x, "p"), of(y, "p")
+    need = _need(n1, n2, percent)
+    most = F.least(of(x, "s"), of(y, "s")) + F.least(n1 - p1, n2 - p2)
+    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (p1 <= n1 - need) & (p2 <= n2 - need) & (most >= need)
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
