@@ -30,7 +30,7 @@ from wearline.llm.common import append_columns, row_slices
 
 #: Words encoded by one recursive query, words kept for later batches of the
 #: worker, and tokens decoded by one query: bounds on a task's memory.
-WORDS_AT_ONCE, WORDS_KEPT, TOKENS_AT_ONCE = 50_000, 800_000, 1_000_000
+WORDS_AT_ONCE, WORDS_KEPT, TOKENS_AT_ONCE = 20_000, 500_000, 300_000
 
 _ENCODE = """
 WITH RECURSIVE step(k, t, alive) AS (

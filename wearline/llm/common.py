@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -60,6 +62,13 @@ def small_side(stored: DataFrame) -> DataFrame:
     return F.broadcast(stored) if size <= BROADCAST_BYTES else stored
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: workers are kept for later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def append_columns(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.RecordBatch], list],
                    drop: tuple[str, ...] = (), rows_at_once: int = 500) -> DataFrame:
     """``df`` with the columns ``fields`` computed by ``fn`` (one array per
@@ -78,6 +87,9 @@ def append_columns(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.
                    (a.cast(t) if isinstance(a, (pa.Array, pa.ChunkedArray)) else pa.array(a, t))
                    for a, t in zip(fn(b), types)]
             yield pa.RecordBatch.from_arrays([b.column(n) for n in keep_names] + new, names=names)
+            del new
+            pa.default_memory_pool().release_unused()
+        _give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -93,6 +105,7 @@ def map_batches(df: DataFrame, schema: T.StructType, fn: Callable[[pa.RecordBatc
             if b.num_rows:
                 for cols in fn(b):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+        _give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from wearline.llm import common as C
 from wearline.llm.common import materialise
 
-CELL_BITS, BYTES_AT_ONCE = 15, 2 << 20
+CELL_BITS, BYTES_AT_ONCE = 15, 1_000_000
 CELLS = 1 << CELL_BITS
 #: Share of the trigram evidence that counts (trigrams overlap), the weight of
 #: the parent in smoothed priors, and the added count of declarations.

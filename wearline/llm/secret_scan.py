@@ -33,7 +33,7 @@ _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX, MIN_TRAIN, MIN_TOKEN = 12, 18, 16, 8, 20
 #: Log-likelihood ratio, in nats, from which a token counts as random.
 MIN_RATIO = 25.0
-BYTES_AT_ONCE = 4 << 20
+BYTES_AT_ONCE = 1_000_000
 
 _ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _CODE = np.zeros(256, np.uint8)  # 0: begins a token, or stands between tokens
@@ -153,40 +153,44 @@ _SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("star
 _SPAN_ARROW = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
 
-def scan(df: DataFrame, ratio: np.ndarray, text_col: str = "text", out: str = "secrets") -> DataFrame:
-    """``df`` with ``secrets`` (or the name ``out``): array of (kind, start, end), by start and then
+def _spans_by_row(col: pa.Array, ratio: np.ndarray) -> list[list[tuple[str, int, int]]]:
+    buf, off = text_buffer(col)
+    rows: list[list] = [[] for _ in range(len(col))]
+    for r, z in row_slices(off, BYTES_AT_ONCE):
+        for row, start, end, kind in _found(buf[off[r]:off[z]], off[r:z + 1] - off[r], ratio):
+            rows[r + row].append((KINDS[kind], start, end))
+    return rows
+
+
+def scan(df: DataFrame, ratio: np.ndarray, text_col: str = "text") -> DataFrame:
+    """``df`` with ``secrets``: array of (kind, start, end), by start and then
     kind in the order of ``KINDS``."""
 
     def run(b: pa.RecordBatch) -> list:
-        buf, off = text_buffer(b.column(text_col))
-        rows: list[list] = [[] for _ in range(b.num_rows)]
-        for r, z in row_slices(off, BYTES_AT_ONCE):
-            for row, start, end, kind in _found(buf[off[r]:off[z]], off[r:z + 1] - off[r], ratio):
-                rows[r + row].append({"kind": KINDS[kind], "start": start, "end": end})
-        return [pa.array(rows, pa.list_(_SPAN_ARROW))]
+        rows = _spans_by_row(b.column(text_col), ratio)
+        return [pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in spans] for spans in rows], pa.list_(_SPAN_ARROW))]
 
-    return append_columns(df, [T.StructField(out, T.ArrayType(_SPAN))], run)
+    return append_columns(df, [T.StructField("secrets", T.ArrayType(_SPAN))], run)
 
 
 def redact(df: DataFrame, ratio: np.ndarray, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``df`` with every secret span of the text replaced by ``mark``
     (overlapping spans by one); null texts stay null."""
-    names = [f.name for f in df.schema.fields]
-    held = scan(df, ratio, text_col, out="__secrets")
 
     def run(b: pa.RecordBatch) -> list:
-        texts, out = b.column(text_col), b.column(text_col).to_pylist()
-        for i, spans in enumerate(b.column("__secrets").to_pylist()):
+        texts = b.column(text_col)
+        out = texts.to_pylist()
+        for i, spans in enumerate(_spans_by_row(texts, ratio)):
             if spans:
-                text, parts, done = texts[i].as_py(), [], 0
-                for x in spans:
-                    if x["start"] >= done:
-                        parts += [text[done:x["start"]], mark]
-                    done = max(done, x["end"])
+                text, parts, done = out[i], [], 0
+                for _, start, end in spans:
+                    if start >= done:
+                        parts += [text[done:start], mark]
+                    done = max(done, end)
                 out[i] = "".join(parts) + text[done:]
         return [pa.array(out, pa.string())]
 
-    return append_columns(held, [T.StructField(text_col, T.StringType())], run, drop=("__secrets",)).select(*names)
+    return append_columns(df, [T.StructField(text_col, T.StringType())], run).select(*df.columns)
 
 
 def span_text(spans: str, kinds: tuple[str, ...] = KINDS):

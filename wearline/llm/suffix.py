@@ -33,7 +33,7 @@ from wearline.llm import common as C
 
 #: Bytes of an anchor, of a batch, of a shard, and distinct pieces of one
 #: anchor in a shard.
-ANCHOR, BYTES_AT_ONCE, SHARD_BYTES, SHARD_PIECES = 20, 1_000_000, 1_500_000, 8_000
+ANCHOR, BYTES_AT_ONCE, SHARD_BYTES, SHARD_PIECES = 20, 500_000, 1_500_000, 8_000
 LANES = 4096
 _LONG = T.LongType()
 
