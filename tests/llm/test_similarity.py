@@ -128,3 +128,23 @@ def test_vectors_recall_is_complete_here(spark, block, monkeypatch):
     assert all(g[1] <= w[1] for g, w in zip(sorted(got), sorted(want)))  # no link below the limit
     assert sum(x[1] for x in got) >= 0.99 * n > 0
     assert [x[2:] for x in sorted(got)] == [x[2:] for x in sorted(want)]
+
+
+@pytest.mark.parametrize("hashes", [3, 4, 5])
+def test_vectors_recall_with_more_hashes(spark, hashes):
+    """Pairs just above the limit, with the hashes of far larger tables."""
+    rng = np.random.default_rng(8)
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.normal(size=(2, 300, 64)))
+    y = y - (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.902 * x + np.sqrt(1 - 0.902 ** 2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    vecs = [(i, v.tolist()) for i, v in enumerate(np.stack([x, y], axis=1).reshape(600, 64))]
+    got = run2(spark, vecs, "double", hashes=hashes)
+    assert sum(g[1] for g in got) >= 0.985 * 600
+
+
+def test_vectors_settings():
+    """The expected recall at the limit holds for any number of rows."""
+    for total in (400, 1_000_000, 200_000_000):
+        hashes, tables = neardup.settings(total, [64], 0.9, 2, None, 11)
+        assert neardup.meeting_share(64, 0.9, hashes, tables, 2, 5)[-1] >= 0.99
+    assert neardup.settings(10**6, [2], 0.9, 2, None, 11)[0] == 1

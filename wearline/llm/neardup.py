@@ -14,9 +14,10 @@ Defined results: vectors that are null, empty, zero, or hold null or
 non-finite components link with nothing; vectors of different lengths are
 never linked; equal vectors are linked. Rows with a null id link with nothing,
 have a null component and are not kept. Rows that share an id count as rows of
-their own. Other columns are ignored. The hashes miss a few pairs: with the
-default settings recall was 1.0 of the links on the given tables; tests compare
-it with brute force.
+their own. Other columns are ignored. The hashes miss a few pairs: tables are
+as many as random pairs at ``min_cosine`` need to meet with a share of
+``LEAST_RECALL``, whatever the number of hashes, and so of rows; tests compare
+with brute force.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from wearline.llm.components import components
 
 #: Vectors of one block of a bucket.
 BLOCK = 1024
+#: Share of pairs at ``min_cosine`` that meet, and the fewest and most tables for it.
+LEAST_RECALL, FEWEST_TABLES, MOST_TABLES = 0.995, 10, 80
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -96,6 +99,45 @@ def _meet(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.where(ab & ba, np.minimum(x, y), np.where(ab, x, y))
 
 
+def meeting_share(size: int, min_cosine: float, hashes: int, tables: int, probes: int, seed: int) -> np.ndarray:
+    """Share of random pairs at ``min_cosine`` that meet in the first 1, 2, ...
+    ``tables``: as counted, or as tables of their own chance give it, if less."""
+    n = min(1500, max(256, (1 << 17) // size))
+    rng = np.random.default_rng([seed, size, 1])
+    x, y = (_unit(rng.standard_normal((n, size))) for _ in range(2))
+    if size > 1:
+        y = _unit(y - (x * y).sum(axis=1, keepdims=True) * x)
+        y = min_cosine * x + math.sqrt(max(0.0, 1 - min_cosine ** 2)) * y
+    else:
+        y = x
+    a, b = (codes(v, hashes, tables, probes, seed) for v in (x, y))
+    met = ((a[:, :, :1] == b).any(axis=2) | (b[:, :, :1] == a).any(axis=2))
+    alone = 1 - (1 - met.mean()) ** np.arange(1, tables + 1)
+    return np.minimum(np.logical_or.accumulate(met, axis=1).mean(axis=0), alone)
+
+
+def settings(total: int, sizes: list[int], min_cosine: float, probes: int, hashes: int | None, seed: int) -> tuple[int, int]:
+    """(hashes, tables) for ``total`` vectors of these padded lengths: as many
+    hashes as give about a bucket for every vector, fewer if ``MOST_TABLES``
+    would not hold ``LEAST_RECALL`` of the pairs; without a hash all meet."""
+    base = math.log(2 * max(sizes, default=1))
+    wanted = max(1, min(math.ceil(math.log(max(total, 2)) / base), int(40 * math.log(2) / base))) if hashes is None else hashes
+    for k in range(wanted, 0, -1):
+        tables = FEWEST_TABLES
+        while True:
+            share = np.min([meeting_share(d, min_cosine, k, tables, probes, seed) for d in sizes or [1]], axis=0)
+            enough = np.flatnonzero(share >= LEAST_RECALL)
+            if len(enough):
+                return k, max(FEWEST_TABLES, int(enough[0]) + 1)
+            if tables == MOST_TABLES:
+                break
+            need = tables * math.log(1 - LEAST_RECALL) / math.log(min(1 - 1e-9, 1 - share[-1]))
+            tables = min(MOST_TABLES, max(tables + 4, math.ceil(1.1 * need)))
+        if hashes is not None:
+            return k, MOST_TABLES
+    return 0, 1
+
+
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """The least reachable number of every one of n nodes."""
     label = np.arange(n)
@@ -174,11 +216,11 @@ def _link_tasks(least: float, tables: int, probes: int):
     return run
 
 
-def similar_vectors(df: DataFrame, min_cosine: float = 0.9, tables: int = 10, probes: int = 2, hashes: int | None = None,
+def similar_vectors(df: DataFrame, min_cosine: float = 0.9, tables: int | None = None, probes: int = 2, hashes: int | None = None,
                     id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 11) -> DataFrame:
     """Per row: id, ``n_links`` (other rows with cosine >= ``min_cosine``),
     ``component_id`` (least id that links reach) and ``kept``. ``hashes`` per
-    table default to as many as give about a bucket for every vector."""
+    table and ``tables`` default to what ``settings`` chooses."""
     spark = df.sparkSession
     ship_package(spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
@@ -187,10 +229,11 @@ def similar_vectors(df: DataFrame, min_cosine: float = 0.9, tables: int = 10, pr
     good = rows.filter(usable)
     nodes = materialise(good.groupBy("vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
                         .select("rep", "n", "vec"), "vectors")
-    total, longest = nodes.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
-    if hashes is None:
-        base = math.log(2 * (1 << max(0, (longest or 1) - 1).bit_length()))
-        hashes = max(1, min(math.ceil(math.log(max(total, 2)) / base), int(40 * math.log(2) / base)))
+    size = F.expr("shiftleft(1, if(size(vec) > 1, length(bin(size(vec) - 1)), 0))").alias("size")
+    by_size = nodes.groupBy(size).count().collect()  # one row for each power of two
+    if hashes is None or tables is None:
+        best = settings(sum(r["count"] for r in by_size), [r["size"] for r in by_size], min_cosine, probes, hashes, seed)
+        hashes, tables = (best[0] if hashes is None else hashes), (best[1] if tables is None else tables)
 
     def hashed(b: pa.RecordBatch) -> Iterator[list]:
         vecs = b.column(2)
