@@ -219,3 +219,25 @@ def test_markup_and_address(spark):
     r = spark.createDataFrame([('<!doctype html><HTML class="x" lang = \'de-AT\'>', "https://u:p@Www.Example.DE:80/x")], "h string, u string").select(
         language.markup_language(F.col("h")), language.url_host(F.col("u")), language.host_suffix(language.url_host(F.col("u")))).first()
     assert tuple(r) == ("de", "www.example.de", "de")
+
+
+def test_rare_and_many_languages(spark):
+    """A language of one row, and more than 60 of them, are told and kept."""
+    from pyspark.sql import functions as F
+    en = "the cat and the dog went to the house with them "
+    rows = [(i, en * 4, "en") for i in range(30)] + [(100, "быстрая коричневая лиса прыгает через ленивую собаку " * 2, "ru"),
+                                                     (101, "η γρήγορη καφέ αλεπού πηδάει πάνω από το σκυλί " * 2, None),
+                                                     (102, "η αλεπού πηδάει πάνω από το γρήγορη σκυλί " * 2, "el"), (103, "12 34", "zz")]
+    rng = np.random.default_rng(2)
+    letters = [chr(0x4E00 + i) for i in range(7000)]
+    for i in range(70):
+        own = ["".join(rng.choice(letters[i * 100:i * 100 + 100], 3)) for _ in range(12)]
+        rows += [(1000 + 10 * i + j, " ".join(rng.permutation(own)), f"q{chr(97 + i // 26)}{chr(97 + i % 26)}") for j in range(1 + i % 5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    said = (F.col("lang"), F.lit("host"), F.lit(None).cast("string"))
+    got = {r.doc_id: r for r in language.identify(df, ["doc_id"], F.col("text"), *said).collect()}
+    assert got.pop(103).language == "und"
+    assert all(got[i].kept and got[i].language == (lang or "el") for i, _, lang in rows if i != 103)
+    assert language.keep_identified(df, "text", *said).count() == len(rows) - 1
+    few = df.filter("doc_id >= 100 AND doc_id <= 102")
+    assert language.keep_identified(few, "text", *said).count() == 3

@@ -13,9 +13,11 @@ any letter, are rejected, and so are those whose best posterior is below
 Defined results: null and empty texts, and texts without letters, have
 language ``und`` and are not kept; a null declaration, host or suffix is no
 evidence against any language (nulls form one host); declared values compare
-without case and region (``en-GB`` is ``en``). Languages are the declared
-values of at least ``min_rows`` rows, the ``max_languages`` most frequent of
-them; without any, all rows are ``und``. Rows are handled one by one; repeated
+without case and region (``en-GB`` is ``en``). Every declared value is a
+language, however rare, if any of its texts has letters; without any, all rows are ``und``. A text that none of
+them resembles and that declares none itself is ``und``. Rare models stay close
+to ``und``, as every cell counts half an occurrence, so they win where no
+frequent language fits. Rows are handled one by one; repeated
 rows count in the statistics as often as they occur. Result columns replace
 columns of the same name.
 """
@@ -89,41 +91,64 @@ def host_suffix(host: Column) -> Column:
 @dataclass
 class TextModel:
     languages: list[str]
-    log_p: np.ndarray  # cells x languages
+    start: np.ndarray  # where each language's cells begin, and the end
+    cells: np.ndarray
+    log_p: np.ndarray
+    unseen: np.ndarray  # of each language's other cells
 
+    def column(self, i: int) -> np.ndarray:
+        out = np.full(CELLS, self.unseen[i], np.float32)
+        of = slice(self.start[i], self.start[i + 1])
+        out[self.cells[of]] = self.log_p[of]
+        return out
 
-_TEXT_COUNTS = T.StructType([T.StructField("declared", T.StringType()), T.StructField("cell", T.IntegerType()),
+
+_TEXT_COUNTS = T.StructType([T.StructField("language", T.IntegerType()), T.StructField("cell", T.IntegerType()),
                              T.StructField("n", T.LongType())])
+#: Languages that a task counts before it gives their counts out.
+HELD = 256
 
 
-def train_text(rows: DataFrame, min_rows: int = 5, max_languages: int = 60) -> TextModel:
-    """Trigram models from (text, declared) over all rows."""
-    known = [r[0] for r in rows.filter(F.col("declared").isNotNull()).groupBy("declared").count()
-             .filter(F.col("count") >= min_rows).orderBy(F.desc("count"), "declared").limit(max_languages).collect()]
-    known.sort()
+def train_text(rows: DataFrame) -> TextModel:
+    """Trigram models from (text, declared) over all rows, one for every
+    declared language."""
+    known = sorted(r[0] for r in rows.filter(F.col("declared").isNotNull()).select("declared").distinct().collect())
     number = {x: i for i, x in enumerate(known)}
 
+    def counted(total: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for i, n in total.items():
+            cell = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), i, np.int32)), pa.array(cell.astype(np.int32)),
+                                              pa.array(n[cell])], names=_TEXT_COUNTS.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(known), CELLS), np.int64)
+        total: dict[int, np.ndarray] = {}
         for b in batches:
             of = np.array([number.get(x, -1) for x in b.column(1).to_pylist()], np.int64)
             buf, off = C.text_buffer(b.column(0))
             for a, z in C.row_slices(off, BYTES_AT_ONCE):
                 cells, upto = _trigrams(buf[off[a]:off[z]], off[a:z + 1] - off[a])
                 lang = np.repeat(of[a:z], np.diff(upto))
-                for i in np.unique(lang[lang >= 0]):
-                    total[i] += np.bincount(cells[lang == i], minlength=CELLS)
-        i, cell = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([known[k] for k in i], pa.string()), pa.array(cell.astype(np.int32)),
-                                          pa.array(total[i, cell])], names=_TEXT_COUNTS.names)
+                for i in np.unique(lang[lang >= 0]).tolist():
+                    if i not in total and len(total) == HELD:
+                        yield from counted(total)
+                        total = {}
+                    total[i] = total.get(i, 0) + np.bincount(cells[lang == i], minlength=CELLS)
+        yield from counted(total)
 
     C.ship_package(rows.sparkSession)
-    counts = np.full((CELLS, len(known)), 0.5)
+    lang = cell = n = np.zeros(0, np.int64)
     if known:
-        got = (rows.select("text", "declared").mapInArrow(run, _TEXT_COUNTS).groupBy("declared", "cell")
-               .agg(F.sum("n").alias("n")).toArrow())  # CELLS rows a language at most
-        counts[got["cell"].to_numpy(), [number[x] for x in got["declared"].to_pylist()]] += got["n"].to_numpy()
-    return TextModel(known, np.log(counts / counts.sum(axis=0, keepdims=True)).astype(np.float32))
+        got = (rows.select("text", "declared").mapInArrow(run, _TEXT_COUNTS).groupBy("language", "cell")
+               .agg(F.sum("n").alias("n")).toArrow())  # the cells that a language's texts hold
+        lang, cell, n = (got[x].to_numpy() for x in ("language", "cell", "n"))
+        order = np.lexsort((cell, lang))
+        lang, cell, n = lang[order], cell[order], n[order]
+        some, lang = np.unique(lang, return_inverse=True)  # those with letters: the others' models would equal ``und``
+        known = [known[i] for i in some]
+    total = 0.5 * CELLS + np.bincount(lang, weights=n, minlength=len(known))
+    return TextModel(known, np.searchsorted(lang, np.arange(len(known) + 1)), cell.astype(np.int32),
+                     np.log((n + 0.5) / total[lang]).astype(np.float32), np.log(0.5 / total).astype(np.float32))
 
 
 _SCORES = [T.StructField("__score", T.ArrayType(T.DoubleType())), T.StructField("__trigrams", T.LongType())]
@@ -134,13 +159,13 @@ def _score_text(rows: DataFrame, model: TextModel) -> DataFrame:
     held = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(b: pa.RecordBatch) -> list:
-        log_p = held.value.log_p
-        out, size = np.zeros((b.num_rows, log_p.shape[1] + 1)), np.zeros(b.num_rows, np.int64)
+        model = held.value
+        out, size = np.zeros((b.num_rows, len(model.languages) + 1)), np.zeros(b.num_rows, np.int64)
         buf, off = C.text_buffer(b.column("__text"))
         for a, z in C.row_slices(off, BYTES_AT_ONCE):
             cells, upto = _trigrams(buf[off[a]:off[z]], off[a:z + 1] - off[a])
-            for i in range(log_p.shape[1]):
-                pre = np.concatenate([[0.0], np.cumsum(log_p[cells, i], dtype=np.float64)])
+            for i in range(len(model.languages)):
+                pre = np.concatenate([[0.0], np.cumsum(model.column(i)[cells], dtype=np.float64)])
                 out[a:z, i] = pre[upto[1:]] - pre[upto[:-1]]
             size[a:z] = np.diff(upto)
         out[:, -1] = -np.log(CELLS) * size
@@ -149,64 +174,62 @@ def _score_text(rows: DataFrame, model: TextModel) -> DataFrame:
     return C.append_columns(rows, _SCORES, run, drop=("__text",))
 
 
-def _fixed_declarations(scored: DataFrame, model: TextModel) -> dict[str, list[float]]:
-    """log P(declared | language) for the known declarations, from grouped
-    counts of what the texts suggest."""
+def _fixed_declarations(scored: DataFrame, model: TextModel) -> tuple[list[float], list[tuple[str, dict[int, float]]]]:
+    """log P(declared | language) from grouped counts of what the texts
+    suggest: that of a declaration never met, and what to add for those met."""
     n = len(model.languages)
-    number = {x: i for i, x in enumerate(model.languages)}
-    counts = np.full((n + 1, n + 1), ADDED)  # the last declaration: any other
-    named = F.when(F.col("__declared").isin(model.languages), F.col("__declared"))
-    for declared, top, k in (scored.filter(F.col("__declared").isNotNull()).groupBy(named, "__top")
-                             .agg(F.count(F.lit(1))).collect()):  # (n + 1) ** 2 rows at most
-        counts[number.get(declared, n), top] += k
-    log_p = np.log(counts / counts.sum(axis=0, keepdims=True))
-    return {x: log_p[i].tolist() for i, x in enumerate([*model.languages, None])}
+    total = np.full(n + 1, ADDED * (n + 1))
+    more: dict[str, dict[int, float]] = {}
+    for declared, top, k in (scored.filter(F.col("__declared").isNotNull()).groupBy("__declared", "__top")
+                             .agg(F.count(F.lit(1))).collect()):  # the pairs that occur
+        total[top] += k
+        more.setdefault(declared, {})[top] = float(np.log((ADDED + k) / ADDED))
+    return np.log(ADDED / total).tolist(), [*more.items()]
 
 
 def _priors(scored: DataFrame, n: int) -> DataFrame:
     """(h_host, h_suffix, __prior): log priors of the languages by host."""
-    of = [F.sum((F.col("__top") == i).cast("double")).alias(f"c{i}") for i in range(n + 1)]
-    hosts = materialise(scored.groupBy("__host", "__suffix").agg(*of), "host-counts")
-    sums = [F.sum(f"c{i}").alias(f"s{i}") for i in range(n + 1)]
-    total = np.array([x or 0.0 for x in hosts.agg(*sums).first()]) + 1.0
-    overall = total / total.sum()
-    up = hosts.groupBy("__suffix").agg(*sums)
-    all_up = sum((F.col(f"s{i}") for i in range(n + 1)), F.lit(PARENT_ROWS))
-    up = up.select(F.col("__suffix").alias("u"),
-                   *[((F.col(f"s{i}") + PARENT_ROWS * float(overall[i])) / all_up).alias(f"p{i}") for i in range(n + 1)])
-    all_own = sum((F.col(f"c{i}") for i in range(n + 1)), F.lit(PARENT_ROWS))
-    prior = F.array(*[F.log((F.col(f"c{i}") + PARENT_ROWS * F.col(f"p{i}")) / all_own) for i in range(n + 1)])
+    tops = materialise(scored.groupBy("__host", "__suffix", "__top").agg(F.count(F.lit(1)).cast("double").alias("c")), "host-counts")
+    total = np.ones(n + 1)
+    for top, k in tops.groupBy("__top").agg(F.sum("c")).collect():  # n + 1 rows at most
+        total[top] += k
+    overall = scored.sparkSession.createDataFrame([((total / total.sum()).tolist(),)], "overall array<double>")
+    counts = lambda: (F.map_from_entries(F.collect_list(F.struct("__top", "c"))).alias("m"), F.sum("c").alias("s"))
+    up = (tops.groupBy("__suffix", "__top").agg(F.sum("c").alias("c")).groupBy("__suffix").agg(*counts())
+          .crossJoin(F.broadcast(overall)).select(F.col("__suffix").alias("u"), F.expr(
+              f"transform(overall, (x, i) -> (coalesce(m[i], 0D) + {PARENT_ROWS}D * x) / (s + {PARENT_ROWS}D))").alias("p")))
+    hosts = tops.groupBy("__host", "__suffix").agg(*counts())
     return (hosts.join(up, hosts["__suffix"].eqNullSafe(up.u))
-            .select(F.col("__host").alias("h_host"), F.col("__suffix").alias("h_suffix"), prior.alias("__prior")))
+            .select(F.col("__host").alias("h_host"), F.col("__suffix").alias("h_suffix"), F.expr(
+                f"transform(p, (x, i) -> ln((coalesce(m[i], 0D) + {PARENT_ROWS}D * x) / (s + {PARENT_ROWS}D)))").alias("__prior")))
 
 
 def identify(df: DataFrame, keys: list[str], text: Column, declared: Column, host: Column, suffix: Column,
-             min_posterior: float = 0.5, **training) -> DataFrame:
+             min_posterior: float = 0.5) -> DataFrame:
     """Per row of ``df``: the columns ``keys``, and ``language``, ``posterior``
-    and ``kept``. ``training`` goes to ``train_text``."""
+    and ``kept``."""
     spark = df.sparkSession
     evidence = df.select(*keys, F.coalesce(text, F.lit("")).alias("__text"), declared_code(declared).alias("__declared"),
                          host.cast("string").alias("__host"), suffix.cast("string").alias("__suffix"))
-    model = train_text(evidence.select(F.col("__text").alias("text"), F.col("__declared").alias("declared")), **training)
+    model = train_text(evidence.select(F.col("__text").alias("text"), F.col("__declared").alias("declared")))
     n = len(model.languages)
     scored = _score_text(evidence, model)
     scored = materialise(scored.withColumn("__top", F.array_position("__score", F.array_max("__score")).cast("int") - 1)
                          .withColumn("__top", F.when(F.col("__trigrams") == 0, n).otherwise(F.col("__top"))), "language-scores")
-    table = _fixed_declarations(scored, model)
-    other = table.pop(None)
-    fixed = spark.createDataFrame([*table.items()] or [("", other)], "d string, __said array<double>")
+    base, more = _fixed_declarations(scored, model)
+    fixed = spark.createDataFrame(more, "d string, __more map<int, double>")
     prior = _priors(scored, n)
+    whole = spark.createDataFrame([(base, [*model.languages, "und"])], "__base array<double>, __names array<string>")
     said = F.when(F.col("__declared").isNull(), F.array_repeat(F.lit(0.0), n + 1)).otherwise(
-        F.coalesce("__said", F.array(*[F.lit(x) for x in other])))
+        F.expr("transform(__base, (x, i) -> x + coalesce(__more[i], 0D))"))
     plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    fused = (scored.join(F.broadcast(fixed), F.col("__declared") == F.col("d"), "left")
+    fused = (scored.join(F.broadcast(fixed), F.col("__declared") == F.col("d"), "left").crossJoin(F.broadcast(whole))
              .join(prior, F.col("__host").eqNullSafe(F.col("h_host")) & F.col("__suffix").eqNullSafe(F.col("h_suffix")))
-             .select(*keys, "__trigrams", plus(plus(F.col("__score"), said), F.col("__prior")).alias("__log")))
+             .select(*keys, "__trigrams", "__names", plus(plus(F.col("__score"), said), F.col("__prior")).alias("__log")))
     top = F.array_max("__log")
     share = 1 / F.aggregate("__log", F.lit(0.0), lambda s, x: s + F.exp(x - top))
-    names = F.array(*[F.lit(x) for x in [*model.languages, "und"]])
     empty = F.col("__trigrams") == 0
-    out = fused.select(*keys, F.when(empty, "und").otherwise(F.element_at(names, F.array_position("__log", top).cast("int")))
+    out = fused.select(*keys, F.when(empty, "und").otherwise(F.element_at(F.col("__names"), F.array_position("__log", top).cast("int")))
                        .alias("language"), F.when(empty, 1.0).otherwise(share).alias("posterior"))
     return out.withColumn("kept", (F.col("language") != "und") & (F.col("posterior") >= min_posterior))
 
