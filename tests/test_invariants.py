@@ -165,3 +165,26 @@ def test_shared_tables_can_be_removed(spark, monkeypatch):
     spark.range(3).write.parquet(path)
     shared_path(spark, "never-written")
     assert session.remove_shared(spark) == 1 and session.remove_shared(spark) == 0
+
+
+def test_score_requests_reads_every_row(spark):
+    """Every row of every unit is in a request, and each request (with its
+    spoiled copies) has one answer."""
+    from wearline.plans import queries
+    l = DT.supplier_telemetry(spark, SF001)
+    assert RQ.explode_requests(DT.life_requests(l)).count() == l.count()
+    want = {f"{r.request_id}-{v}" for r in DT.life_requests(l).select("request_id").collect()
+            for v in ("ok", "short", "narrow", "nan", "unit0")}
+    got = [r.request_id for r in queries.q_score_requests(spark, SF001).select("request_id").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_life_queries_match_their_sql(spark):
+    import duckdb
+    from wearline.plans import edge_cases
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{SF001}/lineitem.parquet')")
+    for name in ("request_explode_life", "request_validate_life", "parse_manual_rows_life"):
+        got, want = edge_cases.QUERIES[name](spark, SF001).toPandas(), con.execute(edge_cases.ORACLES[name]).df()
+        norm = lambda d: sorted(repr([None if v != v else v for v in r]) for r in d[sorted(d.columns)].itertuples(index=False))
+        assert sorted(got.columns) == sorted(want.columns) and norm(got) == norm(want), name

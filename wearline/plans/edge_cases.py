@@ -11,10 +11,11 @@ from wearline.operators import knn as KN
 from wearline.operators import labels as LB
 from wearline.operators import sampling as SA
 from wearline.plans import score as SCO
-from wearline.plans.oracle import KNN_V, L, VEC, h
-from wearline.schema import CYCLE, UNIT, value_columns
+from wearline.plans.oracle import KNN_V, L, VALUE_COLS, VEC, h, req_values
+from wearline.schema import CYCLE, UNIT
 from wearline.session import shared_path
 from wearline.sources import driver_tables as DT
+from wearline.sources import requests as RQ
 from wearline.sources.requests import REQUEST
 from wearline.streaming import risk as SR
 
@@ -90,15 +91,38 @@ def undersample_null_label(spark, sf):
 
 # ---- several requests of one unit ----------------------------------------------------
 
-def life_requests(telemetry, steps: int = 10):
-    """Every unit's whole life as requests of ``steps`` consecutive steps."""
-    have = set(telemetry.columns)
-    values = F.array(*[F.coalesce(F.col(c), F.lit(0.0)) if c in have else F.lit(0.0) for c in value_columns()])
-    part = F.floor((F.col(CYCLE) - 1) / steps).cast("bigint")
-    packed = (telemetry.select(UNIT, part.alias("part"), F.struct(CYCLE, values.alias("v")).alias("s")).groupBy(UNIT, "part")
-              .agg(F.sort_array(F.collect_list("s")).alias("s")))
-    return packed.select(F.concat_ws("-", F.col(UNIT), F.col("part")).alias(REQUEST), F.col(UNIT).alias("unit_id"), "part",
-                         F.col("s.v").alias("time_steps"))
+LIFE = f"""Q AS (SELECT unit_number AS u, (time_in_cycles - 1) // 10 AS p, (time_in_cycles - 1) % 10 AS step,
+  {', '.join(f'{v} AS v{i}' for i, v in enumerate(req_values()))} FROM L)"""
+
+
+@query("request_explode_life", f"""WITH {L}, {LIFE}
+SELECT u || '-' || p AS request_id, u AS unit_number, CAST(step + 1 AS BIGINT) AS time_in_cycles,
+  {', '.join(f'CAST(v{i} AS DOUBLE) AS {c}' for i, c in enumerate(VALUE_COLS))} FROM Q""")
+def request_explode_life(spark, sf):
+    """Every row of every unit, in requests of ten steps."""
+    return RQ.explode_requests(DT.life_requests(DT.supplier_telemetry(spark, sf)))
+
+
+@query("request_validate_life", f"""WITH {L}, {LIFE}, A AS (SELECT u, p, count(*) AS n FROM Q GROUP BY u, p),
+V AS (SELECT u || '-' || p AS request_id, CASE WHEN v = 'unit0' THEN 0 ELSE u END AS unit_id, v AS variant,
+  CASE WHEN v = 'short' THEN least(n - 1, 4) ELSE n END AS n FROM A, (SELECT unnest(['ok', 'short', 'narrow', 'nan', 'unit0']) AS v)),
+R AS (SELECT *, CASE WHEN unit_id < 1 THEN 'unit_id' WHEN n < 5 THEN 'too_few_steps' WHEN variant = 'narrow' THEN 'step_width'
+  WHEN variant = 'nan' THEN 'non_finite' END AS reason FROM V)
+SELECT request_id, CAST(unit_id AS BIGINT) AS unit_id, variant, CAST(reason IS NULL AS BIGINT) AS valid, reason FROM R""")
+def request_validate_life(spark, sf):
+    from wearline.plans.queries import spoiled
+    req = spoiled(DT.life_requests(DT.supplier_telemetry(spark, sf)))
+    return RQ.validate_requests(req).select(REQUEST, "unit_id", "variant", "valid", "reason")
+
+
+@query("parse_manual_rows_life", f"""WITH {L}, {LIFE},
+S AS (SELECT u || '-' || p AS request_id, u AS unit_id, CAST(step AS BIGINT) AS step,
+  round(0.0 + {' + '.join(f'v{i}' for i in range(29))}, 4) AS value_sum FROM Q)
+SELECT request_id, unit_id, step, 'ok' AS variant, CAST(1 AS BIGINT) AS valid, CAST(29 AS BIGINT) AS n_values, value_sum FROM S
+UNION ALL SELECT request_id, unit_id, step, 'junk', CAST(0 AS BIGINT), CAST(30 AS BIGINT), value_sum FROM S""")
+def parse_manual_rows_life(spark, sf):
+    from wearline.plans.queries import manual_rows
+    return manual_rows(DT.life_requests(DT.supplier_telemetry(spark, sf)))
 
 
 @query("score_requests_multi", f"""WITH {L}, Q AS (SELECT unit_number AS u, (time_in_cycles - 1) // 10 AS p, time_in_cycles AS c,
@@ -113,7 +137,7 @@ SELECT u || '-' || p AS request_id, u AS unit_id, coalesce('quarantine:' || reas
 def score_requests_multi(spark, sf):
     """One response per request; a fixed formula stands for the model. -1
     stands for no score."""
-    req = life_requests(DT.supplier_telemetry(spark, sf))
+    req = DT.life_requests(DT.supplier_telemetry(spark, sf))
     bad = (F.col("unit_id") + F.col("part")) % 7 == 3
     nan_first = F.transform("time_steps", lambda s, i: F.when(i == 0, F.concat(F.array(F.lit(float("nan"))), F.slice(s, 2, 28))).otherwise(s))
     req = req.withColumn("time_steps", F.when(bad, nan_first).otherwise(F.col("time_steps"))).drop("part")

@@ -623,8 +623,8 @@ def q_request_explode(spark, sf):
     return RQ.explode_requests(l_requests(spark, sf))
 
 
-def spoiled_requests(spark, sf):
-    r = l_requests(spark, sf).withColumn("origin", F.col("unit_id"))
+def spoiled(requests):
+    r = requests.withColumn("origin", F.col("unit_id"))
     ts = F.col("time_steps")
     nan_first = F.transform(ts, lambda s, i: F.when(i == 0, F.concat(F.array(F.lit(float("nan"))), F.slice(s, 2, 28))).otherwise(s))
     narrow = F.transform(ts, lambda s, i: F.when(i == 0, F.slice(s, 1, 28)).otherwise(s))
@@ -637,21 +637,26 @@ def spoiled_requests(spark, sf):
 
 @query("request_validate")
 def q_request_validate(spark, sf):
-    return RQ.validate_requests(spoiled_requests(spark, sf)).select("unit_id", "variant", "valid", "reason")
+    return RQ.validate_requests(spoiled(l_requests(spark, sf))).select("unit_id", "variant", "valid", "reason")
 
 
-@query("parse_manual_rows")
-def q_parse_manual_rows(spark, sf):
-    ex = l_requests(spark, sf).select("unit_id", F.posexplode("time_steps").alias("step", "v"))
-    txt = ex.select("unit_id", "step", F.concat_ws(",", F.transform("v", lambda x: x.cast("string"))).alias("text"))
+def manual_rows(requests):
+    own = ["request_id"] if "request_id" in requests.columns else []
+    ex = requests.select(*own, "unit_id", F.posexplode("time_steps").alias("step", "v"))
+    txt = ex.select(*own, "unit_id", "step", F.concat_ws(",", F.transform("v", lambda x: x.cast("string"))).alias("text"))
     txt = (txt.withColumn("variant", F.lit("ok"))
            .unionByName(txt.withColumn("text", F.concat("text", F.lit(",abc"))).withColumn("variant", F.lit("junk"))))
     p = RQ.parse_manual_rows(txt)
-    return p.select("unit_id", F.col("step").cast("bigint").alias("step"), "variant", "valid",
+    return p.select(*own, "unit_id", F.col("step").cast("bigint").alias("step"), "variant", "valid",
                     F.size("values").cast("bigint").alias("n_values"),
                     round_half_away(F.aggregate("values", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))), 4).alias("value_sum"))
 
 
+@query("parse_manual_rows")
+def q_parse_manual_rows(spark, sf):
+    return manual_rows(l_requests(spark, sf))
+
+
 @query("latest_report")
 def q_latest_report(spark, sf):
     base = shared_path(spark, "reports")
@@ -859,12 +864,12 @@ def q_score_fleet(spark, sf):
 
 @query("score_requests")
 def q_score_requests(spark, sf):
-    """C4: a table of requests (last 5 rows of every unit, plus spoiled
+    """C4: a table of requests (every unit's whole life, plus spoiled
     copies) -> responses; spoiled ones land in quarantine."""
     model, _, _, _ = trained(spark, sf)
     _, _, _, scaler, removed = splits(spark, sf)
-    req = spoiled_requests(spark, sf).withColumn("request_id", F.concat_ws("-", "origin", "variant"))
-    resp, bad = SCO.score_requests(req.drop("variant", "origin"), model, scaler, removed)
+    req = spoiled(DT.life_requests(L(spark, sf))).withColumn("request_id", F.concat_ws("-", "request_id", "variant"))
+    resp, bad = SCO.score_requests(req.drop("variant", "origin", "part"), model, scaler, removed)
     return (resp.withColumn("status", F.lit("scored"))
             .unionByName(bad.select("request_id", "unit_id", F.lit(None).cast("double").alias("failure_probability"),
                                     F.lit(None).cast("bigint").alias("failure_prediction"),
