@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -62,6 +62,11 @@ def small_side(stored: DataFrame) -> DataFrame:
     return F.broadcast(stored) if size <= BROADCAST_BYTES else stored
 
 
+def each(n: int) -> Column:
+    """Rows for the numbers from 0 to ``n`` - 1."""
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+
+
 def _give_back() -> None:
     """Return freed memory to the system: workers are kept for later stages."""
     pa.default_memory_pool().release_unused()

@@ -108,6 +108,21 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                       L.host_suffix(host))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wearline.llm.divergence import divergence
+    return divergence(read_table(spark, sf_dir, "documents"), min_docs=10, top=10)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wearline.llm.filter_audit import audit
+    return audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wearline.llm.topk_search import top_k
+    return top_k(read_table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
 _OP9_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
      d AS (SELECT page_id, strlen(body) AS n, sha1(body) AS h, max(page_id) OVER (PARTITION BY body) AS last FROM p)
@@ -168,11 +183,72 @@ SELECT doc_id, n::BIGINT AS n_bytes, coalesce(g, 0)::BIGINT AS n_removed, coales
   sha256(unhex(coalesce(hx, ''))) AS kept_sha256 FROM d LEFT JOIN sums USING (doc_id)
 """
 
+_OP11_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+  t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+  kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+  c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY lang, source, term),
+  g AS (SELECT DISTINCT lang, source FROM d),
+  v AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS total FROM g JOIN kept k USING (lang)
+        LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+  s AS (SELECT lang, source, term, n,
+          1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER w + 2 * count(*) OVER w) AS p,
+          1 + (1000000000::HUGEINT * (total + 2)) // (sum(total) OVER w + 2 * count(*) OVER w) AS q
+        FROM v WINDOW w AS (PARTITION BY lang, source)),
+  pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)), 0)::BIGINT AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN s x ON x.lang = a.lang AND x.source = a.source
+            LEFT JOIN s y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+  terms AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value FROM s WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+               FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)) WHERE part = 'pair' OR rank <= 10
+"""
+
+_OP12_SQL = """
+WITH l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+  d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x FROM documents),
+  w AS (SELECT *, regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY x) AS first FROM d),
+  m AS (SELECT part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic,
+          (len(ws) < 100)::INT + 2 * (100 * len(list_distinct(ws)) < 80 * len(ws))::INT
+          + 4 * (100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 10 * length(x))::INT
+          + 8 * regexp_matches(x, '[#$%&*|]')::INT + 16 * coalesce(w.doc_id > first, false)::INT AS mask
+        FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+  cells AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+  f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c, unnest([1, 2, 4, 8, 16]) AS b),
+  o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits FROM f a, f b, f c, f d, f e
+        WHERE a.b + b.b + c.b + d.b + e.b = 31 AND a.b | b.b | c.b | d.b | e.b = 31),
+  st AS (SELECT filter_order, step, bits[step] AS bit, list_sum(bits[1:step])::BIGINT - bits[step] AS before
+         FROM (SELECT *, unnest(range(1, 6)) AS step FROM o)),
+  r AS (SELECT part, filter_order, step, bit,
+          coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit > 0), 0) AS removed,
+          coalesce(sum(n) FILTER (mask & before > 0 AND mask & bit > 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+          coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit > 0), 0) AS good_lost,
+          coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & bit > 0), 0) AS toxic_lost
+        FROM cells, st GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r
+"""
+
+_OP13_SQL = """
+WITH v AS (SELECT vec_id, [floor(256 * x) FOR x IN embedding::DOUBLE[]] AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+  s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.e, b.e)::BIGINT AS score FROM v a, v b
+        WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
 QUERIES = {"op1_byte_level_bpe": op1_byte_level_bpe, "op2_embedding_near_dedup": op2_embedding_near_dedup,
            "op3_substring_dedup": op3_substring_dedup, "op4_secret_scan": op4_secret_scan,
            "op5_benchmark_decontamination": op5_benchmark_decontamination,
            "op6_toxicity": op6_toxicity, "op10_language_id": op10_language_id, "language_id_pages": language_id_pages,
-           "op7_suffix_array_dedup": op7_suffix_array_dedup, "op8_ngram_jaccard_join": op8_ngram_jaccard_join, "op9_warc": op9_warc}
+           "op7_suffix_array_dedup": op7_suffix_array_dedup, "op8_ngram_jaccard_join": op8_ngram_jaccard_join, "op9_warc": op9_warc,
+           "op11_source_divergence": op11_source_divergence, "op12_filter_audit": op12_filter_audit,
+           "op13_topk_search": op13_topk_search}
 ORACLES: dict[str, str] = {"op2_embedding_near_dedup": _OP2_SQL, "op3_substring_dedup": _OP3_SQL,
                            "op7_suffix_array_dedup": _OP7_SQL, "op8_ngram_jaccard_join": _OP8_SQL,
-                           "op5_benchmark_decontamination": _OP5_SQL, "op9_warc": _OP9_SQL}
+                           "op5_benchmark_decontamination": _OP5_SQL, "op9_warc": _OP9_SQL,
+                           "op11_source_divergence": _OP11_SQL, "op12_filter_audit": _OP12_SQL, "op13_topk_search": _OP13_SQL}
