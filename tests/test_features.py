@@ -106,35 +106,90 @@ def test_chunked_equals_single_task(spark):
             assert np.allclose(a[c].to_numpy(float), b[c].to_numpy(float), rtol=1e-12, atol=1e-12), (hist, c)
 
 
-def test_skew_paths_of_labels_and_adapter(spark):
-    from tests.conftest import SF001
-    from wearline.operators.labels import compute_rul
-    from wearline.sources.driver_tables import supplier_telemetry
-    a = supplier_telemetry(spark, SF001).toPandas().sort_values(["unit_number", "time_in_cycles"]).reset_index(drop=True)
-    b = supplier_telemetry(spark, SF001, skew=True).toPandas().sort_values(["unit_number", "time_in_cycles"]).reset_index(drop=True)
-    assert a.equals(b)
-    df = supplier_telemetry(spark, SF001)
-    x = compute_rul(df).select("unit_number", "time_in_cycles", "RUL").toPandas().sort_values(["unit_number", "time_in_cycles"]).reset_index(drop=True)
-    y = compute_rul(df, skew=True).select("unit_number", "time_in_cycles", "RUL").toPandas().sort_values(["unit_number", "time_in_cycles"]).reset_index(drop=True)
-    assert x.equals(y)
+def by_unit(df, columns=None):
+    pdf = df.toPandas()
+    return (pdf if columns is None else pdf[columns]).sort_values(["unit_number", "time_in_cycles"]).reset_index(drop=True)
 
 
-def test_skew_paths_of_positions_steps_and_timeline(spark):
-    from tests.conftest import SF001
+def odd_units(spark):
+    """One unit with more than half of the rows, gaps and a huge jump in its
+    cycles, a null unit, short units, and nulls among the values."""
+    rng = np.random.default_rng(3)
+    cycles = np.cumsum(rng.integers(1, 9, 900)) + np.where(np.arange(900) > 500, 10**7, 0)
+    rows = [(0, int(t), float(rng.normal() * 40)) for t in cycles]
+    rows += [(None, t, float(t)) for t in range(1, 40)] + [(u, t, None if t % 7 == 0 else 2.0 * t) for u in range(1, 9) for t in range(1, 70)]
+    return spark.createDataFrame(rows, "unit_number bigint, time_in_cycles bigint, sensor_measurement_4 double")
+
+
+@pytest.mark.parametrize("chunk_rows", [1, 7, 64, 300])
+def test_long_units_give_equal_results(spark, chunk_rows):
     from wearline.operators import labels as LB
     from wearline.operators import policy as PO
     from wearline.operators.features import every_nth_cycle
-    from wearline.plans import timeline as TL
-    from wearline.sources.driver_tables import final_rul, supplier_telemetry
-    l = supplier_telemetry(spark, SF001)
-
-    def same(a, b, keys=("unit_number", "time_in_cycles")):
-        x = a.toPandas().sort_values(list(keys)).reset_index(drop=True)
-        y = b.toPandas()[list(x.columns)].sort_values(list(keys)).reset_index(drop=True)
-        assert x.equals(y)
-    same(every_nth_cycle(l, 5, 7), every_nth_cycle(l, 5, 7, skew=True))
-    r = LB.compute_rul(l)
-    same(PO.logged_steps(r), PO.logged_steps(r, skew=True))
-    same(LB.attach_final_rul(l, final_rul(l)), LB.attach_final_rul(l, final_rul(l), skew=True))
-    sc = l.select("unit_number", "time_in_cycles", (F.col("sensor_measurement_4") / 50).alias("probability"))
-    same(TL.timeline_points(sc), TL.timeline_points(sc, skew=True))
+    df = odd_units(spark)
+    whole, cut = LB.compute_rul(df), LB.compute_rul(df, chunk_rows=chunk_rows)
+    assert by_unit(whole).equals(by_unit(cut, whole.columns)) and not whole.filter("unit_number IS NULL AND RUL IS NULL").count()
+    assert by_unit(every_nth_cycle(df, 5, 7)).equals(by_unit(every_nth_cycle(df, 5, 7, chunk_rows=chunk_rows)))
+    rul = whole.withColumn("RUL", F.col("RUL") % 130)
+    assert by_unit(PO.logged_steps(rul)).equals(by_unit(PO.logged_steps(rul, chunk_rows=chunk_rows)))
+    if chunk_rows > 9:
+        for history in (None, 10):
+            a, b = by_unit(engineer_features(df, history=history)), by_unit(engineer_features(df, history=history, chunk_rows=chunk_rows))
+            assert list(a.columns) == list(b.columns)
+            for c in a.columns:
+                assert np.allclose(a[c].to_numpy(float), b[c].to_numpy(float), rtol=1e-11, atol=1e-11, equal_nan=True), (history, c)
+
+
+def test_long_unit_in_several_tasks(spark):
+    """A unit of 5,000 rows is dealt to chunks of about 500, with the rows
+    before each as ghosts."""
+    from wearline.operators.chunks import chunked
+    df = spark.range(5000).selectExpr("1L AS unit_number", "id * 3 AS time_in_cycles")
+    found = chunked(df, ["unit_number"], "time_in_cycles", back=4, chunk_rows=500)
+    sizes = {r._chunk: (r.own, r.ghosts) for r in found.groupBy("_chunk").agg(
+        F.sum((~F.col("_ghost")).cast("int")).alias("own"), F.sum(F.col("_ghost").cast("int")).alias("ghosts")).collect()}
+    assert len(sizes) == 10 and max(own for own, _ in sizes.values()) <= 520 and sum(own for own, _ in sizes.values()) == 5000
+    assert all(4 <= ghosts <= 40 for c, (_, ghosts) in sizes.items() if c) and sizes[0][1] == 0
+
+
+def test_adapters_number_long_units(spark):
+    from tests.conftest import SF001
+    from wearline.sources.driver_tables import supplier_telemetry
+    a, b = supplier_telemetry(spark, SF001), supplier_telemetry(spark, SF001, chunk_rows=100)
+    assert by_unit(a).equals(by_unit(b))
+
+
+def test_plans_without_joins(spark):
+    """No join, no checkpoint and one exchange for short units; trailing
+    features without Python."""
+    df = odd_units(spark)
+    for history, arrow in ((None, 1), (10, 0)):
+        plan = engineer_features(df, history=history)._jdf.queryExecution().executedPlan().toString()
+        count = lambda name: sum(line.lstrip(" :+-*()0123456789").startswith(name) for line in plan.splitlines())
+        assert (count("Exchange"), count("Sort"), count("Window"), count("MapInArrow")) == (1, 1, 1, arrow)
+        assert "Join" not in plan and "ExistingRDD[" not in plan.replace("Scan ExistingRDD[unit_number", "")
+
+
+def test_scan_next_values(spark):
+    """The following row's values, across batches, partitions and groups."""
+    from wearline.operators.scan import ranked
+    rows = [(k, i, float(i * k)) for k in range(1, 4) for i in range(700)] + [(None, 1, 5.0), (9, 1, 6.0)]
+    df = spark.createDataFrame(rows, "k bigint, i bigint, v double")
+    for name in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.adaptive.coalescePartitions.enabled"):
+        old = spark.conf.get(name)
+        spark.conf.set(name, "64" if "arrow" in name else "false")
+        try:
+            got = ranked(df, ["k"], ["i"], nexts=["v", "i"]).collect()
+        finally:
+            spark.conf.set(name, old)
+        assert {(r.k, r.i): (r.v_next, r.i_next) for r in got} == {
+            (k, i): ((float((i + 1) * k), i + 1) if k in (1, 2, 3) and i < 699 else (None, None)) for k, i, _ in rows}
+
+
+def test_latest_row_of_ties(spark):
+    from wearline.operators.features import latest_per_unit
+    rows = [(1, 5, float(i)) for i in range(50)]
+    cols = "unit_number bigint, time_in_cycles bigint, sensor_measurement_4 double"
+    one, = latest_per_unit(spark.createDataFrame(rows, cols)).collect()
+    two, = latest_per_unit(spark.createDataFrame(rows[::-1], cols).repartition(7)).collect()
+    assert one == two

@@ -25,7 +25,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wearline.operators.labels import unit_window
+from wearline.operators.chunks import CHUNK, CHUNK_ROWS, GHOST, LAST, chunked, long_units, same_unit
+from wearline.operators.labels import unit_keys, unit_window, with_positions
+from wearline.operators.scan import ema_batches, ranked
 from wearline.schema import (CYCLE, DEGRADATION_SENSORS, EMA_SPAN, ID_TARGET_COLUMNS,
                              UNIT, WINDOW_SIZES, present, value_columns)
 
@@ -50,6 +52,38 @@ def ema_fold(rows: Column, span: int = EMA_SPAN) -> Column:
     return F.aggregate(rows, start, step, lambda a: a["v"])
 
 
+#: Trailing averages over so many rows take their values from ``lag`` columns.
+MOST_LAGS = 64
+
+
+def trailing_lags(w, cols: list[str], history: int) -> list[Column]:
+    """The earlier values of every column, and whether there is such a row."""
+    return ([F.lag(F.lit(True), j).over(w).alias(f"_row{j}") for j in range(1, history)]
+            + [F.lag(c, j).over(w).alias(f"_lag{j}_{c}") for c in cols for j in range(1, history)])
+
+
+def trailing_weights(history: int, span: float) -> list[Column]:
+    """``_w<j>``: the weight of the value ``j`` rows back in an average without
+    gaps, null where there is no such row."""
+    decay, alpha = ema_weights(span)
+    out = []
+    for j in range(history):
+        oldest = F.lit(True) if j == history - 1 else F.col(f"_row{j + 1}").isNull()
+        weight = F.when(oldest, F.lit(decay ** j)).otherwise(F.lit(alpha * decay ** j))
+        out.append((weight if j == 0 else F.when(F.col(f"_row{j}").isNotNull(), weight)).alias(f"_w{j}"))
+    return out
+
+
+def trailing_average(c: str, history: int, span: float) -> Column:
+    """The average of the last ``history`` rows: a weighted sum, or the fold
+    over gaps where a value is missing."""
+    value = lambda j: F.col(c if j == 0 else f"_lag{j}_{c}").cast("double")
+    total = value(0) * F.col("_w0")
+    for j in range(1, history):
+        total = total + F.when(F.col(f"_w{j}").isNull(), F.lit(0.0)).otherwise(value(j) * F.col(f"_w{j}"))
+    return F.coalesce(total, ema_fold(F.array(*[F.struct(value(j).alias("v")) for j in range(history - 1, -1, -1)]), span))
+
+
 def degradation_columns(df_columns) -> list[str]:
     return present(df_columns, [f"sensor_measurement_{i}" for i in DEGRADATION_SENSORS])
 
@@ -69,52 +103,78 @@ def feature_names(value_cols: list[str], degr_cols: list[str], window_sizes=WIND
     return out
 
 
+def averaged(df: DataFrame, keys: list[str], order_col: str, cols: list[str], span: float) -> DataFrame:
+    """``df``, whose tasks hold whole runs of ``keys`` in their order, with the
+    exponential average ``<c>_ema`` of every column: one Arrow pass."""
+    df = df.sortWithinPartitions(*keys, order_col)      # as the window left it: costs nothing, and is stated
+    return ema_batches(df, keys, cols, span)
+
+
 def engineer_features(df: DataFrame, window_sizes=WINDOW_SIZES, include_rolling: bool = True,
                       include_degradation: bool = True, history: int | None = None,
                       unit_col: str = UNIT, order_col: str = CYCLE, ema_span: float = EMA_SPAN,
-                      value_cols: list[str] | None = None, chunk_rows: int = 1_000_000) -> DataFrame:
-    """All features, by one plan for units of any size.
-
-    1. Positions, cumulative sums and averages come from the range-partitioned
-       scan (``scan.ranked``): exact for any span and over gaps, and a hot unit
-       is spread over many tasks.
-    2. Every unit is cut into chunks of ``chunk_rows`` positions; the rows just
-       before a chunk are copied into it, as many as the widest window looks
-       back. Windows of bounded length run per (unit, chunk) in one Window
-       operator, and the copies are dropped.
-    3. ``cycle_norm`` divides by the unit's maximum, a partial aggregate that is
-       joined back (AQE splits a skewed side)."""
-    from wearline.operators.labels import unit_keys
-    from wearline.operators.scan import ranked
+                      value_cols: list[str] | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """All features.
+
+    * With ``history`` all windows are bounded, and a unit of any length is cut
+      into chunks with a halo (``chunks.chunked``).
+    * Without, units of up to ``chunk_rows`` rows take one exchange and one
+      Window operator on the unit, running sums and the unit's maximum
+      included, and one Arrow pass over its sorted rows for the averages.
+    * Longer units are split off; their positions, cumulative sums and averages
+      come from the range-partitioned scan (``scan.ranked``), which spreads a
+      unit over many tasks, and their bounded windows run per (unit, chunk).
+
+    Both ways give the same features, exact for any span and over gaps. Rows
+    that share a (unit, cycle) key have no order of their own: see
+    ``labels.require_unique_keys``."""
     keys = unit_keys(df, unit_col)
     cols = present(df.columns, value_cols or value_columns())
     degr = degradation_columns(df.columns)
-    fill, all_rows = include_rolling, history is None
-    back = max([1, *([n - 1 for n in window_sizes] if include_rolling else []), *([] if all_rows else [history - 1])])
+    back = max([1, *([n - 1 for n in window_sizes] if include_rolling else []), *([] if history is None else [history - 1])])
     if chunk_rows <= back:
         raise ValueError("chunk_rows must exceed the look-back")
-    numeric = {f.name for f in df.schema.fields
-               if f.dataType.typeName() in ("double", "float", "long", "integer", "short", "byte", "decimal")}
-
-    def base(c):
-        return F.coalesce(F.col(c), F.lit(0.0)) if fill else F.col(c)
-
-    sums = [f"_cs_{c}" for c in degr] if include_degradation and all_rows else []
-    emas = cols if include_rolling and all_rows else []
+    args = (df.columns, keys, order_col, cols, degr, window_sizes, include_rolling, include_degradation, history, ema_span,
+            {f.name: f.dataType for f in df.schema.fields})
+    if history is not None:
+        return _windows(chunked(df, keys, order_col, back=back, chunk_rows=chunk_rows), Window.partitionBy(*keys, CHUNK).orderBy(order_col),
+                        F.col(GHOST), *args)
+    units = long_units(df, keys, order_col, chunk_rows)
+    if units is None:
+        return _windows(df, unit_window(df, unit_col, order_col), None, *args)
+    short = df.join(units, same_unit(keys), "left_anti")
+    long = df.join(units.withColumnRenamed("hi", LAST), same_unit(keys)).select(*df.columns, LAST)
+    return (_windows(short, unit_window(df, unit_col, order_col), None, *args)
+            .unionByName(_scanned(long, back, chunk_rows, *args)))
+
+
+def _scanned(df: DataFrame, back: int, chunk_rows: int, names, keys, order_col, cols, degr, window_sizes, include_rolling,
+             include_degradation, *rest) -> DataFrame:
+    """Features of units of any length: the rows just before a chunk of
+    ``chunk_rows`` positions are copied into it, as many as the widest window
+    looks back."""
+    ema_span = rest[1]
+    sums = [f"_cs_{c}" for c in degr] if include_degradation else []
     pre = df.select("*", *[F.col(c).cast("double").alias(f"_cs_{c}") for c in degr if sums])
-    r = ranked(pre, keys, [order_col], sums, emas=emas, span=ema_span)
+    r = ranked(pre, keys, [order_col], sums, emas=cols if include_rolling else [], span=ema_span)
     chunk = F.floor((F.col("_rn") - 1) / chunk_rows).cast("bigint")
     late = (F.col("_rn") - 1) % chunk_rows >= chunk_rows - back
-    r = r.select("*", F.posexplode(F.when(late, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))).alias("_copy", "_chunk"))
-    w = Window.partitionBy(*keys, "_chunk").orderBy("_rn")
+    r = r.select("*", F.posexplode(F.when(late, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))).alias("_copy", CHUNK))
+    return _windows(r, Window.partitionBy(*keys, CHUNK).orderBy("_rn"), F.col("_copy") > 0, names, keys, order_col, cols, degr,
+                    window_sizes, include_rolling, include_degradation, *rest, scanned=True)
 
-    out: list[Column] = []
+
+def _windows(r: DataFrame, w, ghost, names, keys, order_col, cols, degr, window_sizes, include_rolling, include_degradation, history,
+             ema_span, types, scanned: bool = False) -> DataFrame:
+    """The features of rows ``r`` by the window ``w``, without the rows marked
+    as ``ghost``. ``scanned``: sums and averages are there already."""
+    fill, all_rows = include_rolling, history is None
+    numeric = {c for c, t in types.items() if t.typeName() in ("double", "float", "long", "integer", "short", "byte", "decimal")}
+    base = lambda c: F.coalesce(F.col(c), F.lit(0.0)) if fill else F.col(c)
+    late = include_rolling and all_rows and not scanned      # averages are added after the windows
+    lagged = include_rolling and not all_rows and history <= MOST_LAGS
+    new: list[Column] = []
     if include_rolling:
-        # the reference fills nulls of every numeric column but not the keys,
-        # which stay as they are
-        for c in df.columns:
-            out.append(F.coalesce(F.col(c), F.lit(0).cast(df.schema[c].dataType)).alias(c)
-                       if c in numeric and c not in (*keys, order_col) else F.col(c))
         for n in window_sizes:
             frame = w.rowsBetween(-(n - 1), 0)
             fits = all_rows or n <= history
@@ -122,39 +182,51 @@ def engineer_features(df: DataFrame, window_sizes=WINDOW_SIZES, include_rolling:
                 full = F.count(c).over(frame) == n
                 mean = F.when(full, F.avg(c).over(frame)) if fits else F.lit(None)
                 std = F.when(full, F.stddev_samp(c).over(frame)) if fits else F.lit(None)
-                out.append(F.coalesce(mean.cast("double"), F.lit(0.0)).alias(f"{c}_rolling_mean_{n}"))
-                out.append(F.coalesce(std.cast("double"), F.lit(0.0)).alias(f"{c}_rolling_std_{n}"))
-        for c in cols:
-            e = (F.col(f"{c}_ema") if all_rows else
-                 ema_fold(F.collect_list(F.struct(F.col(c).alias("v"))).over(w.rowsBetween(-(history - 1), 0)), ema_span))
-            out.append(F.coalesce(e, F.lit(0.0)).alias(f"{c}_ema"))
-    else:
-        out += [F.col(c) for c in df.columns]
-
+                new.append(F.coalesce(mean.cast("double"), F.lit(0.0)).alias(f"{c}_rolling_mean_{n}"))
+                new.append(F.coalesce(std.cast("double"), F.lit(0.0)).alias(f"{c}_rolling_std_{n}"))
+        if lagged:
+            new += trailing_lags(w, cols, history)
+        elif not all_rows:
+            new += [ema_fold(F.collect_list(F.struct(F.col(c).alias("v"))).over(w.rowsBetween(-(history - 1), 0)), ema_span)
+                    .alias(f"{c}_ema") for c in cols]
+        elif scanned:
+            new += [F.col(f"{c}_ema") for c in cols]
     if include_degradation:
         cyc = F.col(order_col)
-        if not all_rows:
-            out.append(F.when(cyc > 0, F.lit(1.0)).otherwise(F.lit(0.0)).alias("cycle_norm"))
+        if all_rows:
+            top = F.col(LAST) if scanned else F.max(order_col).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+            new.append(F.when(top > 0, cyc / top).otherwise(F.lit(0.0)).cast("double").alias("cycle_norm"))
         else:
-            out.append(F.lit(None).cast("double").alias("cycle_norm"))
+            new.append(F.when(cyc > 0, F.lit(1.0)).otherwise(F.lit(0.0)).alias("cycle_norm"))
         for c in degr:
             diff = base(c) - F.lag(base(c), 1).over(w)
             if not all_rows and history < 2:
                 diff = F.lit(None)
-            out.append(F.coalesce(diff.cast("double"), F.lit(0.0)).alias(f"{c}_rate_of_change"))
+            new.append(F.coalesce(diff.cast("double"), F.lit(0.0)).alias(f"{c}_rate_of_change"))
         for c in degr:
-            s = F.col(f"_cs_{c}_cum") if all_rows else F.sum(base(c)).over(w.rowsBetween(-(history - 1), 0))
+            first = Window.unboundedPreceding if all_rows else -(history - 1)
+            s = F.col(f"_cs_{c}_cum") if scanned else F.sum(base(c)).over(w.rowsBetween(first, 0))
             if not fill:
                 s = F.when(F.col(c).isNotNull(), s)   # pandas cumsum keeps NaN in place
-            out.append(s.cast("double").alias(f"{c}_cumsum"))
-    feats = r.select(*out, "_copy").filter(F.col("_copy") == 0).drop("_copy")
-    if include_degradation and all_rows:
-        top = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.max(order_col).alias("_max"))
-        same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-        names = feats.columns
-        feats = (feats.join(top, same, "left").withColumn("cycle_norm", F.when(F.col("_max") > 0, F.col(order_col) / F.col("_max"))
-                                                          .otherwise(F.lit(0.0)).cast("double")).select(*names))
-    return feats
+            new.append(s.cast("double").alias(f"{c}_cumsum"))
+    made = r.select(*names, *new, *([] if ghost is None else [ghost.alias("_gone")]))
+    if ghost is not None:
+        made = made.filter(~F.col("_gone")).drop("_gone")
+    if late:
+        made = averaged(made, keys, order_col, cols, ema_span)
+    if lagged:
+        made = made.select("*", *trailing_weights(history, ema_span))
+        made = made.select("*", *[trailing_average(c, history, ema_span).alias(f"{c}_ema") for c in cols])
+    if not include_rolling:
+        return made
+    # the reference fills nulls of every numeric column but not the keys
+    out = [F.coalesce(F.col(c), F.lit(0).cast(types[c])).alias(c) if c in numeric and c not in (*keys, order_col) else F.col(c) for c in names]
+    for n in window_sizes:
+        out += [F.col(f"{c}_rolling_{kind}_{n}") for c in cols for kind in ("mean", "std")]
+    out += [F.coalesce(F.col(f"{c}_ema"), F.lit(0.0)).alias(f"{c}_ema") for c in cols]
+    if include_degradation:
+        out += [F.col("cycle_norm"), *[F.col(f"{c}_rate_of_change") for c in degr], *[F.col(f"{c}_cumsum") for c in degr]]
+    return made.select(*out)
 
 
 def select_features(df: DataFrame, exclude=None) -> DataFrame:
@@ -174,19 +246,19 @@ def fill_zero(df: DataFrame) -> DataFrame:
 
 
 def latest_per_unit(df: DataFrame, unit_col: str = UNIT, order_col: str = CYCLE) -> DataFrame:
-    """The last row per unit: rows at the unit's last cycle, a partial
-    aggregate that is joined back. Ties on the cycle keep an arbitrary row."""
-    keys = (["dataset"] if "dataset" in df.columns else []) + [unit_col]
-    row = F.max_by(F.struct(*[c for c in df.columns if c not in keys]), F.col(order_col)).alias("_last")
+    """The last row per unit, a partial aggregate. Of rows that share the
+    last cycle, the one whose values have the greatest hash stays, wherever
+    the rows lie."""
+    keys = unit_keys(df, unit_col)
     rest = [c for c in df.columns if c not in keys]
+    row = F.max_by(F.struct(*rest), F.struct(F.col(order_col), F.xxhash64(*rest))).alias("_last")
     return df.groupBy(*keys).agg(row).select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
 
 
-def every_nth_cycle(df: DataFrame, start: int = 5, step: int = 5,
-                    unit_col: str = UNIT, order_col: str = CYCLE, skew=False) -> DataFrame:
+def every_nth_cycle(df: DataFrame, start: int = 5, step: int = 5, unit_col: str = UNIT, order_col: str = CYCLE,
+                    chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Rows whose position p (1-based, by cycle) satisfies
     ``p >= start and (p - start) % step == 0``."""
-    from wearline.operators.labels import with_positions
-    return (with_positions(df, skew, unit_col, order_col)
+    return (with_positions(df, unit_col, order_col, chunk_rows=chunk_rows)
             .filter((F.col("_pos") >= start) & (((F.col("_pos") - start) % step) == 0))
             .drop("_pos"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wearline.operators.chunks import BEFORE, CHUNK, CHUNK_ROWS, chunked, unit_last
 from wearline.schema import CYCLE, FAILURE, FAILURE_THRESHOLD, RUL, UNIT
 
 
@@ -17,25 +18,11 @@ def unit_window(df: DataFrame, unit_col: str = UNIT, order_col: str = CYCLE):
     return Window.partitionBy(*unit_keys(df, unit_col)).orderBy(order_col)
 
 
-def whole_unit(df: DataFrame, unit_col: str = UNIT, order_col: str = CYCLE):
-    # an explicit full frame on the *ordered* spec keeps every window
-    # expression of a select in one Window node (one exchange, one sort)
-    return unit_window(df, unit_col, order_col).rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing)
-
-
-def compute_rul(df: DataFrame, unit_col: str = UNIT, cycle_col: str = CYCLE, skew=False) -> DataFrame:
-    """``RUL = max(cycle) over unit - cycle``. By default a window on
-    the unit exchange (shared with the features); with ``skew`` the
-    maximum is a partial aggregate joined back, so a hot unit is split by
-    AQE's skew-join handling instead of landing in one task."""
-    if resolve_skew(df, skew, unit_col):
-        keys = unit_keys(df, unit_col)
-        mx = df.groupBy(*keys).agg(F.max(cycle_col).alias("_max"))
-        return (df.join(mx, keys, "left").withColumn(RUL, (F.col("_max") - F.col(cycle_col)).cast("bigint"))
-                .drop("_max"))
-    mx = F.max(cycle_col).over(whole_unit(df, unit_col, cycle_col))
-    return df.withColumn(RUL, (mx - F.col(cycle_col)).cast("bigint"))
+def compute_rul(df: DataFrame, unit_col: str = UNIT, cycle_col: str = CYCLE, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """``RUL = max(cycle) over unit - cycle``, null for a null cycle. A
+    long unit is cut into chunks; null units are a unit."""
+    return (with_unit_last(df, "_max", unit_col, cycle_col, chunk_rows)
+            .withColumn(RUL, (F.col("_max") - F.col(cycle_col)).cast("bigint")).drop("_max"))
 
 
 def label_failure(df: DataFrame, threshold: float = FAILURE_THRESHOLD,
@@ -53,7 +40,7 @@ def unit_life(df: DataFrame, unit_col: str = UNIT, cycle_col: str = CYCLE) -> Da
 
 
 def attach_final_rul(test: DataFrame, final: DataFrame, unit_col: str = UNIT,
-                     cycle_col: str = CYCLE, skew=False, on_missing: str = "error") -> DataFrame:
+                     cycle_col: str = CYCLE, on_missing: str = "error", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``RUL = final_rul + (max_cycle - cycle)`` for a test set whose
     last cycle is not the failure. ``final`` has one row per unit
     (``unit_number``, ``RUL``). Units without a final RUL are an error, or
@@ -68,7 +55,7 @@ def attach_final_rul(test: DataFrame, final: DataFrame, unit_col: str = UNIT,
             raise ValueError(f"units without a final RUL, among them {lost}")
     fin = final.select(*keys, F.col(RUL).cast("bigint").alias("_final_rul"))
     t = test.drop(RUL) if RUL in test.columns else test
-    t = with_unit_max(t, cycle_col, "_mx", skew, unit_col, cycle_col)
+    t = with_unit_last(t, "_mx", unit_col, cycle_col, chunk_rows)
     return (t.join(fin, keys, "left")
             .withColumn(RUL, (F.col("_final_rul") + F.col("_mx") - F.col(cycle_col)).cast("bigint"))
             .drop("_final_rul", "_mx"))
@@ -94,35 +81,20 @@ def unmatched_units(test: DataFrame, final: DataFrame, unit_col: str = UNIT) ->
     return test.select(*keys).distinct().join(final.select(*keys), keys, "left_anti")
 
 
-# ---- skew-safe per-unit helpers ------------------------------------------------------
-MAX_UNIT_ROWS = 2_000_000
-
+# ---- per-unit helpers for units of any length ---------------------------------------
 
-def resolve_skew(df: DataFrame, skew, unit_col: str = UNIT, max_unit_rows: int = MAX_UNIT_ROWS) -> bool:
-    """``skew`` as a bool: "auto" looks at the largest unit (one partial
-    aggregate over the unit column only)."""
-    if skew == "auto":
-        biggest = df.groupBy(*unit_keys(df, unit_col)).count().agg(F.max("count")).first()[0] or 0
-        return biggest > max_unit_rows
-    return bool(skew) and skew != "off"
-
-
-def with_positions(df: DataFrame, skew=False, unit_col: str = UNIT, order_col: str = CYCLE,
-                   name: str = "_pos") -> DataFrame:
-    """1-based position of each row in its unit. With ``skew`` it comes
-    from the range-partitioned scan (a hot unit spans many tasks)."""
-    if resolve_skew(df, skew, unit_col):
-        from wearline.operators.scan import ranked
-        return ranked(df, unit_keys(df, unit_col), [order_col]).withColumnRenamed("_rn", name)
-    return df.withColumn(name, F.row_number().over(unit_window(df, unit_col, order_col)).cast("bigint"))
+def with_positions(df: DataFrame, unit_col: str = UNIT, order_col: str = CYCLE, name: str = "_pos", then: tuple[str, ...] = (),
+                   chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """1-based position of each row in its unit, by ``order_col`` and then by
+    the columns ``then``."""
+    keys = unit_keys(df, unit_col)
+    place = F.row_number().over(Window.partitionBy(*keys, CHUNK).orderBy(order_col, *then))
+    c = chunked(df, keys, order_col, chunk_rows=chunk_rows)
+    return c.select(*df.columns, (F.col(BEFORE) + place).cast("bigint").alias(name))
 
 
-def with_unit_max(df: DataFrame, col: str, name: str, skew=False, unit_col: str = UNIT,
-                  order_col: str = CYCLE) -> DataFrame:
-    """Per-unit maximum of ``col`` on every row: a window, or with ``skew``
-    a partial aggregate joined back (AQE splits a skewed join side)."""
+def with_unit_last(df: DataFrame, name: str, unit_col: str = UNIT, order_col: str = CYCLE, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """The unit's greatest ``order_col`` on every row."""
     keys = unit_keys(df, unit_col)
-    if resolve_skew(df, skew, unit_col):
-        mx = df.groupBy(*keys).agg(F.max(col).alias(name))
-        return df.join(mx, keys, "left")
-    return df.withColumn(name, F.max(col).over(whole_unit(df, unit_col, order_col)))
+    c = chunked(df, keys, order_col, chunk_rows=chunk_rows)
+    return c.select(*df.columns, unit_last(keys, order_col).alias(name))

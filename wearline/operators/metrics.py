@@ -99,9 +99,9 @@ def score_groups(df: DataFrame, label: str, score: str) -> DataFrame:
          .groupBy(F.col(score).cast("double").alias("score"))
          .agg(F.sum(F.when(F.col(label) == 1, 1.0).otherwise(0.0)).alias("pos"),
               F.sum(F.when(F.col(label) == 1, 0.0).otherwise(1.0)).alias("neg")))
-    r = ranked(g, [], [F.desc("score")], ["pos", "neg"])
+    r = ranked(g, [], [F.desc("score")], ["pos", "neg"], nexts=["pos", "neg"])
     return r.select("score", "pos", "neg", F.col("_rn").alias("rank"),
-                    F.col("pos_cum").alias("tps"), F.col("neg_cum").alias("fps"))
+                    F.col("pos_cum").alias("tps"), F.col("neg_cum").alias("fps"), "pos_next", "neg_next")
 
 
 def _totals(groups: DataFrame):
@@ -128,12 +128,8 @@ def roc_curve(df: DataFrame, label: str = "failure", score: str = "probability",
     P, N, m = _totals(g)
     pts = g
     if drop_intermediate and m > 2:
-        nxt = g.select((F.col("rank") - 1).alias("rank"), F.col("pos").alias("pos_n"),
-                       F.col("neg").alias("neg_n"))
-        j = g.join(nxt, "rank", "left")
-        keep = ((F.col("rank") == 1) | (F.col("rank") == m)
-                | (F.col("neg_n") != F.col("neg")) | (F.col("pos_n") != F.col("pos")))
-        pts = j.filter(keep).select(*g.columns)
+        pts = g.filter((F.col("rank") == 1) | (F.col("rank") == m)
+                       | (F.col("neg_next") != F.col("neg")) | (F.col("pos_next") != F.col("pos")))
     spark = df.sparkSession
     start = spark.createDataFrame([(float("inf"), 0.0, 0.0, 0)], "threshold double, fps double, tps double, rank bigint")
     body = pts.select(F.col("score").alias("threshold"), "fps", "tps", "rank")

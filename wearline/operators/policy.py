@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wearline.functions.expressions import wear_state
-from wearline.operators.labels import unit_window
+from wearline.operators.chunks import CHUNK_ROWS, chunk_window, chunked, own_rows
+from wearline.operators.labels import unit_keys
 from wearline.schema import CYCLE, RUL, UNIT
 
 # FIXED VALUES: rewards of the reference scheduler
@@ -48,32 +49,22 @@ def reward(state, action, next_state) -> Column:
             .otherwise(F.lit(NO_ACTION_COST))).cast("double")
 
 
-def logged_steps(df: DataFrame, rul_col: str = RUL, action: str = "no_maintenance",
-                 skew=False) -> DataFrame:
+def logged_steps(df: DataFrame, rul_col: str = RUL, action: str = "no_maintenance", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Per row: wear state now and at the next cycle of the unit, with the
-    reward of the logged action (run-to-failure data: no maintenance).
-    With ``skew`` the next row is found by an equi-join on (unit, position
-    + 1) over scan positions instead of ``lead`` (no unit in one task)."""
-    from wearline.operators.labels import resolve_skew, unit_keys, with_positions
+    reward of the logged action (run-to-failure data: no maintenance). A long
+    unit is cut into chunks that see the first row of the next one."""
+    keys = unit_keys(df)
     st = wear_state(rul_col)
-    if resolve_skew(df, skew):
-        keys = unit_keys(df)
-        base = with_positions(df.select(*keys, CYCLE, F.col(rul_col).alias(RUL)), True)
-        cur = base.select(*keys, CYCLE, RUL, wear_state(RUL).alias("state"), "_pos")
-        nxt = base.select(*keys, (F.col("_pos") - 1).alias("_pos"), wear_state(RUL).alias("next_state"))
-        out = cur.join(nxt, keys + ["_pos"], "left").drop("_pos")
-    else:
-        out = df.select(UNIT, CYCLE, F.col(rul_col).alias(RUL), st.alias("state"),
-                        F.lead(st, 1).over(unit_window(df)).alias("next_state"))
-    return (out.select(UNIT, CYCLE, RUL, "state", "next_state")
+    c = chunked(df.select(*keys, CYCLE, F.col(rul_col)), keys, CYCLE, ahead=1, chunk_rows=chunk_rows)
+    out = own_rows(c.select("*", st.alias("state"), F.lead(st, 1).over(chunk_window(keys, CYCLE)).alias("next_state")))
+    return (out.select(UNIT, CYCLE, F.col(rul_col).alias(RUL), "state", "next_state")
             .withColumn("action", F.lit(action))
             .withColumn("reward", reward("state", "action", "next_state")))
 
 
-def wear_transitions(df: DataFrame, rul_col: str = RUL, action: str = "no_maintenance",
-                     skew=False) -> DataFrame:
+def wear_transitions(df: DataFrame, rul_col: str = RUL, action: str = "no_maintenance") -> DataFrame:
     """Counts and mean reward per (state, action, next_state)."""
-    s = logged_steps(df, rul_col, action, skew).filter(F.col("next_state").isNotNull())
+    s = logged_steps(df, rul_col, action).filter(F.col("next_state").isNotNull())
     return (s.groupBy("state", "action", "next_state")
             .agg(F.count(F.lit(1)).cast("bigint").alias("count"), F.avg("reward").alias("mean_reward")))
 

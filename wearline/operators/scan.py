@@ -2,8 +2,9 @@
 
 ``ranked(df, keys, order, sums, emas)`` adds, for every row, its 1-based
 position ``_rn`` within its key group (ordered by ``order``), running totals
-``<s>_cum`` of the ``sums`` columns and exponential averages ``<c>_ema`` of the
-``emas`` columns, but a hot key group (or no key at all: a global order) is
+``<s>_cum`` of the ``sums`` columns, exponential averages ``<c>_ema`` of the
+``emas`` columns and the following row's values ``<c>_next`` of the ``nexts``
+columns (null at a group's end), but a hot key group (or no key at all: a global order) is
 spread over many tasks:
 
 1. ``repartitionByRange(keys, order)`` + ``sortWithinPartitions``; the result
@@ -12,7 +13,7 @@ spread over many tasks:
 2. pass 1 emits, per partition, a summary of its first and last key run (at
    most 2 rows per partition): only these can continue across a boundary;
 3. the driver joins these summaries into the state with which the first run
-   of each partition begins;
+   of each partition begins, and the row that follows its last one;
 4. pass 2 adds the running values (numpy, Arrow batches).
 
 Keys are compared null-safe. Rows tied on ``(keys, order)`` fall into one
@@ -188,8 +189,9 @@ def _segment_cumsum(v: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.n
 
 def ranked(df: DataFrame, keys: list[str] | None = None, order: list | None = None,
            sums: list[str] | None = None, n_parts: int | None = None, emas: list[str] | None = None,
-           span: float = 5) -> DataFrame:
+           span: float = 5, nexts: list[str] | None = None) -> DataFrame:
     keys = list(keys or [])
+    nexts = list(nexts or [])
     order = list(order or [])
     sums = list(sums or [])
     emas = list(emas or [])
@@ -213,8 +215,9 @@ def ranked(df: DataFrame, keys: list[str] | None = None, order: list | None = No
         + [T.StructField(f"_k{i}", df.schema[k].dataType, True) for i, k in enumerate(keys)]
         + [T.StructField("_cnt", T.LongType())]
         + [T.StructField(f"_s{i}", T.DoubleType()) for i in range(len(sums))]
-        + [T.StructField(f"_e{i}_{x}", T.DoubleType()) for i in range(len(emas)) for x in parts])
-    need = ["_pid", *dict.fromkeys(keys + sums + emas)]
+        + [T.StructField(f"_e{i}_{x}", T.DoubleType()) for i in range(len(emas)) for x in parts]
+        + [T.StructField(f"_n{i}", df.schema[c].dataType, True) for i, c in enumerate(nexts)])
+    need = ["_pid", *dict.fromkeys(keys + sums + emas + nexts)]
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = cur = key = None
@@ -244,6 +247,7 @@ def ranked(df: DataFrame, keys: list[str] | None = None, order: list | None = No
             for j in range(len(parts)):
                 vals = [c.emas[i][j] for _, (_, c) in rows]
                 cols.append(pa.array([None if v is None else float(v) for v in vals], pa.float64()))
+        cols += [pa.concat_arrays([r.column(c) for _, (r, _) in rows]) for c in nexts]
         yield pa.RecordBatch.from_arrays(cols, names=p1.names)
 
     found = base.select(*need).mapInArrow(edges, p1).collect()
@@ -260,15 +264,38 @@ def ranked(df: DataFrame, keys: list[str] | None = None, order: list | None = No
                    [joined(a, b, decay, alpha) for a, b in zip(state[2], own[2])])
         key, state = k, own
 
+    # the first row of the partition that follows, by partition
+    after: dict[int, tuple] = {}
+    following = None
+    for r in sorted(found, key=lambda r: (-r["_pid"], r["_edge"])):
+        if r["_edge"] == 0:
+            after[r["_pid"]] = following
+            k = tuple("NaN" if isinstance(v, float) and v != v else v for v in (r[f"_k{i}"] for i in range(len(keys))))
+            following = (k, [r[f"_n{i}"] for i in range(len(nexts))])
+
     # ---- pass 2: running values -----------------------------------------------------
     out_fields = [f for f in base.schema.fields if f.name != "_pid"]
     names = [f.name for f in out_fields]
     out_schema = T.StructType(out_fields + [T.StructField("_rn", T.LongType())]
                               + [T.StructField(f"{s}_cum", T.DoubleType()) for s in sums]
-                              + [T.StructField(f"{c}_ema", T.DoubleType()) for c in emas])
+                              + [T.StructField(f"{c}_ema", T.DoubleType()) for c in emas]
+                              + [T.StructField(f"{c}_next", df.schema[c].dataType) for c in nexts])
+
+    def with_next(out: pa.RecordBatch, first: tuple | None) -> pa.RecordBatch:
+        """``nexts`` of a batch's rows; ``first``: key and values of the row after it."""
+        last = out.num_rows - 1
+        same = np.ones(out.num_rows, bool)
+        same[run_starts(out, keys)[1:] - 1] = False
+        same[last] = first is not None and row_key(out, keys, last) == first[0]
+        cols = []
+        for i, c in enumerate(nexts):
+            col = out.column(c)
+            end = pa.array([first[1][i] if same[last] else None], col.type)
+            cols.append(pc.if_else(pa.array(same), pa.concat_arrays([col.slice(1), end]), pa.scalar(None, col.type)))
+        return pa.RecordBatch.from_arrays([*out.columns, *cols], names=out_schema.names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = cur = None
+        key = cur = held = pid = None
         for b in batches:
             if b.num_rows == 0:
                 continue
@@ -281,8 +308,43 @@ def ranked(df: DataFrame, keys: list[str] | None = None, order: list | None = No
                 carry = cur
             rn, totals, averages, _, cur = _scan_batch(b, run_starts(b, keys), carry, sums, emas, decay, alpha)
             key = row_key(b, keys, b.num_rows - 1)
-            yield pa.RecordBatch.from_arrays(
+            out = pa.RecordBatch.from_arrays(
                 [b.column(x) for x in names] + [pa.array(rn, pa.int64())] + [pa.array(t) for t in totals]
-                + [pa.array(e, from_pandas=True) for e in averages], names=out_schema.names)
+                + [pa.array(e, from_pandas=True) for e in averages], names=out_schema.names[:len(out_schema.names) - len(nexts)])
+            if not nexts:
+                yield out
+                continue
+            if held is not None:      # one batch behind: its last row needs this one's first
+                yield with_next(held, (row_key(b, keys, 0), [b.column(c)[0].as_py() for c in nexts]))
+            held, pid = out, b.column("_pid")[0].as_py()
+        if held is not None:
+            yield with_next(held, after.get(pid))
 
     return base.mapInArrow(scan, out_schema)
+
+
+def ema_batches(df: DataFrame, keys: list[str], cols: list[str], span: float) -> DataFrame:
+    """``df`` with the averages ``<c>_ema`` of its columns, one series per run of
+    equal ``keys``; the rows of a run follow each other in one task."""
+    ship_package(df.sparkSession)
+    decay, alpha = (span - 1.0) / (span + 1.0), 2.0 / (span + 1.0)
+    names = df.columns
+    schema = T.StructType(df.schema.fields + [T.StructField(f"{c}_ema", T.DoubleType()) for c in cols])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, [EMPTY] * len(cols)
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            starts = run_starts(b, keys)
+            if key is None or row_key(b, keys, 0) != key:
+                state = [EMPTY] * len(cols)
+            made = []
+            for j, c in enumerate(cols):
+                e, head, tail = segmented_ema(_floats(b, c), starts, state[j], decay, alpha)
+                made.append(pa.array(e, from_pandas=True))
+                state[j] = joined(state[j], head, decay, alpha) if len(starts) == 1 else tail
+            key = row_key(b, keys, b.num_rows - 1)
+            yield pa.RecordBatch.from_arrays([b.column(x) for x in names] + made, names=schema.names)
+
+    return df.mapInArrow(run, schema)

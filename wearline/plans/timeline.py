@@ -8,16 +8,14 @@ from pyspark.sql import functions as F
 
 from wearline.functions.expressions import percent, risk_level, threshold_decision
 from wearline.operators import features as FE
+from wearline.operators.labels import with_unit_last
 from wearline.schema import CYCLE, UNIT
 
 
-def timeline_points(scored: DataFrame, start: int = 5, step: int = 5, prob: str = "probability",
-                    skew=False) -> DataFrame:
+def timeline_points(scored: DataFrame, start: int = 5, step: int = 5, prob: str = "probability") -> DataFrame:
     """Every ``step``-th cycle from ``start``: probability, band, and the
     dashboard's text columns (percentages, lifecycle share)."""
-    from wearline.operators.labels import resolve_skew, with_unit_max
-    sk = resolve_skew(scored, skew)
-    pts = FE.every_nth_cycle(with_unit_max(scored, CYCLE, "total_cycles", sk), start, step, skew=sk)
+    pts = FE.every_nth_cycle(with_unit_last(scored, "total_cycles"), start, step)
     return pts.select(UNIT, CYCLE, "total_cycles", F.col(prob).alias("probability"),
                       percent(prob).alias("probability_text"), risk_level(prob).alias("risk_level"),
                       percent(F.col(CYCLE) / F.col("total_cycles")).alias("lifecycle_text"))

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wearline.operators.chunks import CHUNK_ROWS
+from wearline.operators.labels import with_positions
 from wearline.schema import CYCLE, UNIT
 
 
@@ -24,25 +26,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def supplier_telemetry(spark: SparkSession, sf_dir: str, skew: bool = False) -> DataFrame:
-    """Fixture L. With ``skew`` the cycle number comes from the
-    range-partitioned scan, so a supplier with a third of all rows is
-    numbered by many tasks."""
+def supplier_telemetry(spark: SparkSession, sf_dir: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Fixture L: a supplier's rows numbered in the order of shipping, a
+    supplier with very many rows by many tasks."""
     li = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").cast("bigint").alias(UNIT),
         "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey",
         "l_extendedprice", "l_tax", "l_quantity", "l_discount",
     )
-    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
-    if skew:
-        from wearline.operators.scan import ranked
-        li = ranked(li, [UNIT], order)
-        cycle = F.col("_rn").cast("bigint")
-    else:
-        cycle = F.row_number().over(Window.partitionBy(UNIT).orderBy(*order)).cast("bigint")
+    li = with_positions(li, order_col="l_shipdate", then=("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"), name=CYCLE,
+                        chunk_rows=chunk_rows)
     return li.select(
         UNIT,
-        cycle.alias(CYCLE),
+        CYCLE,
         F.col("l_linenumber").cast("double").alias("operational_setting_1"),
         F.col("l_tax").cast("double").alias("operational_setting_2"),
         F.lit(100.0).alias("operational_setting_3"),
@@ -57,12 +53,8 @@ def user_telemetry(spark: SparkSession, sf_dir: str, keep_ts: bool = False) -> D
     """Fixture E."""
     ev = table(spark, sf_dir, "events").select(
         F.col("user_id").cast("bigint").alias(UNIT), "ts", "event_id", "value")
-    w = Window.partitionBy(UNIT).orderBy("ts", "event_id")
-    cols = [UNIT, F.row_number().over(w).cast("bigint").alias(CYCLE),
-            F.col("value").cast("double").alias("sensor_measurement_4")]
-    if keep_ts:
-        cols.append("ts")
-    return ev.select(*cols)
+    cols = [UNIT, CYCLE, F.col("value").cast("double").alias("sensor_measurement_4")] + (["ts"] if keep_ts else [])
+    return with_positions(ev, order_col="ts", then=("event_id",), name=CYCLE).select(*cols)
 
 
 def final_rul(telemetry: DataFrame) -> DataFrame:
