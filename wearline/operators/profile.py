@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wearline.operators.scan import ranked
+from wearline.operators.selection import exact_quantiles
 
 NUMERIC = ("double", "float", "long", "integer", "short", "byte", "decimal")
 
@@ -25,65 +25,20 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
     return c.withColumn("share", F.col("count") / F.lit(float(total)) if total else F.lit(None).cast("double"))
 
 
-def _long(df: DataFrame, cols: list[str]) -> DataFrame:
-    arr = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
-                    for c in cols])
-    return df.select(F.inline(arr))
-
-
-def exact_quantiles(df: DataFrame, cols: list[str], qs=(0.25, 0.5, 0.75)) -> DataFrame:
-    """Linear-interpolated quantiles (pandas / ``quantile_cont``), exact,
-    without collecting a column into one task: equal values are grouped
-    first (partial aggregation), the distinct values are ranked with the
-    range-partitioned scan carrying cumulative counts, and the two order
-    statistics around each position are the smallest values whose
-    cumulative count reaches it (one conditional-min aggregate)."""
-    long = _long(df, cols).filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    g = long.groupBy("column", "value").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    r = ranked(g, ["column"], ["value"], ["w"])
-    n = {row["column"]: int(row["n"]) for row in
-         g.groupBy("column").agg(F.sum("w").alias("n")).collect()}
-    items = []
-    aggs = []
-    for c in cols:
-        if not n.get(c):
-            continue
-        for q in qs:
-            pos = (n[c] - 1) * q
-            lo, hi = int(pos // 1) + 1, int(-(-pos // 1)) + 1
-            i = len(items)
-            items.append((c, float(q), pos - (lo - 1)))
-            for tag, k in (("lo", lo), ("hi", hi)):
-                aggs.append(F.min(F.when((F.col("column") == c) & (F.col("w_cum") >= k), F.col("value")))
-                            .alias(f"_{tag}{i}"))
-    if not items:
-        return df.sparkSession.createDataFrame([], "column string, q double, value double")
-    row = r.agg(*aggs)
-    arr = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(q).alias("q"),
-                             (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.lit(fr)).alias("value"))
-                    for i, (c, q, fr) in enumerate(items)])
-    return row.select(F.inline(arr))
-
-
 def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Count, mean, std, min, 25%, 50%, 75%, max per numeric column."""
+    """Count, mean, std, min, 25%, 50%, 75%, max per numeric column; the
+    quantiles are exact (``selection.exact_quantiles``)."""
     cols = cols or [f.name for f in df.schema.fields if f.dataType.typeName() in NUMERIC]
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
                  F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}")]
-    row = df.agg(*aggs)
-    arr = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").cast("bigint").alias("count"),
-                             F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std"),
-                             F.col(f"a{i}").alias("min"), F.col(f"b{i}").alias("max"))
-                    for i, c in enumerate(cols)])
-    base = row.select(F.inline(arr))
-    q = (exact_quantiles(df, cols).groupBy("column")
-         .agg(*[F.max(F.when(F.col("q") == v, F.col("value"))).alias(n)
-                for v, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]))
-    return base.join(q, "column", "left").select("column", "count", "mean", "std", "min",
-                                                 "p25", "p50", "p75", "max")
+    found, row = exact_quantiles(df, cols, more=aggs)
+    rows = [(c, *[row[f"{x}{i}"] for x in "nmsa"], *[found.get((c, q)) for q in (0.25, 0.5, 0.75)], row[f"b{i}"])
+            for i, c in enumerate(cols)]
+    return df.sparkSession.createDataFrame(rows, "column string, count bigint, mean double, std double, min double, "
+                                                 "p25 double, p50 double, p75 double, max double")
 
 
 def column_profile(df: DataFrame) -> DataFrame:

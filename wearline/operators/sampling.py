@@ -1,8 +1,8 @@
 """Splits and rebalancing (R1–R5) with seeded, plan-independent draws.
 
 Every draw is ``md5(seed|key)`` (see ``seeded_hash``), so a row's fate does
-not depend on partitioning, and exact ranks come from the range-partitioned
-scan — no window over a whole class or table in one task."""
+not depend on partitioning. The smallest hashes are found by a cut in their
+histogram, so a split or an undersample is a filter: nothing is sorted."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from wearline.functions.expressions import seeded_hash, seeded_uniform
 from wearline.operators.knn import knn_join
 from wearline.operators.scan import ranked
+from wearline.operators.selection import class_counts, flag_smallest
 from wearline.schema import UNIT
 
 
@@ -25,12 +26,11 @@ def distinct_units(df: DataFrame, unit_col: str = UNIT) -> DataFrame:
 def validation_units(df: DataFrame, val_size: float = 0.2, seed: int = 42,
                      unit_col: str = UNIT) -> DataFrame:
     """``max(1, int(n_units * val_size))`` whole units, chosen by the
-    smallest seeded hashes (ties by unit)."""
-    units = df.select(unit_col).distinct().withColumn("_h", seeded_hash(seed, unit_col))
-    n_units = units.count()
-    n_val = max(1, int(n_units * val_size))
-    r = ranked(units, [], ["_h", unit_col])
-    return r.filter(F.col("_rn") <= n_val).select(unit_col)
+    smallest seeded hashes (ties by unit; a null unit has hash 0)."""
+    units = df.select(unit_col).distinct()
+    take = lambda counts: {None: max(1, int(counts.get(None, 0) * val_size))}
+    marked = flag_smallest(units, F.coalesce(seeded_hash(seed, unit_col), F.lit(0)), [unit_col], take, None, "_val")
+    return marked.filter("_val").select(unit_col)
 
 
 def unit_split(df: DataFrame, val_size: float = 0.2, seed: int = 42, unit_col: str = UNIT):
@@ -42,12 +42,11 @@ def unit_split(df: DataFrame, val_size: float = 0.2, seed: int = 42, unit_col: s
 
 def row_split(df: DataFrame, keys: list[str], test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """R2: ``ceil(n * test_size)`` rows with the smallest seeded hashes are
-    'test', the rest 'train' (adds ``split``)."""
-    n = df.count()
-    n_test = int(math.ceil(n * test_size))
-    r = ranked(df.withColumn("_h", seeded_hash(seed, *keys)), [], ["_h", *keys])
-    return (r.withColumn("split", F.when(F.col("_rn") <= n_test, "test").otherwise("train"))
-            .drop("_h", "_rn"))
+    'test', the rest 'train' (adds ``split``). The cut comes from a histogram
+    of the hashes; no row moves."""
+    take = lambda counts: {None: int(math.ceil(counts.get(None, 0) * test_size))}
+    r = flag_smallest(df, F.coalesce(seeded_hash(seed, *keys), F.lit(0)), keys, take, None, "_test")
+    return r.withColumn("split", F.when(F.col("_test"), "test").otherwise("train")).drop("_test")
 
 
 def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -56,17 +55,12 @@ def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     return ranked(df, [], keys).withColumnRenamed("_rn", name)
 
 
-def class_counts(df: DataFrame, label: str) -> dict:
-    return {r[0]: r[1] for r in df.groupBy(label).count().collect()}
-
-
 def undersample(df: DataFrame, label: str, keys: list[str], seed: int = 42) -> DataFrame:
-    """Every class down to the minority count, without replacement:
-    the rows of each class with the smallest seeded hashes."""
-    counts = class_counts(df, label)
-    n_min = min(counts.values())
-    r = ranked(df.withColumn("_h", seeded_hash(seed, *keys)), [label], ["_h", *keys])
-    return r.filter(F.col("_rn") <= n_min).drop("_h", "_rn")
+    """Every class down to the minority count, without replacement: the
+    rows of each class with the smallest seeded hashes, by a cut per class."""
+    take = lambda counts: dict.fromkeys(counts, min(counts.values(), default=0))
+    r = flag_smallest(df, F.coalesce(seeded_hash(seed, *keys), F.lit(0)), keys, take, label, "_kept")
+    return r.filter("_kept").drop("_kept")
 
 
 def smote(df: DataFrame, label: str, id_col: str, vec_col: str, k: int = 5, seed: int = 42,

@@ -6,7 +6,6 @@ them per split, with one exchange instead of three."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +16,7 @@ from wearline.operators import sampling as SA
 from wearline.operators import scaling as SC
 from wearline.plans.prepare import prepare_data
 from wearline.schema import CYCLE, FAILURE, UNIT
+from wearline.session import ensure_checkpoint_dir, shared_path
 
 METHODS = ("none", "smote", "undersample", "cost_sensitive")
 
@@ -43,13 +43,23 @@ def rebalance(train: DataFrame, features: list[str], method: str, seed: int = 42
     return train, False
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once below the shared folder, and read from there."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def prepare_splits(telemetry: DataFrame, final_rul: DataFrame, threshold: float = 90,
                    val_size: float = 0.2, seed: int = 42, fit_on: str = "all"):
     """prepare -> unit split -> variance filter (fitted on train) -> features.
 
     ``fit_on="all"`` fits the scaler on every training unit before the
     validation split (the reference's order, Q7); ``"train_only"`` fits it
-    on the units left after the split."""
+    on the units left after the split. The telemetry is stored once; splits,
+    scaler, variances and features read that, and so are the features."""
+    ensure_checkpoint_dir(telemetry.sparkSession)
+    telemetry = telemetry.checkpoint()
     train_tel, test_tel = split_units(telemetry)
     if fit_on == "train_only":
         val_units = SA.validation_units(train_tel, val_size, seed)
@@ -60,15 +70,11 @@ def prepare_splits(telemetry: DataFrame, final_rul: DataFrame, threshold: float
         scaler = stats
     else:
         train, test, scaler = prepare_data(train_tel, test_tel, final_rul, threshold)
-    tr, va = SA.unit_split(train, val_size, seed)
-    report = SC.variance_report(tr)
-    removed = SC.removed_columns(report)
-    f_train = FE.engineer_features(SC.drop_columns(train, removed))
-    f_test = FE.engineer_features(SC.drop_columns(test, removed))
-    val_units = va.select(UNIT).distinct()
-    f_tr = f_train.join(val_units, UNIT, "left_anti").persist(StorageLevel.MEMORY_AND_DISK)
-    f_va = f_train.join(val_units, UNIT, "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
-    f_te = f_test.persist(StorageLevel.MEMORY_AND_DISK)
+    val_units = SA.validation_units(train, val_size, seed).checkpoint()
+    removed = SC.removed_columns(SC.variance_report(train.join(val_units, UNIT, "left_anti")))
+    f_train = stored(FE.engineer_features(SC.drop_columns(train, removed)), "features-train")
+    f_te = stored(FE.engineer_features(SC.drop_columns(test, removed)), "features-test")
+    f_tr, f_va = f_train.join(val_units, UNIT, "left_anti"), f_train.join(val_units, UNIT, "left_semi")
     return f_tr, f_va, f_te, scaler, removed
 
 
@@ -121,9 +127,5 @@ def train_pipeline(telemetry: DataFrame, final_rul: DataFrame, base: str, datase
     validation units, evaluate on held-out ones, and store the run below
     ``base`` (a shared folder). Returns the report's path."""
     f_tr, f_va, f_te, scaler, removed = prepare_splits(telemetry, final_rul, threshold)
-    try:
-        model, thr, result, features = train_and_evaluate(f_tr, f_va, f_te, method, forest, dataset)
-        return write_run(base, model, thr, result, features, scaler, removed, dataset, method)
-    finally:
-        for f in (f_tr, f_va, f_te):
-            f.unpersist()
+    model, thr, result, features = train_and_evaluate(f_tr, f_va, f_te, method, forest, dataset)
+    return write_run(base, model, thr, result, features, scaler, removed, dataset, method)
