@@ -109,3 +109,24 @@ def test_suffix_array_and_prefixes(n, alphabet):
         return m
 
     assert list(suffix.common_prefixes(t, sa, 30)) == [0] + [common(sa[i - 1], sa[i]) for i in range(1, n)]
+
+
+def test_different_long_words_do_not_repeat(spark):
+    """Two 35-word texts that differ in one word, a Thue-Morse word and its
+    complement: nothing repeats, and a real copy does."""
+    from tests.llm.test_similarity import thue_morse
+    a, b = thue_morse(2048)
+    words = " ".join(f"w{i}" for i in range(34))
+    rows = [(1, f"{words} {a}"), (2, f"{words} {b}"), (3, f"{words} {b}")]
+    got = {r.doc_id: r.n_removed for r in substrings.drop_repeats(documents(spark, rows), window=35).collect()}
+    assert got == {1: 0, 2: 35, 3: 35}
+
+
+def test_minimizers_do_not_depend_on_the_batch():
+    """Hashes alike in their upper bits, in a short batch and in a long one."""
+    from wearline.llm.common import window_minimizers
+    rng = np.random.default_rng(0)
+    h = rng.integers(1 << 60, 1 << 63, 26).astype(np.uint64)
+    h[5], h[20] = (1 << 44) + (1 << 21) + 7, (1 << 44) + 3
+    long = np.concatenate([h, rng.integers(1 << 60, 1 << 63, 3_000_000).astype(np.uint64)])
+    assert window_minimizers(h, 26)[0] == window_minimizers(long, 26)[0]

@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wearline.llm.common import append_columns, row_slices
+from wearline.llm.common import append_columns, free_name, row_slices
 
 #: Words encoded by one recursive query, words kept for later batches of the
 #: worker, and tokens decoded by one query: bounds on a task's memory.
-WORDS_AT_ONCE, WORDS_KEPT, TOKENS_AT_ONCE = 20_000, 500_000, 300_000
+WORDS_AT_ONCE, WORDS_KEPT, TOKENS_AT_ONCE = 20_000, 200_000, 150_000
 
 _ENCODE = """
 WITH RECURSIVE step(k, t, alive) AS (
@@ -181,9 +181,9 @@ def _decode_rows(voc: _Vocabulary, ids: np.ndarray, off: np.ndarray) -> list[byt
     return out
 
 
-def _pretokens(df: DataFrame, text_col: str, pattern: str) -> DataFrame:
+def _pretokens(df: DataFrame, text_col: str, pattern: str, name: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.withColumn("__pretokens", F.regexp_extract_all(text, F.lit(spark_pattern(pattern)), F.lit(0)))
+    return df.withColumn(name, F.regexp_extract_all(text, F.lit(spark_pattern(pattern)), F.lit(0)))
 
 
 _IDS = T.ArrayType(T.IntegerType())
@@ -192,13 +192,13 @@ _IDS = T.ArrayType(T.IntegerType())
 def encode(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text") -> DataFrame:
     """``df`` with ``ids array<int>``: the text's tokens by the ranks in the
     file ``vocabulary``, each match of ``pattern`` encoded separately."""
-    name = _ship(df, vocabulary)
+    name, words = _ship(df, vocabulary), free_name(df, "__pretokens")
 
     def run(b: pa.RecordBatch) -> list:
-        ids, off = _encode_rows(_vocabulary(SparkFiles.get(name)), b.column("__pretokens"))
+        ids, off = _encode_rows(_vocabulary(SparkFiles.get(name)), b.column(words))
         return [pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids))]
 
-    return append_columns(_pretokens(df, text_col, pattern), [T.StructField("ids", _IDS)], run, drop=("__pretokens",))
+    return append_columns(_pretokens(df, text_col, pattern, words), [T.StructField("ids", _IDS)], run, drop=(words,))
 
 
 def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
@@ -216,13 +216,13 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
 
 def encode_decode(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text") -> DataFrame:
     """``encode`` and then ``decode`` of the ids, in one pass over the rows."""
-    name = _ship(df, vocabulary)
+    name, words = _ship(df, vocabulary), free_name(df, "__pretokens")
 
     def run(b: pa.RecordBatch) -> list:
         voc = _vocabulary(SparkFiles.get(name))
-        ids, off = _encode_rows(voc, b.column("__pretokens"))
+        ids, off = _encode_rows(voc, b.column(words))
         return [pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids)), _decode_rows(voc, ids, off)]
 
-    return append_columns(_pretokens(df, text_col, pattern),
+    return append_columns(_pretokens(df, text_col, pattern, words),
                           [T.StructField("ids", _IDS), T.StructField("decoded", T.BinaryType())], run,
-                          drop=("__pretokens",))
+                          drop=(words,))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -67,6 +68,14 @@ def each(n: int) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def _give_back() -> None:
     """Return freed memory to the system: workers are kept for later stages."""
     pa.default_memory_pool().release_unused()
@@ -212,8 +221,16 @@ def lower_ascii(buf: np.ndarray) -> np.ndarray:
     return _LOWER[buf]
 
 
+#: Words of more bytes are hashed by BLAKE2: polynomials modulo 2**64 have
+#: known collisions among long words (Thue-Morse sequences of 1,024 letters).
+LONG_WORD = 128
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
-    return span_hashes(byte_table(seed)[buf], starts, ends, _BASE_BYTE)
+    h = span_hashes(byte_table(seed)[buf], starts, ends, _BASE_BYTE)
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(buf[starts[i]:ends[i]], digest_size=8, key=bytes([seed])).digest(), "little")
+    return h
 
 
 def ngram_hashes(words: np.ndarray, firsts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -229,12 +246,13 @@ def ngram_hashes(words: np.ndarray, firsts: np.ndarray, n: int) -> tuple[np.ndar
 
 def window_minimizers(h: np.ndarray, w: int) -> np.ndarray:
     """For every start of ``w`` positions, the place of their leftmost least
-    value by the hash's upper bits. Equal windows choose the same place in
-    them, wherever they stand."""
+    value by the hash's upper 32 bits, whatever else is in the batch (of fewer
+    than 2**32 positions). Equal windows choose the same place in them,
+    wherever they stand."""
     n = len(h) - w + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    bits = U64(max(16, int(len(h)).bit_length()))
+    bits = U64(32)
     val = (h >> bits << bits) | np.arange(len(h), dtype=U64)
     have = 1
     while have < w:

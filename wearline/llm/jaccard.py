@@ -241,8 +241,8 @@ def _several_sets(member: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the row (or rows) of least id of every class; rows with a
     null id stay."""
-    same = similar_classes(docs, n, percent, id_col, text_col)
-    gone = C.materialise(same.filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("gone")).distinct(),
+    same, name = similar_classes(docs, n, percent, id_col, text_col), C.free_name(docs, "gone")
+    gone = C.materialise(same.filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias(name)).distinct(),
                          "near-copies")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, docs[id_col] == F.col("gone"), "left_anti")
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wearline.llm import common as C
-from wearline.llm.common import materialise
+from wearline.llm.common import free_name, materialise
 
 CELL_BITS, BYTES_AT_ONCE = 15, 1_000_000
 CELLS = 1 << CELL_BITS
@@ -243,8 +243,9 @@ def keep_identified(docs: DataFrame, text_col: str, declared: Column, host: Colu
     """``docs`` without the rejected rows. Rows are told apart by id, text,
     declaration, host and suffix."""
     key = lambda: F.xxhash64(F.col(id_col), F.col(id_col).isNull(), F.col(text_col), declared, host, suffix)
-    held = docs.withColumn("__key", key())
-    found = identify(held, ["__key"], F.col(text_col), declared, host, suffix, **options)
-    gone = materialise(found.filter(~F.col("kept")).select("__key").distinct(), "rejected")
+    name = free_name(docs, "__key")
+    held = docs.withColumn(name, key())
+    found = identify(held, [name], F.col(text_col), declared, host, suffix, **options)
+    gone = materialise(found.filter(~F.col("kept")).select(name).distinct(), "rejected")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return held.join(gone, "__key", "left_anti").drop("__key")
+    return held.join(gone, name, "left_anti").drop(name)
