@@ -887,21 +887,25 @@ L_VALUES = ["operational_setting_1", "operational_setting_2", "operational_setti
             "sensor_measurement_4", "sensor_measurement_7", "sensor_measurement_11", "sensor_measurement_22"]
 
 
-def _stream_source(spark, sf, name, extra=None, bucket=200):
-    """Lay L out as a file source: one append per block of ``bucket``
-    cycles, in cycle order, so later cycles arrive in later files."""
-    from pyspark import StorageLevel
-    l = L(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
+def _stream_source(spark, sf, name, extra=None, bucket=200, spread=2):
+    """Lay L out as a file source: one job writes a folder per block of
+    ``bucket`` cycles, in ``spread`` files by unit; the files' times are then
+    set in the order of the blocks, so later cycles arrive in later files."""
+    l = L(spark, sf)
     src = shared_path(spark, name)
-    n_blocks = int(l.agg(F.max(CYCLE)).first()[0] // bucket) + 1
-    for b in range(n_blocks):
-        part = l.filter((F.col(CYCLE) > b * bucket) & (F.col(CYCLE) <= (b + 1) * bucket))
-        part.coalesce(2).write.mode("append").parquet(src)
+    block = F.floor((F.col(CYCLE) - 1) / bucket).cast("int")
+    (l.select("*", block.alias("_block")).repartition("_block", F.pmod(F.xxhash64(UNIT), F.lit(spread)))
+     .write.partitionBy("_block").parquet(src))
     if extra is not None:
-        extra(l).coalesce(1).write.mode("append").parquet(src)
-    schema = l.schema
-    l.unpersist()
-    return src, schema
+        extra(l).select("*", F.lit(2 ** 31 - 1).alias("_block")).write.partitionBy("_block").mode("append").parquet(src)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(src)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    blocks = sorted(((int(f.getPath().getName().split("=")[1]), f) for f in fs.listStatus(root) if f.isDirectory()), key=lambda x: x[0])
+    for place, (_, folder) in enumerate(blocks):
+        for f in fs.listStatus(folder.getPath()):
+            fs.setTimes(f.getPath(), blocks[0][1].getModificationTime() + 1000 * (place - len(blocks)), -1)
+    return src, l.schema
 
 
 @query("stream_features")
@@ -910,7 +914,7 @@ def q_stream_features(spark, sf):
     ship_package(spark)
     src, schema = _stream_source(spark, sf, "stream-src")
     out, ck = shared_path(spark, "stream-out"), shared_path(spark, "stream-ckpt")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(src)
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 4).parquet(src)
     feats = SF.stream_features(stream, L_VALUES)
     # with processing-time timeouts pending, no-data micro-batches would keep
     # an availableNow run alive; timeouts still fire on the next data batch
@@ -939,7 +943,7 @@ def q_stream_latest_risk(spark, sf):
                 .unionByName(first.withColumn("sensor_measurement_4", F.lit(float("nan")))))
     src, schema = _stream_source(spark, sf, "risk-src", extra=spoiled)
     base, ck = shared_path(spark, "risk-tables"), shared_path(spark, "risk-ckpt")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(src)
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 2).parquet(src)
     cols = ["operational_setting_1", "operational_setting_2", "sensor_measurement_4",
             "sensor_measurement_7", "sensor_measurement_11"]
     q = (stream.writeStream.foreachBatch(SR.make_batch_fn(base, cols, _det_score))
