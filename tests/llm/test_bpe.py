@@ -61,6 +61,48 @@ def _is_text(t):
         return False
 
 
+def test_long_words(reference):
+    """Unbroken words: random letters, runs, and runs that overlap."""
+    import random
+
+    import pyarrow as pa
+    draw, voc = random.Random(5), bpe._Vocabulary(VOCABULARY)
+    texts = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=20_000)), "a" * 9_999, "ab" * 5_000 + "a", "aab" * 4_001,
+             "".join(draw.choices("ab", k=8_000)), "東京" * 3_000, "x", "=" * 777]
+    ids, start, end = voc.encode(pa.array(texts, pa.large_string()))
+    for t, s, e in zip(texts, start, end):
+        assert list(ids[s:e]) == reference._encode_single_piece(t)
+
+
+def test_merge_that_makes_a_lower_pair():
+    """A made-up vocabulary in which a merge makes a pair of lower rank: its
+    repeats are then contracted one by one, as the rule has it."""
+    import itertools
+
+    import pyarrow as pa
+    ranks = {bytes([i]): i for i in range(256)} | {b"abc": 300, b"abcb": 350, b"bc": 400, b"cb": 500, b"bcbc": 600}
+    voc = bpe._Vocabulary(_file_of(ranks))
+    texts = ["".join(t) for n in range(1, 7) for t in itertools.product("abc", repeat=n)]
+    ids, start, end = voc.encode(pa.array(texts, pa.large_string()))
+    for t, s, e in zip(texts, start, end):
+        parts = [bytes([c]) for c in t.encode()]
+        while True:
+            least = min(((ranks[x + y], i) for i, (x, y) in enumerate(zip(parts, parts[1:])) if x + y in ranks), default=None)
+            if least is None:
+                break
+            i = least[1]
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        assert list(ids[s:e]) == [ranks[x] for x in parts], t
+
+
+def _file_of(ranks):
+    import base64
+    import tempfile
+    with tempfile.NamedTemporaryFile("wb", suffix=".tiktoken", delete=False) as f:
+        f.writelines(base64.b64encode(t) + b" %d\n" % r for t, r in ranks.items())
+    return f.name
+
+
 def test_query_digests(spark, reference):
     from tests.conftest import SF001
     from wearline.llm.queries import op1_byte_level_bpe

@@ -3,7 +3,9 @@
 Spark splits every text into pretokens with the vocabulary's pattern. Inside
 each partition the distinct pretokens become token-position rows in DuckDB; a
 recursive query joins adjacent rows with the merge table, contracts each
-word's leftmost pair of least rank, and repeats until no word changes. Texts
+word's leftmost pair of least rank (and the repeats that would come next), and
+goes on until no word changes; after a bounded number of steps a new query
+takes up the words that are left, so that a word of any length fits. Texts
 take their ids from the words; decoding joins ids with their bytes and
 aggregates them in order, in DuckDB too.
 
@@ -28,23 +30,33 @@ from pyspark.sql import types as T
 
 from wearline.llm.common import append_columns, free_name, row_slices
 
-#: Words encoded by one recursive query, words kept for later batches of the
-#: worker, and tokens decoded by one query: bounds on a task's memory.
-WORDS_AT_ONCE, WORDS_KEPT, TOKENS_AT_ONCE = 20_000, 200_000, 150_000
+#: Bytes and words encoded by one recursive query, rows that its steps may make
+#: together, words kept for later batches of the worker, and tokens decoded by
+#: one query: bounds on a task's memory. A longer word is encoded alone.
+BYTES_AT_ONCE, WORDS_AT_ONCE, ROWS_OF_STEPS = 150_000, 20_000, 1_500_000
+WORDS_KEPT, TOKENS_AT_ONCE = 100_000, 100_000
 
+#: ``n`` counts steps; words not done after ``steps`` of them are read off as
+#: they stand. ``many`` tells that a merge makes no pair of lower rank, so that
+#: after it the word's next pair is its next repeat: then all go in one step,
+#: every other one of those that overlap in a row.
 _ENCODE = """
-WITH RECURSIVE step(k, t, alive) AS (
-  SELECT k, t, true FROM symbols
+WITH RECURSIVE step(k, t, alive, n) AS (
+  SELECT k, t, true, 0 FROM symbols
   UNION ALL
-  (WITH pair AS (SELECT k, t, lead(t) OVER (ORDER BY k) AS nt, lead(k) OVER (ORDER BY k) AS nk
-                 FROM step WHERE alive),
-        mergeable AS (SELECT p.k >> 32 AS w, m.r, p.k, p.nk FROM pair p JOIN merges m ON m.a = p.t AND m.b = p.nt
-                      WHERE p.nk >> 32 = p.k >> 32),
-        best AS (SELECT w, min({'r': r, 'k': k, 'nk': nk}) AS m FROM mergeable GROUP BY w)
-   SELECT s.k, CASE WHEN s.k = b.m.k THEN b.m.r ELSE s.t END, b.w IS NOT NULL
-   FROM step s LEFT JOIN best b ON b.w = s.k >> 32
-   WHERE s.alive AND (b.w IS NULL OR s.k <> b.m.nk)))
-SELECT k, t FROM step WHERE NOT alive ORDER BY k
+  (WITH pair AS (SELECT k, t, lead(t) OVER o AS nt, lead(k) OVER o AS nk, row_number() OVER o AS p
+                 FROM step WHERE alive AND n < {steps} WINDOW o AS (ORDER BY k)),
+        mergeable AS (SELECT p.k >> 32 AS w, m.r, m.many, p.k, p.nk, p.p FROM pair p
+                      JOIN merges m ON m.a = p.t AND m.b = p.nt WHERE p.nk >> 32 = p.k >> 32),
+        least AS (SELECT w, min(r) AS r FROM mergeable GROUP BY w),
+        met AS (SELECT m.*, m.p - row_number() OVER (ORDER BY m.k) AS run FROM mergeable m JOIN least USING (w, r)),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY w, run ORDER BY k) AS i,
+                          row_number() OVER (PARTITION BY w ORDER BY k) AS j FROM met),
+        taken AS (SELECT r, k, nk FROM placed WHERE i % 2 = 1 AND (many OR j = 1))
+   SELECT s.k, coalesce(h.r, s.t), l.w IS NOT NULL, s.n + 1
+   FROM step s LEFT JOIN least l ON l.w = s.k >> 32 LEFT JOIN taken h ON h.k = s.k
+   WHERE s.alive AND s.n < {steps} AND s.k NOT IN (SELECT nk FROM taken)))
+SELECT k, t, alive FROM step WHERE NOT alive OR n = {steps} ORDER BY k
 """
 
 _DECODE = """
@@ -72,9 +84,13 @@ class _Vocabulary:
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         merges = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items()
                   for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
+        self.db = duckdb.connect(config={"threads": 1, "temp_directory": ""})
         a, b, r = (np.array(c, np.int32) for c in zip(*merges)) if merges else [np.zeros(0, np.int32)] * 3
-        given = pa.table({"a": a, "b": b, "r": r})
+        self.side_by_side = np.zeros((256, 256), bool)
+        for token in ranks:
+            self.side_by_side[list(token[:-1]), list(token[1:])] = True
+        lower = np.unique(np.concatenate([a[r < a], b[r < b]]))
+        given = pa.table({"a": a, "b": b, "r": r, "many": ~np.isin(r, lower)})
         self.db.register("given", given)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
         self.db.unregister("given")
@@ -93,13 +109,21 @@ class _Vocabulary:
         buf = np.frombuffer(words.buffers()[2], np.uint8)[off[0]:off[-1]]
         n = np.diff(off)
         word = np.repeat(np.arange(len(words), dtype=np.int64), n)
-        at = np.arange(len(buf), dtype=np.int64) - np.repeat(off[:-1] - off[0], n)
-        symbols = pa.table({"k": (word << 32) + at, "t": self.byte_ids[buf]})
-        self.db.register("symbols", symbols)
-        got = self.db.sql(_ENCODE).to_arrow_table()
-        self.db.unregister("symbols")
-        counts = np.bincount(got["k"].to_numpy() >> 32, minlength=len(words))
-        return got["t"].to_numpy().astype(np.int32, copy=False), counts
+        # Bytes that no token has side by side are never merged across, so a
+        # word is encoded in the parts between them.
+        apart = np.ones(len(buf), bool)
+        apart[1:] = (word[1:] != word[:-1]) | ~self.side_by_side[buf[:-1], buf[1:]]
+        part = np.cumsum(apart, dtype=np.int64)
+        k, t, done = (part << 32) + np.arange(len(buf)), self.byte_ids[buf], []
+        while len(k):
+            self.db.register("symbols", pa.table({"k": k, "t": t}))
+            got = self.db.sql(_ENCODE.format(steps=max(8, ROWS_OF_STEPS // len(k)))).to_arrow_table()
+            self.db.unregister("symbols")
+            k, t, alive = (got[c].to_numpy() for c in ("k", "t", "alive"))
+            done.append((k[~alive], t[~alive]))
+            k, t = k[alive], t[alive]
+        k, t = (np.concatenate(c) for c in zip(*done)) if done else (k, t)
+        return t[np.argsort(k)].astype(np.int32, copy=False), np.bincount(word[k & 0xFFFFFFFF], minlength=len(words))
 
     def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of distinct words: a flat array with a start and an end per word."""
@@ -109,8 +133,9 @@ class _Vocabulary:
         if at.null_count:
             new = words.filter(at.is_null())
             ids, counts = [self.ids], [np.diff(self.ends)]
-            for i in range(0, len(new), WORDS_AT_ONCE):
-                part = self._encode_words(new.slice(i, WORDS_AT_ONCE))
+            size = np.concatenate([[0], np.cumsum(pc.binary_length(new).to_numpy())])
+            for a, z in ((i, min(i + WORDS_AT_ONCE, z)) for a, z in row_slices(size, BYTES_AT_ONCE) for i in range(a, z, WORDS_AT_ONCE)):
+                part = self._encode_words(new.slice(a, z - a))
                 ids.append(part[0])
                 counts.append(part[1])
             self.words = pa.concat_arrays([self.words, new])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wearline.llm.common import materialise
+from wearline.llm.common import drop, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,7 +33,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                         .distinct(), "edges")
     sign = _sign(edges)
     while sign[0]:
-        edges = materialise(_star(_star(edges, True), False), "edges")
+        before, edges = edges, materialise(_star(_star(edges, True), False), "edges")
+        drop(before)
         last, sign = sign, _sign(edges)
         if sign == last:
             break

@@ -145,9 +145,8 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, per
     most = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     pairs = C.materialise(pairs.join(of("a"), "a").join(of("b"), "b")
                           .filter(most >= _need(F.col("n_a"), F.col("n_b"), percent)).select("a", "b", "n_a", "n_b"), "pairs")
-    ids = C.materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "pair-ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    found = C.materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "pair-ids")
+    ids = F.broadcast(found) if found.count() <= BROADCAST_IDS else found
     schema = T.StructType([T.StructField("id", _LONG), T.StructField("m", _LONG), T.StructField("grams", _LONGS)])
 
     def run(b: pa.RecordBatch) -> Iterator[list]:
@@ -166,8 +165,10 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, per
     # A set is told by id and size: rows of one id may hold several texts.
     both = pairs.join(of("a"), ["a", "n_a"]).join(of("b"), ["b", "n_b"])
     same = F.size(F.array_intersect("grams_a", "grams_b"))
-    return C.materialise(both.filter(100 * same >= percent * (F.col("n_a") + F.col("n_b") - same)).select("a", "b").distinct(),
-                         "links")
+    links = C.materialise(both.filter(100 * same >= percent * (F.col("n_a") + F.col("n_b") - same)).select("a", "b").distinct(),
+                          "links")
+    C.drop(pairs, found, sets)
+    return links
 
 
 def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -211,7 +212,7 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         return met.filter(most >= _need(F.col("n1"), F.col("n2"), percent)).select("a", "b")
 
     links, done = None, None
-    mixed = postings.withColumn("k", F.col("rep"))
+    mixed = every = postings.withColumn("k", F.col("rep"))
     for step in (F.lit(0), F.xxhash64("g", "rep"), F.xxhash64("rep"), None):
         pairs = (partners(mixed, step) if step is not None else remaining(mixed)).distinct()
         pairs = C.materialise(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "candidates")
@@ -220,7 +221,10 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         found = _verified(docs, classes, pairs, n, percent)
         links, done = (found, pairs) if links is None else (links.union(found), done.union(pairs))
         if step is not None:
-            mixed = classed(links)
+            before, mixed = mixed, classed(links)
+            if before is not every:
+                C.drop(before)
+    C.drop(*(t for t in (postings, mixed) if t is not every))
 
     # Nodes are least ids of equal sets; documents follow their set, and rows of one id their id.
     own = stats.filter(F.col("cell").isNull())
