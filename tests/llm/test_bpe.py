@@ -74,15 +74,17 @@ def test_long_words(reference):
         assert list(ids[s:e]) == reference._encode_single_piece(t)
 
 
-def test_merge_that_makes_a_lower_pair():
+@pytest.mark.parametrize("rows", [1, 10**6])
+def test_merge_that_makes_a_lower_pair(rows, monkeypatch):
     """A made-up vocabulary in which a merge makes a pair of lower rank: its
     repeats are then contracted one by one, as the rule has it."""
     import itertools
 
     import pyarrow as pa
+    monkeypatch.setattr(bpe, "ROWS_OF_STEPS", rows)
     ranks = {bytes([i]): i for i in range(256)} | {b"abc": 300, b"abcb": 350, b"bc": 400, b"cb": 500, b"bcbc": 600}
     voc = bpe._Vocabulary(_file_of(ranks))
-    texts = ["".join(t) for n in range(1, 7) for t in itertools.product("abc", repeat=n)]
+    texts = ["".join(t) for n in range(1, 8) for t in itertools.product("abc", repeat=n)]
     ids, start, end = voc.encode(pa.array(texts, pa.large_string()))
     for t, s, e in zip(texts, start, end):
         parts = [bytes([c]) for c in t.encode()]

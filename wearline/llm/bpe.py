@@ -34,13 +34,30 @@ from wearline.llm.common import append_columns, free_name, row_slices
 #: together, words kept for later batches of the worker, and tokens decoded by
 #: one query: bounds on a task's memory. A longer word is encoded alone.
 BYTES_AT_ONCE, WORDS_AT_ONCE, ROWS_OF_STEPS = 150_000, 20_000, 1_500_000
-WORDS_KEPT, TOKENS_AT_ONCE = 100_000, 100_000
+WORDS_KEPT, TOKENS_AT_ONCE = 200_000, 100_000
 
 #: ``n`` counts steps; words not done after ``steps`` of them are read off as
-#: they stand. ``many`` tells that a merge makes no pair of lower rank, so that
+#: they stand.
+_ENCODE = """
+WITH RECURSIVE step(k, t, alive, n) AS (
+  SELECT k, t, true, 0 FROM symbols
+  UNION ALL
+  (WITH pair AS (SELECT k, t, lead(t) OVER (ORDER BY k) AS nt, lead(k) OVER (ORDER BY k) AS nk
+                 FROM step WHERE alive AND n < {steps}),
+        mergeable AS (SELECT p.k >> 32 AS w, m.r, p.k, p.nk FROM pair p JOIN merges m ON m.a = p.t AND m.b = p.nt
+                      WHERE p.nk >> 32 = p.k >> 32),
+        best AS (SELECT w, min({{'r': r, 'k': k, 'nk': nk}}) AS m FROM mergeable GROUP BY w)
+   SELECT s.k, CASE WHEN s.k = b.m.k THEN b.m.r ELSE s.t END, b.w IS NOT NULL, s.n + 1
+   FROM step s LEFT JOIN best b ON b.w = s.k >> 32
+   WHERE s.alive AND s.n < {steps} AND (b.w IS NULL OR s.k <> b.m.nk)))
+SELECT k, t, alive FROM step WHERE NOT alive OR n = {steps} ORDER BY k
+"""
+
+#: The same with all repeats of a pair in one step, for what is left of long
+#: words after the first query. ``many`` tells that a merge makes no pair of lower rank, so that
 #: after it the word's next pair is its next repeat: then all go in one step,
 #: every other one of those that overlap in a row.
-_ENCODE = """
+_ENCODE_REPEATS = """
 WITH RECURSIVE step(k, t, alive, n) AS (
   SELECT k, t, true, 0 FROM symbols
   UNION ALL
@@ -114,14 +131,14 @@ class _Vocabulary:
         apart = np.ones(len(buf), bool)
         apart[1:] = (word[1:] != word[:-1]) | ~self.side_by_side[buf[:-1], buf[1:]]
         part = np.cumsum(apart, dtype=np.int64)
-        k, t, done = (part << 32) + np.arange(len(buf)), self.byte_ids[buf], []
+        k, t, done, query = (part << 32) + np.arange(len(buf)), self.byte_ids[buf], [], _ENCODE
         while len(k):
             self.db.register("symbols", pa.table({"k": k, "t": t}))
-            got = self.db.sql(_ENCODE.format(steps=max(8, ROWS_OF_STEPS // len(k)))).to_arrow_table()
+            got = self.db.sql(query.format(steps=max(1, ROWS_OF_STEPS // len(k)))).to_arrow_table()
             self.db.unregister("symbols")
             k, t, alive = (got[c].to_numpy() for c in ("k", "t", "alive"))
             done.append((k[~alive], t[~alive]))
-            k, t = k[alive], t[alive]
+            k, t, query = k[alive], t[alive], _ENCODE_REPEATS
         k, t = (np.concatenate(c) for c in zip(*done)) if done else (k, t)
         return t[np.argsort(k)].astype(np.int32, copy=False), np.bincount(word[k & 0xFFFFFFFF], minlength=len(words))
 
