@@ -46,7 +46,7 @@ def test_entry(spark):
 
 def test_every_query_has_oracle_or_is_rows_only():
     rows_only = {"rf_score", "rf_balanced_score", "gbt_score", "feature_importance_topk", "common_top_features",
-                 "model_selection", "pca_2d", "model_comparison", "train_report", "score_fleet", "score_requests"}
+                 "model_selection", "model_selection_halving", "pca_2d", "model_comparison", "train_report", "score_fleet", "score_requests"}
     from wearline.plans import edge_cases, oracle, queries
     q, s = {**queries.QUERIES, **edge_cases.QUERIES}, {**oracle.build(), **edge_cases.ORACLES}
     assert set(q) <= set(E.queries()) and set(s) <= set(E.oracle_sql())

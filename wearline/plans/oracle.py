@@ -419,14 +419,15 @@ STEPS = f"""ST AS (SELECT unit_number, time_in_cycles, RUL, {wear('RUL')} AS sta
   'no_maintenance' AS action FROM R)"""
 
 ACTIONS = ["no_maintenance", "immediate_maintenance", "schedule_maintenance"]
+POLICY_ACTIONS = [*ACTIONS, "maintenance"]
 INTERVALS = {"immediate_maintenance": (20.0, 50.0), "schedule_maintenance": (10.0, 30.0)}
 BANDS = [("healthy", 100.0, None), ("moderate_wear", 50.0, 100.0), ("severe_wear", 20.0, 50.0),
          ("failed", None, 20.0)]
 
 
-def transitions_cte() -> str:
+def transitions_cte(actions=ACTIONS) -> str:
     parts = []
-    for a in ACTIONS:
+    for a in actions:
         lo_d, hi_d = INTERVALS.get(a, (-10.0, -1.0))
         for ns, blo, bhi in BANDS:
             lo = f"(r + {lo_d})" if blo is None else f"greatest(r + {lo_d}, {blo})"
@@ -439,7 +440,9 @@ TR AS (SELECT state, action, next_state, sum(w * p) / sum(w) AS probability,
   {reward_sql('state', 'action', 'next_state')} AS reward FROM EX GROUP BY state, action, next_state)"""
 
 
-QV = f"""{transitions_cte()},
+def values_cte(actions=ACTIONS) -> str:
+    place = " ".join(f"WHEN '{a}' THEN {i}" for i, a in enumerate(actions))
+    return f"""{transitions_cte(actions)},
 QV(k, state, action, q) AS (
   SELECT 0, state, action, CAST(0.0 AS DOUBLE) FROM (SELECT DISTINCT state, action FROM TR)
   UNION ALL
@@ -450,7 +453,10 @@ QV(k, state, action, q) AS (
 Q AS (SELECT state, action, q FROM QV WHERE k = 300),
 GP AS (SELECT state, action AS recommended_action, q AS value FROM Q
   QUALIFY row_number() OVER (PARTITION BY state ORDER BY q DESC,
-    CASE action WHEN 'no_maintenance' THEN 1 WHEN 'immediate_maintenance' THEN 2 ELSE 3 END) = 1)"""
+    CASE action {place} END) = 1)"""
+
+
+QV = values_cte()
 
 TIMELINE = f"""TS AS (SELECT unit_number, time_in_cycles,
   least(1.0, coalesce(CASE WHEN count(sensor_measurement_4) OVER w5 = 5 THEN avg(sensor_measurement_4) OVER w5 END, 0) / 50.0) AS probability,
@@ -484,6 +490,14 @@ FROM ST WHERE next_state IS NOT NULL GROUP BY state, action, next_state"""
 SELECT state, action, next_state, round(probability, 12) AS probability, round(reward, 12) AS reward FROM TR"""
     q["policy_values"] = f"WITH RECURSIVE {L}, {R_CTE}, {QV}\nSELECT state, action, round(q, 6) AS q FROM Q"
     q["greedy_policy"] = f"WITH RECURSIVE {L}, {R_CTE}, {QV}\nSELECT state, recommended_action, round(value, 6) AS value FROM GP"
+    q["policy_reward_maintenance"] = q["policy_reward"].replace("'no_maintenance' AS action", "'maintenance' AS action")
+    q["action_transitions_all"] = f"""WITH {L}, {R_CTE}, {transitions_cte(POLICY_ACTIONS)}
+SELECT state, action, next_state, round(probability, 12) AS probability, round(reward, 12) AS reward FROM TR"""
+    q["policy_values_all"] = f"WITH RECURSIVE {L}, {R_CTE}, {values_cte(POLICY_ACTIONS)}\nSELECT state, action, round(q, 6) AS q FROM Q"
+    q["q_table_all"] = f"""WITH RECURSIVE {L}, {R_CTE}, {values_cte(POLICY_ACTIONS)}
+SELECT state, {', '.join(f"round(max(CASE WHEN action = '{a}' THEN q END), 6) AS {a}" for a in POLICY_ACTIONS)} FROM Q GROUP BY state"""
+    q["greedy_policy_config"] = f"""WITH RECURSIVE {L}, {R_CTE}, {values_cte(("no_maintenance", "maintenance"))}
+SELECT state, recommended_action, round(value, 6) AS value FROM GP"""
     q["q_table_wide"] = f"""WITH RECURSIVE {L}, {R_CTE}, {QV}
 SELECT state, {', '.join(f"round(max(CASE WHEN action = '{a}' THEN q END), 6) AS {a}" for a in ACTIONS)} FROM Q GROUP BY state"""
     q["maintenance_schedule"] = f"""WITH RECURSIVE {L}, {R_CTE}, {QV}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wearline.operators import features as FE
 from wearline.operators import labels as LB
-from wearline.schema import CYCLE, UNIT
+from wearline.schema import CYCLE, POLICY_ACTIONS, UNIT
 from wearline.sources import driver_tables as DT
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -433,6 +433,40 @@ def q_greedy_policy(spark, sf):
     return rounded(PO.greedy_policy(_q(spark, sf)), 6)
 
 
+@query("policy_reward_maintenance")
+def q_policy_reward_maintenance(spark, sf):
+    """D1 for the configured action that has no rule of its own."""
+    return PO.logged_steps(LB.compute_rul(L(spark, sf)), action="maintenance")
+
+
+@query("action_transitions_all")
+def q_action_transitions_all(spark, sf):
+    """D2b for all four actions."""
+    return rounded(PO.action_transitions(LB.compute_rul(L(spark, sf)), actions=POLICY_ACTIONS), 12)
+
+
+def _q_all(spark, sf, actions):
+    return PO.policy_values(PO.action_transitions(LB.compute_rul(L(spark, sf)), actions=actions), gamma=0.9)
+
+
+@query("policy_values_all")
+def q_policy_values_all(spark, sf):
+    """D3 for all four actions."""
+    return rounded(_q_all(spark, sf, POLICY_ACTIONS), 6)
+
+
+@query("q_table_all")
+def q_q_table_all(spark, sf):
+    """D6 for all four actions."""
+    return rounded(PO.q_table_wide(_q_all(spark, sf, POLICY_ACTIONS), POLICY_ACTIONS), 6)
+
+
+@query("greedy_policy_config")
+def q_greedy_policy_config(spark, sf):
+    """D4 for the two actions that the configuration names."""
+    return rounded(PO.greedy_policy(_q_all(spark, sf, PO.CONFIG_ACTIONS), PO.CONFIG_ACTIONS), 6)
+
+
 @query("q_table_wide")
 def q_q_table_wide(spark, sf):
     return rounded(PO.q_table_wide(_q(spark, sf)), 6)
@@ -734,28 +768,14 @@ from wearline.operators import models as MD  # noqa: E402
 from wearline.plans import score as SCO  # noqa: E402
 from wearline.plans import train as TR  # noqa: E402
 
-_MEMO: dict = {}
-
-
-def _memo(spark, sf, key, fn):
-    k = (spark.sparkContext.applicationId, sf, key)
-    if k not in _MEMO:
-        _MEMO[k] = fn()
-    return _MEMO[k]
-
-
 def splits(spark, sf):
-    def mk():
-        l = L(spark, sf)
-        return TR.prepare_splits(l, DT.final_rul(l))
-    return _memo(spark, sf, "splits", mk)
+    l = L(spark, sf)
+    return TR.prepare_splits(l, DT.final_rul(l))
 
 
-def trained(spark, sf, method="cost_sensitive"):
-    def mk():
-        f_tr, f_va, f_te, scaler, removed = splits(spark, sf)
-        return TR.train_and_evaluate(f_tr, f_va, f_te, method)
-    return _memo(spark, sf, f"model-{method}", mk)
+def trained(prepared, method="cost_sensitive"):
+    """(model, threshold, result row, features) of the forest that the queries use."""
+    return TR.train_and_evaluate(*prepared[:3], method, MD.QUERY_FOREST)
 
 
 @query("engineer_features")
@@ -770,39 +790,37 @@ def q_engineer_features(spark, sf):
 
 @query("rf_score")
 def q_rf_score(spark, sf):
-    f_tr, f_va, f_te, _, _ = splits(spark, sf)
-    feats = FE.feature_columns(f_tr)
-    model = _memo(spark, sf, "rf-plain", lambda: MD.fit_forest(f_tr, feats))
+    f_tr, _, f_te, _, _ = splits(spark, sf)
+    model = MD.fit_forest(f_tr, FE.feature_columns(f_tr), params=MD.QUERY_FOREST)
     return MD.predict(model, f_te).select(UNIT, CYCLE, "failure", "probability", "prediction")
 
 
 @query("rf_balanced_score")
 def q_rf_balanced_score(spark, sf):
-    model, thr, _, _ = trained(spark, sf)
-    _, _, f_te, _, _ = splits(spark, sf)
-    return MD.predict(model, f_te, thr).select(UNIT, CYCLE, "failure", "probability", "prediction")
+    prepared = splits(spark, sf)
+    model, thr, _, _ = trained(prepared)
+    return MD.predict(model, prepared[2], thr).select(UNIT, CYCLE, "failure", "probability", "prediction")
 
 
 @query("gbt_score")
 def q_gbt_score(spark, sf):
     f_tr, _, f_te, _, _ = splits(spark, sf)
-    feats = FE.feature_columns(f_tr)
-    model = _memo(spark, sf, "gbt", lambda: MD.fit_gbt(f_tr, feats, pos_weight=True))
+    model = MD.fit_gbt(f_tr, FE.feature_columns(f_tr), pos_weight=True)
     return MD.predict(model, f_te).select(UNIT, CYCLE, "failure", "probability", "prediction")
 
 
 @query("feature_importance_topk")
 def q_feature_importance_topk(spark, sf):
-    model, _, _, feats = trained(spark, sf)
+    model, _, _, feats = trained(splits(spark, sf))
     return MD.top_features(MD.feature_importances(model, feats), 20)
 
 
 @query("common_top_features")
 def q_common_top_features(spark, sf):
     """Features in both top-20 lists (balanced forest, boosted trees)."""
-    model, _, _, feats = trained(spark, sf)
-    f_tr, _, _, _, _ = splits(spark, sf)
-    gbt = _memo(spark, sf, "gbt", lambda: MD.fit_gbt(f_tr, feats, pos_weight=True))
+    prepared = splits(spark, sf)
+    model, _, _, feats = trained(prepared)
+    gbt = MD.fit_gbt(prepared[0], feats, pos_weight=True)
     a = MD.top_features(MD.feature_importances(model, feats), 20).select("feature")
     b = MD.top_features(MD.feature_importances(gbt, feats), 20).select("feature")
     return a.intersect(b)
@@ -814,6 +832,13 @@ def q_model_selection(spark, sf):
     return MD.model_selection(f_tr, FE.feature_columns(f_tr), folds=3)
 
 
+@query("model_selection_halving")
+def q_model_selection_halving(spark, sf):
+    """M7 up to 50 trees of depth 12, by successive halving."""
+    f_tr, _, _, _, _ = splits(spark, sf)
+    return MD.halving_search(f_tr, FE.feature_columns(f_tr))
+
+
 @query("pca_2d")
 def q_pca_2d(spark, sf):
     v = DT.vectors(spark, sf)
@@ -824,50 +849,47 @@ def q_pca_2d(spark, sf):
 
 @query("model_comparison")
 def q_model_comparison(spark, sf):
-    f_tr, f_va, f_te, _, _ = splits(spark, sf)
-    out = None
-    for m in TR.METHODS:
-        _, _, res, _ = trained(spark, sf, m)
-        out = res if out is None else out.unionByName(res)
-    return out
+    l = L(spark, sf)
+    return TR.model_comparison(l, DT.final_rul(l), forest=MD.QUERY_FOREST)
+
+
+REPORT = ("model string, dataset string, imbalance_method string, accuracy double, precision double, "
+          "recall double, f1_score double, roc_auc double, threshold double")
 
 
 @query("train_report")
 def q_train_report(spark, sf):
-    """The cost-sensitive run, its artifacts written and the result
-    row appended as a CSV report."""
-    model, thr, res, feats = trained(spark, sf)
-    _, _, _, scaler, removed = splits(spark, sf)
-    path = TR.write_run(shared_path(spark, "train-artifacts"), model, thr, res, feats, scaler, removed)
-    return RP.read_report(spark, path,
-                          "model string, dataset string, imbalance_method string, accuracy double, "
-                          "precision double, recall double, f1_score double, roc_auc double, threshold double")
+    """The whole train job on L (cost-sensitive), its run published; the
+    result row as the job's report has it."""
+    l = L(spark, sf)
+    path = TR.train_pipeline(l, DT.final_rul(l), shared_path(spark, "train-artifacts"), forest=MD.QUERY_FOREST)
+    return RP.read_report(spark, path, REPORT)
 
 
 @query("score_fleet")
 def q_score_fleet(spark, sf):
-    """Load the saved artifacts and score the held-out units (full
-    history), with risk bands and the policy's maintenance action."""
-    model, thr, _, _ = trained(spark, sf)
-    _, _, _, scaler, removed = splits(spark, sf)
-    base = shared_path(spark, "fleet-artifacts")
-    AR.save_artifacts(base, "L", "cost_sensitive", scaler=scaler, removed=removed, model=model)
-    m2 = AR.load_model(base, "L", "cost_sensitive")
-    sc2 = AR.load_table(spark, base, "L", "cost_sensitive", "scaler")
-    rm2 = AR.load_removed(spark, base, "L", "cost_sensitive")
-    l = L(spark, sf)
+    """Run the train job, load what its manifest names, and score the
+    held-out units (full history), with risk bands and the policy's maintenance
+    action."""
+    base, l = shared_path(spark, "fleet-artifacts"), L(spark, sf)
+    TR.train_pipeline(l, DT.final_rul(l), base, forest=MD.QUERY_FOREST)
+    run = AR.latest_run(spark, base, "L", "cost_sensitive")
+    model = AR.load_model(run, "L", "cost_sensitive")
+    scaler = AR.load_table(spark, run, "L", "cost_sensitive", "scaler")
+    removed = AR.load_removed(spark, run, "L", "cost_sensitive")
     _, test_tel = TR.split_units(l)
     test = LB.attach_final_rul(test_tel, DT.final_rul(l))
     pol = PO.greedy_policy(_q(spark, sf))
-    return SCO.score_fleet(test, m2, sc2, rm2, policy=pol, threshold=0.5)
+    return SCO.score_fleet(test, model, scaler, removed, policy=pol, threshold=0.5)
 
 
 @query("score_requests")
 def q_score_requests(spark, sf):
     """C4: a table of requests (every unit's whole life, plus spoiled
     copies) -> responses; spoiled ones land in quarantine."""
-    model, _, _, _ = trained(spark, sf)
-    _, _, _, scaler, removed = splits(spark, sf)
+    prepared = splits(spark, sf)
+    model, _, _, _ = trained(prepared)
+    scaler, removed = prepared[3:]
     req = spoiled(DT.life_requests(L(spark, sf))).withColumn("request_id", F.concat_ws("-", "request_id", "variant"))
     resp, bad = SCO.score_requests(req.drop("variant", "origin", "part"), model, scaler, removed)
     return (resp.withColumn("status", F.lit("scored"))

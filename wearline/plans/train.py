@@ -108,24 +108,28 @@ def model_comparison(telemetry: DataFrame, final_rul: DataFrame, methods=METHODS
 def write_run(base: str, model, threshold: float, result: DataFrame, features: list[str], scaler: DataFrame,
               removed: list[str], dataset: str = "L", method: str = "cost_sensitive") -> str:
     """Store what scoring needs (model, scaler, removed columns, threshold), the
-    feature importances, and the result row as a report; the report's path."""
+    feature importances and the result row in a folder of the run's own, then
+    publish it; the report's path. A run that breaks off is never loaded."""
     from wearline.sources import artifacts as AR
     from wearline.sources import reports as RP
     spark = result.sparkSession
+    run = AR.new_run(base, dataset, method)
     row = spark.createDataFrame([("random_forest", dataset, method, float(threshold))],
                                 "model string, dataset string, method string, threshold double")
-    AR.save_artifacts(base, dataset, method, scaler=scaler, removed=removed, thresholds=row, model=model)
-    MD.feature_importances(model, features).write.mode("overwrite").parquet(f"{base}/reports/importances_{dataset}_{method}")
-    path = f"{base}/reports/results_{dataset}_{method}"
-    RP.write_report(result, path)
-    return path
+    AR.save_artifacts(run, dataset, method, scaler=scaler, removed=removed, thresholds=row, model=model, spark=spark)
+    MD.feature_importances(model, features).write.parquet(f"{run}/importances")
+    RP.write_report(result, f"{run}/report")
+    own = [f"{dataset}_{method}/{p}" for p in ("scaler", "removed", "thresholds", "model")]
+    AR.publish_run(spark, base, dataset, method, run, own + ["importances", "report"])
+    return f"{run}/report"
 
 
 def train_pipeline(telemetry: DataFrame, final_rul: DataFrame, base: str, dataset: str = "L",
                    method: str = "cost_sensitive", forest=None, threshold: float = 90) -> str:
     """C2, the whole job: prepare, split by unit, fit, tune the threshold on
-    validation units, evaluate on held-out ones, and store the run below
-    ``base`` (a shared folder). Returns the report's path."""
+    validation units, evaluate on held-out ones, and publish the run below
+    ``base`` (a shared folder). Returns the report's path; ``latest_run`` finds
+    the run's folder for scoring."""
     f_tr, f_va, f_te, scaler, removed = prepare_splits(telemetry, final_rul, threshold)
     model, thr, result, features = train_and_evaluate(f_tr, f_va, f_te, method, forest, dataset)
     return write_run(base, model, thr, result, features, scaler, removed, dataset, method)
