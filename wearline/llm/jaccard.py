@@ -1,8 +1,9 @@
 """N-gram Jaccard self-join (operator 8).
 
 Texts become sets of word n-grams, ordered rarest first by counts over all
-documents, kept in a table of hashed counts of fixed size (any one order gives
-right results; a rare first one gives few candidates). Sets that can reach the
+documents, kept in a table of hashed counts whose cells follow the measured
+size of the texts (any one order gives right results; a rare first one gives
+few candidates). Sets that can reach the
 similarity share an n-gram of their prefixes. Prefix n-grams are joined; pairs
 pass length and positional filters there, a suffix filter on counts of n-grams
 by hash bin, and are verified once on the whole sets.
@@ -33,9 +34,10 @@ from wearline.llm import common as C
 from wearline.llm.components import components
 
 BYTES_AT_ONCE = 500_000
-#: Cells of the hashed counts, bins of the suffix filter, and the measured
-#: size up to which the ids of candidates are broadcast.
-SKETCH_CELLS, BINS, BROADCAST_IDS = 1 << 17, 16, 4_000_000
+#: Least and greatest bits of a cell of the hashed counts, cells in a row of them,
+#: bins of the suffix filter, and the measured size up to which the ids of
+#: candidates are broadcast.
+MIN_BITS, MAX_BITS, BLOCK, BINS, BROADCAST_IDS = 17, 24, 1 << 10, 16, 4_000_000
 
 
 def _sets(col: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -62,42 +64,66 @@ def _set_hash(s: np.ndarray) -> tuple[int, int]:
 
 
 _LONG, _LONGS = T.LongType(), T.ArrayType(T.LongType())
-_STATS = T.StructType([T.StructField(c, _LONG) for c in ("cell", "id", "n", "h1", "h2")])
+_STATS = T.StructType([T.StructField(c, _LONG) for c in ("cell", "id", "n", "h1", "h2")] + [T.StructField("counts", T.BinaryType())])
 
 
-def _statistics(docs: DataFrame, n: int) -> DataFrame:
-    """Stored rows of two kinds, in one pass: (cell, n) counts n-grams by hash
-    cell, (id, n, h1, h2) tells a document's set. The latter has cell null."""
+def _bits(docs: DataFrame) -> int:
+    """Bits of a hash cell: a cell for every 256 bytes of text, so that the noise
+    of a count stays the same at every size, up to ``MAX_BITS``."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MAX_BITS, max(MIN_BITS, int(size // 256).bit_length()))
+
+
+def _statistics(docs: DataFrame, n: int, bits: int) -> DataFrame:
+    """Stored rows of two kinds, in one pass: (cell, counts) counts n-grams by
+    hash cell, BLOCK cells from ``cell`` on in a row, (id, n, h1, h2) tells a
+    document's set. The latter has cell null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH_CELLS, np.int64)
-        schema = pa.schema([(c, pa.int64()) for c in _STATS.names])
+        counts = np.zeros(1 << bits, np.int32)
+        schema = pa.schema([(c, pa.int64()) for c in _STATS.names[:-1]] + [("counts", pa.binary())])
         for b in batches:
             size, h1, h2 = (np.zeros(b.num_rows, np.int64) for _ in range(3))
             for i, s in _sets(b.column(1), n):
                 size[i] = len(s)
                 h1[i], h2[i] = _set_hash(s)
-                np.add.at(counts, (s >> C.U64(47)).astype(np.int64), 1)
+                np.add.at(counts, (s >> C.U64(64 - bits)).astype(np.int64), 1)
             yield pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b.column(0), pa.array(size), pa.array(h1),
-                                              pa.array(h2)], schema=schema)
-        cell = np.flatnonzero(counts)
-        none = pa.nulls(len(cell), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(cell), none, pa.array(counts[cell]), none, none], schema=schema)
+                                              pa.array(h2), pa.nulls(b.num_rows, pa.binary())], schema=schema)
+        blocks = counts.reshape(-1, BLOCK)
+        used = np.flatnonzero(blocks.any(1))
+        for at in range(0, len(used), 1000):
+            some = used[at:at + 1000]
+            none = pa.nulls(len(some), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(some * BLOCK), none, none, none, none,
+                                              pa.array([blocks[k].tobytes() for k in some], pa.binary())], schema=schema)
 
     return C.materialise(docs.mapInArrow(run, _STATS), "shingle-statistics")
 
 
-def _sketch(stats: DataFrame) -> np.ndarray:
-    """Counts by cell; SKETCH_CELLS rows at most reach the driver."""
-    rows = stats.filter(F.col("cell").isNotNull()).groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(SKETCH_CELLS, np.int64)
-    out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
+def _sketch(stats: DataFrame, bits: int) -> np.ndarray:
+    """A byte per cell: its count over all documents in eighths of an octave.
+    At most 2 ** MAX_BITS bytes reach the driver and every task."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for b in batches:
+            for cell, held in zip(b.column(0).to_pylist(), b.column(1)):
+                own = np.frombuffer(held.as_buffer(), np.int32)
+                total[cell] = total[cell] + own if cell in total else own.astype(np.int64)
+        codes = [np.minimum(255, np.round(8 * np.log2(1.0 + v))).astype(np.uint8).tobytes() for v in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(codes, pa.binary())], names=["cell", "counts"])
+
+    rows = stats.filter(F.col("cell").isNotNull()).select("cell", "counts").repartition("cell").mapInArrow(add, "cell long, counts binary")
+    out = np.zeros(1 << bits, np.uint8)
+    for cell, codes in zip(*(c.to_pylist() for c in rows.toArrow().columns)):
+        out[cell:cell + BLOCK] = np.frombuffer(codes, np.uint8)
     return out
 
 
-def _classes(docs: DataFrame, sketch: np.ndarray, n: int, percent: int) -> DataFrame:
+def _classes(docs: DataFrame, sketch: np.ndarray, bits: int, n: int, percent: int) -> DataFrame:
     """Stored (rep, n, bins, prefix): one row per distinct set."""
-    held = docs.sparkSession.sparkContext.broadcast(sketch.astype(np.int64))
+    held = docs.sparkSession.sparkContext.broadcast(sketch)
     schema = T.StructType([T.StructField(c, _LONG) for c in ("id", "n", "h1", "h2")] +
                           [T.StructField("bins", T.ArrayType(T.IntegerType())), T.StructField("prefix", _LONGS)])
 
@@ -108,7 +134,7 @@ def _classes(docs: DataFrame, sketch: np.ndarray, n: int, percent: int) -> DataF
             m = len(s)
             if m and ids[i] is not None:
                 first = m - -(-percent * m // 100) + 1
-                rarest = np.argsort(counts[(s >> C.U64(47)).astype(np.int64)], kind="stable")[:first]
+                rarest = np.argsort(counts[(s >> C.U64(64 - bits)).astype(np.int64)], kind="stable")[:first]
                 out.append([ids[i], m, *_set_hash(s), np.bincount((s & C.U64(BINS - 1)).astype(np.int64), minlength=BINS),
                             C.signed(s[rarest])])
             if len(out) == 1000:
@@ -177,8 +203,9 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     id that links of at least ``percent`` percent Jaccard similarity reach."""
     C.ship_package(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    stats = _statistics(docs, n)
-    classes = _classes(docs, _sketch(stats), n, percent)
+    bits = _bits(docs)
+    stats = _statistics(docs, n, bits)
+    classes = _classes(docs, _sketch(stats, bits), bits, n, percent)
     grams = classes.select("rep", "n", F.posexplode("prefix").alias("p", "g"))
     shared = grams.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g")
     place = F.row_number().over(Window.partitionBy("rep").orderBy("p")) - 1
