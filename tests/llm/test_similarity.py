@@ -167,3 +167,21 @@ def test_vectors_settings():
         hashes, tables = neardup.settings(total, [64], 0.9, 2, None, 11)
         assert neardup.meeting_share(64, 0.9, hashes, tables, 2, 5)[-1] >= 0.99
     assert neardup.settings(10**6, [2], 0.9, 2, None, 11)[0] == 1
+
+
+def test_hashed_counts_add_up_over_partitions(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from wearline.llm import jaccard as J
+    texts = [f"common words here again {i} {i * 7 % 5} tail" for i in range(60)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(5)
+    bits = J._bits(docs)
+    assert bits == J.MIN_BITS
+    want = np.zeros(1 << bits, np.int64)
+    for _, s in J._sets(pa.array(texts), 3):
+        np.add.at(want, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
+    got = J._sketch(J._statistics(docs, 3, bits), bits)
+    assert want.max() >= 60
+    assert (got == np.round(8 * np.log2(1.0 + want))).all()
+    assert not J._sketch(J._statistics(docs.limit(0), 3, bits), bits).any()
