@@ -71,3 +71,37 @@ def test_knn_ties_of_many_copies(spark, shift):
         D = np.sqrt(((X - X[n]) ** 2).sum(1))
         D[n] = np.inf
         assert out[out.q_id == i].sort_values("rank").s_id.tolist() == ids[np.lexsort((ids, D))][:5].tolist()
+
+
+def test_knn_stores_and_sends_no_row_per_cell(spark):
+    """Where no cell can be pruned, what a join stores follows the vectors,
+    not the vectors times the cells; results stay exact over forced blocks."""
+    import os
+
+    from wearline.session import ensure_checkpoint_dir
+    rng = np.random.default_rng(3)
+    X = rng.normal(size=(1500, 32))
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(1500), "features": list(X)}))
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+
+    def size():
+        return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files)
+    before = size()
+    out = knn_join(df, df, 3, exclude_self=True, n_pivots=64, max_block=200).toPandas().sort_values(["q_id", "rank"])
+    assert size() - before < 5 * X.nbytes
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(2))
+    np.fill_diagonal(D, np.inf)
+    assert (out.s_id.to_numpy().reshape(1500, 3) == np.argsort(D, axis=1, kind="stable")[:, :3]).all()
+
+
+def test_knn_blocks_hold_at_most_so_many_rows():
+    from wearline.operators.knn import _near_order, _pack
+    rng = np.random.default_rng(4)
+    count = rng.integers(0, 300, 50)
+    packed = _pack(count, _near_order(rng.normal(size=(50, 3))), 200)
+    assert sorted(c for c, _, _ in packed) == list(range(50))
+    held: dict = {}
+    for c, first, parts in packed:
+        for i in range(parts):
+            held.setdefault(first + i, []).append((int(count[c]), parts))
+    assert all(sum(-(-n // p) for n, p in cells) <= 200 for cells in held.values())
