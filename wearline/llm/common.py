@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from wearline.session import ship_package, shared_path
+from wearline.session import shared_path, ship_package, shuffles_removed
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,26 +25,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the cluster's shared folder and read it
     back: cuts lineage, survives lost executors, is computed once."""
     path = shared_path(df.sparkSession, name)
-    with _shuffles_removed(df.sparkSession):
+    with shuffles_removed(df.sparkSession):
         df.write.parquet(path)
     stored = df.sparkSession.read.schema(df.schema).parquet(path)
     stored.stored_at = path
     return stored
 
 
-@contextlib.contextmanager
-def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Within it a job's shuffle files go when the job ends, not when the driver
-    happens to collect garbage: what was stored does not need them any more."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-
-
 def drop(*stored: DataFrame) -> None:
     """Delete tables that ``materialise`` stored; nothing may read them later."""
     for df in stored:
