@@ -133,3 +133,31 @@ def test_latest_risk_of_equal_cycles_is_the_greater(spark):
     run(batch(spark, [(1, 4, 3.0), (1, 4, 7.0)]), 0)
     run(batch(spark, [(1, 4, 5.0)]), 1)
     assert state(spark, base) == [(1, 4, 0.07)]
+
+
+def test_selection_fits_each_candidate_once_per_fold_and_caches_no_fold(spark, monkeypatch):
+    """No refit on all rows, no cached folds, one partition per core at most."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.sql import DataFrame
+    from pyspark.sql import functions as F
+
+    from wearline.operators import models as MD
+    df = spark.range(400).select((F.col("id") % 20).alias("unit_number"), (F.col("id") * 37 % 101).cast("double").alias("x"),
+                                 (F.col("id") * 37 % 101 > 50).cast("bigint").alias("failure")).repartition(50)
+    fits, cached = [], []
+    fit = RandomForestClassifier._fit
+    monkeypatch.setattr(RandomForestClassifier, "_fit", lambda self, d: (fits.append(d.rdd.getNumPartitions()), fit(self, d))[1])
+    monkeypatch.setattr(DataFrame, "cache", lambda self: (cached.append(1), self)[1])
+    out = MD.model_selection(df, ["x"], folds=2, grid={"numTrees": [2, 3], "maxDepth": [2]}).collect()
+    assert len(out) == 2 and all(0.9 < r["mean_auc"] <= 1 for r in out)
+    assert len(fits) == 4 and max(fits) <= spark.sparkContext.defaultParallelism and not cached
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    from pyspark.sql import functions as F
+
+    from wearline.session import stored
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    t = stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert t.count() == 7 and spark.conf.get(key, None) == before
