@@ -19,6 +19,18 @@ from wearline.llm.common import materialise, read_table
 VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+#: Rows of an Arrow batch. Both the JVM and the Python worker of a task hold a
+#: whole batch; texts with their pretokens are about 5 kB a row.
+ROWS_PER_BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= ROWS_PER_BATCH:
+        spark.conf.set(key, str(ROWS_PER_BATCH))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts whose language cannot be told."""
     return language.keep_identified(docs, "text", F.col("lang"), F.col("source"), language.host_suffix(F.col("source")))
@@ -43,7 +55,8 @@ def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and the text as it decodes from them."""
-    both = bpe.encode_decode(docs, VOCABULARY, PATTERN)
+    small_batches(spark)
+    both = bpe.encode_decode(docs, VOCABULARY, PATTERN, keep_text=False)
     return both.select("doc_id", "lang", "source", F.col("decoded").cast("string").alias("text"),
                        F.size("ids").cast("long").alias("n_tokens"), "ids")
 

@@ -114,3 +114,10 @@ def test_query_digests(spark, reference):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_text_need_not_go_to_the_workers(spark):
+    docs = documents(spark, [(1, "one two"), (2, None)])
+    got = bpe.encode_decode(docs, VOCABULARY, P.PATTERN, keep_text=False)
+    assert "text" not in got.columns
+    assert {r.doc_id: bytes(r.decoded) for r in got.collect()} == {1: b"one two", 2: b""}

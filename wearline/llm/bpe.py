@@ -256,8 +256,10 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
     return append_columns(df, [T.StructField("decoded", T.BinaryType())], run)
 
 
-def encode_decode(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """``encode`` and then ``decode`` of the ids, in one pass over the rows."""
+def encode_decode(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """``encode`` and then ``decode`` of the ids, in one pass over the rows.
+    Without ``keep_text`` the text column is dropped, and not sent to the
+    workers beside its pretokens."""
     name, words = _ship(df, vocabulary), free_name(df, "__pretokens")
 
     def run(b: pa.RecordBatch) -> list:
@@ -265,6 +267,7 @@ def encode_decode(df: DataFrame, vocabulary: str, pattern: str, text_col: str =
         ids, off = _encode_rows(voc, b.column(words))
         return [pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids)), _decode_rows(voc, ids, off)]
 
-    return append_columns(_pretokens(df, text_col, pattern, words),
+    split = _pretokens(df, text_col, pattern, words)
+    return append_columns(split if keep_text else split.drop(text_col),
                           [T.StructField("ids", _IDS), T.StructField("decoded", T.BinaryType())], run,
                           drop=(words,))
