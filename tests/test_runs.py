@@ -153,7 +153,7 @@ def test_selection_fits_each_candidate_once_per_fold_and_caches_no_fold(spark, m
     assert len(fits) == 4 and max(fits) <= spark.sparkContext.defaultParallelism and not cached
 
 
-def test_stored_tables_leave_no_shuffle_files(spark):
+def test_stored_reads_back_and_restores_the_setting(spark):
     from pyspark.sql import functions as F
 
     from wearline.session import stored
