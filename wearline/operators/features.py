@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from wearline.operators.chunks import CHUNK, CHUNK_ROWS, GHOST, LAST, chunked, long_units, same_unit
 from wearline.operators.labels import unit_keys, unit_window, with_positions
-from wearline.operators.scan import ema_batches, ranked
+from wearline.operators.scaling import NUMERIC
+from wearline.operators.scan import ema_batches, feature_batches, ranked
 from wearline.schema import (CYCLE, DEGRADATION_SENSORS, EMA_SPAN, ID_TARGET_COLUMNS,
                              UNIT, WINDOW_SIZES, present, value_columns)
 
@@ -76,12 +77,47 @@ def trailing_weights(history: int, span: float) -> list[Column]:
 
 def trailing_average(c: str, history: int, span: float) -> Column:
     """The average of the last ``history`` rows: a weighted sum, or the fold
-    over gaps where a value is missing."""
+    over gaps where a value is missing; null if all are."""
     value = lambda j: F.col(c if j == 0 else f"_lag{j}_{c}").cast("double")
     total = value(0) * F.col("_w0")
     for j in range(1, history):
         total = total + F.when(F.col(f"_w{j}").isNull(), F.lit(0.0)).otherwise(value(j) * F.col(f"_w{j}"))
-    return F.coalesce(total, ema_fold(F.array(*[F.struct(value(j).alias("v")) for j in range(history - 1, -1, -1)]), span))
+    fold = ema_fold(F.array(*[F.struct(value(j).alias("v")) for j in range(history - 1, -1, -1)]), span)
+    return F.coalesce(total, F.when(F.coalesce(*[value(j) for j in range(history)]).isNotNull(), fold))
+
+
+def earlier(c: str, j: int) -> Column:
+    """The value ``j`` rows back."""
+    return F.col(c if j == 0 else f"_lag{j}_{c}")
+
+
+def rolling_by_lags(df: DataFrame, cols: list[str], window_sizes) -> DataFrame:
+    """Rolling means and deviations (0 where the window is not full) from the
+    ``lag`` columns: no frame is gone through again for every row."""
+    means = []
+    for n in window_sizes:
+        for c in cols:
+            total = earlier(c, n - 1)
+            for j in range(n - 2, -1, -1):
+                total = total + earlier(c, j)
+            means.append((total / F.lit(float(n))).alias(f"_mean{n}_{c}"))     # null if any value is
+    df = df.select("*", *means)
+    out = []
+    for n in window_sizes:
+        for c in cols:
+            mean = F.col(f"_mean{n}_{c}")
+            squares = [(earlier(c, j) - mean) * (earlier(c, j) - mean) for j in range(n)]
+            std = F.sqrt(sum(squares[1:], squares[0]) / F.lit(float(n - 1))) if n > 1 else F.lit(0.0)
+            out += [F.coalesce(mean, F.lit(0.0)).alias(f"{c}_rolling_mean_{n}"), F.coalesce(std, F.lit(0.0)).alias(f"{c}_rolling_std_{n}")]
+    return df.select("*", *out)
+
+
+def trailing_sum(c: str, history: int) -> Column:
+    """The sum of the last ``history`` rows, missing values as 0."""
+    total = F.coalesce(earlier(c, history - 1), F.lit(0.0))
+    for j in range(history - 2, -1, -1):
+        total = total + F.coalesce(earlier(c, j), F.lit(0.0))
+    return total
 
 
 def degradation_columns(df_columns) -> list[str]:
@@ -169,13 +205,16 @@ def _windows(r: DataFrame, w, ghost, names, keys, order_col, cols, degr, window_
     """The features of rows ``r`` by the window ``w``, without the rows marked
     as ``ghost``. ``scanned``: sums and averages are there already."""
     fill, all_rows = include_rolling, history is None
-    numeric = {c for c, t in types.items() if t.typeName() in ("double", "float", "long", "integer", "short", "byte", "decimal")}
+    if include_rolling and all_rows and not scanned and all(types[c].typeName() == "double" for c in (*cols, *degr)):
+        return _one_pass(r, w, names, keys, order_col, cols, degr if include_degradation else [], window_sizes, include_degradation, ema_span, types)
+    numeric = {c for c, t in types.items() if t.typeName() in NUMERIC}
     base = lambda c: F.coalesce(F.col(c), F.lit(0.0)) if fill else F.col(c)
     late = include_rolling and all_rows and not scanned      # averages are added after the windows
     lagged = include_rolling and not all_rows and history <= MOST_LAGS
+    by_lags = lagged and all(types[c].typeName() == "double" for c in (*cols, *degr))
     new: list[Column] = []
     if include_rolling:
-        for n in window_sizes:
+        for n in window_sizes if not by_lags else ():
             frame = w.rowsBetween(-(n - 1), 0)
             fits = all_rows or n <= history
             for c in cols:
@@ -205,6 +244,8 @@ def _windows(r: DataFrame, w, ghost, names, keys, order_col, cols, degr, window_
             new.append(F.coalesce(diff.cast("double"), F.lit(0.0)).alias(f"{c}_rate_of_change"))
         for c in degr:
             first = Window.unboundedPreceding if all_rows else -(history - 1)
+            if by_lags and c in cols:
+                continue
             s = F.col(f"_cs_{c}_cum") if scanned else F.sum(base(c)).over(w.rowsBetween(first, 0))
             if not fill:
                 s = F.when(F.col(c).isNotNull(), s)   # pandas cumsum keeps NaN in place
@@ -214,6 +255,11 @@ def _windows(r: DataFrame, w, ghost, names, keys, order_col, cols, degr, window_
         made = made.filter(~F.col("_gone")).drop("_gone")
     if late:
         made = averaged(made, keys, order_col, cols, ema_span)
+    if by_lags:
+        made = rolling_by_lags(made, cols, [n for n in window_sizes if n <= history])
+        zero = F.lit(0.0)
+        made = made.select("*", *[zero.alias(f"{c}_rolling_{kind}_{n}") for n in window_sizes if n > history for c in cols for kind in ("mean", "std")],
+                           *[trailing_sum(c, history).alias(f"{c}_cumsum") for c in degr if include_degradation and c in cols])
     if lagged:
         made = made.select("*", *trailing_weights(history, ema_span))
         made = made.select("*", *[trailing_average(c, history, ema_span).alias(f"{c}_ema") for c in cols])
@@ -229,6 +275,22 @@ def _windows(r: DataFrame, w, ghost, names, keys, order_col, cols, degr, window_
     return made.select(*out)
 
 
+def _one_pass(df: DataFrame, w, names, keys, order_col, cols, degr, window_sizes, norm: bool, span, types) -> DataFrame:
+    """All features of units that fit a task: the Window operator brings a
+    unit's rows together, in order, and one Arrow pass over the values makes
+    the rest, so that no frame is gone through again for every row."""
+    top = F.max(order_col).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) if norm else F.row_number().over(w)
+    made = df.select(*names, top.alias("_top")).sortWithinPartitions(*keys, order_col)      # as the window left it: costs nothing
+    if norm:
+        share = F.when(F.col("_top") > 0, F.col(order_col) / F.col("_top")).otherwise(F.lit(0.0)).cast("double")
+        made = made.select(*names, share.alias("cycle_norm"))
+    made = feature_batches(made, keys, cols, degr, window_sizes, span)
+    # the reference fills nulls of every numeric column but not the keys
+    own = [F.coalesce(F.col(c), F.lit(0).cast(types[c])).alias(c)
+           if types[c].typeName() in NUMERIC and c not in (*keys, order_col) else F.col(c) for c in names]
+    return made.select(*own, *feature_names(cols, degr, window_sizes, True, norm))
+
+
 def select_features(df: DataFrame, exclude=None) -> DataFrame:
     """Every column but the id/target list."""
     ex = set(exclude if exclude is not None else ID_TARGET_COLUMNS)

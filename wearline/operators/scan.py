@@ -348,3 +348,81 @@ def ema_batches(df: DataFrame, keys: list[str], cols: list[str], span: float) ->
             yield pa.RecordBatch.from_arrays([b.column(x) for x in names] + made, names=schema.names)
 
     return df.mapInArrow(run, schema)
+
+
+def _stats(x: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and sample deviation of windows, given as their oldest values, the
+    next ones, and so on; step by step as Spark's aggregates take them."""
+    total, avg, m2 = x[0] + 0.0, x[0] + 0.0, x[0] * 0.0
+    for i, v in enumerate(x[1:], 2):
+        total = total + v
+        delta = v - avg
+        part = delta / i
+        avg = avg + part
+        m2 = m2 + delta * (delta - part)
+    return total / len(x), np.sqrt(m2 / (len(x) - 1)) if len(x) > 1 else np.zeros(len(m2))
+
+
+def feature_batches(df: DataFrame, keys: list[str], cols: list[str], degr: list[str], windows, span: float) -> DataFrame:
+    """``df`` with rolling means and deviations of its double columns ``cols``
+    (0 where a window is not full), their exponential averages (0 before the
+    first value), and differences and running sums of ``degr``, nulls counting
+    as 0. One series per run of equal ``keys``; the rows of a run follow each
+    other in one task. What a window looks back on is kept from batch to batch."""
+    ship_package(df.sparkSession)
+    decay, alpha = (span - 1.0) / (span + 1.0), 2.0 / (span + 1.0)
+    back = max([1, *[n - 1 for n in windows]])
+    new = [f"{c}_rolling_{kind}_{n}" for n in windows for c in cols for kind in ("mean", "std")]
+    new += [f"{c}_ema" for c in cols] + [f"{c}_rate_of_change" for c in degr] + [f"{c}_cumsum" for c in degr]
+    names = df.columns
+    schema = T.StructType(df.schema.fields + [T.StructField(c, T.DoubleType()) for c in new])
+    series = list(dict.fromkeys([*cols, *degr]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, sums = None, [EMPTY] * len(cols), dict.fromkeys(degr, 0.0)
+        tail = {c: (np.zeros(back), np.zeros(back, bool)) for c in series}
+        for b in batches:
+            n = b.num_rows
+            if n == 0:
+                continue
+            starts = run_starts(b, keys)
+            size = np.diff(np.append(starts, n))
+            place = np.arange(n) - np.repeat(starts, size)
+            if key is not None and row_key(b, keys, 0) == key:
+                place[:size[0]] += back
+            else:
+                state, sums = [EMPTY] * len(cols), dict.fromkeys(degr, 0.0)
+            key = row_key(b, keys, n - 1)
+            there = [place >= j for j in range(back + 1)]
+            made: dict[str, np.ndarray] = {}
+            for c in series:
+                col = b.column(c)
+                x = np.concatenate([tail[c][0], pc.fill_null(col, 0.0).to_numpy(zero_copy_only=False)])
+                ok = np.concatenate([tail[c][1], col.is_valid().to_numpy(zero_copy_only=False)])
+                lag = [x[back - j:back - j + n] for j in range(back + 1)]
+                if c in cols:
+                    with np.errstate(all="ignore"):
+                        full = np.ones(n, bool)
+                        for j in range(max(windows, default=0)):
+                            full = full & there[j] & ok[back - j:back - j + n]
+                            if j + 1 in windows:
+                                for kind, v in zip(("mean", "std"), _stats(lag[j::-1])):
+                                    made[f"{c}_rolling_{kind}_{j + 1}"] = np.where(full, v, 0.0)
+                    i = cols.index(c)
+                    e, head, last = segmented_ema(_floats(b, c), starts, state[i], decay, alpha)
+                    state[i] = joined(state[i], head, decay, alpha) if len(starts) == 1 else last
+                    made[f"{c}_ema"] = np.where(np.isnan(e), 0.0, e)
+                if c in sums:
+                    with np.errstate(all="ignore"):
+                        made[f"{c}_rate_of_change"] = np.where(there[1], lag[0] - lag[1], 0.0)
+                        v = lag[0].copy()
+                        v[0] += sums[c]
+                        made[f"{c}_cumsum"] = _segment_cumsum(v, starts, size)
+                    sums[c] = float(made[f"{c}_cumsum"][-1])
+                seen = ok[n:].copy()
+                if len(starts) > 1:       # only rows of the last run go on
+                    seen &= np.arange(n, n + back) >= back + starts[-1]
+                tail[c] = x[n:].copy(), seen
+            yield pa.RecordBatch.from_arrays([b.column(x) for x in names] + [pa.array(made[c]) for c in new], names=schema.names)
+
+    return df.mapInArrow(run, schema)

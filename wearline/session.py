@@ -54,6 +54,18 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+#: HotSpot never compiles a method of more bytecode than this.
+HUGE_METHOD = 8000
+
+
+def compiled_methods(spark: SparkSession) -> None:
+    """Plans with dozens of columns make whole-stage methods that HotSpot only
+    interprets; above its limit Spark is told to generate split code instead."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    if int(spark.conf.get(key, "65535")) > HUGE_METHOD:
+        spark.conf.set(key, str(HUGE_METHOD))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in
     ``spark.checkpoint.dir``. Only when it is unset in a local run (tests) a

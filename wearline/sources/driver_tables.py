@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 from wearline.operators.chunks import CHUNK_ROWS
 from wearline.operators.labels import with_positions
 from wearline.schema import CYCLE, UNIT
+from wearline.session import compiled_methods
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    compiled_methods(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
