@@ -16,6 +16,7 @@ from wearline.operators.knn import knn_join
 from wearline.operators.scan import ranked
 from wearline.operators.selection import class_counts, flag_smallest
 from wearline.schema import UNIT
+from wearline.session import stored
 
 
 def distinct_units(df: DataFrame, unit_col: str = UNIT) -> DataFrame:
@@ -109,6 +110,8 @@ def rebalance_counts(df: DataFrame, label: str, id_col: str, vec_col: str, keys:
     none | undersample | smote | cost_sensitive."""
     from wearline.operators.metrics import class_weights
     spark = df.sparkSession
+    # every method reads the rows several times; numbering them costs a sort of all
+    df = stored(df.select(*dict.fromkeys([label, id_col, vec_col, *keys])), "rebalance")
     rows = []
     for c, n in class_counts(df, label).items():
         rows.append(("none", int(c), int(n), float(n)))
