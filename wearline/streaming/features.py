@@ -41,15 +41,15 @@ def output_schema(value_cols, degr, windows=WINDOW_SIZES) -> T.StructType:
 
 
 def _window_stats(v: np.ndarray, n: int):
-    """Full-window mean and sample std (two-pass per window), NaN where the
-    window is short or holds a null; then 0."""
-    m = np.zeros(len(v))
-    s = np.zeros(len(v))
+    """Full-window mean and sample std (two-pass per window) of every column,
+    NaN where the window is short or holds a null; then 0."""
+    m = np.zeros(v.shape)
+    s = np.zeros(v.shape)
     if len(v) >= n:
-        w = np.lib.stride_tricks.sliding_window_view(v, n)
-        ok = ~np.isnan(w).any(1)
-        mu = w.mean(1)
-        sd = np.sqrt(((w - mu[:, None]) ** 2).sum(1) / (n - 1)) if n > 1 else np.full(len(w), np.nan)
+        w = np.lib.stride_tricks.sliding_window_view(v, n, axis=0)
+        ok = ~np.isnan(w).any(2)
+        mu = w.mean(2)
+        sd = np.sqrt(((w - mu[:, :, None]) ** 2).sum(2) / (n - 1)) if n > 1 else np.full(mu.shape, np.nan)
         m[n - 1:] = np.where(ok, mu, 0.0)
         s[n - 1:] = np.where(ok, np.nan_to_num(sd, nan=0.0), 0.0)
     return m, s
@@ -83,11 +83,11 @@ def make_state_fn(value_cols, degr, windows=WINDOW_SIZES, span=EMA_SPAN, timeout
             off = len(tail)
             res = {UNIT: fresh[UNIT].to_numpy(), CYCLE: fresh[CYCLE].to_numpy()}
             for n in windows:
+                m, s = _window_stats(vals, n)
                 for i, c in enumerate(value_cols):
-                    m, s = _window_stats(vals[:, i], n)
                     # rows of the tail belong to earlier windows only
-                    res[f"{c}_rolling_mean_{n}"] = m[off:]
-                    res[f"{c}_rolling_std_{n}"] = s[off:]
+                    res[f"{c}_rolling_mean_{n}"] = m[off:, i]
+                    res[f"{c}_rolling_std_{n}"] = s[off:, i]
             for c in value_cols:
                 x = fresh[c].astype("float64").to_numpy()
                 before = tuple(st["ema"].get(c, EMPTY))
