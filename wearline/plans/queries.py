@@ -143,10 +143,10 @@ def q_trailing_features(spark, sf):
 @query("latest_per_unit")
 def q_latest_per_unit(spark, sf):
     f = FE.engineer_features(LB.compute_rul(L(spark, sf)))
-    last = FE.latest_per_unit(f)
-    return rounded(last.select(UNIT, CYCLE, "RUL", "sensor_measurement_4_rolling_mean_3",
-                               "sensor_measurement_7_ema", "sensor_measurement_11_cumsum"), 4,
-                   _cumsum=2)
+    # a unit's cycles differ, so the columns shown are all that the last row is told by
+    last = FE.latest_per_unit(f.select(UNIT, CYCLE, "RUL", "sensor_measurement_4_rolling_mean_3",
+                                       "sensor_measurement_7_ema", "sensor_measurement_11_cumsum"))
+    return rounded(last, 4, _cumsum=2)
 
 
 @query("timeline_points")
@@ -638,12 +638,21 @@ def q_read_csv_telemetry(spark, sf):
     return TX.read_csv_telemetry(spark, path).select(*L_OUT)
 
 
+#: Rows of L that one file written by a query holds, about.
+ROWS_PER_FILE = 500_000
+
+
+def _parts(spark, sf, least: int) -> int:
+    """Files for the whole of L: their number follows its rows."""
+    return max(least, -(-DT.table(spark, sf, "lineitem").count() // ROWS_PER_FILE))
+
+
 @query("read_csv_without_unit")
 def q_read_csv_without_unit(spark, sf):
     """An upload without unit/cycle columns, in several part files: one unit,
     cycle = row order over all of them."""
     path = shared_path(spark, "telemetry-csv-nounit")
-    (L(spark, sf).repartitionByRange(5, UNIT, CYCLE).sortWithinPartitions(UNIT, CYCLE).drop(UNIT, CYCLE)
+    (L(spark, sf).repartitionByRange(_parts(spark, sf, 5), UNIT, CYCLE).sortWithinPartitions(UNIT, CYCLE).drop(UNIT, CYCLE)
      .write.option("header", True).csv(path))
     return TX.read_csv_telemetry(spark, path).select(UNIT, CYCLE, "sensor_measurement_4", "sensor_measurement_7")
 
@@ -678,8 +687,9 @@ def manual_rows(requests):
     own = ["request_id"] if "request_id" in requests.columns else []
     ex = requests.select(*own, "unit_id", F.posexplode("time_steps").alias("step", "v"))
     txt = ex.select(*own, "unit_id", "step", F.concat_ws(",", F.transform("v", lambda x: x.cast("string"))).alias("text"))
-    txt = (txt.withColumn("variant", F.lit("ok"))
-           .unionByName(txt.withColumn("text", F.concat("text", F.lit(",abc"))).withColumn("variant", F.lit("junk"))))
+    both = F.array(F.struct(F.col("text"), F.lit("ok").alias("variant")),
+                   F.struct(F.concat("text", F.lit(",abc")).alias("text"), F.lit("junk").alias("variant")))
+    txt = txt.select(*own, "unit_id", "step", F.inline(both))
     p = RQ.parse_manual_rows(txt)
     return p.select(*own, "unit_id", F.col("step").cast("bigint").alias("step"), "variant", "valid",
                     F.size("values").cast("bigint").alias("n_values"),
@@ -911,9 +921,13 @@ L_VALUES = ["operational_setting_1", "operational_setting_2", "operational_setti
 
 def _stream_source(spark, sf, name, extra=None, bucket=200, spread=2):
     """Lay L out as a file source: one job writes a folder per block of
-    ``bucket`` cycles, in ``spread`` files by unit; the files' times are then
-    set in the order of the blocks, so later cycles arrive in later files."""
+    ``bucket`` cycles, in ``spread`` files by unit, or as many as the units'
+    rows need; the files' times are then set in the order of the blocks, so later
+    cycles arrive in later files. Returns the path, the schema and the files of
+    a block."""
     l = L(spark, sf)
+    units = DT.table(spark, sf, "lineitem").select("l_suppkey").distinct().count()
+    spread = max(spread, -(-units * bucket // ROWS_PER_FILE))
     src = shared_path(spark, name)
     block = F.floor((F.col(CYCLE) - 1) / bucket).cast("int")
     (l.select("*", block.alias("_block")).repartition("_block", F.pmod(F.xxhash64(UNIT), F.lit(spread)))
@@ -927,16 +941,16 @@ def _stream_source(spark, sf, name, extra=None, bucket=200, spread=2):
     for place, (_, folder) in enumerate(blocks):
         for f in fs.listStatus(folder.getPath()):
             fs.setTimes(f.getPath(), blocks[0][1].getModificationTime() + 1000 * (place - len(blocks)), -1)
-    return src, l.schema
+    return src, l.schema, spread
 
 
 @query("stream_features")
 def q_stream_features(spark, sf):
     from wearline.session import ship_package
     ship_package(spark)
-    src, schema = _stream_source(spark, sf, "stream-src")
+    src, schema, files = _stream_source(spark, sf, "stream-src")
     out, ck = shared_path(spark, "stream-out"), shared_path(spark, "stream-ckpt")
-    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 4).parquet(src)
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 2 * files).parquet(src)
     feats = SF.stream_features(stream, L_VALUES)
     # with processing-time timeouts pending, no-data micro-batches would keep
     # an availableNow run alive; timeouts still fire on the next data batch
@@ -963,9 +977,9 @@ def q_stream_latest_risk(spark, sf):
         first = l.filter(F.col(CYCLE) == 1)
         return (first.withColumn(UNIT, F.lit(0).cast("bigint"))
                 .unionByName(first.withColumn("sensor_measurement_4", F.lit(float("nan")))))
-    src, schema = _stream_source(spark, sf, "risk-src", extra=spoiled)
+    src, schema, files = _stream_source(spark, sf, "risk-src", extra=spoiled)
     base, ck = shared_path(spark, "risk-tables"), shared_path(spark, "risk-ckpt")
-    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 2).parquet(src)
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files).parquet(src)
     cols = ["operational_setting_1", "operational_setting_2", "sensor_measurement_4",
             "sensor_measurement_7", "sensor_measurement_11"]
     q = (stream.writeStream.foreachBatch(SR.make_batch_fn(base, cols, _det_score))
