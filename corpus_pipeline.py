@@ -19,16 +19,18 @@ from wearline.llm.common import materialise, read_table
 VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-#: Rows of an Arrow batch. Both the JVM and the Python worker of a task hold a
-#: whole batch; texts with their pretokens are about 5 kB a row.
-ROWS_PER_BATCH = 1000
+#: Rows and bytes of an Arrow batch. Both the JVM and the Python worker of a
+#: task hold a whole batch, more than once while it is sent; texts with their
+#: pretokens are about 5 kB a row.
+ROWS_PER_BATCH, BYTES_PER_BATCH = 1000, 1 << 19
 
 
 def small_batches(spark: SparkSession) -> None:
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if not 0 < now <= ROWS_PER_BATCH:
-        spark.conf.set(key, str(ROWS_PER_BATCH))
+    rows, size = (f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes"))
+    if not 0 < int(spark.conf.get(rows)) <= ROWS_PER_BATCH:
+        spark.conf.set(rows, str(ROWS_PER_BATCH))
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size)) > BYTES_PER_BATCH:
+        spark.conf.set(size, str(BYTES_PER_BATCH))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +58,7 @@ def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and the text as it decodes from them."""
     small_batches(spark)
-    both = bpe.encode_decode(docs, VOCABULARY, PATTERN, keep_text=False)
+    both = bpe.encode_decode(docs, VOCABULARY, PATTERN, keep_text=False, lean=True)
     return both.select("doc_id", "lang", "source", F.col("decoded").cast("string").alias("text"),
                        F.size("ids").cast("long").alias("n_tokens"), "ids")
 

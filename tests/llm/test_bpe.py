@@ -1,6 +1,7 @@
 import hashlib
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -121,3 +122,18 @@ def test_text_need_not_go_to_the_workers(spark):
     got = bpe.encode_decode(docs, VOCABULARY, P.PATTERN, keep_text=False)
     assert "text" not in got.columns
     assert {r.doc_id: bytes(r.decoded) for r in got.collect()} == {1: b"one two", 2: b""}
+
+
+def test_lean_workers_keep_fewer_words_and_encode_alike(spark, reference, monkeypatch):
+    path = VOCABULARY
+    monkeypatch.setattr(bpe, "LEAN_WORDS_KEPT", 3)
+    voc = bpe._Vocabulary(path, lean=True)
+    setting = "SELECT current_setting('allocator_flush_threshold')"
+    assert voc.db.sql(setting).fetchall() != bpe._Vocabulary(path).db.sql(setting).fetchall()
+    for words in (["one", " two", " three", " four"], [" five", "one"], ["one", " six"]):
+        ids, start, end = voc.encode(pa.array(words, pa.large_string()))
+        assert [ids[a:z].tolist() for a, z in zip(start, end)] == [reference.encode_ordinary(w) for w in words]
+    assert voc.words.to_pylist() == [" five", "one", " six"]      # the first four were dropped, beyond three
+    docs = documents(spark, [(1, "one two"), (2, None), (3, "".join(f" word{i}" for i in range(50)))])
+    got, plain = (bpe.encode_decode(docs, path, P.PATTERN, lean=x).collect() for x in (True, False))
+    assert got == plain

@@ -1,6 +1,7 @@
 """Every stage of the pipeline against brute force on its own input."""
 
 import public_tokenizers as P
+import pyarrow as pa
 import tiktoken
 
 import corpus_pipeline
@@ -52,3 +53,21 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = materialise(stage(spark, docs, SF001), "empty")
     assert docs.count() == 0
+
+
+def test_last_stage_sends_small_batches(spark):
+    keys = [f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes")]
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        spark.conf.set(keys[0], "10000")
+        spark.conf.set(keys[1], "64m")
+        corpus_pipeline.small_batches(spark)
+        texts = spark.range(300).selectExpr("repeat('x', 10000) AS text").coalesce(1)
+        sizes = texts.mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in bs), "n bigint").collect()
+        assert sum(r.n for r in sizes) >= 3_000_000 and max(r.n for r in sizes) < 2 * corpus_pipeline.BYTES_PER_BATCH
+        spark.conf.set(keys[1], "1000")      # a smaller limit of the session's own stays
+        corpus_pipeline.small_batches(spark)
+        assert spark.conf.get(keys[1]).rstrip("bB") == "1000"
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)

@@ -36,6 +36,12 @@ from wearline.llm.common import append_columns, free_name, row_slices
 BYTES_AT_ONCE, WORDS_AT_ONCE, ROWS_OF_STEPS = 150_000, 20_000, 1_500_000
 WORDS_KEPT, TOKENS_AT_ONCE = 200_000, 100_000
 
+#: The same for workers that share their executor with what earlier stages left
+#: there: rows handed on at once, fewer words kept, and freed memory given back
+#: at once, for about a third more time.
+LEAN_ROWS, LEAN_WORDS_KEPT = 125, 60_000
+LEAN_DB = {"allocator_flush_threshold": "1MB", "allocator_bulk_deallocation_flush_threshold": "1MB"}
+
 #: ``n`` counts steps; words not done after ``steps`` of them are read off as
 #: they stand.
 _ENCODE = """
@@ -96,12 +102,13 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class _Vocabulary:
     """A worker's tables of one vocabulary, and the words it has encoded."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, lean: bool = False):
+        self.words_kept = LEAN_WORDS_KEPT if lean else WORDS_KEPT
         ranks = load_ranks(path)
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         merges = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items()
                   for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self.db = duckdb.connect(config={"threads": 1, "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "temp_directory": "", **(LEAN_DB if lean else {})})
         a, b, r = (np.array(c, np.int32) for c in zip(*merges)) if merges else [np.zeros(0, np.int32)] * 3
         self.side_by_side = np.zeros((256, 256), bool)
         for token in ranks:
@@ -144,7 +151,7 @@ class _Vocabulary:
 
     def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of distinct words: a flat array with a start and an end per word."""
-        if len(self.words) > WORDS_KEPT:
+        if len(self.words) > self.words_kept:
             self.forget()
         at = pc.index_in(words, value_set=self.words)
         if at.null_count:
@@ -182,8 +189,8 @@ class _Vocabulary:
 
 
 @functools.lru_cache(maxsize=2)
-def _vocabulary(path: str) -> _Vocabulary:
-    return _Vocabulary(path)
+def _vocabulary(path: str, lean: bool = False) -> _Vocabulary:
+    return _Vocabulary(path, lean)
 
 
 def _ship(df: DataFrame, vocabulary: str) -> str:
@@ -256,18 +263,19 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
     return append_columns(df, [T.StructField("decoded", T.BinaryType())], run)
 
 
-def encode_decode(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def encode_decode(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", keep_text: bool = True,
+                  lean: bool = False) -> DataFrame:
     """``encode`` and then ``decode`` of the ids, in one pass over the rows.
     Without ``keep_text`` the text column is dropped, and not sent to the
-    workers beside its pretokens."""
+    workers beside its pretokens. ``lean`` workers hold less at a time."""
     name, words = _ship(df, vocabulary), free_name(df, "__pretokens")
 
     def run(b: pa.RecordBatch) -> list:
-        voc = _vocabulary(SparkFiles.get(name))
+        voc = _vocabulary(SparkFiles.get(name), lean)
         ids, off = _encode_rows(voc, b.column(words))
         return [pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids)), _decode_rows(voc, ids, off)]
 
     split = _pretokens(df, text_col, pattern, words)
     return append_columns(split if keep_text else split.drop(text_col),
                           [T.StructField("ids", _IDS), T.StructField("decoded", T.BinaryType())], run,
-                          drop=(words,))
+                          drop=(words,), rows_at_once=LEAN_ROWS if lean else 500)
