@@ -38,7 +38,7 @@ WORDS_KEPT, TOKENS_AT_ONCE = 200_000, 100_000
 
 #: The same for workers that share their executor with what earlier stages left
 #: there: rows handed on at once, fewer words kept, and freed memory given back
-#: at once, for about a third more time.
+#: at once, for about one and a half times the time.
 LEAN_ROWS, LEAN_WORDS_KEPT = 125, 60_000
 LEAN_DB = {"allocator_flush_threshold": "1MB", "allocator_bulk_deallocation_flush_threshold": "1MB"}
 
